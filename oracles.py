@@ -136,7 +136,8 @@ def per_query_sql(run: str, qrels: str, ks, keys: tuple[str, ...] = (), run_qids
 
 def long_sql(pq: str, name: str = "lq") -> str:
     return f"""
-{name} AS (UNPIVOT {pq} ON ndcg, map, recall, precision, mrr, cv_recall INTO NAME metric VALUE value)"""
+{name}_u AS (UNPIVOT {pq} ON ndcg, map, recall, precision, mrr, cv_recall INTO NAME metric VALUE value),
+{name} AS (SELECT * REPLACE (round(value, 9) AS value) FROM {name}_u)"""
 
 
 def mean_sql(lq: str, keys: tuple[str, ...] = ()) -> str:
@@ -148,15 +149,118 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes if c)
 
 
+
+def nauc_sql(run: str, lq: str) -> str:
+    """nAUC of ndcg/map/recall/precision/mrr per (metric, k, signal) from long per-query rows."""
+    return f"""
+conf AS (SELECT qid, round(max(score), 9) AS cmax, round(stddev_pop(score), 9) AS cstd,
+           round(coalesce(max(CASE WHEN rk = 1 THEN score END) - max(CASE WHEN rk = 2 THEN score END), 0), 9) AS cdiff1
+         FROM {run} GROUP BY qid),
+lqc AS (SELECT l.*, c.cmax, c.cstd, c.cdiff1 FROM {lq} l LEFT JOIN conf c ON c.qid = l.qid
+        WHERE l.metric IN ('ndcg', 'map', 'recall', 'precision', 'mrr')),
+sig AS (SELECT metric, k, qid, value, 'max' AS signal, coalesce(cmax, 0) AS sortkey FROM lqc
+        UNION ALL SELECT metric, k, qid, value, 'std', coalesce(cstd, 0) FROM lqc
+        UNION ALL SELECT metric, k, qid, value, 'diff1', coalesce(cdiff1, 0) FROM lqc
+        UNION ALL SELECT metric, k, qid, value, 'oracle', value FROM lqc),
+pos AS (SELECT *, row_number() OVER (PARTITION BY metric, k, signal ORDER BY sortkey, qid) - 1 AS pos,
+               count(*) OVER (PARTITION BY metric, k, signal) AS n FROM sig),
+rates AS (SELECT unnest(range(10)) AS i),
+curve AS (SELECT metric, k, signal, i,
+            sum(CASE WHEN pos >= least(round_even(CAST(i AS DOUBLE) * 0.1::DOUBLE * n, 0), n - 1) THEN value ELSE 0 END)
+            / (n - least(round_even(CAST(i AS DOUBLE) * 0.1::DOUBLE * n, 0), n - 1)) AS c
+          FROM pos JOIN rates ON TRUE GROUP BY metric, k, signal, i, n),
+area AS (SELECT metric, k, signal, sum(dx * (c + nc) / 2.0) AS auc, max(CASE WHEN i = 0 THEN c END) AS c0 FROM (
+           SELECT *, lead(c) OVER (PARTITION BY metric, k, signal ORDER BY i) AS nc,
+                  CAST(i + 1 AS DOUBLE) * 0.1::DOUBLE - CAST(i AS DOUBLE) * 0.1::DOUBLE AS dx FROM curve) GROUP BY ALL),
+nres AS (SELECT s.metric, s.k, s.signal, s.auc, o.auc AS or_auc, o.c0 * 0.9::DOUBLE AS flat
+         FROM area s JOIN area o ON o.metric = s.metric AND o.k = s.k AND o.signal = 'oracle' WHERE s.signal <> 'oracle')"""
+
+
+NAUC_SELECT = ("SELECT metric, k, signal, round(CASE WHEN abs(or_auc - flat) < 1e-12 THEN NULL "
+               "ELSE (auc - flat) / (or_auc - flat) END, 9) AS value FROM nres")
+
 # ------------------------------------------------------------------ registry
 RUN_COLS = "SELECT qid, did, score, CAST(rk AS INTEGER) AS rk FROM run"
+KS4 = (1, 3, 5, 10)
 
 
-def _vec_metrics(ks=(1, 3, 5, 10)) -> str:
+def _vec_metrics(ks=KS4) -> str:
     return with_(VEC_BASE, vec_run(10), per_query_sql("run", "vec_qrels", ks), long_sql("pq")) + "\n" + mean_sql("lq")
 
 
+COSINE_TOPK = with_(VEC_BASE, vec_run(10)) + "\n" + RUN_COLS
+
+ZERO_NAN = with_(f"""
+dimc AS (SELECT max(len(embedding)) AS dim FROM embeddings),
+allv AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+         UNION ALL SELECT 'z0', list_transform(range(dim), lambda i: 0.0::DOUBLE) FROM dimc
+         UNION ALL SELECT 'n0', list_transform(range(dim), lambda i: CASE WHEN i = 0 THEN 'NaN'::DOUBLE ELSE 0.1 END) FROM dimc
+         UNION ALL SELECT 'd9', list_transform(range(dim), lambda i: 0.125::DOUBLE) FROM dimc
+         UNION ALL SELECT 'd10', list_transform(range(dim), lambda i: 0.125::DOUBLE) FROM dimc),
+uq AS (SELECT id AS qid, {unit('v')} AS u FROM allv),
+ud AS (SELECT id AS did, {unit('v')} AS u FROM allv),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
+          SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM uq q JOIN ud d ON q.qid <> d.did)) WHERE rk <= 5)""") + "\n" + RUN_COLS
+
+TXT_SUBSET_QRELS = """
+qrels_sub AS (SELECT d.subset, q.qid, q.did, q.rel FROM txt_qrels q JOIN td d ON d.did = q.did)"""
+
+
+def _txt_subset_metrics(k, ks) -> str:
+    return with_(TXT_BASE, txt_run(k, by_subset=True), TXT_SUBSET_QRELS,
+                 per_query_sql("run", "qrels_sub", ks, keys=("subset",)), long_sql("pq"))
+
+
+MEM_CAND_SCORED = f"""
+cand_scored AS (SELECT c.qid, c.did, {score_expr('q.u', 'd.u')} AS score
+                FROM mem_cand c JOIN mq q ON q.qid = c.qid JOIN md d ON d.did = c.did),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk
+        FROM cand_scored) WHERE rk <= 10)"""
+
+MEM_RUN50 = f"""
+mrun_all AS (SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM mq q JOIN md d ON TRUE),
+mrun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk
+         FROM mrun_all) WHERE rk <= 50),
+sysconv AS (SELECT DISTINCT conv_id FROM turns WHERE role = 'system'),
+cand_sys AS (SELECT c.qid, c.did FROM mem_cand c JOIN mq q ON q.qid = c.qid WHERE q.conv_id IN (SELECT conv_id FROM sysconv)),
+run AS (SELECT * FROM mrun r WHERE EXISTS (SELECT 1 FROM cand_sys c WHERE c.qid = r.qid AND c.did = r.did)
+        OR r.qid NOT IN (SELECT qid FROM cand_sys))"""
+
 ORACLES = {
     "flagship_eval": _vec_metrics(),
-    "cosine_topk": with_(VEC_BASE, vec_run(10)) + "\n" + RUN_COLS,
+    "cosine_topk": COSINE_TOPK,
+    "dot_topk": with_(VEC_BASE, vec_run(10, norm=False)) + "\n" + RUN_COLS,
+    "blocked_topk": COSINE_TOPK,
+    "chunk_merge_topk": COSINE_TOPK,
+    "zero_vector_and_nan": ZERO_NAN,
+    "nauc_all": with_(VEC_BASE, vec_run(10), per_query_sql("run", "vec_qrels", KS4), long_sql("pq"),
+                      nauc_sql("run", "lq")) + "\n" + NAUC_SELECT,
+    "metrics_all_k": with_(VEC_BASE, vec_run(1000), per_query_sql("run", "vec_qrels", DEFAULT_KS), long_sql("pq"))
+    + "\nSELECT qid, metric, k, value FROM lq",
+    "topk_ties": with_(TXT_BASE, """
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
+          SELECT q.did AS qid, d.did, """ + score_expr("q.u", "d.u") + """ AS score FROM td q JOIN td d ON q.did <> d.did))
+        WHERE rk <= 5)""") + "\n" + RUN_COLS,
+    "embed_and_search": with_(TXT_BASE, txt_run(10)) + "\n" + RUN_COLS,
+    "hashed_embedding": with_(TXT_BASE) + """
+SELECT did, CAST(bucket AS INTEGER) AS bucket, cnt FROM (SELECT did, unnest(range(len(v))) AS bucket, unnest(v) AS cnt FROM dd)
+WHERE cnt > 0""",
+    "contains_qrels": with_(TXT_BASE) + "\nSELECT qid, did, rel FROM txt_qrels",
+    "metrics_by_subset": _txt_subset_metrics(100, (1, 3, 5, 10, 20, 100)) + "\n" + mean_sql("lq", ("subset",)),
+    "main_score": _txt_subset_metrics(10, (10,)) + """
+SELECT subset, 'ndcg_at_10' AS main_metric, round(avg(value), 9) AS value FROM lq WHERE metric = 'ndcg' AND k = 10
+GROUP BY subset""",
+    "mean_by_denominator": with_(TXT_BASE, txt_run(1000), per_query_sql("run", "txt_qrels", DEFAULT_KS), long_sql("pq"))
+    + """
+SELECT metric, k, round(avg(value), 9) AS value, 'evaluated' AS denominator FROM lq GROUP BY ALL
+UNION ALL
+SELECT metric, k, round(sum(value) / (SELECT count(DISTINCT qid) FROM txt_qrels), 9) AS value, 'qrels' AS denominator
+FROM lq GROUP BY ALL""",
+    "candidates_pre": with_(MEM_BASE, MEM_CAND_SCORED) + "\n" + RUN_COLS,
+    "candidates_post_strict": with_(MEM_BASE, MEM_CAND_SCORED) + "\n" + RUN_COLS,
+    "candidates_post_lenient": with_(MEM_BASE, MEM_RUN50) + "\n" + RUN_COLS,
+    "skip_first": with_(VEC_BASE, vec_run(11, exclude_identical=False))
+    + "\nSELECT qid, did, score, CAST(rk - 1 AS INTEGER) AS rk FROM run WHERE rk > 1",
+    "ignore_identical": with_(VEC_BASE, vec_run(11, exclude_identical=False))
+    + "\nSELECT qid, did, score, CAST(rk AS INTEGER) AS rk FROM run WHERE qid <> did",
 }

@@ -63,12 +63,17 @@ def n_blocks_for(total_bytes: int, block_bytes: int) -> int:
     return max(1, math.ceil(total_bytes / max(1, block_bytes)))
 
 
-def pair_blocks(chunks: DataFrame, blocks: DataFrame, n_blocks: int, total_bytes: int) -> DataFrame:
-    """Every chunk row joined with every block row, as an equi-join on ``blk``."""
+def pair_blocks(chunks: DataFrame, blocks: DataFrame, n_blocks: int, total_bytes: int,
+                broadcast_bytes: int | None = None) -> DataFrame:
+    """Every chunk row joined with every block row, as an equi-join on ``blk``.
+
+    ``broadcast_bytes`` overrides the session's budget (``CONF_BROADCAST_BYTES``).
+    """
     spark = chunks.sparkSession
     ids = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))
     fanned = chunks.withColumn("blk", ids)
-    if total_bytes <= conf_int(spark, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES):
+    budget = conf_int(spark, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes
+    if total_bytes <= budget:
         return fanned.join(F.broadcast(blocks), "blk")
     target = conf_int(spark, CONF_TARGET_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
     salts = max(1, math.ceil(target / n_blocks))

@@ -131,9 +131,11 @@ def per_query(
 
 
 def to_long(pq: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Wide per-query rows -> ``(keys, qid, metric, k, value)``."""
+    """Wide per-query rows -> ``(keys, qid, metric, k, value)`` (values rounded to 9 decimals)."""
     keys = list(keys)
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    pairs = F.array(
+        *[F.struct(F.lit(m).alias("metric"), F.round(F.col(m).cast("double"), DECIMALS).alias("value")) for m in metrics]
+    )
     return pq.select(*keys, "qid", "k", F.inline(pairs))
 
 
@@ -158,9 +160,12 @@ def mean(
     elif denominator == "qrels":
         if qrels is None:
             raise ValueError("denominator='qrels' needs the qrels table")
-        nq = qrels.groupBy(*keys).agg(F.countDistinct("qid").alias("nq"))
-        out = summed.join(nq, keys) if keys else summed.crossJoin(nq)
-        out = out.withColumn("value", F.col("s") / F.col("nq"))
+        if keys:
+            nq = qrels.groupBy(*keys).agg(F.countDistinct("qid").alias("nq"))
+            out = summed.join(nq, keys).withColumn("value", F.col("s") / F.col("nq"))
+        else:  # one scalar: the number of query ids in the qrels
+            nq = qrels.select("qid").distinct().count()
+            out = summed.withColumn("value", F.col("s") / F.lit(float(nq)))
     else:
         raise ValueError(f"unknown denominator {denominator!r}")
     return out.select(*keys, "metric", "k", F.round("value", DECIMALS).alias("value"))

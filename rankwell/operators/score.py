@@ -47,12 +47,13 @@ def _row_bytes(dim: int) -> int:
 
 
 # ---------------------------------------------------------------- pairing
-def _pairs_global(q: DataFrame, c: DataFrame, nq: int, dim: int, block_bytes: int, part: bool) -> DataFrame:
+def _pairs_global(q: DataFrame, c: DataFrame, nq: int, dim: int, block_bytes: int, part: bool,
+                  broadcast_bytes: int | None) -> DataFrame:
     total = nq * _row_bytes(dim)
     nqb = n_blocks_for(total, block_bytes)
     qblocks = pack_blocks(q, "qid", ["qid", "vec"], nqb, out="q_items")
     chunks = pack_partitions(c, ["did", "vec", *(["part"] if part else [])], out="c_items")
-    return pair_blocks(chunks, qblocks, nqb, total)
+    return pair_blocks(chunks, qblocks, nqb, total, broadcast_bytes)
 
 
 def _pairs_grouped(
@@ -185,13 +186,15 @@ def search(
     vec_col: str = "vec",
     query_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Top-``k`` documents per query -> ``(*group_cols, [part], qid, did, score, rk)``.
 
     ``group_cols``: score only pairs with equal values in these columns.
     ``corpus_part``: rank separately within each value of this corpus column
     (output column keeps the name).  ``exclude_identical``: never return the
-    pair ``qid == did`` (J5 applied before the cut).  Ids compare as strings.
+    pair ``qid == did`` (J5 applied before the cut).  ``broadcast_bytes``
+    overrides the broadcast budget of the query side.  Ids compare as strings.
     """
     groups = list(group_cols)
     part = corpus_part is not None
@@ -207,7 +210,7 @@ def search(
     if groups:
         pairs = _pairs_grouped(q, c, groups, dim, query_block_bytes, chunk_rows, part)
     else:
-        pairs = _pairs_global(q, c, nq, dim, query_block_bytes, part)
+        pairs = _pairs_global(q, c, nq, dim, query_block_bytes, part, broadcast_bytes)
     types = {f.name: f.dataType.simpleString() for f in q.schema.fields}
     out_schema = ", ".join(
         [f"`{g}` {types[g]}" for g in groups] + (["part string"] if part else [])

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.candidates import candidate_pairs, drop_identical, filter_lenient, filter_strict
+from ..operators.nauc import confidence, nauc
+from ..operators.rank import skip_first as skip_first_hits
+from ..operators.rank import top_k
 from ..operators.score import search
-from ..sources.families import vec_family
+from ..sources.families import TEXT_DIM, mem_family, mem_turns, txt_family, vec_family
 
 FLAGSHIP_K = 10
 FLAGSHIP_KS = (1, 3, 5, 10)
@@ -30,7 +34,192 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(fam.queries, fam.corpus, FLAGSHIP_K, exclude_identical=True).select("qid", "did", "score", "rk")
 
 
+RUN = ("qid", "did", "score", "rk")
+
+
+def _vec_run(spark, sf_dir, k=FLAGSHIP_K, **kw):
+    fam = vec_family(spark, sf_dir)
+    return fam, search(fam.queries, fam.corpus, k, **kw)
+
+
+def dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC: plain dot-product top-10 (``do_norm=False``)."""
+    return _vec_run(spark, sf_dir, do_norm=False, exclude_identical=True)[1].select(*RUN)
+
+
+def blocked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC: cosine top-10 forced through many query blocks and the salted
+    (non-broadcast) block join; must equal ``cosine_topk``."""
+    return _vec_run(spark, sf_dir, exclude_identical=True, query_block_bytes=8 << 10, broadcast_bytes=0)[1].select(*RUN)
+
+
+def chunk_merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-10 per (label part of the corpus, query), merged into the global top-10."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    fam = vec_family(spark, sf_dir)
+    corpus = fam.corpus.join(emb.select(F.col("vec_id").cast("string").alias("did"), "label"), "did")
+    parts = search(fam.queries, corpus, FLAGSHIP_K, corpus_part="label", exclude_identical=True)
+    return top_k(parts.drop("rk"), FLAGSHIP_K).select(*RUN)
+
+
+def zero_vector_and_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1-V3 edge cases: the embeddings plus a zero vector, a vector holding NaN and
+    two equal vectors (ids d9 / d10), all searched against each other, top-5."""
+    fam = vec_family(spark, sf_dir)
+    dim = F.size(F.col("vec"))
+    extra = (
+        fam.queries.limit(1).select(dim.alias("dim"))
+        .select(F.inline(F.array(
+            F.struct(F.lit("z0").alias("id"), F.array_repeat(F.lit(0.0), F.col("dim")).alias("vec")),
+            F.struct(F.lit("n0").alias("id"), F.concat(F.array(F.lit(float("nan"))),
+                                                        F.array_repeat(F.lit(0.1), F.col("dim") - 1)).alias("vec")),
+            F.struct(F.lit("d9").alias("id"), F.array_repeat(F.lit(0.125), F.col("dim")).alias("vec")),
+            F.struct(F.lit("d10").alias("id"), F.array_repeat(F.lit(0.125), F.col("dim")).alias("vec")),
+        )))
+    )
+    base = fam.queries.select(F.col("qid").alias("id"), F.col("vec").cast("array<double>"))
+    allv = base.unionByName(extra)
+    run = search(allv.withColumnRenamed("id", "qid"), allv.withColumnRenamed("id", "did"), 5, exclude_identical=True)
+    return run.select(*RUN)
+
+
+def nauc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 / M8: nAUC of ndcg, map, recall, precision and mrr at 1,3,5,10 for the
+    max / std / diff1 confidence signals (VEC top-10 run)."""
+    fam, run = _vec_run(spark, sf_dir, exclude_identical=True)
+    pq = M.to_long(M.per_query(run, fam.qrels, FLAGSHIP_KS))
+    return nauc(pq, confidence(run))
+
+
+def metrics_all_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-query metrics at 1,3,5,10,20,100,1000 (VEC, depth 1000)."""
+    fam, run = _vec_run(spark, sf_dir, k=1000, exclude_identical=True)
+    return M.to_long(M.per_query(run, fam.qrels, M.DEFAULT_K_VALUES))
+
+
+def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 ties: documents searched against documents (hashed bag of words);
+    exact copies score equal and are ordered by the larger id; top-5."""
+    fam = txt_family(spark, sf_dir)
+    q = fam.corpus.select(F.col("did").alias("qid"), "vec")
+    return search(q, fam.corpus, 5, exclude_identical=True).select(*RUN)
+
+
+def embed_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 + search: benchmark passages vs documents, hashed bag of words, top-10."""
+    fam = txt_family(spark, sf_dir)
+    return search(fam.queries, fam.corpus, FLAGSHIP_K).select(*RUN)
+
+
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 embedder output in long form: (did, bucket, cnt) for non-zero buckets."""
+    fam = txt_family(spark, sf_dir)
+    return fam.corpus.select("did", F.posexplode("vec").alias("bucket", "cnt")).where(F.col("cnt") > 0)
+
+
+def contains_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT qrels: passages contained verbatim in documents (Aho-Corasick join)."""
+    return txt_family(spark, sf_dir).qrels
+
+
+def _txt_subset(spark, sf_dir, k):
+    fam = txt_family(spark, sf_dir)
+    run = search(fam.queries, fam.corpus, k, corpus_part="subset")
+    qrels = fam.qrels.join(fam.corpus.select("did", "subset"), "did")
+    return fam, run, qrels
+
+
+def metrics_by_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT ranked separately per document language, metrics per subset."""
+    _, run, qrels = _txt_subset(spark, sf_dir, 100)
+    return M.evaluate(run, qrels, (1, 3, 5, 10, 20, 100), keys=["subset"])
+
+
+def main_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task's main score (ndcg_at_10) per subset."""
+    _, run, qrels = _txt_subset(spark, sf_dir, 10)
+    m = M.evaluate(run, qrels, (10,), keys=["subset"])
+    return m.where((F.col("metric") == "ndcg") & (F.col("k") == 10)).select(
+        "subset", M.metric_name(F.col("metric"), F.col("k")).alias("main_metric"), "value"
+    )
+
+
+def mean_by_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: TXT means over evaluated queries and over all qrels queries."""
+    fam = txt_family(spark, sf_dir)
+    run = search(fam.queries, fam.corpus, 1000)
+    pq = M.per_query(run, fam.qrels, M.DEFAULT_K_VALUES)
+    ev = M.mean(pq).withColumn("denominator", F.lit("evaluated"))
+    qr = M.mean(pq, denominator="qrels", qrels=fam.qrels).withColumn("denominator", F.lit("qrels"))
+    return ev.unionByName(qr)
+
+
+def candidates_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM, score only each query's candidate turns, top-10."""
+    fam = mem_family(spark, sf_dir)
+    scored = candidate_pairs(fam.candidates, fam.queries, fam.corpus)
+    return top_k(scored, FLAGSHIP_K).select(*RUN)
+
+
+def _mem_full(spark, sf_dir, k):
+    fam = mem_family(spark, sf_dir)
+    return fam, search(fam.queries, fam.corpus, k)
+
+
+def candidates_post_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM full-depth run filtered to the candidate lists (every query has
+    a list), re-ranked, top-10; equals ``candidates_pre``."""
+    fam = mem_family(spark, sf_dir)
+    depth = fam.corpus.count()  # T3: full depth, so post-filtering loses nothing
+    run = search(fam.queries, fam.corpus, depth)
+    kept = filter_strict(run, fam.candidates)
+    return top_k(kept.drop("rk"), FLAGSHIP_K).select(*RUN)
+
+
+def candidates_post_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM top-50 run; only conversations with a system turn have candidate
+    lists, the other queries keep all their hits."""
+    fam, run = _mem_full(spark, sf_dir, 50)
+    turns = mem_turns(spark, sf_dir)
+    with_sys = turns.where(F.col("role") == "system").select("conv_id").distinct()
+    q_conv = turns.where(F.col("role") == "user").select(F.col("id").alias("qid"), "conv_id")
+    cand = fam.candidates.join(q_conv.join(with_sys, "conv_id", "left_semi").select("qid"), "qid", "left_semi")
+    return filter_lenient(run, cand).select(*RUN)
+
+
+def skip_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: VEC top-11 with the identical document kept; the first hit (the
+    query itself) is dropped and the rest re-ranked."""
+    _, run = _vec_run(spark, sf_dir, k=FLAGSHIP_K + 1)
+    return skip_first_hits(run).select(*RUN)
+
+
+def ignore_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 as a filter on a saved run: VEC top-11, hits with did = qid removed."""
+    _, run = _vec_run(spark, sf_dir, k=FLAGSHIP_K + 1)
+    return drop_identical(run).select(*RUN)
+
+
+
 REGISTRY = {
     "flagship_eval": flagship_eval,
     "cosine_topk": cosine_topk,
+    "dot_topk": dot_topk,
+    "blocked_topk": blocked_topk,
+    "chunk_merge_topk": chunk_merge_topk,
+    "zero_vector_and_nan": zero_vector_and_nan,
+    "nauc_all": nauc_all,
+    "metrics_all_k": metrics_all_k,
+    "topk_ties": topk_ties,
+    "embed_and_search": embed_and_search,
+    "hashed_embedding": hashed_embedding,
+    "contains_qrels": contains_qrels,
+    "metrics_by_subset": metrics_by_subset,
+    "main_score": main_score,
+    "mean_by_denominator": mean_by_denominator,
+    "candidates_pre": candidates_pre,
+    "candidates_post_strict": candidates_post_strict,
+    "candidates_post_lenient": candidates_post_lenient,
+    "skip_first": skip_first,
+    "ignore_identical": ignore_identical,
 }
