@@ -264,3 +264,189 @@ FROM lq GROUP BY ALL""",
     "ignore_identical": with_(VEC_BASE, vec_run(11, exclude_identical=False))
     + "\nSELECT qid, did, score, CAST(rk AS INTEGER) AS rk FROM run WHERE qid <> did",
 }
+
+
+# ------------------------------------------------------------------ batch 2
+def _md5_len(expr: str, name: str) -> str:
+    return f"CAST(length({expr}) AS BIGINT) AS {name}_len, md5({expr}) AS {name}_md5"
+
+
+COMPOSE_TEXT = """
+SELECT did, CAST(length(t) AS BIGINT) AS text_len, md5(t) AS text_md5 FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS did,
+         concat(coalesce(CASE WHEN lang = 'en' THEN NULL ELSE source END, ''), ' ',
+                coalesce(CASE WHEN n_chars < 100 THEN NULL ELSE text END, '')) AS t
+  FROM documents)"""
+
+# conversations are stored in (conv_id, turn) order, so the last row of a
+# conversation in file order is its largest turn
+DEDUPE = """
+SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1"""
+
+DROP_RENAME = "SELECT CAST(doc_id AS VARCHAR) AS id, lang, md5(text) AS data_md5 FROM documents"
+
+QRELS_PACK = with_(VEC_BASE) + """
+SELECT qid AS id, '{' || string_agg('"' || did || '":' || CAST(rel AS VARCHAR), ',' ORDER BY did) || '}' AS data
+FROM vec_qrels GROUP BY qid"""
+
+QRELS_EXPLODE = """
+SELECT CAST(event_id AS VARCHAR) AS qid, did, CAST(json_extract_string(props, '$."' || did || '"') AS INTEGER) AS rel
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS did FROM events)"""
+
+SEQUENCE_FLATTEN = """
+WITH s AS (
+  SELECT page_id, [
+    {'text': url, 'path': NULL::VARCHAR, 'package': NULL::VARCHAR},
+    {'text': NULL::VARCHAR, 'path': 'img/' || CAST(page_id AS VARCHAR) || '.png',
+     'package': CASE WHEN starts_with(url, 'https') THEN 'secure' END},
+    {'text': html, 'path': NULL::VARCHAR, 'package': NULL::VARCHAR},
+    {'text': NULL::VARCHAR, 'path': 'thumb/' || CAST(page_id AS VARCHAR) || '.png', 'package': 'thumbs'}] AS items
+  FROM pages),
+f AS (SELECT page_id,
+        array_to_string(list_transform(list_filter(items, lambda i: i.text IS NOT NULL), lambda i: i.text || ' '), '') AS t,
+        list_filter(items, lambda i: i.path IS NOT NULL)[1] AS img
+      FROM s)
+SELECT page_id, CAST(length(t) AS BIGINT) AS seq_len, md5(t) AS seq_md5, img.path AS image_path,
+       coalesce(nullif(img.package, ''), 'images') AS image_package FROM f"""
+
+MODALITY = """
+SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, 'TEXT' AS modal, 0 AS grp FROM documents
+UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), 'IMAGE', 1 FROM pages
+UNION ALL SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 'SEQ', 2 FROM conversations"""
+
+PROMPT = """
+SELECT id, prompt, md5(coalesce(prompt, '') || text) AS input_md5 FROM (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, text,
+    CASE WHEN role = 'user' THEN 'Q: '
+         WHEN role <> 'system' THEN 'Represent: '
+         ELSE 'D: ' END AS prompt
+  FROM conversations)"""
+
+AUDIT = with_(MEM_BASE, f"""
+run5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
+           SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM mq q JOIN md d ON TRUE)) WHERE rk <= 5),
+filt AS (SELECT r.* FROM run5 r WHERE EXISTS (SELECT 1 FROM mem_cand c WHERE c.qid = r.qid AND c.did = r.did))""") + """
+SELECT 'only_in_run' AS "check", qid FROM (SELECT DISTINCT qid FROM filt EXCEPT SELECT DISTINCT qid FROM mem_qrels)
+UNION ALL SELECT 'only_in_qrels', qid FROM (SELECT DISTINCT qid FROM mem_qrels EXCEPT SELECT DISTINCT qid FROM filt)
+UNION ALL SELECT 'no_positive', qid FROM (SELECT DISTINCT qid FROM mem_qrels
+                                          EXCEPT SELECT DISTINCT qid FROM mem_qrels WHERE rel > 0)
+UNION ALL SELECT 'empty_hits', qid FROM (SELECT DISTINCT qid FROM run5 EXCEPT SELECT DISTINCT qid FROM filt)"""
+
+STATS = with_(TXT_BASE, MEM_BASE) + """
+SELECT family, nq + nd AS n_samples, nd AS num_documents, nq AS num_queries,
+       round(dl, 9) AS average_document_length, round(ql, 9) AS average_query_length,
+       round(coalesce(nrel, 0) / nq, 9) AS average_relevant_docs_per_query FROM (
+  SELECT 'TXT' AS family, (SELECT count(*) FROM bq) AS nq, (SELECT avg(length(text)) FROM bq) AS ql,
+         (SELECT count(*) FROM dd) AS nd, (SELECT avg(length(text)) FROM dd) AS dl,
+         (SELECT sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) FROM txt_qrels) AS nrel
+  UNION ALL
+  SELECT 'MEM', (SELECT count(*) FROM turns WHERE role = 'user'), (SELECT avg(length(text)) FROM turns WHERE role = 'user'),
+         (SELECT count(*) FROM turns), (SELECT avg(length(text)) FROM turns),
+         (SELECT sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) FROM mem_qrels))"""
+
+LOAD_COUNTS = with_(TXT_BASE, MEM_BASE) + """
+SELECT 'TXT' AS family, 'query' AS side, count(*) AS n FROM bq
+UNION ALL SELECT 'TXT', 'corpus', count(*) FROM dd
+UNION ALL SELECT 'TXT', 'qrels', count(*) FROM txt_qrels
+UNION ALL SELECT 'MEM', 'query', count(*) FROM mq
+UNION ALL SELECT 'MEM', 'corpus', count(*) FROM md
+UNION ALL SELECT 'MEM', 'qrels', count(*) FROM mem_qrels"""
+
+LATE_FUSION = with_(TXT_BASE, f"""
+fz AS (SELECT CAST(e.vec_id AS VARCHAR) AS id,
+              list_transform(range(len(e.embedding)), lambda i: CAST(e.embedding[i + 1] AS DOUBLE) + d.v[i + 1]) AS v
+       FROM embeddings e JOIN dd d ON d.did = CAST(e.vec_id AS VARCHAR)),
+fu AS (SELECT id, {unit('v')} AS u FROM fz),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
+          SELECT q.id AS qid, d.id AS did, {score_expr('q.u', 'd.u')} AS score FROM fu q JOIN fu d ON q.id <> d.id))
+        WHERE rk <= 5)""") + "\n" + RUN_COLS
+
+
+def _toks(t: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({t}), '[ \\n]+'), lambda x: length(x) > 0))"
+
+
+PAIR_SCORING = with_(MEM_BASE, f"""
+pairs AS (SELECT c.qid, c.did, {_toks('tq.text')} AS a, {_toks('td.text')} AS b
+          FROM mem_cand c JOIN turns tq ON tq.id = c.qid JOIN turns td ON td.id = c.did),
+scored AS (SELECT qid, did, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+             ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS score FROM pairs),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk
+        FROM scored) WHERE rk <= 5)""") + "\n" + RUN_COLS
+
+HOOK = with_(VEC_BASE, vec_run(10), per_query_sql("run", "vec_qrels", KS4), long_sql("pq"), """
+lp AS (SELECT k, avg(s / k) AS value FROM (
+         SELECT r.qid, ks.k, sum(CASE WHEN r.rk <= ks.k AND ql.label = dl.label THEN 1.0 ELSE 0.0 END) AS s
+         FROM run r JOIN embeddings ql ON CAST(ql.vec_id AS VARCHAR) = r.qid
+                    JOIN embeddings dl ON CAST(dl.vec_id AS VARCHAR) = r.did
+                    JOIN (SELECT unnest([1, 3, 5, 10]) AS k) ks ON TRUE
+         GROUP BY r.qid, ks.k) GROUP BY k)""") + """
+SELECT metric, k, round(avg(value), 9) AS value FROM lq GROUP BY ALL
+UNION ALL SELECT 'label_precision', k, round(value, 9) FROM lp"""
+
+
+def _metrics_wide() -> str:
+    cols = ", ".join(
+        f"max(CASE WHEN name = '{m}_at_{k}' THEN value END) AS {m}_at_{k}"
+        for m in ("ndcg", "map", "recall", "precision", "mrr", "cv_recall") for k in KS4
+    )
+    return with_(VEC_BASE, vec_run(10), per_query_sql("run", "vec_qrels", KS4), long_sql("pq"), """
+means AS (SELECT metric || '_at_' || CAST(k AS VARCHAR) AS name, round(avg(value), 9) AS value FROM lq GROUP BY metric, k)""") + f"""
+SELECT 'VEC' AS task, {cols} FROM means"""
+
+
+def _sweep() -> str:
+    hv_b = hashed_vec("b.text", "dims.dim")
+    hv_d = hashed_vec("d.text", "dims.dim")
+    hv_t = hashed_vec("c.text", "dims.dim")
+    return with_(f"""
+dims AS (SELECT unnest([16, 32, 64]) AS dim),
+sbv AS (SELECT dims.dim, CAST(b.item_id AS VARCHAR) AS qid, {hv_b} AS v FROM benchmark b JOIN dims ON TRUE),
+sdv AS (SELECT dims.dim, CAST(d.doc_id AS VARCHAR) AS did, {hv_d} AS v FROM documents d JOIN dims ON TRUE),
+stq AS (SELECT dim, qid, {unit('v')} AS u FROM sbv),
+std AS (SELECT dim, did, {unit('v')} AS u FROM sdv),
+tqr AS (SELECT dims.dim, CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VARCHAR) AS did, 1 AS rel
+        FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN dims ON TRUE),
+trun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY score DESC, did DESC) AS rk FROM (
+           SELECT q.dim, q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM stq q JOIN std d ON q.dim = d.dim))
+         WHERE rk <= 10),
+stv AS (SELECT dims.dim, c.conv_id, c.turn, c.role, CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS VARCHAR) AS id,
+               {hv_t} AS v FROM conversations c JOIN dims ON TRUE),
+smq AS (SELECT dim, id AS qid, conv_id, turn, {unit('v')} AS u FROM stv WHERE role = 'user'),
+smd AS (SELECT dim, id AS did, conv_id, turn, {unit('v')} AS u FROM stv),
+mqr AS (SELECT q.dim, q.qid, t.id AS did, CASE WHEN t.role = 'assistant' THEN 1 ELSE 0 END AS rel
+        FROM smq q JOIN stv t ON t.dim = q.dim AND t.conv_id = q.conv_id AND t.turn = q.turn + 1),
+mrun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY score DESC, did DESC) AS rk FROM (
+           SELECT q.dim, q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM smq q JOIN smd d
+           ON d.dim = q.dim AND d.conv_id = q.conv_id AND d.turn BETWEEN q.turn - {MEM_WINDOW} AND q.turn + {MEM_WINDOW}))
+         WHERE rk <= 10)""",
+                 per_query_sql("trun", "tqr", (10,), keys=("dim",), name="tp"),
+                 per_query_sql("mrun", "mqr", (10,), keys=("dim",), name="mp"), """
+res AS (SELECT 'hashed-' || CAST(dim AS VARCHAR) AS model, 'TXT' AS task, round(avg(round(ndcg, 9)), 9) AS value
+        FROM tp GROUP BY dim
+        UNION ALL
+        SELECT 'hashed-' || CAST(dim AS VARCHAR), 'MEM', round(avg(round(ndcg, 9)), 9) FROM mp GROUP BY dim)""") + """
+SELECT model, max(CASE WHEN task = 'MEM' THEN value END) AS MEM, max(CASE WHEN task = 'TXT' THEN value END) AS TXT
+FROM res GROUP BY model"""
+
+
+ORACLES.update({
+    "compose_text": COMPOSE_TEXT,
+    "dedupe_last_wins": DEDUPE,
+    "drop_rename": DROP_RENAME,
+    "qrels_json_pack": QRELS_PACK,
+    "qrels_json_explode": QRELS_EXPLODE,
+    "sequence_flatten": SEQUENCE_FLATTEN,
+    "modality_groups": MODALITY,
+    "prompt_resolution": PROMPT,
+    "run_qrels_audit": AUDIT,
+    "dataset_stats": STATS,
+    "load_counts": LOAD_COUNTS,
+    "late_fusion": LATE_FUSION,
+    "pair_scoring": PAIR_SCORING,
+    "custom_metric_hook": HOOK,
+    "metrics_wide": _metrics_wide(),
+    "sweep_report": _sweep(),
+    "stream_topk": COSINE_TOPK,
+})

@@ -172,10 +172,13 @@ def mean(
 
 
 def metric_name(metric: str | F.Column, k) -> F.Column:
-    """``ndcg`` + 10 -> ``ndcg_at_10`` (the reference's result keys)."""
+    """``ndcg`` + 10 -> ``ndcg_at_10``; ``nauc_ndcg:max`` + 10 -> ``nauc_ndcg_at_10_max``
+    (the reference's result keys)."""
     m = F.lit(metric) if isinstance(metric, str) else metric
-    kk = F.lit(k) if isinstance(k, int) else k
-    return F.concat(m, F.lit("_at_"), kk.cast("string"))
+    kk = (F.lit(k) if isinstance(k, int) else k).cast("string")
+    base = F.split(m, ":")
+    plain = F.concat(F.get(base, 0), F.lit("_at_"), kk)
+    return F.when(F.size(base) > 1, F.concat(plain, F.lit("_"), F.get(base, 1))).otherwise(plain)
 
 
 def evaluate(

@@ -9,13 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import compose_text
 from ..operators import metrics as M
+from ..operators.audit import dataset_stats as stats_op
+from ..operators.audit import run_qrels_audit as audit_op
+from ..operators.fusion import fuse, jaccard_scorer, score_with
+from ..operators.prep import flatten_sequences, modality_groups as modality_groups_op, resolve_prompts, with_prompt_text
 from ..operators.candidates import candidate_pairs, drop_identical, filter_lenient, filter_strict
 from ..operators.nauc import confidence, nauc
 from ..operators.rank import skip_first as skip_first_hits
 from ..operators.rank import top_k
 from ..operators.score import search
-from ..sources.families import TEXT_DIM, mem_family, mem_turns, txt_family, vec_family
+from ..functions.text import default_package
+from ..plans.evaluate import RetrievalTask, score_run
+from ..plans.store import sweep_report as sweep_op
+from ..plans.store import wide_metrics
+from ..sources.families import mem_family, mem_turns, txt_family, vec_family
+from ..sources.files import file_position, last_wins, load_counts as load_counts_op
+from ..sources.files import qrels_from_json_rows, qrels_to_json_rows, rename_text_to_data
+from ..streaming.topk import run_to_table, stream_topk as stream_topk_op
 
 FLAGSHIP_K = 10
 FLAGSHIP_KS = (1, 3, 5, 10)
@@ -201,6 +213,215 @@ def ignore_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def compose_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title + " " + text with null sides (title = source except English
+    documents, text null below 100 characters); whole composed text hashed."""
+    d = _docs(spark, sf_dir)
+    title = F.when(F.col("lang") == "en", F.lit(None)).otherwise(F.col("source"))
+    text = F.when(F.col("n_chars") < 100, F.lit(None)).otherwise(F.col("text"))
+    out = d.select(F.col("doc_id").cast("string").alias("did"), compose_text(title, text).alias("t"))
+    return out.select("did", F.length("t").cast("bigint").alias("text_len"), F.md5("t").alias("text_md5"))
+
+
+def dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, the last one in file order wins."""
+    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text", file_position().alias("_pos"))
+    kept = last_wins(raw, ["conv_id"])
+    return kept.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+def drop_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop ``_id``, rename ``text`` to ``data``."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text", "lang",
+                                   F.col("source").alias("_id"))
+    r = rename_text_to_data(d)
+    return r.select("id", "lang", F.md5("data").alias("data_md5"))
+
+
+def qrels_json_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC qrels packed into one JSON object per query."""
+    return qrels_to_json_rows(vec_family(spark, sf_dir).qrels)
+
+
+def qrels_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, data JSON {key: int})`` rows flattened (events.props)."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("props").alias("data"))
+    return qrels_from_json_rows(ev)
+
+
+def sequence_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences [url, image, html, thumbnail] per page -> text parts each
+    followed by a space, the first image, its package defaulting to "images"."""
+    pg = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    none = F.lit(None).cast("string")
+    items = F.array(
+        F.struct(F.col("url").alias("text"), none.alias("path"), none.alias("package")),
+        F.struct(none.alias("text"), F.concat(F.lit("img/"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"),
+                 F.when(F.col("url").startswith("https"), F.lit("secure")).alias("package")),
+        F.struct(F.col("html").alias("text"), none.alias("path"), none.alias("package")),
+        F.struct(none.alias("text"), F.concat(F.lit("thumb/"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"),
+                 F.lit("thumbs").alias("package")),
+    )
+    flat = flatten_sequences(pg.select("page_id", items.alias("items")), "items")
+    return flat.select(
+        "page_id",
+        F.length("seq_text").cast("bigint").alias("seq_len"),
+        F.md5("seq_text").alias("seq_md5"),
+        F.col("seq_image.path").alias("image_path"),
+        default_package(F.col("seq_image.package"), "images").alias("image_package"),
+    )
+
+
+def modality_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed table (documents TEXT, pages IMAGE, turns SEQ) split by
+    modality and concatenated in the order TEXT, IMAGE, SEQ."""
+    d = _docs(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+                                   F.lit("TEXT").alias("modal"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.lit("IMAGE").alias("modal"))
+    c = mem_turns(spark, sf_dir).select(F.concat(F.lit("c"), F.col("id")).alias("id"), F.lit("SEQ").alias("modal"))
+    mixed = c.unionByName(p).unionByName(d)
+    return modality_groups_op(mixed).select("id", "modal", "grp")
+
+
+# Fixed prompt configuration of the prompt-resolution query.
+PROMPTS = [
+    ("task_side", "MEM", "query", "Q: "),
+    ("type", "Retrieval", None, "Represent: "),
+    ("side", None, "document", "D: "),
+]
+
+
+def prompt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt by priority task+side, task, type+side, type, side for every turn."""
+    t = mem_turns(spark, sf_dir).select(
+        "id", "text",
+        F.lit("MEM").alias("task"),
+        F.when(F.col("role") == "system", "Chat").otherwise("Retrieval").alias("task_type"),
+        F.when(F.col("role") == "user", "query").otherwise("document").alias("side"),
+    )
+    prompts = spark.createDataFrame(PROMPTS, "scope string, key string, side string, prompt string")
+    r = with_prompt_text(resolve_prompts(t, prompts))
+    return r.select("id", "prompt", F.md5("input").alias("input_md5"))
+
+
+def run_qrels_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM top-5 run filtered to candidates, audited against the qrels."""
+    fam = mem_family(spark, sf_dir)
+    run = search(fam.queries, fam.corpus, 5)
+    kept = filter_strict(run, fam.candidates)
+    return audit_op(kept, fam.qrels, fam.candidates, run_qids=run.select("qid"))
+
+
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset statistics of the TXT and MEM families."""
+    txt = txt_family(spark, sf_dir)
+    mem = mem_family(spark, sf_dir)
+
+    def tag(df, fam):
+        return df.withColumn("family", F.lit(fam))
+
+    q = tag(txt.queries.select("qid", "text"), "TXT").unionByName(tag(mem.queries.select("qid", "text"), "MEM"))
+    c = tag(txt.corpus.select("did", "text"), "TXT").unionByName(tag(mem.corpus.select("did", "text"), "MEM"))
+    r = tag(txt.qrels, "TXT").unionByName(tag(mem.qrels, "MEM"))
+    return stats_op(q, c, r, keys=["family"])
+
+
+def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the load-only pass - row counts per family and side."""
+    out = None
+    for name, fam in (("TXT", txt_family(spark, sf_dir)), ("MEM", mem_family(spark, sf_dir))):
+        c = load_counts_op({"query": fam.queries, "corpus": fam.corpus, "qrels": fam.qrels}).withColumn(
+            "family", F.lit(name))
+        out = c if out is None else out.unionByName(c)
+    return out.select("family", "side", "n")
+
+
+def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding + hashed text vector of the same id summed, then top-5."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"))
+    txt = txt_family(spark, sf_dir).corpus.select(F.col("did").alias("id"), "vec")
+    fused = fuse(emb, txt)
+    run = search(fused.withColumnRenamed("id", "qid"), fused.withColumnRenamed("id", "did"), 5, exclude_identical=True)
+    return run.select(*RUN)
+
+
+def pair_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: MEM candidate pairs scored by a user pair scorer (token Jaccard), top-5."""
+    fam = mem_family(spark, sf_dir)
+    pairs = (
+        fam.candidates.join(fam.queries.select("qid", F.col("text").alias("q_text")), "qid")
+        .join(fam.corpus.select("did", F.col("text").alias("d_text")), "did")
+    )
+    scored = score_with(pairs, jaccard_scorer)
+    return top_k(scored.select("qid", "did", "score"), 5).select(*RUN)
+
+
+def custom_metric_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC metrics plus a task hook (share of top-k hits with the query's label)."""
+    fam, run = _vec_run(spark, sf_dir, exclude_identical=True)
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("id"), "label")
+
+    def label_precision(hits: DataFrame) -> DataFrame:
+        h = (hits.join(labels.withColumnRenamed("id", "qid").withColumnRenamed("label", "ql"), "qid")
+             .join(labels.withColumnRenamed("id", "did").withColumnRenamed("label", "dl"), "did"))
+        same = (F.col("ql") == F.col("dl")).cast("double")
+        per = h.groupBy("qid").agg(*[F.sum(F.when(F.col("rk") <= k, same).otherwise(0.0)).alias(f"s{k}")
+                                     for k in FLAGSHIP_KS])
+        rows = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"s{k}") / k).alias("v")) for k in FLAGSHIP_KS])
+        return per.select(F.inline(rows)).groupBy("k").agg(F.avg("v").alias("value")).select(
+            F.lit("label_precision").alias("metric"), "k", "value")
+
+    task = RetrievalTask(name="VEC", k_values=FLAGSHIP_KS)
+    return score_run(run, fam.qrels, task, with_nauc=False, hook=label_precision)
+
+
+def metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 shape: VEC flagship metrics as one row with one column per ``metric_at_k``."""
+    m = flagship_eval(spark, sf_dir).withColumn("task", F.lit("VEC"))
+    return wide_metrics(m, keys=["task"])
+
+
+SWEEP_DIMS = (16, 32, 64)
+
+
+def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed-embedding models (16/32/64 buckets) x tasks (TXT, MEM) -> ndcg_at_10."""
+    parts = []
+    for dim in SWEEP_DIMS:
+        model = f"hashed-{dim}"
+        txt = txt_family(spark, sf_dir, dim)
+        trun = search(txt.queries, txt.corpus, FLAGSHIP_K)
+        parts.append(M.evaluate(trun, txt.qrels, (10,)).withColumn("task", F.lit("TXT")).withColumn("model", F.lit(model)))
+        mem = mem_family(spark, sf_dir, dim)
+        mrun = top_k(candidate_pairs(mem.candidates, mem.queries, mem.corpus), FLAGSHIP_K)
+        parts.append(M.evaluate(mrun, mem.qrels, (10,)).withColumn("task", F.lit("MEM")).withColumn("model", F.lit(model)))
+    allm = parts[0]
+    for p in parts[1:]:
+        allm = allm.unionByName(p)
+    return sweep_op(allm)
+
+
+def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings read as a file stream, incremental top-10 per query kept as
+    state; the final rankings equal the batch ``cosine_topk``."""
+    fam = vec_family(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{sf_dir}/embeddings*.parquet")
+              .select(F.col("vec_id").alias("did"), F.col("embedding").alias("vec")))
+    updates = stream_topk_op(stream, fam.queries, FLAGSHIP_K, exclude_identical=True)
+    return run_to_table(updates)
+
+
 REGISTRY = {
     "flagship_eval": flagship_eval,
     "cosine_topk": cosine_topk,
@@ -222,4 +443,21 @@ REGISTRY = {
     "candidates_post_lenient": candidates_post_lenient,
     "skip_first": skip_first,
     "ignore_identical": ignore_identical,
+    "compose_text": compose_text_q,
+    "dedupe_last_wins": dedupe_last_wins,
+    "drop_rename": drop_rename,
+    "qrels_json_pack": qrels_json_pack,
+    "qrels_json_explode": qrels_json_explode,
+    "sequence_flatten": sequence_flatten,
+    "modality_groups": modality_groups,
+    "prompt_resolution": prompt_resolution,
+    "run_qrels_audit": run_qrels_audit,
+    "dataset_stats": dataset_stats,
+    "load_counts": load_counts,
+    "late_fusion": late_fusion,
+    "pair_scoring": pair_scoring,
+    "custom_metric_hook": custom_metric_hook,
+    "metrics_wide": metrics_wide,
+    "sweep_report": sweep_report,
+    "stream_topk": stream_topk,
 }
