@@ -23,7 +23,7 @@ def compose_text(title: Column | str, text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased whitespace tokens without empties."""
-    return F.filter(F.split(F.lower(_c(text)), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(_c(text)), TOKEN_SPLIT), "")
 
 
 def token_bucket(token: Column, dim: int) -> Column:

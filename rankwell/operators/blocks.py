@@ -33,6 +33,14 @@ def conf_int(spark, key: str, default: int) -> int:
         return default
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame over the cores when it has fewer partitions than
+    cores (a small file with few row groups); large inputs already have many
+    partitions and are left as they are (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id_out: str = "cb") -> DataFrame:
     """One row per Arrow batch of each partition: ``(cb, items array<struct<fields>>)``."""
     fields = list(fields)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks
+from .blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks, spread
 
 DEFAULT_BLOCK_BYTES = 8 << 20
 _AUTOMATA: dict = {}
@@ -92,6 +92,6 @@ def contains_pairs(
     total = int(p.agg(F.coalesce(F.sum(F.length("ptext") * 4 + 32), F.lit(0))).first()[0])
     nb = n_blocks_for(total, block_bytes)
     blocks = pack_blocks(p, "pid", ["pid", "ptext"], nb, out="p_items")
-    chunks = pack_partitions(d, ["did", "dtext"], out="d_items")
+    chunks = pack_partitions(spread(d), ["did", "dtext"], out="d_items")
     pairs = pair_blocks(chunks, blocks, nb, total)
     return pairs.select("blk", "p_items", "d_items").mapInArrow(_matcher, "pid string, did string")

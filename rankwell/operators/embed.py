@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import HASH_HEX_DIGITS, TOKEN_SPLIT, token_buckets
+from .blocks import spread
 
 MODALITY_ORDER = ("TEXT", "IMAGE", "SEQ")
 
@@ -92,7 +93,7 @@ def _bincount(buckets: pd.Series, dims: pd.Series) -> pd.Series:
 
 def hashed_embedding(df: DataFrame, text_col: str = "text", dim: int = 64, out: str = "vec") -> DataFrame:
     """Bag-of-words vector: count of tokens per md5 bucket (see ``functions.text``)."""
-    return df.withColumn(out, _bincount(token_buckets(text_col, dim), F.lit(dim)))
+    return spread(df).withColumn(out, _bincount(token_buckets(text_col, dim), F.lit(dim)))
 
 
 class HashedBagOfWords:

@@ -106,8 +106,12 @@ def per_query(
             F.max(F.when(inside, rr_i).otherwise(0.0)).alias(f"rr_{k}"),
         ]
     stats = hits.groupBy(*keys, "qid").agg(*aggs)
-    base = spine(run if run_qids is None else run_qids, qrels, keys)
-    wide = base.join(stats, [*keys, "qid"], "left").join(ideal(qrels, ks, keys), [*keys, "qid"], "left")
+    if run_qids is None:  # the run's own queries: every one of them has hit rows
+        judged_q = qrels.select(*keys, "qid").distinct()
+        wide = stats.join(judged_q, [*keys, "qid"], "left_semi")
+    else:
+        wide = spine(run_qids, qrels, keys).join(stats, [*keys, "qid"], "left")
+    wide = wide.join(ideal(qrels, ks, keys), [*keys, "qid"], "left")
     r = F.nullif(F.coalesce(F.col("R"), F.lit(0)), F.lit(0)).cast("double")
 
     def z(c):

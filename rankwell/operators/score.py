@@ -12,8 +12,9 @@ Plan (J1 / V2 / V3 / V4 / T2):
   conversation or a subset), both sides are hashed into bounded blocks inside
   their group and each (query block, corpus chunk) of a group is its own join
   key, so a hot group is spread over many tasks.
-* Every (block, chunk) row is scored by one numpy matmul and emits only its
-  exact partial top-k; Spark's window limit (``WindowGroupLimit``, partial
+* Every (block, chunk) row is scored by numpy matmuls over slices of the
+  block's queries (each score matrix stays below ``MAX_SCORE_CELLS``) and
+  emits only its exact partial top-k; Spark's window limit (``WindowGroupLimit``, partial
   before the shuffle by query, final after it) merges them into the top-k.
 
 ``corpus_part`` names a corpus column (e.g. a subset) that splits the ranking:
@@ -35,11 +36,14 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import NORM_EPS, as_double_array, similarity
 from ..session import SCORE_DECIMALS
-from .blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks
+from .blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks, spread
 from .rank import top_k
 
 DEFAULT_QUERY_BLOCK_BYTES = 16 << 20
 DEFAULT_CHUNK_ROWS = 4096
+# Upper bound of one dense score matrix inside a task (cells, 8 bytes each):
+# query rows of a block are scored in slices so that slice x chunk stays below it.
+MAX_SCORE_CELLS = 4 << 20
 
 
 def _row_bytes(dim: int) -> int:
@@ -52,7 +56,7 @@ def _pairs_global(q: DataFrame, c: DataFrame, nq: int, dim: int, block_bytes: in
     total = nq * _row_bytes(dim)
     nqb = n_blocks_for(total, block_bytes)
     qblocks = pack_blocks(q, "qid", ["qid", "vec"], nqb, out="q_items")
-    chunks = pack_partitions(c, ["did", "vec", *(["part"] if part else [])], out="c_items")
+    chunks = pack_partitions(spread(c), ["did", "vec", *(["part"] if part else [])], out="c_items")
     return pair_blocks(chunks, qblocks, nqb, total, broadcast_bytes)
 
 
@@ -130,44 +134,50 @@ def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str],
         qids, qm, _ = _matrix(row.column("q_items").flatten(), "query")
         dids, cm, parts = _matrix(row.column("c_items").flatten(), "corpus")
         if len(qids) == 0 or len(dids) == 0:
-            return None
+            return
         if qm.shape[1] != cm.shape[1]:
             raise ValueError(f"query dim {qm.shape[1]} != corpus dim {cm.shape[1]}")
         if do_norm:
             qm, cm = _normalise(qm), _normalise(cm)
-        s = qm @ cm.T
-        s[np.isnan(s)] = -1.0
-        s = np.round(s, SCORE_DECIMALS)
-        valid = (qids[:, None] != dids[None, :]) if exclude_identical else None
         groups = [(None, np.arange(len(dids)))]
         if part:
             pv = np.array(["\x00" if p is None else p for p in parts], dtype=object)
             groups = [(p, np.nonzero(pv == p)[0]) for p in dict.fromkeys(pv)]
-        out_r, out_c, out_p = [], [], []
-        for p, idx in groups:
-            sub_valid = None if valid is None else valid[:, idx]
-            r, c = partial_topk(s[:, idx], dids[idx], k, sub_valid)
-            out_r.append(r)
-            out_c.append(idx[c])
-            out_p.append(np.full(len(r), p, dtype=object))
-        r, c = np.concatenate(out_r), np.concatenate(out_c)
-        cols = [pa.array(np.repeat(row.column(name).to_pylist(), len(r)), row.schema.field(name).type) for name in keep]
-        extra = []
-        if part:
-            pcol = np.concatenate(out_p)
-            extra = [pa.array([None if x == "\x00" else x for x in pcol], pa.string())]
-        return pa.RecordBatch.from_arrays(
-            [*cols, *extra, pa.array(qids[r], pa.string()), pa.array(dids[c], pa.string()),
-             pa.array(s[r, c], pa.float64())],
-            names=[*keep, *(["part"] if part else []), "qid", "did", "score"],
-        )
+        step = max(1, MAX_SCORE_CELLS // max(1, len(dids)))
+        qarr = pa.array(qids, pa.string())
+        darr = pa.array(dids, pa.string())
+        for lo in range(0, len(qids), step):
+            sq = qids[lo:lo + step]
+            s = qm[lo:lo + step] @ cm.T
+            s[np.isnan(s)] = -1.0
+            s = np.round(s, SCORE_DECIMALS)
+            valid = (sq[:, None] != dids[None, :]) if exclude_identical else None
+            out_r, out_c, out_p = [], [], []
+            for p, idx in groups:
+                sub_valid = None if valid is None else valid[:, idx]
+                r, c = partial_topk(s[:, idx], dids[idx], k, sub_valid)
+                out_r.append(r)
+                out_c.append(idx[c])
+                out_p.append(np.full(len(r), p, dtype=object))
+            r, c = np.concatenate(out_r), np.concatenate(out_c)
+            if not len(r):
+                continue
+            cols = [pa.array(np.repeat(row.column(name).to_pylist(), len(r)), row.schema.field(name).type)
+                    for name in keep]
+            extra = []
+            if part:
+                pcol = np.concatenate(out_p)
+                extra = [pa.array([None if x == "\x00" else x for x in pcol], pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [*cols, *extra, qarr.take(pa.array(r + lo)), darr.take(pa.array(c)),
+                 pa.array(s[r, c], pa.float64())],
+                names=[*keep, *(["part"] if part else []), "qid", "did", "score"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                out = score_row(batch.slice(i, 1))
-                if out is not None and out.num_rows:
-                    yield out
+                yield from score_row(batch.slice(i, 1))
 
     return run
 

@@ -22,6 +22,7 @@ from ..operators.rank import top_k
 from ..operators.score import search
 from ..functions.text import default_package
 from ..plans.evaluate import RetrievalTask, score_run
+from ..session import cut_lineage
 from ..plans.store import sweep_report as sweep_op
 from ..plans.store import wide_metrics
 from ..sources.families import mem_family, mem_turns, txt_family, vec_family
@@ -99,6 +100,7 @@ def nauc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7 / M8: nAUC of ndcg, map, recall, precision and mrr at 1,3,5,10 for the
     max / std / diff1 confidence signals (VEC top-10 run)."""
     fam, run = _vec_run(spark, sf_dir, exclude_identical=True)
+    run = cut_lineage(run)  # the run feeds both the metrics and the confidences
     pq = M.to_long(M.per_query(run, fam.qrels, FLAGSHIP_KS))
     return nauc(pq, confidence(run))
 

@@ -21,14 +21,12 @@ and metric step runs in the operators.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contains import contains_pairs
 from ..operators.embed import hashed_embedding
-from ..session import read_table
+from ..session import cut_lineage, read_table
 
 # Fixed parameters of the derived families.
 VEC_WINDOW = 25
@@ -37,12 +35,37 @@ TEXT_DIM = 64
 N_LABELS = 10
 
 
-@dataclass
 class Family:
-    queries: DataFrame  # qid, vec (+ text)
-    corpus: DataFrame  # did, vec (+ text, subset)
-    qrels: DataFrame  # qid, did, rel
-    candidates: DataFrame | None = None  # qid, did
+    """Inputs of one task: ``queries`` (qid, vec, ...), ``corpus`` (did, vec, ...),
+    ``qrels`` (qid, did, rel) and optional ``candidates`` (qid, did).
+
+    Attributes may be given as zero-argument builders; each is built on first
+    use only, so a query that needs just the qrels never embeds any text.
+    """
+
+    def __init__(self, queries, corpus, qrels, candidates=None):
+        self._parts = {"queries": queries, "corpus": corpus, "qrels": qrels, "candidates": candidates}
+
+    def __getattr__(self, name):
+        parts = self.__dict__.get("_parts", {})
+        if name not in parts:
+            raise AttributeError(name)
+        v = parts[name]
+        if callable(v):
+            v = parts[name] = v()
+        return v
+
+
+def _once(build):
+    """A zero-argument builder that runs ``build`` on its first call only."""
+    box = []
+
+    def get():
+        if not box:
+            box.append(build())
+        return box[0]
+
+    return get
 
 
 def _neighbours(df: DataFrame, id_col: str, window: int) -> DataFrame:
@@ -77,11 +100,11 @@ def txt_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("did"), "text", F.col("lang").alias("subset")
     )
-    queries = hashed_embedding(bench, "text", dim)
-    corpus = hashed_embedding(docs, "text", dim)
+    # embeddings are computed once and kept (checkpoint) for every later use
     found = contains_pairs(docs, bench, did="did", doc_text="text", pid="qid", passage_text="text")
     qrels = found.select(F.col("pid").alias("qid"), "did", F.lit(1).alias("rel"))
-    return Family(queries, corpus, qrels)
+    return Family(lambda: cut_lineage(hashed_embedding(bench, "text", dim)),
+                  lambda: cut_lineage(hashed_embedding(docs, "text", dim)), qrels)
 
 
 def mem_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +117,14 @@ def mem_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mem_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
     turns = mem_turns(spark, sf_dir)
-    vecs = hashed_embedding(turns, "text", dim)
-    queries = vecs.where(F.col("role") == "user").select(F.col("id").alias("qid"), "vec", "text", "conv_id")
-    corpus = vecs.select(F.col("id").alias("did"), "vec", "text", "conv_id")
+    vecs = _once(lambda: cut_lineage(hashed_embedding(turns, "text", dim)))
+
+    def queries():
+        return vecs().where(F.col("role") == "user").select(F.col("id").alias("qid"), "vec", "text", "conv_id")
+
+    def corpus():
+        return vecs().select(F.col("id").alias("did"), "vec", "text", "conv_id")
+
     user = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("id").alias("qid"))
     nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("id").alias("did"), "role")
     qrels = user.join(nxt, ["conv_id", "turn"]).select(
