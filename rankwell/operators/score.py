@@ -69,8 +69,12 @@ def _pairs_grouped(
     qb = q.join(qstats, groups).withColumn("qb", F.pmod(F.xxhash64("qid"), F.ceil(F.col("_nq") / F.lit(per_block))))
     cb = c.join(cstats, groups).withColumn("cb", F.pmod(F.xxhash64("did"), F.col("_ncb")))
     citem = ["did", "vec", *(["part"] if part else [])]
-    qblocks = qb.groupBy(*groups, "qb").agg(F.collect_list(F.struct("qid", "vec")).alias("q_items"))
-    chunks = cb.groupBy(*groups, "cb").agg(F.collect_list(F.struct(*citem)).alias("c_items"))
+    # shuffle on (group, block) explicitly: a partitioning by the group alone
+    # would otherwise be reused and put a hot group's rows into one task
+    qblocks = qb.repartition(*groups, "qb").groupBy(*groups, "qb").agg(
+        F.collect_list(F.struct("qid", "vec")).alias("q_items"))
+    chunks = cb.repartition(*groups, "cb").groupBy(*groups, "cb").agg(
+        F.collect_list(F.struct(*citem)).alias("c_items"))
     # each query block meets each chunk of its group under its own join key
     fanned = qblocks.join(cstats, groups).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.col("_ncb") - 1).cast("array<bigint>"))

@@ -87,8 +87,7 @@ def fetch(refs: DataFrame, members: DataFrame, packages: dict[str, str], strict:
     dict lookup); otherwise missing references get a null content.
     """
     tars = refs.sparkSession.createDataFrame(list(packages.items()), "package string, tar_path string")
-    how = "inner" if not strict else "left"
-    joined = refs.join(members, ["package", "path"], how)
+    joined = refs.join(members, ["package", "path"], "left")
     if strict:
         joined = joined.withColumn(
             "offset",
@@ -97,7 +96,9 @@ def fetch(refs: DataFrame, members: DataFrame, packages: dict[str, str], strict:
             .otherwise(F.col("offset")),
         )
     joined = joined.join(F.broadcast(tars), "package", "left")
-    ordered = joined.repartition("package").sortWithinPartitions("package", "offset")
+    # range partitions on (package, offset): reads stay sequential inside a task and
+    # a package holding most of the references is still split over many tasks
+    ordered = joined.repartitionByRange("package", "offset").sortWithinPartitions("package", "offset")
     cols = [c for c in refs.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in refs.schema.fields) + ", content binary"
 

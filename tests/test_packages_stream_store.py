@@ -52,6 +52,7 @@ def test_packages_index_fetch(spark, tmp_path):
     assert got == {"1": b"xx-bytes", "2": b"other", "3": b"y"}
     bad = spark.createDataFrame([("9", "nope.png", "imgs")], "id string, path string, package string")
     assert P.missing_refs(bad, members).count() == 1
+    assert P.fetch(bad, members, pk, strict=False).first().content is None
     with pytest.raises(Exception):
         P.fetch(bad, members, pk).collect()
 
