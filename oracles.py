@@ -28,13 +28,26 @@ def score_expr(a: str, b: str, norm: bool = True) -> str:
     return f"round(CASE WHEN isnan({s}) THEN -1.0 ELSE {s} END, 9)"
 
 
-def hashed_vec(text: str, dim: int = TEXT_DIM) -> str:
-    """Hashed bag of words: count of tokens per md5 bucket (as DOUBLE[])."""
+def buckets(text: str, dim: str = str(TEXT_DIM)) -> str:
+    """md5 bucket of every token (lower-cased, split on spaces / newlines, no empties)."""
     toks = f"list_filter(string_split_regex(lower({text}), '[ \\n]+'), lambda t: length(t) > 0)"
-    buckets = f"list_transform({toks}, lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})::INTEGER)"
-    return (
-        f"list_transform(range({dim}), lambda i: CAST(len(list_filter({buckets}, lambda b: b = i)) AS DOUBLE))"
-    )
+    return f"list_transform({toks}, lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})::INTEGER)"
+
+
+def counts_vec(hist: str, dim: str = str(TEXT_DIM)) -> str:
+    """Dense DOUBLE[] of bucket counts from a histogram map (NULL map -> zeros)."""
+    return f"list_transform(range({dim}), lambda i: CAST(coalesce({hist}[i::INTEGER], 0) AS DOUBLE))"
+
+
+def hashed(name: str, table: str, key: str, dim: str = str(TEXT_DIM), dims: bool = False) -> str:
+    """CTEs ``{name}_h(key[, dim], h)``: histogram of token buckets per row of ``table``."""
+    if dims:
+        return f"""
+{name}_b AS (SELECT dims.dim, x.{key}, unnest({buckets('x.text', 'dims.dim')}) AS b FROM {table} x JOIN dims ON TRUE),
+{name}_h AS (SELECT dim, {key}, histogram(b) AS h FROM {name}_b GROUP BY dim, {key})"""
+    return f"""
+{name}_b AS (SELECT {key}, unnest({buckets('text', dim)}) AS b FROM {table}),
+{name}_h AS (SELECT {key}, histogram(b) AS h FROM {name}_b GROUP BY {key})"""
 
 
 # ------------------------------------------------------------------ families
@@ -62,9 +75,11 @@ def vec_run(k: int, exclude_identical: bool = True, norm: bool = True, name: str
            FROM {name}_all) WHERE rk <= {k})"""
 
 
-TXT_BASE = f"""
-bq AS (SELECT CAST(item_id AS VARCHAR) AS qid, text, {hashed_vec('text')} AS v FROM benchmark),
-dd AS (SELECT CAST(doc_id AS VARCHAR) AS did, lang AS subset, text, {hashed_vec('text')} AS v FROM documents),
+TXT_BASE = hashed("bh", "benchmark", "item_id") + "," + hashed("dh", "documents", "doc_id") + f""",
+bq AS (SELECT CAST(x.item_id AS VARCHAR) AS qid, x.text, {counts_vec('h.h')} AS v
+       FROM benchmark x LEFT JOIN bh_h h ON h.item_id = x.item_id),
+dd AS (SELECT CAST(x.doc_id AS VARCHAR) AS did, x.lang AS subset, x.text, {counts_vec('h.h')} AS v
+       FROM documents x LEFT JOIN dh_h h ON h.doc_id = x.doc_id),
 tq AS (SELECT qid, {unit('v')} AS u FROM bq),
 td AS (SELECT did, subset, {unit('v')} AS u FROM dd),
 txt_qrels AS (SELECT CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VARCHAR) AS did, 1 AS rel
@@ -80,9 +95,11 @@ def txt_run(k: int, by_subset: bool = False, name: str = "run") -> str:
            FROM {name}_all) WHERE rk <= {k})"""
 
 
-MEM_BASE = f"""
-turns AS (SELECT conv_id, turn, role, text, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
-                 {hashed_vec('text')} AS v FROM conversations),
+MEM_BASE = """
+conv_k AS (SELECT *, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id FROM conversations),""" + hashed(
+    "ch", "conv_k", "id") + f""",
+turns AS (SELECT x.conv_id, x.turn, x.role, x.text, x.id, {counts_vec('h.h')} AS v
+          FROM conv_k x LEFT JOIN ch_h h ON h.id = x.id),
 mq AS (SELECT id AS qid, conv_id, turn, {unit('v')} AS u FROM turns WHERE role = 'user'),
 md AS (SELECT id AS did, conv_id, turn, {unit('v')} AS u FROM turns),
 mem_qrels AS (SELECT q.qid, t.id AS did, CASE WHEN t.role = 'assistant' THEN 1 ELSE 0 END AS rel
@@ -397,13 +414,16 @@ SELECT 'VEC' AS task, {cols} FROM means"""
 
 
 def _sweep() -> str:
-    hv_b = hashed_vec("b.text", "dims.dim")
-    hv_d = hashed_vec("d.text", "dims.dim")
-    hv_t = hashed_vec("c.text", "dims.dim")
-    return with_(f"""
+    return with_("""
 dims AS (SELECT unnest([16, 32, 64]) AS dim),
-sbv AS (SELECT dims.dim, CAST(b.item_id AS VARCHAR) AS qid, {hv_b} AS v FROM benchmark b JOIN dims ON TRUE),
-sdv AS (SELECT dims.dim, CAST(d.doc_id AS VARCHAR) AS did, {hv_d} AS v FROM documents d JOIN dims ON TRUE),
+conv_k AS (SELECT *, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id FROM conversations),"""
+                 + hashed("sbh", "benchmark", "item_id", dims=True) + ","
+                 + hashed("sdh", "documents", "doc_id", dims=True) + ","
+                 + hashed("sch", "conv_k", "id", dims=True) + f""",
+sbv AS (SELECT dims.dim, CAST(b.item_id AS VARCHAR) AS qid, {counts_vec('h.h', 'dims.dim')} AS v
+        FROM benchmark b JOIN dims ON TRUE LEFT JOIN sbh_h h ON h.dim = dims.dim AND h.item_id = b.item_id),
+sdv AS (SELECT dims.dim, CAST(d.doc_id AS VARCHAR) AS did, {counts_vec('h.h', 'dims.dim')} AS v
+        FROM documents d JOIN dims ON TRUE LEFT JOIN sdh_h h ON h.dim = dims.dim AND h.doc_id = d.doc_id),
 stq AS (SELECT dim, qid, {unit('v')} AS u FROM sbv),
 std AS (SELECT dim, did, {unit('v')} AS u FROM sdv),
 tqr AS (SELECT dims.dim, CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VARCHAR) AS did, 1 AS rel
@@ -411,8 +431,8 @@ tqr AS (SELECT dims.dim, CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VAR
 trun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY score DESC, did DESC) AS rk FROM (
            SELECT q.dim, q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM stq q JOIN std d ON q.dim = d.dim))
          WHERE rk <= 10),
-stv AS (SELECT dims.dim, c.conv_id, c.turn, c.role, CAST(c.conv_id AS VARCHAR) || '-' || CAST(c.turn AS VARCHAR) AS id,
-               {hv_t} AS v FROM conversations c JOIN dims ON TRUE),
+stv AS (SELECT dims.dim, c.conv_id, c.turn, c.role, c.id, {counts_vec('h.h', 'dims.dim')} AS v
+        FROM conv_k c JOIN dims ON TRUE LEFT JOIN sch_h h ON h.dim = dims.dim AND h.id = c.id),
 smq AS (SELECT dim, id AS qid, conv_id, turn, {unit('v')} AS u FROM stv WHERE role = 'user'),
 smd AS (SELECT dim, id AS did, conv_id, turn, {unit('v')} AS u FROM stv),
 mqr AS (SELECT q.dim, q.qid, t.id AS did, CASE WHEN t.role = 'assistant' THEN 1 ELSE 0 END AS rel
