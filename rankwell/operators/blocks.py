@@ -87,4 +87,5 @@ def pair_blocks(chunks: DataFrame, blocks: DataFrame, n_blocks: int, total_bytes
     salts = max(1, math.ceil(target / n_blocks))
     rep = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     keyed = fanned.withColumn("salt", F.pmod(F.xxhash64(F.col(chunks.columns[0])), F.lit(salts)))
-    return keyed.join(rep, ["blk", "salt"]).drop("salt")
+    # the size check said "too big to broadcast": keep Spark's estimate from overruling it
+    return keyed.join(rep.hint("shuffle_hash"), ["blk", "salt"]).drop("salt")

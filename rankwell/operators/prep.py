@@ -58,38 +58,44 @@ def flatten_sequences(df: DataFrame, items: str = "items") -> DataFrame:
 
 
 PROMPT_PRIORITY = ("task_side", "task", "type_side", "type", "side")
+_SEP = "\u001f"
 
 
-def resolve_prompts(rows: DataFrame, prompts: DataFrame, task: str = "task", type_: str = "task_type",
+def resolve_prompts(rows: DataFrame, prompts, task: str = "task", type_: str = "task_type",
                     side: str = "side") -> DataFrame:
     """Prompt per row by priority task+side, task, type+side, type, side.
 
-    ``prompts(scope, key, side, prompt)``: ``scope`` names the level, ``key``
-    the task name or type (null for scope ``side``), ``side`` the input side
-    (null for scopes without side).  Adds ``prompt`` (null when none applies).
+    ``prompts`` is the prompt configuration: ``(scope, key, side, prompt)``
+    tuples, ``scope`` naming the level, ``key`` the task name or type (None for
+    scope ``side``), ``side`` the input side (None for scopes without side).
+    The configuration becomes literal maps, so resolution is a per-row map
+    lookup with no join.  Adds ``prompt`` (null when no level applies).
     """
-    out = rows
+    keys = {
+        "task_side": lambda k, s: f"{k}{_SEP}{s}",
+        "task": lambda k, s: k,
+        "type_side": lambda k, s: f"{k}{_SEP}{s}",
+        "type": lambda k, s: k,
+        "side": lambda k, s: s,
+    }
+    row_key = {
+        "task_side": F.concat_ws(_SEP, F.col(task), F.col(side)),
+        "task": F.col(task),
+        "type_side": F.concat_ws(_SEP, F.col(type_), F.col(side)),
+        "type": F.col(type_),
+        "side": F.col(side),
+    }
     picks = []
-    for i, scope in enumerate(PROMPT_PRIORITY):
-        p = prompts.where(F.col("scope") == scope)
-        conds = []
-        sel = []
-        if scope in ("task_side", "task"):
-            conds.append(("key", task))
-        if scope in ("type_side", "type"):
-            conds.append(("key", type_))
-        if scope.endswith("side"):
-            conds.append(("side", side))
-        for j, (pc, rc) in enumerate(conds):
-            sel.append(F.col(pc).alias(f"_k{i}_{j}"))
-        lut = F.broadcast(p.select(*sel, F.col("prompt").alias(f"_p{i}")).dropDuplicates([f"_k{i}_{j}" for j in range(len(conds))]))
-        cond = None
-        for j, (_, rc) in enumerate(conds):
-            c = out[rc] == F.col(f"_k{i}_{j}")
-            cond = c if cond is None else cond & c
-        out = out.join(lut, cond, "left").drop(*[f"_k{i}_{j}" for j in range(len(conds))])
-        picks.append(F.col(f"_p{i}"))
-    return out.withColumn("prompt", F.coalesce(*picks)).drop(*[f"_p{i}" for i in range(len(PROMPT_PRIORITY))])
+    for scope in PROMPT_PRIORITY:
+        entries = {}
+        for sc, k, sd, prompt in prompts:
+            if sc == scope:
+                entries[keys[scope](k, sd)] = prompt
+        if entries:
+            lut = F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
+            picks.append(F.try_element_at(lut, row_key[scope]))
+    prompt_col = F.coalesce(*picks) if picks else F.lit(None)
+    return rows.withColumn("prompt", prompt_col.cast("string"))
 
 
 def with_prompt_text(df: DataFrame, text: str = "text", prompt: str = "prompt", out: str = "input") -> DataFrame:

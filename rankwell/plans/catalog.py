@@ -308,8 +308,7 @@ def prompt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "system", "Chat").otherwise("Retrieval").alias("task_type"),
         F.when(F.col("role") == "user", "query").otherwise("document").alias("side"),
     )
-    prompts = spark.createDataFrame(PROMPTS, "scope string, key string, side string, prompt string")
-    r = with_prompt_text(resolve_prompts(t, prompts))
+    r = with_prompt_text(resolve_prompts(t, PROMPTS))
     return r.select("id", "prompt", F.md5("input").alias("input_md5"))
 
 

@@ -104,8 +104,9 @@ def test_prompt_priority(spark):
     rows = spark.createDataFrame([("1", "T1", "Retrieval", "query"), ("2", "T2", "Retrieval", "query"),
                                   ("3", "T2", "Other", "document"), ("4", "T9", "Other", "query")],
                                  "id string, task string, task_type string, side string")
-    prompts = spark.createDataFrame([
-        ("task_side", "T1", "query", "ts"), ("task", "T1", None, "t"), ("type_side", "Retrieval", "query", "ys"),
-        ("type", "Other", None, "y"), ("side", None, "query", "s")], "scope string, key string, side string, prompt string")
+    prompts = [("task_side", "T1", "query", "ts"), ("task", "T1", None, "t"), ("type_side", "Retrieval", "query", "ys"),
+               ("type", "Other", None, "y"), ("side", None, "query", "s"), ("side", None, "document", "d")]
     got = {r.id: r.prompt for r in resolve_prompts(rows, prompts).collect()}
     assert got == {"1": "ts", "2": "ys", "3": "y", "4": "y"}
+    only_side = {r.id: r.prompt for r in resolve_prompts(rows, [("side", None, "document", "d")]).collect()}
+    assert only_side == {"1": None, "2": None, "3": "d", "4": None}
