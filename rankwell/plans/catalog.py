@@ -414,9 +414,13 @@ def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings read as a file stream, incremental top-10 per query kept as
     state; the final rankings equal the batch ``cosine_topk``."""
-    fam = vec_family(spark, sf_dir)
-    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    # state partitions are fixed when a stream starts; size them to the cluster,
+    # not to whatever the batch session uses, in a session of their own
+    ss = spark.newSession()
+    ss.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    fam = vec_family(ss, sf_dir)
+    schema = ss.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    stream = (ss.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .parquet(f"{sf_dir}/embeddings*.parquet")
               .select(F.col("vec_id").alias("did"), F.col("embedding").alias("vec")))
     updates = stream_topk_op(stream, fam.queries, FLAGSHIP_K, exclude_identical=True)
