@@ -110,31 +110,45 @@ def evaluate(
     candidates: DataFrame | None = None,
     strict_candidates: bool = False,
     hook: MetricHook | None = None,
+    by_subset: bool = False,
 ) -> DataFrame:
-    """One task, one model, with every stage cached under ``output_dir``.
+    """One task, one model, with every stage cached under ``output_dir``.
 
     ``queries``/``corpus`` carry ``(id, data)``; ``qrels`` ``(qid, did, rel)``;
     ``candidates`` (optional) ``(qid, did)`` restricts each query's hits.
+    ``by_subset``: all inputs carry a ``subset`` column; every subset is its
+    own retrieval problem (its queries only meet its corpus) and gets its own
+    metrics - all subsets in one job.
     """
+    keys = ["subset"] if by_subset else []
     done = store.load_metrics(spark, f"{output_dir}/metrics", model, task.name)
     if done is not None:
         return done.select("subset", "metric", "k", "value")
     run = store.load_run(spark, f"{output_dir}/runs", model, task.name)
     if run is None:
         emb_root = f"{output_dir}/embeddings"
-        qv = store.embeddings_cached(spark, emb_root, model, task.name, "query",
-                                     lambda: embed(queries, embedder))
-        cv = store.embeddings_cached(spark, emb_root, model, task.name, "collection",
-                                     lambda: embed(corpus, embedder))
+
+        def embedded(df):
+            vecs = embed(df.select(F.concat_ws("\u001f", *keys, "id").alias("_key"), "data"), embedder, id_col="_key")
+            if not keys:
+                return vecs.withColumnRenamed("_key", "id")
+            parts = F.split("_key", "\u001f")
+            return vecs.select(F.get(parts, 0).alias("subset"), F.get(parts, 1).alias("id"), "vec")
+
+        qv = store.embeddings_cached(spark, emb_root, model, task.name, "query", lambda: embedded(queries))
+        cv = store.embeddings_cached(spark, emb_root, model, task.name, "collection", lambda: embedded(corpus))
         depth = task.depth + (1 if task.ignore_identical_ids else 0)
-        res = search(qv.select(F.col("id").alias("qid"), "vec"), cv.select(F.col("id").alias("did"), "vec"), depth)
+        res = search(qv.select(*keys, F.col("id").alias("qid"), "vec"), cv.select(*keys, F.col("id").alias("did"), "vec"),
+                     depth, group_cols=keys)
         store.save_run(res, f"{output_dir}/runs", model, task.name)
         run = store.load_run(spark, f"{output_dir}/runs", model, task.name)
-    run = run.select("qid", "did", "score")
-    run_qids = run.select("qid").distinct()
+    run = run.select(*keys, "qid", "did", "score")
+    run_qids = run.select(*keys, "qid").distinct()
     if candidates is not None:
-        run = (filter_strict if strict_candidates else filter_lenient)(run, candidates)
+        run = (filter_strict if strict_candidates else filter_lenient)(run, candidates, keys)
         store.save_run(run, f"{output_dir}/runs", model, task.name, stage="filtered")
-    metrics = score_run(run, qrels, task, run_qids=run_qids, hook=hook).withColumn("subset", F.lit(""))
+    metrics = score_run(run, qrels, task, keys=keys, run_qids=run_qids, hook=hook)
+    if not keys:
+        metrics = metrics.withColumn("subset", F.lit(""))
     store.save_metrics(metrics, f"{output_dir}/metrics", model, task.name)
     return store.load_metrics(spark, f"{output_dir}/metrics", model, task.name).select("subset", "metric", "k", "value")

@@ -35,9 +35,9 @@ def _partition_path(root: str, **parts: str) -> str:
 
 
 def save_embeddings(df: DataFrame, root: str, model: str, task: str, side: str) -> None:
-    """K1: ``(id, vec)`` under ``root/model=/task=/side=``."""
-    out = df.select("id", "vec").withColumn("model", F.lit(model)).withColumn("task", F.lit(task)).withColumn(
-        "side", F.lit(side))
+    """K1: ``([subset,] id, vec)`` under ``root/model=/task=/side=``."""
+    cols = [c for c in ("subset", "id", "vec") if c in df.columns]
+    out = df.select(*cols, F.lit(model).alias("model"), F.lit(task).alias("task"), F.lit(side).alias("side"))
     _write(out, root, ["model", "task", "side"])
 
 

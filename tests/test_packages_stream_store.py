@@ -161,3 +161,22 @@ def test_task_from_config(tmp_path):
     p.write_text(json.dumps({"name": "X", "data": {"query": {"path": "q"}}, "k_values": [1, 3], "main_metric": "mrr_at_3"}))
     t = RetrievalTask.from_config(str(p))
     assert t.depth == 3 and t.main_key() == ("mrr", 3)
+
+
+def test_lifecycle_by_subset(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus = docs.select(F.col("lang").alias("subset"), F.col("doc_id").cast("string").alias("id"),
+                         F.col("text").alias("data"))
+    queries = corpus.where("length(data) < 3000")
+    qrels = queries.select("subset", F.col("id").alias("qid"), F.col("id").alias("did"), F.lit(1).alias("rel"))
+    task = RetrievalTask(name="self", k_values=(1, 3))
+    m = evaluate(spark, task, "hashed", lambda: HashedBagOfWords(16), queries, corpus, qrels, str(tmp_path / "o"),
+                 by_subset=True)
+    vals = {(r.subset, r.metric, r.k): r.value for r in m.collect()}
+    langs = {r.subset for r in queries.select("subset").distinct().collect()}
+    assert {s for s, _, _ in vals} == langs
+    assert all(vals[(s, "recall", 3)] > 0.5 for s in langs)
+    run = store.load_run(spark, str(tmp_path / "o" / "runs"), "hashed", "self")
+    # every hit stays inside its own subset
+    lang = corpus.select("subset", F.col("id").alias("did"))
+    assert run.join(lang, ["subset", "did"], "left_anti").count() == 0
