@@ -1,11 +1,14 @@
 """Exact 0-based positions inside groups, without sorting a group in one task.
 
 A window ``row_number() over (partition by g order by o)`` sorts each group
-inside a single task.  Here the rows are range-partitioned and sorted over
-all tasks (``orderBy``), every task numbers its own rows (``mapInArrow``),
-and per-partition counts - one row per partition - give the offsets.  The
-numbered rows are checkpointed into the shared checkpoint folder first.  A
-group's first global position is its minimum, found by a partial aggregate.
+inside a single task.  Here the rows are range-partitioned over a fixed
+number of partitions and sorted inside them, every task numbers its own rows
+(``mapInArrow``), and per-partition counts - one row per partition - give the
+offsets.  The partition count is explicit, so adaptive execution never merges
+partitions and both consumers of the numbered rows see the same layout (the
+range bounds come from a deterministic sample).  A group's first global
+position is its minimum, found by a partial aggregate.  The input is
+checkpointed first, so the numbered rows are recomputed from a fixed table.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from ..session import cut_lineage
 
 
+
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -34,16 +38,18 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen += n
 
 
-def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence) -> DataFrame:
+def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, n_partitions: int | None = None) -> DataFrame:
     """Add ``pos`` (0-based, within the group, in ``order_cols`` order) and ``n`` (group size).
 
     ``order_cols`` must make the order total (append a unique id).
     """
     groups = list(group_cols)
-    ordered = df.orderBy(*[F.col(g) for g in groups], *order_cols)
+    df = cut_lineage(df)
+    order = [*[F.col(g) for g in groups], *order_cols]
+    n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = StructType(ordered.schema.fields + [StructField("_pid", IntegerType()), StructField("_lidx", LongType())])
-    # materialised once: both consumers below must see the same partition ids
-    numbered = cut_lineage(ordered.mapInArrow(_number, schema))
+    numbered = ordered.mapInArrow(_number, schema)
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
