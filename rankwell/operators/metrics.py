@@ -17,9 +17,10 @@ are ranked by what is left).  The evaluated queries are a *spine*: the
 query ids of the unfiltered run that also appear in the qrels, so a query
 whose hits were all filtered away still counts with zeros.
 
-Everything runs in one conditional-aggregation pass per query: the run is
-at most ``max(k)`` rows per query, the ideal side is cut by a window limit,
-and R is a partial (map-side) count, so a hot query cannot pin a task.
+Everything runs in one conditional-aggregation pass per query: hits are
+graded by a join on (qid, did), ranked with their running hit count in one
+window per query, cut at ``max(k)``; the ideal side is cut by a window
+limit and R is a partial (map-side) count, so a hot query cannot pin a task.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import rank, top_k
+from .rank import rank, rank_order, top_k
 
 DEFAULT_K_VALUES = (1, 3, 5, 10, 20, 100, 1000)
 METRICS = ("ndcg", "map", "recall", "precision", "mrr", "cv_recall")
@@ -89,9 +90,20 @@ def per_query(
     """
     keys = list(keys)
     ks = sorted(set(int(k) for k in k_values))
-    hits = judged(run, qrels, max(ks), keys)
-    w = Window.partitionBy(*keys, "qid").orderBy("rk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = hits.withColumn("chit", F.sum("hit").over(w))
+    # grade every hit (one shuffle on (qid, did)), then rank and count hits so
+    # far in one window per query (one shuffle on qid)
+    rel = qrels.select(*keys, "qid", "did", F.col("rel").cast("int").alias("rel"))
+    graded = (
+        run.select(*keys, "qid", "did", "score").join(rel, [*keys, "qid", "did"], "left")
+        .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
+        .withColumn("hit", (F.col("rel") > 0).cast("int"))
+    )
+    w = Window.partitionBy(*keys, "qid").orderBy(*rank_order())
+    hits = (
+        graded.withColumn("rk", F.row_number().over(w))
+        .withColumn("chit", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .where(F.col("rk") <= F.lit(max(ks)))
+    )
     rk = F.col("rk")
     dcg_i = F.when(F.col("rel") > 0, F.col("rel") / _log2(rk + 1)).otherwise(0.0)
     ap_i = F.col("hit") * F.col("chit") / rk
