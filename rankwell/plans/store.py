@@ -19,8 +19,7 @@ from ..operators.metrics import metric_name
 
 
 def _write(df: DataFrame, path: str, parts: Sequence[str]) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
