@@ -79,9 +79,8 @@ def zero_vector_and_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1-V3 edge cases: the embeddings plus a zero vector, a vector holding NaN and
     two equal vectors (ids d9 / d10), all searched against each other, top-5."""
     fam = vec_family(spark, sf_dir)
-    dim = F.size(F.col("vec"))
     extra = (
-        fam.queries.limit(1).select(dim.alias("dim"))
+        fam.queries.agg(F.max(F.size("vec")).alias("dim"))
         .select(F.inline(F.array(
             F.struct(F.lit("z0").alias("id"), F.array_repeat(F.lit(0.0), F.col("dim")).alias("vec")),
             F.struct(F.lit("n0").alias("id"), F.concat(F.array(F.lit(float("nan"))),
