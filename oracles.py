@@ -470,3 +470,13 @@ ORACLES.update({
     "sweep_report": _sweep(),
     "stream_topk": COSINE_TOPK,
 })
+
+
+RESUME_PLAN = _txt_subset_metrics(10, (10,)) + """,
+done AS (SELECT subset, round(avg(value), 9) AS v FROM lq WHERE metric = 'ndcg' AND k = 10 GROUP BY subset)
+SELECT 'hashed-64' AS model, 'TXT' AS task, subset, 'done' AS status, v AS ndcg_at_10 FROM done
+UNION ALL
+SELECT m.model, 'TXT', s.subset, 'pending', NULL::DOUBLE
+FROM (SELECT DISTINCT lang AS subset FROM documents) s JOIN (SELECT unnest(['hashed-16', 'hashed-32']) AS model) m ON TRUE"""
+
+ORACLES["resume_plan"] = RESUME_PLAN

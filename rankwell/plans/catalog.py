@@ -22,7 +22,8 @@ from ..operators.rank import top_k
 from ..operators.score import search
 from ..functions.text import default_package
 from ..plans.evaluate import RetrievalTask, score_run
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..plans import store
 from ..plans.store import sweep_report as sweep_op
 from ..plans.store import wide_metrics
 from ..sources.families import mem_family, mem_turns, txt_family, vec_family
@@ -426,6 +427,41 @@ def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(updates)
 
 
+def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 / K4 / K5: plan = hashed models x TXT subsets (document languages).  The
+    64-bucket model is evaluated: its run is saved and reloaded, its per-subset
+    metrics saved and reloaded from the results store; every plan entry is then
+    reported as done (with the stored ndcg_at_10) or pending."""
+    import os
+    import uuid
+
+    root = os.path.join(ensure_checkpoint_dir(spark), f"results-{uuid.uuid4().hex}")
+    fam = txt_family(spark, sf_dir)
+    model, task = "hashed-64", "TXT"
+    run = search(fam.queries, fam.corpus, FLAGSHIP_K, corpus_part="subset")
+    store.save_run(run, f"{root}/runs", model, task)
+    saved = store.load_run(spark, f"{root}/runs", model, task).select("subset", "qid", "did", "score")
+    qrels = fam.qrels.join(fam.corpus.select("did", "subset"), "did")
+    metrics = M.evaluate(saved, qrels, (10,), keys=["subset"])
+    store.save_metrics(metrics, f"{root}/metrics", model, task)
+    done = store.load_metrics(spark, f"{root}/metrics", model, task).select(
+        F.lit(model).alias("model"), F.lit(task).alias("task"), "subset", "metric", "k", "value")
+    subsets = fam.corpus.select("subset").distinct()
+    plan = _plan(subsets, [f"hashed-{d}" for d in SWEEP_DIMS], task)
+    todo = store.pending(plan, done).withColumn("status", F.lit("pending")).withColumn(
+        "ndcg_at_10", F.lit(None).cast("double"))
+    got = done.where((F.col("metric") == "ndcg") & (F.col("k") == 10)).select(
+        "model", "task", "subset", F.lit("done").alias("status"), F.col("value").alias("ndcg_at_10"))
+    return got.unionByName(todo.select("model", "task", "subset", "status", "ndcg_at_10"))
+
+
+def _plan(subsets: DataFrame, models: list[str], task: str) -> DataFrame:
+    """Every model for every subset: the model list is a fixed configuration, so it
+    is expanded per subset row as an array (no join)."""
+    return subsets.select(F.explode(F.array(*[F.lit(n) for n in models])).alias("model"), F.lit(task).alias("task"),
+                          "subset")
+
+
 REGISTRY = {
     "flagship_eval": flagship_eval,
     "cosine_topk": cosine_topk,
@@ -464,4 +500,5 @@ REGISTRY = {
     "metrics_wide": metrics_wide,
     "sweep_report": sweep_report,
     "stream_topk": stream_topk,
+    "resume_plan": resume_plan,
 }
