@@ -104,13 +104,21 @@ def _normalise(m: np.ndarray) -> np.ndarray:
         return m / np.maximum(n, NORM_EPS)
 
 
-def partial_topk(scores: np.ndarray, dids: np.ndarray, k: int, valid: np.ndarray | None = None):
+def id_ranks(dids: np.ndarray) -> np.ndarray:
+    """Position of every id in string order (the tie-break key)."""
+    r = np.empty(len(dids), np.int64)
+    r[np.argsort(dids.astype(str), kind="stable")] = np.arange(len(dids))
+    return r
+
+
+def partial_topk(scores: np.ndarray, dids: np.ndarray, k: int, valid: np.ndarray | None = None,
+                 id_rank: np.ndarray | None = None):
     """Exact top-k of every row by (score desc, id desc) -> (row idx, col idx)."""
     nq, nc = scores.shape
     if nc == 0 or nq == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    id_rank = np.empty(nc, np.int64)
-    id_rank[np.argsort(dids.astype(str), kind="stable")] = np.arange(nc)
+    if id_rank is None:
+        id_rank = id_ranks(dids)
     s = scores if valid is None else np.where(valid, scores, -np.inf)
     if nc > k:
         kth = np.partition(s, nc - k, axis=1)[:, nc - k : nc - k + 1]
@@ -147,6 +155,7 @@ def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str],
         if part:
             pv = np.array(["\x00" if p is None else p for p in parts], dtype=object)
             groups = [(p, np.nonzero(pv == p)[0]) for p in dict.fromkeys(pv)]
+        ranks = [id_ranks(dids[idx]) for _, idx in groups]
         step = max(1, MAX_SCORE_CELLS // max(1, len(dids)))
         qarr = pa.array(qids, pa.string())
         darr = pa.array(dids, pa.string())
@@ -157,9 +166,9 @@ def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str],
             s = np.round(s, SCORE_DECIMALS)
             valid = (sq[:, None] != dids[None, :]) if exclude_identical else None
             out_r, out_c, out_p = [], [], []
-            for p, idx in groups:
+            for (p, idx), rank in zip(groups, ranks):
                 sub_valid = None if valid is None else valid[:, idx]
-                r, c = partial_topk(s[:, idx], dids[idx], k, sub_valid)
+                r, c = partial_topk(s[:, idx], dids[idx], k, sub_valid, rank)
                 out_r.append(r)
                 out_c.append(idx[c])
                 out_p.append(np.full(len(r), p, dtype=object))
