@@ -30,11 +30,20 @@ MODALITY_ORDER = ("TEXT", "IMAGE", "SEQ")
 # An embedder factory returns a callable: pandas DataFrame of inputs -> 2-D array.
 EmbedderFactory = Callable[[], Callable[[pd.DataFrame], np.ndarray]]
 
-_WORKER_MODELS: dict[int, Callable] = {}
+_WORKER_MODELS: dict[str, Callable] = {}
+
+
+def factory_key(factory) -> str:
+    """Stable identity of a factory across tasks (each task unpickles a new object)."""
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    return hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
 
 
 def _model(factory: EmbedderFactory):
-    key = id(factory)
+    key = factory_key(factory)
     if key not in _WORKER_MODELS:
         _WORKER_MODELS[key] = factory()
     return _WORKER_MODELS[key]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import vector_add
+from .embed import factory_key
 from ..session import SCORE_DECIMALS
 
 
@@ -24,7 +25,7 @@ def fuse(a: DataFrame, b: DataFrame, id_col: str = "id", vec: str = "vec") -> Da
 
 
 PairScorerFactory = Callable[[], Callable[[pd.Series, pd.Series], np.ndarray]]
-_SCORERS: dict[int, Callable] = {}
+_SCORERS: dict[str, Callable] = {}
 
 
 def score_with(pairs: DataFrame, factory: PairScorerFactory, q_text: str = "q_text", d_text: str = "d_text",
@@ -35,7 +36,7 @@ def score_with(pairs: DataFrame, factory: PairScorerFactory, q_text: str = "q_te
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields) + f", `{out}` double"
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = id(factory)
+        key = factory_key(factory)
         if key not in _SCORERS:
             _SCORERS[key] = factory()
         scorer = _SCORERS[key]
