@@ -6,7 +6,7 @@ partition with ``mapInArrow`` (no shuffle).  Chunks meet blocks through an
 equi-join on the block id:
 
 * whole small side within the broadcast budget -> broadcast hash join, the
-  big side is never shuffled;
+  big side is not shuffled for the join;
 * otherwise -> every block is replicated over ``S`` salts and the chunks are
   hashed over (block, salt), a 2-D partitioned block product that spreads
   the work over ``blocks x salts`` shuffle keys.

@@ -5,7 +5,8 @@ Plan (J1 / V2 / V3 / V4 / T2):
 * Query vectors are packed into blocks of bounded bytes; how many follows
   from a size check of the query side (``operators.blocks``).
 * Without a group restriction, corpus vectors are packed into chunk rows per
-  input partition (``mapInArrow``, no shuffle) and meet the query blocks by an
+  input partition (``mapInArrow``, no shuffle; an input with fewer partitions
+  than cores is first spread round-robin) and meet the query blocks by an
   equi-join on the block id (broadcast when the query side passes the size
   check, a salted 2-D block join otherwise).
 * With a group restriction (score only pairs with equal group values, e.g. a

@@ -1,7 +1,8 @@
 """Result tables and resumability.
 
 Embeddings, runs and metrics are Parquet tables partitioned by
-``(model, task[, subset][, side|stage])``.  Writes use dynamic partition
+``(model, task, side)``, ``(model, task, stage)`` and ``(model, task)``; the
+subset is a column.  Writes use dynamic partition
 overwrite, so re-running one (model, task) replaces only its partitions and
 a lost executor only costs a task retry.  "Reuse if present" is a partition
 existence check; sweep planning is a ``left_anti`` join against what exists.
