@@ -202,8 +202,8 @@ def candidates_post_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: VEC top-11 with the identical document kept; the first hit (the
-    query itself) is dropped and the rest re-ranked."""
+    """T4: VEC top-11 with the identical document kept; the first hit (normally
+    the query itself) is dropped and the rest re-ranked."""
     _, run = _vec_run(spark, sf_dir, k=FLAGSHIP_K + 1)
     return skip_first_hits(run).select(*RUN)
 
