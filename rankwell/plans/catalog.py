@@ -329,7 +329,8 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.withColumn("family", F.lit(fam))
 
     q = tag(txt.queries.select("qid", "text"), "TXT").unionByName(tag(mem.queries.select("qid", "text"), "MEM"))
-    c = tag(txt.corpus.select("did", "text"), "TXT").unionByName(tag(mem.corpus.select("did", "text"), "MEM"))
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("did"), "text")
+    c = tag(docs, "TXT").unionByName(tag(mem.corpus.select("did", "text"), "MEM"))
     r = tag(txt.qrels, "TXT").unionByName(tag(mem.qrels, "MEM"))
     return stats_op(q, c, r, keys=["family"])
 

@@ -10,7 +10,7 @@ and metric step runs in the operators.
   nearest ids on either side: grade 2 when the document id is a multiple of 3,
   else 1; rows with the next label (label + 1 mod 10) are judged 0.
 * TXT: ``benchmark`` passages are queries, ``documents`` the corpus
-  (subset = language); a document is relevant (1) when it contains the
+  (subset = language; the corpus keeps ids, subset and vectors only); a document is relevant (1) when it contains the
   passage verbatim (Aho-Corasick containment join).  Vectors: hashed bag of
   words.
 * MEM: user turns are queries, all turns the corpus (ids ``conv-turn``); the
@@ -104,7 +104,7 @@ def txt_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
     found = contains_pairs(docs, bench, did="did", doc_text="text", pid="qid", passage_text="text")
     qrels = found.select(F.col("pid").alias("qid"), "did", F.lit(1).alias("rel"))
     return Family(lambda: cut_lineage(hashed_embedding(bench, "text", dim)),
-                  lambda: cut_lineage(hashed_embedding(docs, "text", dim)), qrels)
+                  lambda: cut_lineage(hashed_embedding(docs, "text", dim).drop("text")), qrels)
 
 
 def mem_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
