@@ -114,30 +114,39 @@ def id_ranks(dids: np.ndarray) -> np.ndarray:
 
 def partial_topk(scores: np.ndarray, dids: np.ndarray, k: int, valid: np.ndarray | None = None,
                  id_rank: np.ndarray | None = None):
-    """Exact top-k of every row by (score desc, id desc) -> (row idx, col idx)."""
+    """Exact top-k of every row by (score desc, id desc) -> (row idx, col idx).
+
+    Scores carry ``SCORE_DECIMALS`` decimals, so (score, id rank) packs exactly
+    into one int64 key ``round(score * 10^d) * n + id_rank``; one vectorised
+    ``argpartition`` then selects the top k including the tie-break.
+    """
     nq, nc = scores.shape
     if nc == 0 or nq == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     if id_rank is None:
         id_rank = id_ranks(dids)
-    s = scores if valid is None else np.where(valid, scores, -np.inf)
+    ticks = np.rint(scores * 10.0**SCORE_DECIMALS)
+    if float(np.abs(ticks).max()) * nc >= 2.0**62:  # large dot products: exact row-wise sort instead
+        s = scores if valid is None else np.where(valid, scores, -np.inf)
+        order = np.lexsort((-np.broadcast_to(id_rank, s.shape), -s), axis=-1)[:, :k]
+        rows = np.repeat(np.arange(nq), order.shape[1])
+        cols = order.reshape(-1)
+        if valid is not None:
+            keep = valid[rows, cols]
+            rows, cols = rows[keep], cols[keep]
+        return rows, cols
+    key = ticks.astype(np.int64) * nc + id_rank[None, :]
+    floor = np.iinfo(np.int64).min
+    if valid is not None:
+        key = np.where(valid, key, floor)
     if nc > k:
-        kth = np.partition(s, nc - k, axis=1)[:, nc - k : nc - k + 1]
-        mask = s >= kth
+        cols = np.argpartition(key, nc - k, axis=1)[:, nc - k:]
     else:
-        mask = np.ones(s.shape, dtype=bool)
+        cols = np.broadcast_to(np.arange(nc), (nq, nc))
+    rows = np.repeat(np.arange(nq), cols.shape[1])
+    cols = cols.reshape(-1)
     if valid is not None:
-        mask &= valid
-    rows, cols = np.nonzero(mask)
-    over = np.nonzero(mask.sum(axis=1) > k)[0]
-    if len(over):  # ties at the k-th score: keep the larger ids
-        keep = np.ones(len(rows), bool)
-        starts = np.searchsorted(rows, over)
-        ends = np.searchsorted(rows, over, side="right")
-        for r, a, b in zip(over, starts, ends):
-            sel = np.arange(a, b)
-            order = np.lexsort((-id_rank[cols[sel]], -s[r, cols[sel]]))
-            keep[sel[order[k:]]] = False
+        keep = key[rows, cols] != floor
         rows, cols = rows[keep], cols[keep]
     return rows, cols
 

@@ -90,6 +90,10 @@ def test_partial_topk_ties():
     s = np.array([[1.0, 1.0, 1.0, 0.5]])
     r, c = partial_topk(s, np.array(["a", "c", "b", "z"], dtype=object), 2)
     assert sorted(c.tolist()) == [1, 2]  # ids c and b beat a
+    big = np.array([[3e12, 3e12, 5.0, 3e12]])  # key would overflow int64: row-wise sort path
+    r, c = partial_topk(big, np.array(["a", "c", "b", "z"], dtype=object), 2,
+                        valid=np.array([[True, True, True, False]]))
+    assert sorted(c.tolist()) == [0, 1]
 
 
 def test_candidates_post_equals_pre_at_full_depth(spark, data):
