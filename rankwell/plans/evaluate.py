@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..operators.candidates import drop_identical, filter_lenient, filter_strict
+from ..operators.candidates import candidate_pairs, drop_identical
 from ..operators.embed import EmbedderFactory, embed
 from ..operators.nauc import confidence, nauc
-from ..operators.rank import skip_first
+from ..operators.rank import skip_first, top_k
 from ..operators.score import search
 from . import store
 
@@ -115,7 +115,10 @@ def evaluate(
     """One task, one model, with every stage cached under ``output_dir``.
 
     ``queries``/``corpus`` carry ``(id, data)``; ``qrels`` ``(qid, did, rel)``;
-    ``candidates`` (optional) ``(qid, did)`` restricts each query's hits.
+    ``candidates`` (optional) ``(qid, did)`` restricts each query's hits: the
+    listed pairs are scored directly (equal to full-depth retrieval followed by
+    the filter); queries without a list are searched normally, or fail the job
+    with ``strict_candidates``.
     ``by_subset``: all inputs carry a ``subset`` column; every subset is its
     own retrieval problem (its queries only meet its corpus) and gets its own
     metrics - all subsets in one job.
@@ -138,15 +141,28 @@ def evaluate(
         qv = store.embeddings_cached(spark, emb_root, model, task.name, "query", lambda: embedded(queries))
         cv = store.embeddings_cached(spark, emb_root, model, task.name, "collection", lambda: embedded(corpus))
         depth = task.depth + (1 if task.ignore_identical_ids else 0)
-        res = search(qv.select(*keys, F.col("id").alias("qid"), "vec"), cv.select(*keys, F.col("id").alias("did"), "vec"),
-                     depth, group_cols=keys)
+        q = qv.select(*keys, F.col("id").alias("qid"), "vec")
+        c = cv.select(*keys, F.col("id").alias("did"), "vec")
+        if candidates is None:
+            res = search(q, c, depth, group_cols=keys)
+        else:
+            # full-depth retrieval + candidate filter == scoring only the listed
+            # pairs (J3 = J4); queries without a list keep a normal search
+            listed = candidates.select(*keys, "qid").distinct()
+            res = top_k(candidate_pairs(candidates, q.join(listed, [*keys, "qid"], "left_semi"), c, keys),
+                        depth, keys=[*keys, "qid"])
+            unlisted = q.join(listed, [*keys, "qid"], "left_anti")
+            if strict_candidates:  # any query without a list fails the job
+                fail = F.raise_error(F.concat(F.lit("query id missing from the candidate map: "), F.col("qid")))
+                res = res.unionByName(unlisted.select(
+                    *keys, fail.cast("string").alias("qid"), F.lit(None).cast("string").alias("did"),
+                    F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rk")))
+            else:
+                res = res.unionByName(search(unlisted, c, depth, group_cols=keys))
         store.save_run(res, f"{output_dir}/runs", model, task.name)
         run = store.load_run(spark, f"{output_dir}/runs", model, task.name)
     run = run.select(*keys, "qid", "did", "score")
     run_qids = run.select(*keys, "qid").distinct()
-    if candidates is not None:
-        run = (filter_strict if strict_candidates else filter_lenient)(run, candidates, keys)
-        store.save_run(run, f"{output_dir}/runs", model, task.name, stage="filtered")
     metrics = score_run(run, qrels, task, keys=keys, run_qids=run_qids, hook=hook)
     if not keys:
         metrics = metrics.withColumn("subset", F.lit(""))

@@ -180,3 +180,29 @@ def test_lifecycle_by_subset(spark, tmp_path):
     # every hit stays inside its own subset
     lang = corpus.select("subset", F.col("id").alias("did"))
     assert run.join(lang, ["subset", "did"], "left_anti").count() == 0
+
+
+def test_lifecycle_candidates_equal_full_depth_filter(spark, tmp_path):
+    from rankwell.operators import metrics as M
+    from rankwell.operators.candidates import filter_lenient
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("data"))
+    queries = corpus.where("doc_id % 4 = 0")
+    qrels = queries.select(F.col("id").alias("qid"), F.col("id").alias("did"), F.lit(1).alias("rel"))
+    # lists for half of the queries: their own id plus the next ten ids
+    cand = (queries.where("cast(id as int) % 8 = 0")
+            .select(F.col("id").alias("qid"), F.explode(F.sequence(F.col("id").cast("int"), F.col("id").cast("int") + 10)
+                                                          .cast("array<string>")).alias("did")))
+    task = RetrievalTask(name="cand", k_values=(1, 3))
+    got = evaluate(spark, task, "h", lambda: HashedBagOfWords(16), queries, corpus, qrels, str(tmp_path / "o"),
+                   candidates=cand)
+    # reference semantics: full-depth retrieval, then the lenient filter, then metrics at k
+    emb = embed(corpus, lambda: HashedBagOfWords(16))
+    full = search(emb.join(queries.select("id"), "id").withColumnRenamed("id", "qid"),
+                  emb.withColumnRenamed("id", "did"), corpus.count())
+    want = M.evaluate(filter_lenient(full.drop("rk"), cand), qrels, (1, 3),
+                      run_qids=full.select("qid"))
+    a = {(r.metric, r.k): r.value for r in got.collect() if ":" not in r.metric}
+    b = {(r.metric, r.k): r.value for r in want.collect()}
+    assert a == pytest.approx(b)
