@@ -127,7 +127,8 @@ def evaluate(
     done = store.load_metrics(spark, f"{output_dir}/metrics", model, task.name)
     if done is not None:
         return done.select("subset", "metric", "k", "value")
-    run = store.load_run(spark, f"{output_dir}/runs", model, task.name)
+    stage = "full" if candidates is None else "filtered"  # K3: candidate-restricted predictions
+    run = store.load_run(spark, f"{output_dir}/runs", model, task.name, stage)
     if run is None:
         emb_root = f"{output_dir}/embeddings"
 
@@ -159,8 +160,8 @@ def evaluate(
                     F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rk")))
             else:
                 res = res.unionByName(search(unlisted, c, depth, group_cols=keys))
-        store.save_run(res, f"{output_dir}/runs", model, task.name)
-        run = store.load_run(spark, f"{output_dir}/runs", model, task.name)
+        store.save_run(res, f"{output_dir}/runs", model, task.name, stage)
+        run = store.load_run(spark, f"{output_dir}/runs", model, task.name, stage)
     run = run.select(*keys, "qid", "did", "score")
     run_qids = run.select(*keys, "qid").distinct()
     metrics = score_run(run, qrels, task, keys=keys, run_qids=run_qids, hook=hook)
