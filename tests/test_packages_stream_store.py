@@ -6,13 +6,12 @@ import os
 import tarfile
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rankwell.operators.embed import HashedBagOfWords, embed, hashed_embedding
 from rankwell.operators.fusion import fuse
-from rankwell.operators.nauc import confidence, nauc
+from rankwell.operators.nauc import nauc
 from rankwell.operators.positions import positions
 from rankwell.operators.score import search
 from rankwell.plans import store

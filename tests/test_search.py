@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from rankwell.operators.candidates import candidate_pairs, filter_lenient, filter_strict
 from rankwell.operators.rank import skip_first, top_k
