@@ -101,8 +101,11 @@ def txt_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
         F.col("doc_id").cast("string").alias("did"), "text", F.col("lang").alias("subset")
     )
     # embeddings are computed once and kept (checkpoint) for every later use
-    found = contains_pairs(docs, bench, did="did", doc_text="text", pid="qid", passage_text="text")
-    qrels = found.select(F.col("pid").alias("qid"), "did", F.lit(1).alias("rel"))
+    # the containment join runs once; metrics read its result several times
+    def qrels():
+        found = contains_pairs(docs, bench, did="did", doc_text="text", pid="qid", passage_text="text")
+        return cut_lineage(found.select(F.col("pid").alias("qid"), "did", F.lit(1).alias("rel")))
+
     return Family(lambda: cut_lineage(hashed_embedding(bench, "text", dim)),
                   lambda: cut_lineage(hashed_embedding(docs, "text", dim).drop("text")), qrels)
 
