@@ -135,3 +135,21 @@ def contains_keys(refs: DataFrame, members: DataFrame) -> DataFrame:
     """``key in package`` for every reference row."""
     flag = members.select("package", "path", F.lit(True).alias("present"))
     return refs.join(flag, ["package", "path"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def sequence_inputs(seq_rows: DataFrame, members: DataFrame, packages: dict[str, str], default: str,
+                    id_col: str = "id", data_col: str = "data") -> DataFrame:
+    """SEQ rows (JSON sequences) -> ``(id, seq_text, image)``.
+
+    The text parts (each followed by a space) and the bytes of the first
+    image, fetched from its package (default: the first declared one), are the
+    inputs a multimodal embedder receives; rows without an image get null.
+    """
+    from ..operators.prep import flatten_sequences, parse_sequence
+
+    flat = flatten_sequences(seq_rows.select(id_col, parse_sequence(data_col).alias("items")), "items")
+    with_img = flat.where(F.col("seq_image").isNotNull()).select(
+        id_col, F.col("seq_image.path").alias("path"), F.col("seq_image.package").alias("package"))
+    fetched = fetch(resolve_refs(with_img, default), members, packages)
+    return flat.select(id_col, "seq_text").join(
+        fetched.select(id_col, F.col("content").alias("image")), id_col, "left")

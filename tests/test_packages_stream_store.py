@@ -205,3 +205,23 @@ def test_lifecycle_candidates_equal_full_depth_filter(spark, tmp_path):
     a = {(r.metric, r.k): r.value for r in got.collect() if ":" not in r.metric}
     b = {(r.metric, r.k): r.value for r in want.collect()}
     assert a == pytest.approx(b)
+
+
+def test_sequence_inputs_feed_a_multimodal_embedder(spark, tmp_path):
+    a = str(tmp_path / "p.tar")
+    make_tar(a, {"i1.png": b"12345", "i2.png": b"xy"})
+    members = P.read_members(spark, {"imgs": a})
+    rows = spark.createDataFrame([
+        ("s1", json.dumps(["look", {"path": "i1.png"}, "here", {"path": "i2.png"}])),
+        ("s2", json.dumps(["text only"])),
+    ], "id string, data string")
+    inputs = P.sequence_inputs(rows, members, {"imgs": a}, default="imgs")
+    got = {r.id: (r.seq_text, None if r.image is None else bytes(r.image)) for r in inputs.collect()}
+    assert got == {"s1": ("look here ", b"12345"), "s2": ("text only ", None)}
+
+    def factory():  # text length and image size as a 2-d "embedding"
+        return lambda x: np.array([[len(t), 0 if b is None else len(b)] for t, b in zip(x["seq_text"], x["image"])])
+
+    vecs = {r.id: list(r.vec) for r in embed(inputs, factory, input_cols=("seq_text", "image"),
+                                             sort_col="seq_text").collect()}
+    assert vecs == {"s1": [10.0, 5.0], "s2": [10.0, 0.0]}
