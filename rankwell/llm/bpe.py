@@ -36,21 +36,22 @@ class PrefixBPE:
         self.ranks, self.memo = ranks, memo
         self.tokens = {t: b for b, t in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._parts: dict[int, tuple[int, int]] = {}
+        self._fits: dict[int, bool] = {}
         self._last: dict[bytes, int] = {}
 
-    def _split(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes ``token``; None for single bytes."""
-        if token not in self._parts:
-            b, found = self.tokens[token], None
+    def _split(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes ``token``; (-1, -1) for single bytes."""
+        found = self._parts.get(token)
+        if found is None:
+            b, found = self.tokens[token], (-1, -1)
             for i in range(1, len(b)):
-                p, q = self.ranks.get(b[:i]), self.ranks.get(b[i:])
-                if p is not None and q is not None and p < token and q < token and self._border(p, q, token):
+                p, q = self.ranks.get(b[:i], token), self.ranks.get(b[i:], token)
+                if p < token and q < token and self._border(p, q, token):
                     found = (p, q)
                     break
             self._parts[token] = found
-        return self._parts[token]
+        return found
 
     def _border(self, p: int, q: int, limit: float) -> bool:
         """True if no merge of rank under ``limit`` crosses the border of p and q.
@@ -59,39 +60,44 @@ class PrefixBPE:
         a merge across the border would have won if its rank is lower than that one's
         (at the right of the border also if it is equal, as the leftmost goes first).
         """
-        tokens, ranks = self.tokens, self.ranks
+        tokens, rank, parts, split = self.tokens, self.ranks.get, self._parts, self._split
         while True:
-            across = ranks.get(tokens[p] + tokens[q])
+            across = rank(tokens[p] + tokens[q])
             if across is not None and across < limit:
                 return False
-            left, right = self._split(p), self._split(q)
-            if left is None and right is None:
+            left = (parts.get(p) or split(p))[1]
+            right = (parts.get(q) or split(q))[0]
+            if left < 0 and right < 0:
                 return True
-            if right is None or (left is not None and p > q):
-                limit, p = p, left[1]
+            if right < 0 or (left >= 0 and p > q):
+                limit, p = p, left
             else:
-                limit, q = q + 1, right[0]
+                limit, q = q + 1, right
 
     def fits(self, p: int, q: int) -> bool:
         """Whether q may follow p in an encoding."""
-        known = self._fits.get((p, q))
+        known = self._fits.get(p << 20 | q)
         if known is None:
             if len(self._fits) >= self.memo:
                 self._fits.clear()
-            known = self._fits[p, q] = self._border(p, q, float("inf"))
+            known = self._fits[p << 20 | q] = self._border(p, q, float("inf"))
         return known
 
     def extend(self, piece: bytes, last: list[int], start: int) -> None:
         """Fill ``last[i]``, the last token of ``piece[:i]``, for i over ``start``, in place."""
-        ranks, fits = self.ranks, self.fits
+        rank, known, longest = self.ranks.get, self._fits, self.longest
         for i in range(start + 1, len(piece) + 1):
-            for k in range(max(0, i - self.longest), i):
-                token = ranks.get(piece[k:i])
-                if token is not None and (k == 0 or fits(last[k], token)):
-                    last[i] = token
-                    break
+            for k in range(i - longest if i > longest else 0, i):
+                token = rank(piece[k:i])
+                if token is not None:
+                    if not k:
+                        break
+                    fit = known.get(last[k] << 20 | token)
+                    if fit or (fit is None and self.fits(last[k], token)):
+                        break
             else:
                 raise ValueError("the rank table does not cover every byte")
+            last[i] = token
 
     def walk(self, last: list[int], end: int) -> list[int]:
         ids = []
@@ -186,17 +192,14 @@ class TextBPE:
         return found
 
     def encode(self, text: str) -> tuple[list[int], str]:
-        get, slow = self._new.get, self.piece
+        pieces = self.find(text)
+        found = list(map(self._new.get, pieces))
+        if None in found:
+            found = [f if f is not None else self.piece(p) for f, p in zip(found, pieces)]
         ids: list[int] = []
-        shown: list[str] = []
-        for p in self.find(text):
-            found = get(p)
-            if found is None:
-                found = slow(p)
-                get = self._new.get
-            ids += found[0]
-            shown.append(found[1])
-        return ids, " ".join(shown)
+        for f in found:
+            ids += f[0]
+        return ids, " ".join([f[1] for f in found])
 
 
 _CODERS: dict[tuple[str, str], TextBPE] = {}
