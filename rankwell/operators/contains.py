@@ -4,7 +4,7 @@ Passages are packed into byte-bounded blocks and paired with document chunks
 (``operators.blocks``); each pair row runs one Aho-Corasick automaton over the
 chunk's texts, so the cost is linear in the text plus the matches, never one
 test per (document, passage) pair.  The automaton of a block is built once per
-Python worker and reused for every chunk it meets.
+task and reused for every chunk of that task.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from .blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks, spread
 
 DEFAULT_BLOCK_BYTES = 8 << 20
-_AUTOMATA: dict = {}
+# Automata that one task keeps at a time.
+MAX_AUTOMATA = 8
 
 
-def _automaton(key, patterns: list[str | None]):
+def _automaton(patterns: list[str | None]):
+    """(automaton or None, passage numbers by text, numbers of empty passages)."""
     import ahocorasick
 
-    if key in _AUTOMATA:
-        return _AUTOMATA[key]
     by_text: dict[str, list[int]] = {}
     empty: list[int] = []
     for i, p in enumerate(patterns):
@@ -41,22 +41,23 @@ def _automaton(key, patterns: list[str | None]):
         for text in by_text:
             auto.add_word(text, text)
         auto.make_automaton()
-    if len(_AUTOMATA) > 8:
-        _AUTOMATA.clear()
-    _AUTOMATA[key] = (auto, by_text, empty)
-    return _AUTOMATA[key]
+    return auto, by_text, empty
 
 
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    automata: dict[int, tuple] = {}  # of this task: its blocks all come from one passage table
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             p_fields = row.column("p_items").flatten().flatten()
             d_fields = row.column("d_items").flatten().flatten()
             pids = p_fields[0].to_pylist()
-            ptexts = p_fields[1].to_pylist()
-            key = (row.column("blk")[0].as_py(), len(pids), hash(tuple(pids)))
-            auto, by_text, empty = _automaton(key, ptexts)
+            blk = row.column("blk")[0].as_py()
+            if blk not in automata:
+                if len(automata) >= MAX_AUTOMATA:
+                    automata.clear()
+                automata[blk] = _automaton(p_fields[1].to_pylist())
+            auto, by_text, empty = automata[blk]
             out_p, out_d = [], []
             for did, text in zip(d_fields[0].to_pylist(), d_fields[1].to_pylist()):
                 if text is None:
