@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Norm floor of the L2 normalisation: a zero vector becomes a zero vector and
 # scores 0 instead of NaN.
 NORM_EPS = 1e-12
+# Binary digits of a score that count for its rank (about 12 decimal digits).
+KEY_BITS = 40
 
 
 def as_double_array(c: Column | str) -> Column:
@@ -54,6 +56,18 @@ def nan_to_minus_one(score: Column) -> Column:
     return F.nanvl(score, F.lit(-1.0))
 
 
+def sort_key(score: Column | str) -> Column:
+    """Score to rank by: rounded to ``KEY_BITS`` binary digits of its own magnitude.
+
+    Equal vectors then tie whatever order their products were summed in, and
+    products of any scale keep their order.
+    """
+    s = F.col(score) if isinstance(score, str) else score
+    exponent = F.greatest(F.floor(F.log2(F.abs(s))), F.lit(-900))
+    scale = F.pow(F.lit(2.0), F.lit(KEY_BITS) - exponent)
+    return F.when(s == 0, F.lit(0.0)).when(F.abs(s) == F.lit(float("inf")), s).otherwise(F.rint(s * scale) / scale)
+
+
 def vector_add(a: Column | str, b: Column | str) -> Column:
     """V5: element-wise sum (late fusion)."""
     return F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: x + y)

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 CONF_BROADCAST_BYTES = "rankwell.blocks.broadcastBytes"
 CONF_TARGET_TASKS = "rankwell.blocks.targetTasks"
 DEFAULT_BROADCAST_BYTES = 64 << 20
+# Inputs below this many estimated bytes per core are dealt evenly over the cores.
+SPREAD_BYTES = 16 << 20
 
 
 def conf_int(spark, key: str, default: int) -> int:
@@ -33,12 +35,25 @@ def conf_int(spark, key: str, default: int) -> int:
         return default
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a DataFrame as its optimised plan estimates it (metadata only, nothing runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame over the cores when it has fewer partitions than
-    cores (a small file with few row groups); large inputs already have many
-    partitions and are left as they are (no shuffle)."""
+    """Deal a small input evenly over the cores.
+
+    An input whose estimated size is below ``SPREAD_BYTES`` per core may sit in
+    one or two files; larger inputs already have many partitions and are left
+    as they are (no shuffle).
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if plan_bytes(df) < SPREAD_BYTES * cores else df
+
+
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has at most ``rows`` rows (counted), as it is otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id_out: str = "cb") -> DataFrame:

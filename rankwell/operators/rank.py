@@ -7,26 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import SCORE_DECIMALS
-
-# Spark only plans a partial (map-side) WindowGroupLimit when k is at most
-# this setting (default 1000); deeper cut-offs raise it for the session.
-WINDOW_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+from ..functions.vectors import sort_key
 
 
 def rank_order(score: str = "score", did: str = "did"):
-    """Score descending (rounded sort key), then document id descending."""
-    return [F.round(F.col(score), SCORE_DECIMALS).desc(), F.col(did).desc()]
-
-
-def _ensure_window_limit(df: DataFrame, k: int) -> None:
-    spark = df.sparkSession
-    try:
-        current = int(spark.conf.get(WINDOW_LIMIT_CONF))
-    except Exception:  # noqa: BLE001
-        return
-    if 0 <= current < k:
-        spark.conf.set(WINDOW_LIMIT_CONF, str(k))
+    """Score descending (by its scale-relative key), then document id descending."""
+    return [sort_key(score).desc(), F.col(did).desc()]
 
 
 def rank(run: DataFrame, keys: Sequence[str] = ("qid",), score: str = "score", did: str = "did") -> DataFrame:
@@ -42,9 +28,10 @@ def top_k(
 
     Top-k is associative, so this also merges partial top-k lists of corpus
     chunks (T2): Spark plans it as a partial window limit before the shuffle
-    by query and a final one after it.
+    by query and a final one after it, as long as k is at most
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; beyond it, all partial
+    lists are shuffled, which the search has already cut to k per task.
     """
-    _ensure_window_limit(run, k)
     return rank(run, keys, score, did).where(F.col("rk") <= F.lit(k))
 
 

@@ -11,19 +11,23 @@ Plan (J1 / V2 / V3 / V4 / T2):
   check, a salted 2-D block join otherwise).
 * With a group restriction (score only pairs with equal group values, e.g. a
   conversation or a subset), both sides are hashed into bounded blocks inside
-  their group and each (query block, corpus chunk) of a group is its own join
-  key, so a hot group is spread over many tasks.
+  their group, and (group, query block, corpus chunk) is the join key of both
+  sides.  Only groups of more than one block are looked up, in a table that is
+  broadcast while it is small, so a hot group is spread over many tasks
+  whichever side makes it hot.
 * Every (block, chunk) row is scored by numpy matmuls over slices of the
-  block's queries (each score matrix stays below ``MAX_SCORE_CELLS``) and
-  emits only its exact partial top-k; Spark's window limit (``WindowGroupLimit``, partial
-  before the shuffle by query, final after it) merges them into the top-k.
+  block's queries (each score matrix stays below ``MAX_SCORE_CELLS``).  A task
+  keeps the running k-th best key of every query it meets, buffers only hits
+  that reach it, and emits at most k hits per query and part when its input
+  ends or the buffer is full; Spark's window limit merges these lists.
 
 ``corpus_part`` names a corpus column (e.g. a subset) that splits the ranking:
 the result holds the top k per (part, query) from one pass over the corpus.
 
 Scores are cosine (``do_norm``) or dot products in float64 with NaN mapped to
--1 and rounded to ``SCORE_DECIMALS`` so duplicate vectors tie exactly; ties
-go to the larger document id (string order), as a (score, id) heap keeps.
+-1, saved as they are.  They are ranked by ``functions.vectors.sort_key``
+(relative to their own scale), so duplicate vectors tie exactly; ties go to
+the larger document id (string order), as a (score, id) heap keeps.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from ..functions.vectors import NORM_EPS, as_double_array, similarity
-from ..session import SCORE_DECIMALS
-from .blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks, spread
+from ..functions.vectors import KEY_BITS, NORM_EPS, as_double_array
+from .blocks import bounded_broadcast, n_blocks_for, pack_blocks, pack_partitions, pair_blocks, spread
 from .rank import top_k
 
 DEFAULT_QUERY_BLOCK_BYTES = 16 << 20
@@ -45,6 +50,12 @@ DEFAULT_CHUNK_ROWS = 4096
 # Upper bound of one dense score matrix inside a task (cells, 8 bytes each):
 # query rows of a block are scored in slices so that slice x chunk stays below it.
 MAX_SCORE_CELLS = 4 << 20
+# Unit vectors sum to a product with about this absolute error.
+COSINE_NOISE = 2.0**-46
+# Hits that a task buffers before it cuts them to k per query, and emits them if they do not shrink.
+MAX_BUFFER = 4 << 20
+# Groups of more than one block that are broadcast (one row each); beyond it they are joined by a shuffle.
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def _row_bytes(dim: int) -> int:
@@ -52,35 +63,50 @@ def _row_bytes(dim: int) -> int:
 
 
 # ---------------------------------------------------------------- pairing
-def _pairs_global(q: DataFrame, c: DataFrame, nq: int, dim: int, block_bytes: int, part: bool,
+def _pairs_global(q: DataFrame, c: DataFrame, nq: int, dim: int, k: int, block_bytes: int, part: bool,
                   broadcast_bytes: int | None) -> DataFrame:
     total = nq * _row_bytes(dim)
-    nqb = n_blocks_for(total, block_bytes)
+    # a block's running lists (k keys per query) are bounded like its vectors
+    nqb = max(n_blocks_for(total, block_bytes), n_blocks_for(nq * min(k, DEFAULT_CHUNK_ROWS), MAX_BUFFER))
     qblocks = pack_blocks(q, "qid", ["qid", "vec"], nqb, out="q_items")
     chunks = pack_partitions(spread(c), ["did", "vec", *(["part"] if part else [])], out="c_items")
     return pair_blocks(chunks, qblocks, nqb, total, broadcast_bytes)
 
 
+def _block_counts(df: DataFrame, groups: list[str], rows: int, out: str) -> DataFrame:
+    """Groups of more than one block of ``rows`` rows, with the number of blocks."""
+    counts = df.groupBy(*[F.col(g).alias(f"_{out}_{g}") for g in groups]).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("bigint").alias(out))
+    return bounded_broadcast(counts.where(F.col(out) > 1), MAX_BROADCAST_GROUPS)
+
+
+def _with_blocks(df: DataFrame, counts: DataFrame, groups: list[str], out: str) -> DataFrame:
+    """Adds the number of blocks of the row's group (1 unless ``counts`` names more)."""
+    same = [F.col(g).eqNullSafe(F.col(f"_{out}_{g}")) for g in groups]
+    cond = same[0]
+    for x in same[1:]:
+        cond = cond & x
+    joined = df.join(counts, cond, "left").drop(*[f"_{out}_{g}" for g in groups])
+    return joined.withColumn(out, F.coalesce(out, F.lit(1).cast("bigint")))
+
+
 def _pairs_grouped(
     q: DataFrame, c: DataFrame, groups: list[str], dim: int, block_bytes: int, chunk_rows: int, part: bool
 ) -> DataFrame:
     per_block = max(1, block_bytes // _row_bytes(dim))
-    qstats = q.groupBy(*groups).agg(F.count(F.lit(1)).alias("_nq"))
-    cstats = c.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).alias("_ncb"))
-    qb = q.join(qstats, groups).withColumn("qb", F.pmod(F.xxhash64("qid"), F.ceil(F.col("_nq") / F.lit(per_block))))
-    cb = c.join(cstats, groups).withColumn("cb", F.pmod(F.xxhash64("did"), F.col("_ncb")))
-    citem = ["did", "vec", *(["part"] if part else [])]
-    # shuffle on (group, block) explicitly: a partitioning by the group alone
-    # would otherwise be reused and put a hot group's rows into one task
-    qblocks = qb.repartition(*groups, "qb").groupBy(*groups, "qb").agg(
-        F.collect_list(F.struct("qid", "vec")).alias("q_items"))
-    chunks = cb.repartition(*groups, "cb").groupBy(*groups, "cb").agg(
-        F.collect_list(F.struct(*citem)).alias("c_items"))
-    # each query block meets each chunk of its group under its own join key
-    fanned = qblocks.join(cstats, groups).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.col("_ncb") - 1).cast("array<bigint>"))
-    )
-    return fanned.drop("_ncb").join(chunks, [*groups, "cb"])
+    q, c = (df.where(F.coalesce(*[F.col(g).cast("string") for g in groups]).isNotNull()) for df in (q, c))
+    nq, nc = _block_counts(q, groups, per_block, "nqb"), _block_counts(c, groups, chunk_rows, "ncb")
+
+    def deal(df, own, other, key, mine, theirs, items, packed):
+        """Rows packed per (group, own block) and copied to every block of the other side."""
+        blocks = _with_blocks(df, own, groups, mine).withColumn(key, F.pmod(F.xxhash64(items[0]), F.col(mine)))
+        # an explicit shuffle on (group, block): one on the group alone would put a hot group into one task
+        blocks = blocks.repartition(*groups, key).groupBy(*groups, key).agg(F.collect_list(F.struct(*items)).alias(packed))
+        return _with_blocks(blocks, other, groups, theirs).withColumn(
+            "qb" if key == "cb" else "cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(theirs) - 1))).drop(theirs)
+
+    qblocks = deal(q, nq, nc, "qb", "nqb", "ncb", ["qid", "vec"], "q_items")
+    chunks = deal(c, nc, nq, "cb", "ncb", "nqb", ["did", "vec", *(["part"] if part else [])], "c_items")
+    return qblocks.join(chunks, [*groups, "qb", "cb"]).withColumn("blk", F.col("qb"))
 
 
 # ---------------------------------------------------------------- scoring
@@ -105,6 +131,24 @@ def _normalise(m: np.ndarray) -> np.ndarray:
         return m / np.maximum(n, NORM_EPS)
 
 
+def sort_keys(scores: np.ndarray) -> np.ndarray:
+    """``functions.vectors.sort_key`` of an array."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        exponent = np.maximum(np.floor(np.log2(np.abs(scores))), -900.0)
+        scale = np.exp2(KEY_BITS - exponent)
+        key = np.rint(scores * scale) / scale
+    return np.where(scores == 0, 0.0, np.where(np.isinf(scores), scores, key))
+
+
+def _settled(s: np.ndarray, do_norm: bool) -> np.ndarray:
+    """V3: NaN is -1; a cosine below ``COSINE_NOISE`` is the rounding error of 0; there is no negative zero."""
+    s[np.isnan(s)] = -1.0
+    if do_norm:
+        s[np.abs(s) < COSINE_NOISE] = 0.0
+    s += 0.0
+    return s
+
+
 def id_ranks(dids: np.ndarray) -> np.ndarray:
     """Position of every id in string order (the tie-break key)."""
     r = np.empty(len(dids), np.int64)
@@ -112,47 +156,97 @@ def id_ranks(dids: np.ndarray) -> np.ndarray:
     return r
 
 
-def partial_topk(scores: np.ndarray, dids: np.ndarray, k: int, valid: np.ndarray | None = None,
+def partial_topk(keys: np.ndarray, dids: np.ndarray, k: int, valid: np.ndarray | None = None,
                  id_rank: np.ndarray | None = None):
-    """Exact top-k of every row by (score desc, id desc) -> (row idx, col idx).
+    """Exact top-k of every row by (key desc, id desc) -> (row idx, col idx).
 
-    Scores carry ``SCORE_DECIMALS`` decimals, so (score, id rank) packs exactly
-    into one int64 key ``round(score * 10^d) * n + id_rank``; one vectorised
-    ``argpartition`` then selects the top k including the tie-break.
+    One vectorised partition finds the k-th key of each row; only rows with
+    several ids at that key are sorted by id.
     """
-    nq, nc = scores.shape
+    nq, nc = keys.shape
     if nc == 0 or nq == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    if id_rank is None:
-        id_rank = id_ranks(dids)
-    ticks = np.rint(scores * 10.0**SCORE_DECIMALS)
-    if float(np.abs(ticks).max()) * nc >= 2.0**62:  # large dot products: exact row-wise sort instead
-        s = scores if valid is None else np.where(valid, scores, -np.inf)
-        order = np.lexsort((-np.broadcast_to(id_rank, s.shape), -s), axis=-1)[:, :k]
-        rows = np.repeat(np.arange(nq), order.shape[1])
-        cols = order.reshape(-1)
-        if valid is not None:
-            keep = valid[rows, cols]
-            rows, cols = rows[keep], cols[keep]
-        return rows, cols
-    key = ticks.astype(np.int64) * nc + id_rank[None, :]
-    floor = np.iinfo(np.int64).min
     if valid is not None:
-        key = np.where(valid, key, floor)
-    if nc > k:
-        cols = np.argpartition(key, nc - k, axis=1)[:, nc - k:]
+        keys = np.where(valid, keys, -np.inf)
+    if nc <= k:
+        mask = np.ones(keys.shape, bool)
     else:
-        cols = np.broadcast_to(np.arange(nc), (nq, nc))
-    rows = np.repeat(np.arange(nq), cols.shape[1])
-    cols = cols.reshape(-1)
+        kth = np.partition(keys, nc - k, axis=1)[:, nc - k, None]
+        mask = keys >= kth
+        over = np.flatnonzero(mask.sum(axis=1) > k)
+        if len(over):  # ties at the cut: the larger ids stay
+            id_rank = id_ranks(dids) if id_rank is None else id_rank
+            tied = keys[over] == kth[over]
+            rank = np.where(tied, id_rank[None, :], -1)
+            free = k - (keys[over] > kth[over]).sum(axis=1)
+            order = np.argsort(-rank, axis=1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(nc)[None, :], axis=1)
+            mask[over] = (keys[over] > kth[over]) | (tied & (place < free[:, None]))
     if valid is not None:
-        keep = key[rows, cols] != floor
-        rows, cols = rows[keep], cols[keep]
-    return rows, cols
+        mask &= valid
+    return np.nonzero(mask)
+
+
+class _Running:
+    """Hits of the queries of one block within one task, cut to k per query and part."""
+
+    def __init__(self, keep: list, qids: np.ndarray, k: int):
+        self.keep, self.qids, self.k = keep, qids, k
+        self.floor: dict = {}  # part -> (n queries, k) best keys so far
+        self.dids: list[np.ndarray] = []
+        self.n_dids = 0
+        self.rows: list[tuple] = []  # (part number, query, document number, key, score)
+        self.parts: list = []
+        self.size = 0
+
+    def offer(self, part, base: int, r: np.ndarray, d: np.ndarray, key: np.ndarray, score: np.ndarray, n_queries: int) -> None:
+        """Hits of one slice: r are queries from ``base`` on, d documents of the last chunk."""
+        if part not in self.floor:
+            self.floor[part] = np.full((len(self.qids), self.k), -np.inf) if self.k <= 256 else None
+            self.parts.append(part)
+        best = self.floor[part]
+        if best is not None:
+            mine = slice(base, base + n_queries)
+            enough = key >= best[mine].min(axis=1)[r]
+            r, d, key, score = r[enough], d[enough], key[enough], score[enough]
+            if len(r):
+                width = np.bincount(r, minlength=n_queries).max()
+                at = np.arange(len(r)) - np.searchsorted(r, r)  # r is sorted
+                fresh = np.full((n_queries, width), -np.inf)
+                fresh[r, at] = key
+                both = np.concatenate([best[mine], fresh], axis=1)
+                best[mine] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k:]
+        if len(r):
+            self.rows.append((np.full(len(r), self.parts.index(part)), r + base, d + self.n_dids, key, score))
+            self.size += len(r)
+
+    def chunk_done(self, dids: np.ndarray) -> None:
+        self.dids.append(dids)
+        self.n_dids += len(dids)
+
+    def cut(self) -> None:
+        """Keep the k best hits of every (part, query)."""
+        if len(self.rows) < 2:
+            return
+        part, q, d, key, score = (np.concatenate(x) for x in zip(*self.rows))
+        dids = np.concatenate(self.dids)
+        rank = id_ranks(dids)
+        order = np.lexsort((-rank[d], -key, q, part))
+        part, q, d, key, score = part[order], q[order], d[order], key[order], score[order]
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (part[1:] != part[:-1])])
+        start = np.flatnonzero(new)
+        keep = np.arange(len(q)) - start[np.cumsum(new) - 1] < self.k
+        used, d = np.unique(d[keep], return_inverse=True)
+        self.dids, self.n_dids = [dids[used]], len(used)
+        self.rows = [(part[keep], q[keep], d, key[keep], score[keep])]
+        self.size = int(keep.sum())
 
 
 def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str], part: bool):
-    def score_row(row: pa.RecordBatch):
+    """Rows (keep..., blk, q_items, c_items) -> at most k hits per query, part and task (unless the buffer fills)."""
+
+    def score_row(row: pa.RecordBatch, running: dict):
         qids, qm, _ = _matrix(row.column("q_items").flatten(), "query")
         dids, cm, parts = _matrix(row.column("c_items").flatten(), "corpus")
         if len(qids) == 0 or len(dids) == 0:
@@ -166,41 +260,53 @@ def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str],
             pv = np.array(["\x00" if p is None else p for p in parts], dtype=object)
             groups = [(p, np.nonzero(pv == p)[0]) for p in dict.fromkeys(pv)]
         ranks = [id_ranks(dids[idx]) for _, idx in groups]
+        own = [row.column(name)[0].as_py() for name in keep]
+        key = (*own, row.column("blk")[0].as_py())
+        if key not in running:
+            running[key] = _Running(own, qids, k)
+        mine = running[key]
+        if mine.qids is not qids and not np.array_equal(mine.qids, qids):
+            raise ValueError("a query block changed within a task")
         step = max(1, MAX_SCORE_CELLS // max(1, len(dids)))
-        qarr = pa.array(qids, pa.string())
-        darr = pa.array(dids, pa.string())
         for lo in range(0, len(qids), step):
             sq = qids[lo:lo + step]
             s = qm[lo:lo + step] @ cm.T
-            s[np.isnan(s)] = -1.0
-            s = np.round(s, SCORE_DECIMALS)
+            s = _settled(s, do_norm)
+            keys = sort_keys(s)
             valid = (sq[:, None] != dids[None, :]) if exclude_identical else None
-            out_r, out_c, out_p = [], [], []
             for (p, idx), rank in zip(groups, ranks):
-                sub_valid = None if valid is None else valid[:, idx]
-                r, c = partial_topk(s[:, idx], dids[idx], k, sub_valid, rank)
-                out_r.append(r)
-                out_c.append(idx[c])
-                out_p.append(np.full(len(r), p, dtype=object))
-            r, c = np.concatenate(out_r), np.concatenate(out_c)
-            if not len(r):
-                continue
-            cols = [pa.array(np.repeat(row.column(name).to_pylist(), len(r)), row.schema.field(name).type)
-                    for name in keep]
-            extra = []
-            if part:
-                pcol = np.concatenate(out_p)
-                extra = [pa.array([None if x == "\x00" else x for x in pcol], pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, *extra, qarr.take(pa.array(r + lo)), darr.take(pa.array(c)),
-                 pa.array(s[r, c], pa.float64())],
-                names=[*keep, *(["part"] if part else []), "qid", "did", "score"],
-            )
+                r, c = partial_topk(keys[:, idx], dids[idx], k, None if valid is None else valid[:, idx], rank)
+                mine.offer(p, lo, r, idx[c], keys[r, idx[c]], s[r, idx[c]], len(sq))
+        mine.chunk_done(dids)
+
+    def emit(running: dict, schema: pa.Schema):
+        for one in running.values():
+            one.cut()
+            dids = np.concatenate(one.dids) if one.dids else np.empty(0, object)
+            for number, q, d, _, score in one.rows:
+                cols = [pa.array([v] * len(q), schema.field(name).type) for v, name in zip(one.keep, keep)]
+                if part:
+                    names = np.array([None if x == "\x00" else x for x in one.parts], dtype=object)
+                    cols.append(pa.array(names[number], pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(one.qids[q], pa.string()), pa.array(dids[d], pa.string()), pa.array(score, pa.float64())],
+                    names=[*keep, *(["part"] if part else []), "qid", "did", "score"])
+        running.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running: dict = {}
+        schema = None
         for batch in batches:
+            schema = batch.schema
             for i in range(batch.num_rows):
-                yield from score_row(batch.slice(i, 1))
+                score_row(batch.slice(i, 1), running)
+                if sum(x.size for x in running.values()) > MAX_BUFFER:
+                    for one in running.values():
+                        one.cut()
+                    if sum(x.size for x in running.values()) > MAX_BUFFER // 2:
+                        yield from emit(running, schema)
+        if running:
+            yield from emit(running, schema)
 
     return run
 
@@ -243,13 +349,13 @@ def search(
     if groups:
         pairs = _pairs_grouped(q, c, groups, dim, query_block_bytes, chunk_rows, part)
     else:
-        pairs = _pairs_global(q, c, nq, dim, query_block_bytes, part, broadcast_bytes)
+        pairs = _pairs_global(q, c, nq, dim, k, query_block_bytes, part, broadcast_bytes)
     types = {f.name: f.dataType.simpleString() for f in q.schema.fields}
     out_schema = ", ".join(
         [f"`{g}` {types[g]}" for g in groups] + (["part string"] if part else [])
         + ["qid string", "did string", "score double"]
     )
-    partial = pairs.select(*groups, "q_items", "c_items").mapInArrow(
+    partial = pairs.select(*groups, "blk", "q_items", "c_items").mapInArrow(
         _scorer(k, do_norm, exclude_identical, groups, part), out_schema
     )
     keys = [*groups, *(["part"] if part else []), "qid"]
@@ -259,8 +365,27 @@ def search(
     return out
 
 
+@F.pandas_udf(DoubleType())
+def _pair_scores(a: pd.Series, b: pd.Series, norm: pd.Series) -> pd.Series:
+    """Cosine or dot products of aligned vectors, a batch at a time."""
+    if not len(a):
+        return pd.Series([], dtype=np.float64)
+    la, lb = a.map(len).to_numpy(), b.map(len).to_numpy()
+    if (la != lb).any():
+        raise ValueError("vectors of a pair differ in length")
+    out = np.empty(len(a))
+    for dim in np.unique(la):
+        at = np.flatnonzero(la == dim)
+        x, y = (np.array(v.iloc[at].tolist(), dtype=np.float64).reshape(len(at), dim) for v in (a, b))
+        if norm.iloc[0]:
+            x, y = _normalise(x), _normalise(y)
+        with np.errstate(invalid="ignore"):
+            out[at] = np.einsum("ij,ij->i", x, y)
+    return pd.Series(_settled(out, bool(norm.iloc[0])))
+
+
 def score_pairs(
     pairs: DataFrame, q_vec: str = "q_vec", d_vec: str = "d_vec", do_norm: bool = True, out: str = "score"
 ) -> DataFrame:
-    """Score already-joined (query, document) rows JVM-side (V2 on pairs, J4)."""
-    return pairs.withColumn(out, F.round(similarity(q_vec, d_vec, do_norm), SCORE_DECIMALS))
+    """Score already-joined (query, document) rows in Arrow batches (V2 on pairs, J4)."""
+    return pairs.withColumn(out, _pair_scores(q_vec, d_vec, F.lit(do_norm)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Sort keys round scores to this many decimals so that equal vectors tie
-# exactly even when BLAS sums them in a different order.
+# Registered queries show scores with this many decimals; stored scores are not rounded.
 SCORE_DECIMALS = 9
 
 
@@ -27,14 +28,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.worker.reuse", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    atexit.register(_drop_at_exit, spark)
     return spark
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop_scratch(spark)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -91,8 +99,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder name in the shared folder; ``drop_scratch`` removes those of this application."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the folders that this application made with ``scratch_path``.
+
+    Call it when no result that reads them is needed any more; ``local_session``
+    does so when the Python process ends.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(conf).delete(hadoop, True)
+    return len(paths)
+
+
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

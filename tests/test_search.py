@@ -24,7 +24,7 @@ def brute(q, c, k, norm=True, excl=False, group=None):
         cand = [(s[i, j], did) for j, did in enumerate(c.did)
                 if not (excl and did == qid) and (group is None or q[group].iloc[i] == c[group].iloc[j])]
         cand.sort(reverse=True)
-        out += [(qid, d, sc, r + 1) for r, (sc, d) in enumerate(cand[:k])]
+        out += [(qid, d, float(sc), r + 1) for r, (sc, d) in enumerate(cand[:k])]
     return sorted(out)
 
 
@@ -51,7 +51,7 @@ def test_search_equals_brute_force(spark, data, k, norm, excl):
     c = data.rename(columns={"id": "did"})
     got = search(frame(spark, q, ["qid", "vec"]), frame(spark, c, ["did", "vec"]), k, do_norm=norm,
                  exclude_identical=excl)
-    rows = sorted((r.qid, r.did, r.score, r.rk) for r in got.collect())
+    rows = sorted((r.qid, r.did, round(r.score, 9), r.rk) for r in got.collect())
     assert rows == brute(q, c, k, norm, excl)
 
 
@@ -60,7 +60,7 @@ def test_search_without_broadcast_and_many_blocks(spark, data):
     c = data.rename(columns={"id": "did"})
     got = search(frame(spark, q, ["qid", "vec"]), frame(spark, c, ["did", "vec"]).repartition(5), 4,
                  query_block_bytes=300, broadcast_bytes=0)
-    assert sorted((r.qid, r.did, r.score, r.rk) for r in got.collect()) == brute(q, c, 4)
+    assert sorted((r.qid, r.did, round(r.score, 9), r.rk) for r in got.collect()) == brute(q, c, 4)
 
 
 def test_grouped_search(spark, data):
@@ -68,7 +68,7 @@ def test_grouped_search(spark, data):
     c = data.rename(columns={"id": "did"})
     got = search(frame(spark, q, ["qid", "vec", "grp"]), frame(spark, c, ["did", "vec", "grp"]), 3,
                  group_cols=["grp"], chunk_rows=4, query_block_bytes=200)
-    rows = sorted((r.qid, r.did, r.score, r.rk) for r in got.collect())
+    rows = sorted((r.qid, r.did, round(r.score, 9), r.rk) for r in got.collect())
     assert rows == brute(q, c, 3, group="grp")
 
 
@@ -82,7 +82,7 @@ def test_corpus_part_and_merge(spark, data):
         want = brute(q, sub, 3)
         assert sorted((qid, did) for gg, qid, did in per if gg == g) == sorted((a, b) for a, b, _, _ in want)
     merged = top_k(parts.drop("rk"), 3)
-    assert sorted((r.qid, r.did, r.score, r.rk) for r in merged.collect()) == brute(q, c, 3)
+    assert sorted((r.qid, r.did, round(r.score, 9), r.rk) for r in merged.collect()) == brute(q, c, 3)
 
 
 def test_partial_topk_ties():
