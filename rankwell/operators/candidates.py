@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .score import score_pairs
 
+# A document's list of queries is dealt into so many shares, and packed in blocks of so many queries.
+LIST_SHARES, LIST_BLOCK = 16, 1024
+
 
 def explode_candidates(lists: DataFrame, qid: str = "query_id", dids: str = "candidate_doc_ids",
                        keys: Sequence[str] = ()) -> DataFrame:
@@ -48,16 +51,23 @@ def filter_lenient(run: DataFrame, cand: DataFrame, keys: Sequence[str] = ()) ->
 
 def candidate_pairs(cand: DataFrame, queries: DataFrame, corpus: DataFrame, keys: Sequence[str] = (),
                     do_norm: bool = True) -> DataFrame:
-    """Score only the listed pairs (pre-filter), JVM-side.
+    """Score only the listed pairs (pre-filter).
 
     ``queries``/``corpus`` carry ``(keys, qid|did, vec)``.  With full-depth
-    retrieval this equals retrieving everything and filtering afterwards.
+    retrieval this equals retrieving everything and filtering afterwards.  The
+    lists are packed per document first, so a document's vector is shuffled once
+    per block of ``LIST_BLOCK`` queries that list it (also if most queries do),
+    and pairs are scored in Arrow batches.
     """
     keys = list(keys)
-    q = queries.select(*keys, F.col("qid").cast("string").alias("qid"), F.col("vec").alias("q_vec"))
-    d = corpus.select(*keys, F.col("did").cast("string").alias("did"), F.col("vec").alias("d_vec"))
+    q = queries.select(*keys, F.col("qid").cast("string").alias("qid"), F.col("vec").cast("array<double>").alias("q_vec"))
+    d = corpus.select(*keys, F.col("did").cast("string").alias("did"), F.col("vec").cast("array<double>").alias("d_vec"))
     pairs = cand.where(F.col("did").isNotNull()).select(*keys, "qid", "did").dropDuplicates([*keys, "qid", "did"])
-    joined = pairs.join(q, [*keys, "qid"]).join(d, [*keys, "did"])
+    lists = pairs.groupBy(*keys, "did", F.pmod(F.xxhash64("qid"), F.lit(LIST_SHARES)).alias("share")).agg(F.collect_list("qid").alias("qids"))
+    size = F.ceil(F.size("qids") / F.lit(LIST_BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.slice("qids", i * LIST_BLOCK + 1, LIST_BLOCK))
+    lists = lists.select(*keys, "did", F.explode(blocks).alias("qids")).join(d, [*keys, "did"])
+    joined = lists.select(*keys, "did", "d_vec", F.explode("qids").alias("qid")).join(q, [*keys, "qid"])
     return score_pairs(joined, do_norm=do_norm).select(*keys, "qid", "did", "score")
 
 

@@ -17,20 +17,25 @@ are ranked by what is left).  The evaluated queries are a *spine*: the
 query ids of the unfiltered run that also appear in the qrels, so a query
 whose hits were all filtered away still counts with zeros.
 
-Everything runs in one conditional-aggregation pass per query: hits are
-graded by a join on (qid, did), ranked with their running hit count in one
-window per query, cut at ``max(k)``; the ideal side is cut by a window
-limit and R is a partial (map-side) count, so a hot query cannot pin a task.
+Plan: the run is cut to ``max(k)`` hits per query first (window limits before
+and after the shuffle), or a stored rank is trusted.  The judgments are read
+once: they meet the hits in one full outer join on (qid, did), are counted per
+(query, grade) with partial aggregation - so a query with many judged documents
+is no large group - and folded into one row per query with its hit ranks and
+its grade counts.  Unjudged hits have grade 0 and change no metric.
+
+``ClassQrels`` judges by classes of queries and documents instead of pairs, for
+judgments like "same label": nothing of the size queries x documents is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rank import rank, rank_order, top_k
+from .rank import rank, top_k
 
 DEFAULT_K_VALUES = (1, 3, 5, 10, 20, 100, 1000)
 METRICS = ("ndcg", "map", "recall", "precision", "mrr", "cv_recall")
@@ -44,6 +49,8 @@ def _log2(c):
 def judged(run: DataFrame, qrels: DataFrame, k_max: int, keys: Sequence[str] = ()) -> DataFrame:
     """Top ``k_max`` hits per query with their grade (0 when unjudged) and hit flag."""
     keys = list(keys)
+    if isinstance(qrels, ClassQrels):
+        raise TypeError("class judgments have no rows per pair; use per_query")
     ranked = top_k(run.select(*keys, "qid", "did", "score"), k_max, keys=[*keys, "qid"])
     rel = qrels.select(*keys, "qid", "did", F.col("rel").cast("int").alias("rel"))
     return (
@@ -53,21 +60,6 @@ def judged(run: DataFrame, qrels: DataFrame, k_max: int, keys: Sequence[str] = (
     )
 
 
-def ideal(qrels: DataFrame, k_values: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
-    """Per query: R and the ideal DCG at every cut-off."""
-    keys = list(keys)
-    k_max = max(k_values)
-    pos = qrels.where(F.col("rel") > 0).select(*keys, "qid", F.col("rel").cast("int").alias("rel"))
-    w = Window.partitionBy(*keys, "qid").orderBy(F.col("rel").desc())
-    best = pos.withColumn("irk", F.row_number().over(w)).where(F.col("irk") <= F.lit(k_max))
-    gain = F.col("rel") / _log2(F.col("irk") + 1)
-    idcg = best.groupBy(*keys, "qid").agg(
-        *[F.sum(F.when(F.col("irk") <= F.lit(k), gain).otherwise(0.0)).alias(f"idcg_{k}") for k in k_values]
-    )
-    n_rel = pos.groupBy(*keys, "qid").agg(F.count(F.lit(1)).alias("R"))
-    return n_rel.join(idcg, [*keys, "qid"], "left")
-
-
 def spine(run_qids: DataFrame, qrels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Evaluated queries: ids of the (unfiltered) run that have qrels rows."""
     keys = list(keys)
@@ -76,74 +68,148 @@ def spine(run_qids: DataFrame, qrels: DataFrame, keys: Sequence[str] = ()) -> Da
     )
 
 
+class PairQrels:
+    """Judgments as rows ``(keys, qid, did, rel)``."""
+
+    def __init__(self, qrels: DataFrame):
+        self.qrels = qrels
+
+    def folded(self, hits: DataFrame, keys: list[str]) -> DataFrame:
+        """``(keys, qid, judged, found, grades array<(rel, n)>, hits array<(rk, rel)>)`` of every query of
+        either side; ``hits`` has ``(keys, qid, did, rk)``."""
+        on = [*keys, "qid", "did"]
+        rel = self.qrels.select(*on, F.col("rel").cast("int").alias("rel"))
+        j = rel.join(hits.select(*on, "rk"), on, "full_outer")
+        per = j.groupBy(*keys, "qid", "rel").agg(
+            F.count(F.lit(1)).alias("n"), F.count("rk").alias("nf"), F.collect_list(F.when(F.col("rel") > 0, F.col("rk"))).alias("rks"))
+        graded = F.when(F.col("rel") > 0, F.struct("rel", "n"))
+        ranks = F.collect_list(F.when(F.size("rks") > 0, F.transform("rks", lambda r: F.struct(r.alias("rk"), F.col("rel").alias("rel")))))
+        return per.groupBy(*keys, "qid").agg(
+            F.max(F.col("rel").isNotNull()).alias("judged"), (F.sum("nf") > 0).alias("found"),
+            F.collect_list(graded).alias("grades"), F.flatten(ranks).alias("hits"))
+
+
+class ClassQrels:
+    """Judgments by class: ``rules`` gives the grade of (query class, document class).
+
+    ``queries`` (keys, qid, qclass), ``docs`` (keys, did, dclass) and ``rules``
+    (qclass, dclass, rel) have one row each per query, document and judged pair of
+    classes.  With ``skip_identical`` the document whose id is the query's is not
+    judged.  Grades of hits are looked up by class, and the counts of grades come
+    from the sizes of the document classes.
+    """
+
+    def __init__(self, queries: DataFrame, docs: DataFrame, rules: DataFrame, skip_identical: bool = True):
+        self.queries, self.docs, self.rules, self.skip_identical = queries, docs, rules, skip_identical
+
+    def folded(self, hits: DataFrame, keys: list[str]) -> DataFrame:
+        q = self.queries.select(*keys, "qid", "qclass")
+        d = self.docs.select(*keys, "did", "dclass")
+        rules = self.rules.select("qclass", "dclass", F.col("rel").cast("int").alias("rel"))
+        sizes = d.groupBy(*keys, "dclass").agg(F.count(F.lit(1)).alias("n"))
+        per_class = sizes.join(rules, "dclass").groupBy(*keys, "qclass", "rel").agg(F.sum("n").alias("n"))
+        per_class = per_class.groupBy(*keys, "qclass").agg(F.collect_list(F.struct("rel", "n")).alias("all_grades"))
+        base = q.join(per_class, [*keys, "qclass"], "left")
+        if self.skip_identical:  # one document less of the query's own grade
+            own = d.select(*keys, F.col("did").alias("qid"), "dclass")
+            base = base.join(own, [*keys, "qid"], "left").join(rules.withColumnRenamed("rel", "own"), ["qclass", "dclass"], "left")
+        else:
+            base = base.withColumn("own", F.lit(None).cast("int"))
+        less = F.transform("all_grades", lambda g: F.struct(g["rel"].alias("rel"), (g["n"] - F.coalesce((g["rel"] == F.col("own")).cast("long"), F.lit(0).cast("long"))).alias("n")))
+        base = base.withColumn("counted", F.filter(less, lambda g: g["n"] > 0))
+        graded = hits.select(*keys, "qid", "did", "rk").join(q, [*keys, "qid"]).join(d, [*keys, "did"]).join(rules, ["qclass", "dclass"], "left")
+        if self.skip_identical:
+            graded = graded.withColumn("rel", F.when(F.col("qid") != F.col("did"), F.col("rel")))
+        per_q = graded.groupBy(*keys, "qid").agg(F.collect_list(F.when(F.col("rel") > 0, F.struct("rk", "rel"))).alias("hits"), F.lit(True).alias("found"))
+        out = base.join(per_q, [*keys, "qid"], "left")
+        return out.select(
+            *keys, "qid", (F.coalesce(F.size("counted"), F.lit(0)) > 0).alias("judged"), F.coalesce("found", F.lit(False)).alias("found"),
+            F.filter("counted", lambda g: g["rel"] > 0).alias("grades"), F.coalesce("hits", F.array().cast("array<struct<rk:int,rel:int>>")).alias("hits"))
+
+
+def _gain_sums(k_max: int):
+    """Array literal: sum of 1 / log2(i + 1) over i = 1..m, at index m + 1."""
+    import math
+
+    total, out = 0.0, [0.0]
+    for i in range(1, k_max + 1):
+        total += 1.0 / math.log2(i + 1)
+        out.append(total)
+    return F.array(*[F.lit(x) for x in out])
+
+
+def _ideal(grades, sums, k: int):
+    """Ideal DCG at k from (grade, number) sorted by grade descending."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("dcg"))
+
+    def step(acc, g):
+        end = F.least(acc["at"] + g["n"], F.lit(k).cast("long"))
+        gain = F.element_at(sums, (end + 1).cast("int")) - F.element_at(sums, (acc["at"] + 1).cast("int"))
+        return F.struct(end.alias("at"), (acc["dcg"] + g["rel"] * gain).alias("dcg"))
+
+    return F.aggregate(grades, start, step, lambda acc: acc["dcg"])
+
+
 def per_query(
     run: DataFrame,
-    qrels: DataFrame,
+    qrels: "DataFrame | PairQrels | ClassQrels",
     k_values: Sequence[int] = DEFAULT_K_VALUES,
     keys: Sequence[str] = (),
     run_qids: DataFrame | None = None,
+    ranked: bool = False,
 ) -> DataFrame:
     """``(keys, qid, k, ndcg, map, recall, precision, mrr, cv_recall)``.
 
     ``run_qids`` are the queries the run was made for (before any candidate
-    filter); by default the query ids present in ``run``.
+    filter); by default the query ids present in ``run``.  ``ranked``: trust the
+    run's own ``rk`` instead of ranking it by score.
     """
     keys = list(keys)
     ks = sorted(set(int(k) for k in k_values))
-    # grade every hit (one shuffle on (qid, did)), then rank and count hits so
-    # far in one window per query (one shuffle on qid)
-    rel = qrels.select(*keys, "qid", "did", F.col("rel").cast("int").alias("rel"))
-    graded = (
-        run.select(*keys, "qid", "did", "score").join(rel, [*keys, "qid", "did"], "left")
-        .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
-        .withColumn("hit", (F.col("rel") > 0).cast("int"))
-    )
-    w = Window.partitionBy(*keys, "qid").orderBy(*rank_order())
-    hits = (
-        graded.withColumn("rk", F.row_number().over(w))
-        .withColumn("chit", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .where(F.col("rk") <= F.lit(max(ks)))
-    )
-    rk = F.col("rk")
-    dcg_i = F.when(F.col("rel") > 0, F.col("rel") / _log2(rk + 1)).otherwise(0.0)
-    ap_i = F.col("hit") * F.col("chit") / rk
-    rr_i = F.col("hit") / rk
-    aggs = []
+    if ranked:
+        hits = run.where(F.col("rk") <= F.lit(max(ks))).select(*keys, "qid", "did", F.col("rk").cast("int").alias("rk"))
+    else:
+        hits = top_k(run.select(*keys, "qid", "did", "score"), max(ks), keys=[*keys, "qid"]).select(*keys, "qid", "did", "rk")
+    judgments = PairQrels(qrels) if isinstance(qrels, DataFrame) else qrels
+    base = judgments.folded(hits, keys).where("judged")
+    if run_qids is None:
+        base = base.where("found")
+    else:
+        base = base.join(run_qids.select(*keys, F.col("qid").cast("string").alias("qid")).distinct(), [*keys, "qid"], "left_semi")
+    desc = F.reverse(F.array_sort("grades"))
+    rows = base.select(*keys, "qid", desc.alias("grades"), F.posexplode_outer(F.array_sort("hits")).alias("i", "h"))
+    rk, rel = F.col("h.rk"), F.col("h.rel")
+    aggs = [F.first("grades").alias("grades")]
     for k in ks:
         inside = rk <= F.lit(k)
         aggs += [
-            F.sum(F.when(inside, dcg_i).otherwise(0.0)).alias(f"dcg_{k}"),
-            F.sum(F.when(inside, ap_i).otherwise(0.0)).alias(f"ap_{k}"),
-            F.sum(F.when(inside, F.col("hit")).otherwise(0)).alias(f"nhit_{k}"),
-            F.max(F.when(inside, rr_i).otherwise(0.0)).alias(f"rr_{k}"),
+            F.sum(F.when(inside, rel / _log2(rk + 1)).otherwise(0.0)).alias(f"dcg_{k}"),
+            F.sum(F.when(inside, (F.col("i") + 1) / rk).otherwise(0.0)).alias(f"ap_{k}"),
+            F.sum(F.when(inside, 1).otherwise(0)).alias(f"nhit_{k}"),
+            F.max(F.when(inside, F.lit(1.0) / rk).otherwise(0.0)).alias(f"rr_{k}"),
         ]
-    stats = hits.groupBy(*keys, "qid").agg(*aggs)
-    if run_qids is None:  # the run's own queries: every one of them has hit rows
-        judged_q = qrels.select(*keys, "qid").distinct()
-        wide = stats.join(judged_q, [*keys, "qid"], "left_semi")
-    else:
-        wide = spine(run_qids, qrels, keys).join(stats, [*keys, "qid"], "left")
-    wide = wide.join(ideal(qrels, ks, keys), [*keys, "qid"], "left")
-    r = F.nullif(F.coalesce(F.col("R"), F.lit(0)), F.lit(0)).cast("double")
+    wide = rows.groupBy(*keys, "qid").agg(*aggs)
+    judged_n = F.aggregate("grades", F.lit(0).cast("long"), lambda acc, g: acc + g["n"])
+    wide = wide.withColumn("R", F.nullif(judged_n, F.lit(0).cast("long")).cast("double")).withColumn("gain", _gain_sums(max(ks)))
 
     def z(c):
         return F.coalesce(c, F.lit(0.0))
 
-    rows = []
+    out = []
     for k in ks:
-        nhit = F.coalesce(F.col(f"nhit_{k}"), F.lit(0)).cast("double")
-        rows.append(
+        nhit = F.col(f"nhit_{k}").cast("double")
+        out.append(
             F.struct(
                 F.lit(k).alias("k"),
-                z(F.col(f"dcg_{k}") / F.nullif(F.col(f"idcg_{k}"), F.lit(0.0))).alias("ndcg"),
-                z(F.col(f"ap_{k}") / r).alias("map"),
-                z(nhit / r).alias("recall"),
+                z(F.col(f"dcg_{k}") / F.nullif(_ideal(F.col("grades"), F.col("gain"), k), F.lit(0.0))).alias("ndcg"),
+                z(F.col(f"ap_{k}") / F.col("R")).alias("map"),
+                z(nhit / F.col("R")).alias("recall"),
                 (nhit / F.lit(float(k))).alias("precision"),
                 z(F.col(f"rr_{k}")).alias("mrr"),
                 (nhit > 0).cast("double").alias("cv_recall"),
             )
         )
-    return wide.select(*keys, "qid", F.inline(F.array(*rows)))
+    return wide.select(*keys, "qid", F.inline(F.array(*out)))
 
 
 def to_long(pq: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -204,9 +270,10 @@ def evaluate(
     keys: Sequence[str] = (),
     run_qids: DataFrame | None = None,
     denominator: str = "evaluated",
+    ranked: bool = False,
 ) -> DataFrame:
     """Run + qrels -> mean metrics ``(keys, metric, k, value)``."""
-    pq = per_query(run, qrels, k_values, keys, run_qids)
+    pq = per_query(run, qrels, k_values, keys, run_qids, ranked)
     return mean(pq, keys, denominator, qrels)
 
 

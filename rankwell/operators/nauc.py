@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .positions import positions
-from .rank import rank
+from .rank import top_k
 
 RATES = 10  # 0, 0.1, ..., 0.9
 SIGNALS = ("max", "std", "diff1")
@@ -30,53 +30,56 @@ DECIMALS = 9
 
 
 def confidence(run: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``(keys, qid, max, std, diff1)`` from each query's scores."""
+    """``(keys, qid, max, std, diff1)`` from each query's scores.
+
+    The two best scores come from a top-2 cut (window limits), the deviation
+    from a plain aggregate: no query's run is sorted as a whole.
+    """
     keys = list(keys)
-    ranked = rank(run.select(*keys, "qid", "did", "score"), [*keys, "qid"])
-    s1 = F.max(F.when(F.col("rk") == 1, F.col("score")))
-    s2 = F.max(F.when(F.col("rk") == 2, F.col("score")))
-    return ranked.groupBy(*keys, "qid").agg(
-        F.round(s1, DECIMALS).alias("max"),
-        F.round(F.stddev_pop("score"), DECIMALS).alias("std"),
-        F.round(F.coalesce(s1 - s2, F.lit(0.0)), DECIMALS).alias("diff1"),
-    )
+    run = run.select(*keys, "qid", "did", "score")
+    spread = run.groupBy(*keys, "qid").agg(F.stddev_pop("score").alias("std"))
+    s1, s2 = (F.max(F.when(F.col("rk") == i, F.col("score"))) for i in (1, 2))
+    best = top_k(run, 2, [*keys, "qid"]).groupBy(*keys, "qid").agg(s1.alias("s1"), s2.alias("s2"))
+    return best.join(spread, [*keys, "qid"]).select(
+        *keys, "qid", F.round("s1", DECIMALS).alias("max"), F.round("std", DECIMALS).alias("std"),
+        F.round(F.coalesce(F.col("s1") - F.col("s2"), F.lit(0.0)), DECIMALS).alias("diff1"))
+
+
+def _curve(pos: DataFrame, g: list[str]) -> DataFrame:
+    """Abstention curve ``c0..c9`` per group from (value, pos, n)."""
+    n, aggs = F.col("n"), []
+    for i in range(RATES):
+        drop = F.least(F.bround(F.lit(i) * F.lit(0.1) * n, 0), n - 1)
+        aggs.append((F.sum(F.when(F.col("pos") >= drop, F.col("value")).otherwise(0.0)) / F.max(n - drop)).alias(f"c{i}"))
+    return pos.groupBy(*g).agg(*aggs)
+
+
+def _area():
+    """Trapezoid rule over the curve."""
+    out = F.lit(0.0)
+    for i in range(RATES - 1):
+        out = out + F.lit((i + 1) * 0.1 - i * 0.1) * (F.col(f"c{i}") + F.col(f"c{i + 1}")) / F.lit(2.0)
+    return out
 
 
 def nauc(per_query_long: DataFrame, conf: DataFrame, keys: Sequence[str] = (),
          metrics: Sequence[str] = NAUC_METRICS) -> DataFrame:
-    """``(keys, metric, k, signal, value)`` from long per-query metrics and confidences."""
+    """``(keys, metric, k, signal, value)`` from long per-query metrics and confidences.
+
+    The order of the queries by a signal does not depend on the metric or the
+    cut-off: each signal is sorted once per key set, and its positions meet the
+    metric rows by query.  Only the oracle is sorted per (metric, k).
+    """
     keys = list(keys)
     g = [*keys, "metric", "k"]
-    pq = per_query_long.where(F.col("metric").isin(list(metrics)))
-    c = conf.select(*keys, "qid", *SIGNALS)
-    joined = pq.join(c, [*keys, "qid"], "left")
-    sig_rows = [
-        F.struct(F.lit(s).alias("signal"), F.coalesce(F.col(s), F.lit(0.0)).alias("sortkey")) for s in SIGNALS
-    ] + [F.struct(F.lit("oracle").alias("signal"), F.col("value").alias("sortkey"))]
-    long = joined.select(*g, "qid", "value", F.inline(F.array(*sig_rows)))
-    pos = positions(long, [*g, "signal"], [F.col("sortkey").asc(), F.col("qid").asc()])
-    n = F.col("n")
-    aggs = []
-    for i in range(RATES):
-        rate = F.lit(i) * F.lit(0.1)
-        drop = F.least(F.bround(rate * n, 0), n - 1)
-        aggs.append(F.sum(F.when(F.col("pos") >= drop, F.col("value")).otherwise(0.0)) / (n - drop))
-    curves = pos.groupBy(*g, "signal", "n").agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)])
-
-    def area(prefix=""):
-        parts = []
-        for i in range(RATES - 1):
-            dx = F.lit((i + 1) * 0.1 - i * 0.1)
-            parts.append(dx * (F.col(f"{prefix}c{i}") + F.col(f"{prefix}c{i + 1}")) / F.lit(2.0))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out + p
-        return out
-
-    oracle = curves.where(F.col("signal") == "oracle").select(
-        *g, area().alias("or_auc"), (F.col("c0") * F.lit((RATES - 1) * 0.1)).alias("flat")
-    )
-    sig = curves.where(F.col("signal") != "oracle").select(*g, "signal", area().alias("auc"))
+    pq = per_query_long.where(F.col("metric").isin(list(metrics))).select(*g, "qid", "value")
+    queries = pq.select(*keys, "qid").distinct().join(conf.select(*keys, "qid", *SIGNALS), [*keys, "qid"], "left")
+    rows = F.array(*[F.struct(F.lit(s).alias("signal"), F.coalesce(F.col(s), F.lit(0.0)).alias("sortkey")) for s in SIGNALS])
+    order = [F.col("sortkey").asc(), F.col("qid").asc()]
+    by_signal = positions(queries.select(*keys, "qid", F.inline(rows)), [*keys, "signal"], order).select(*keys, "qid", "signal", "pos", "n")
+    sig = _curve(pq.join(by_signal, [*keys, "qid"]), [*g, "signal"]).select(*g, "signal", _area().alias("auc"))
+    best = positions(pq.withColumn("sortkey", F.col("value")), g, order)
+    oracle = _curve(best, g).select(*g, _area().alias("or_auc"), (F.col("c0") * F.lit((RATES - 1) * 0.1)).alias("flat"))
     den = F.col("or_auc") - F.col("flat")
     value = F.when(F.abs(den) < F.lit(1e-12), F.lit(None).cast("double")).otherwise((F.col("auc") - F.col("flat")) / den)
     return sig.join(oracle, g).select(*g, "signal", F.round(value, DECIMALS).alias("value"))
