@@ -94,10 +94,13 @@ def embed_mixed(df: DataFrame, factories: dict[str, EmbedderFactory], id_col: st
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def _bincount(buckets: pd.Series, dims: pd.Series) -> pd.Series:
-    dim = int(dims.iloc[0]) if len(dims) else 0
-    return pd.Series(
-        [np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64) for b in buckets]
-    )
+    """Counts per bucket of every row: one ``bincount`` over ``row * dim + bucket`` for the whole batch."""
+    n, dim = len(buckets), int(dims.iloc[0]) if len(dims) else 0
+    rows = [np.asarray(b, dtype=np.int64) if b is not None else np.zeros(0, np.int64) for b in buckets]
+    if not n:
+        return pd.Series([], dtype=object)
+    flat = np.concatenate(rows) + np.repeat(np.arange(n, dtype=np.int64) * dim, [len(r) for r in rows])
+    return pd.Series(list(np.bincount(flat, minlength=n * dim).astype(np.float64).reshape(n, dim)))
 
 
 def hashed_embedding(df: DataFrame, text_col: str = "text", dim: int = 64, out: str = "vec") -> DataFrame:

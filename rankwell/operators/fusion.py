@@ -9,19 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..functions.vectors import vector_add
-from ..session import SCORE_DECIMALS
 from .embed import factory_key
 
 
 def fuse(a: DataFrame, b: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """Element-wise sum of two vectors per id (inner join on id).
+    """Element-wise sum of two vectors per id.
 
-    Vectors of unequal length fail the job, as the reference's length check does.
+    Both sides must hold the same ids and vectors of equal length; an id of one
+    side only, or unequal lengths, fail the job.
     """
-    j = a.select(id_col, F.col(vec).alias("_a")).join(b.select(id_col, F.col(vec).alias("_b")), id_col)
-    checked = F.when(F.size("_a") != F.size("_b"), F.raise_error(F.lit("fused vectors differ in length")))
-    return j.select(id_col, F.coalesce(checked.cast("array<double>"), vector_add("_a", "_b")).alias(vec))
+    right = b.select(F.col(id_col).alias("_id"), F.col(vec).alias("_b"))
+    j = a.select(id_col, F.col(vec).alias("_a")).join(right, F.col(id_col) == F.col("_id"), "full_outer")
+    lone = F.col("_a").isNull() | F.col("_b").isNull()
+    checked = F.when(lone, F.raise_error(F.concat(F.lit("id on one side only: "), F.coalesce(F.col(id_col), F.col("_id")).cast("string"))))
+    checked = checked.when(F.size("_a") != F.size("_b"), F.raise_error(F.lit("fused vectors differ in length")))
+    return j.select(F.coalesce(F.col(id_col), F.col("_id")).alias(id_col), F.coalesce(checked.cast("array<double>"), vector_add("_a", "_b")).alias(vec))
 
 
 PairScorerFactory = Callable[[], Callable[[pd.Series, pd.Series], np.ndarray]]
@@ -43,25 +47,31 @@ def score_with(pairs: DataFrame, factory: PairScorerFactory, q_text: str = "q_te
         for pdf in pdfs:
             s = np.asarray(scorer(pdf[q_text], pdf[d_text]), dtype=np.float64)
             res = pdf[keep].copy()
-            res[out] = np.round(np.where(np.isnan(s), -1.0, s), SCORE_DECIMALS)
+            res[out] = np.where(np.isnan(s), -1.0, s)
             yield res
 
     return pairs.mapInPandas(run, schema)
 
 
+def token_overlap(q_text: str = "q_text", d_text: str = "d_text"):
+    """Jaccard overlap of lower-cased token sets as a column (0 if both are empty)."""
+    a, b = (F.array_distinct(tokens(F.coalesce(F.col(c), F.lit("")))) for c in (q_text, d_text))
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
 def jaccard_scorer() -> Callable[[pd.Series, pd.Series], np.ndarray]:
-    """Test pair scorer: Jaccard overlap of lower-cased whitespace token sets."""
-    import re
+    """Example of a user pair scorer: Jaccard overlap of lower-cased token sets.
 
-    def toks(t):
-        return {x for x in re.split("[ \n]+", (t or "").lower()) if x}
+    Every distinct text of a batch is split once.
+    """
+    import re
 
     def score(qs: pd.Series, ds: pd.Series) -> np.ndarray:
-        out = np.zeros(len(qs))
-        for i, (q, d) in enumerate(zip(qs, ds)):
-            a, b = toks(q), toks(d)
-            u = len(a | b)
-            out[i] = len(a & b) / u if u else 0.0
-        return out
+        sets = {t: {x for x in re.split("[ \n]+", (t or "").lower()) if x} for t in pd.unique(pd.concat([qs, ds], ignore_index=True))}
+        both = [(sets[q], sets[d]) for q, d in zip(qs, ds)]
+        inter = np.array([len(a & b) for a, b in both], dtype=np.float64)
+        union = np.array([len(a) + len(b) for a, b in both], dtype=np.float64) - inter
+        return np.divide(inter, union, out=np.zeros(len(both)), where=union > 0)
 
     return score
