@@ -48,7 +48,7 @@ def _required(c: Column, what: str) -> Column:
 
 def read_queries_jsonl(spark: SparkSession, path: str, id_field: str = "id", text_field: str = "text") -> DataFrame:
     """S1 queries: ``(qid, text)``; both fields are required, last duplicate wins."""
-    raw = spark.read.schema(_string_schema([id_field, text_field])).json(path)
+    raw = spark.read.schema(_string_schema([id_field, text_field])).option("mode", "FAILFAST").json(path)
     df = raw.select(
         _required(F.col(id_field), id_field).alias("qid"),
         _required(F.col(text_field), text_field).alias("text"),
@@ -61,7 +61,7 @@ def read_corpus_jsonl(
     spark: SparkSession, path: str, id_field: str = "id", text_field: str = "text", title_field: str = "title"
 ) -> DataFrame:
     """S1 corpus + P1 + P2: ``(did, text)`` with text = title + " " + text (nulls as "")."""
-    raw = spark.read.schema(_string_schema([id_field, text_field, title_field])).json(path)
+    raw = spark.read.schema(_string_schema([id_field, text_field, title_field])).option("mode", "FAILFAST").json(path)
     df = raw.select(
         _required(F.col(id_field), id_field).alias("did"),
         compose_text(F.col(title_field), F.col(text_field)).alias("text"),
@@ -119,9 +119,16 @@ def read_qrels_tsv_strict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qrels_from_json_rows(rows: DataFrame, id_col: str = "id", data_col: str = "data") -> DataFrame:
-    """``(id, data = JSON {did: int})`` rows -> long ``(qid, did, rel)``."""
-    m = F.from_json(F.col(data_col), "map<string,int>")
-    return rows.select(F.col(id_col).cast("string").alias("qid"), F.explode(m).alias("did", "rel"))
+    """``(id, data = JSON {did: int})`` rows -> long ``(qid, did, rel)``.
+
+    Malformed JSON and rows without id or data fail the job; of several rows
+    with one id the last one read wins, as in a dict.
+    """
+    m = F.from_json(_required(F.col(data_col), data_col), "map<string,int>", {"mode": "FAILFAST"})
+    parsed = rows.select(_required(F.col(id_col), id_col).cast("string").alias("qid"), m.alias("judged"), F.monotonically_increasing_id().alias("_pos"))
+    # a map cannot be grouped by, but the last row of an id can be picked with it inside a struct
+    last = parsed.groupBy("qid").agg(F.max_by(F.struct("judged"), "_pos").alias("row"))
+    return last.select("qid", F.explode("row.judged").alias("did", "rel"))
 
 
 def qrels_to_json_rows(qrels: DataFrame) -> DataFrame:
@@ -135,7 +142,9 @@ def qrels_to_json_rows(qrels: DataFrame) -> DataFrame:
 def read_dataset(spark: SparkSession, path: str, modal: str, with_prompt: bool = False, fmt: str = "json") -> DataFrame:
     """Fixed-schema rows ``id, data[, prompt][, modal]`` (all strings)."""
     fields = ["id", "data"] + (["prompt"] if with_prompt else []) + (["modal"] if modal == "MIXED" else [])
-    return spark.read.format(fmt).schema(_string_schema(fields)).load(path)
+    reader = spark.read.format(fmt).schema(_string_schema(fields))
+    raw = (reader.option("mode", "FAILFAST") if fmt == "json" else reader).load(path)
+    return raw.withColumn("id", _required(F.col("id"), "id"))
 
 
 def rename_text_to_data(df: DataFrame) -> DataFrame:
@@ -148,8 +157,8 @@ def read_candidates_jsonl(spark: SparkSession, path: str, qid_field: str = "quer
     """``{query_id, candidate_doc_ids[]}`` lines -> ``(qid, did)``; an empty list keeps
     the query with a null did; the last line of a query wins."""
     schema = StructType([StructField(qid_field, StringType()), StructField(list_field, _ARRAY_STR)])
-    raw = spark.read.schema(schema).json(path).select(
-        F.col(qid_field).alias("qid"), F.col(list_field).alias("dids"), file_position().alias("_pos")
+    raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path).select(
+        _required(F.col(qid_field), qid_field).alias("qid"), F.col(list_field).alias("dids"), file_position().alias("_pos")
     )
     lists = last_wins(raw, ["qid"])
     return lists.select("qid", F.explode_outer("dids").alias("did"))
@@ -159,8 +168,8 @@ def read_candidates_json_array(spark: SparkSession, path: str, qid_field: str =
                                list_field: str = "haystack_session_ids") -> DataFrame:
     """One JSON array of ``{question_id, haystack_session_ids[]}`` objects."""
     schema = StructType([StructField(qid_field, StringType()), StructField(list_field, _ARRAY_STR)])
-    raw = spark.read.option("multiLine", True).schema(schema).json(path).select(
-        F.col(qid_field).alias("qid"), F.col(list_field).alias("dids"),
+    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path).select(
+        _required(F.col(qid_field), qid_field).alias("qid"), F.col(list_field).alias("dids"),
         F.monotonically_increasing_id().alias("_pos"),
     )
     lists = last_wins(raw, ["qid"])

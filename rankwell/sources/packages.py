@@ -7,15 +7,17 @@ that walks the headers only.  Fetching joins the wanted references with the
 member table, sorts each package's reads by offset and reads byte ranges in
 ``mapInPandas`` - every task opens only the packages of its own rows.
 
-Paths must be readable from the executors (a shared file system).
+Tars lie on a file system that the executors share; tasks open them by range
+through ``pyarrow.fs`` (local files, HDFS, S3, GCS by their URI).  As in a dict
+of members, the last of several members with one name wins.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,28 +27,47 @@ MEMBER_SCHEMA = "package string, path string, offset bigint, size bigint"
 INDEX_SUFFIX = ".index"
 
 
+def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI (a local path without scheme too)."""
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri.removeprefix("file:")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def _walk(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import tarfile
 
     for pdf in pdfs:
         rows = []
         for name, tar_path in zip(pdf["package"], pdf["tar_path"]):
-            with tarfile.open(tar_path, "r:") as tf:
+            fs, path = open_uri(tar_path)
+            with fs.open_input_file(path) as f, tarfile.open(fileobj=f, mode="r:") as tf:
                 for m in tf:
                     if m.isfile():
                         rows.append((name, m.name, m.offset_data, m.size))
         yield pd.DataFrame(rows, columns=["package", "path", "offset", "size"])
 
 
+def last_members(members: DataFrame) -> DataFrame:
+    """One row per (package, path): the member that comes last in its tar."""
+    return members.groupBy("package", "path").agg(F.max_by("size", "offset").alias("size"), F.max("offset").alias("offset")).select(
+        "package", "path", "offset", "size")
+
+
 def build_members(spark: SparkSession, packages: dict[str, str]) -> DataFrame:
-    """S9 build: ``{package name: tar path}`` -> members table (one task per tar)."""
+    """S9 build: ``{package name: tar path}`` -> members table (one task per tar, headers only)."""
     pkgs = spark.createDataFrame(list(packages.items()), "package string, tar_path string")
-    return pkgs.repartition(max(1, len(packages)), "package").mapInPandas(_walk, MEMBER_SCHEMA)
+    return last_members(pkgs.repartition(max(1, len(packages)), "package").mapInPandas(_walk, MEMBER_SCHEMA))
 
 
 def read_members(spark: SparkSession, packages: dict[str, str], index_suffix: str = INDEX_SUFFIX) -> DataFrame:
     """Members from the ``.index`` files where they exist, built from the tar otherwise."""
-    indexed = {k: v for k, v in packages.items() if os.path.exists(v + index_suffix)}
+    indexed = {k: v for k, v in packages.items() if _exists(spark, v + index_suffix)}
     missing = {k: v for k, v in packages.items() if k not in indexed}
     parts = []
     for name, tar_path in indexed.items():
@@ -54,7 +75,7 @@ def read_members(spark: SparkSession, packages: dict[str, str], index_suffix: st
             spark.read.schema("path string, offset bigint, size bigint").option("sep", "\t")
             .option("mode", "FAILFAST").csv(tar_path + index_suffix)
         )
-        parts.append(idx.select(F.lit(name).alias("package"), "path", "offset", "size"))
+        parts.append(last_members(idx.select(F.lit(name).alias("package"), "path", "offset", "size")))
     if missing:
         parts.append(build_members(spark, missing))
     out = parts[0]
@@ -87,7 +108,7 @@ def fetch(refs: DataFrame, members: DataFrame, packages: dict[str, str], strict:
     dict lookup); otherwise missing references get a null content.
     """
     tars = refs.sparkSession.createDataFrame(list(packages.items()), "package string, tar_path string")
-    joined = refs.join(members, ["package", "path"], "left")
+    joined = refs.join(last_members(members), ["package", "path"], "left")
     if strict:
         joined = joined.withColumn(
             "offset",
@@ -113,9 +134,9 @@ def fetch(refs: DataFrame, members: DataFrame, packages: dict[str, str], strict:
                         continue
                     fh = handles.get(tar_path)
                     if fh is None:
-                        fh = handles[tar_path] = open(tar_path, "rb")
-                    fh.seek(int(off))
-                    out.append(fh.read(int(size)))
+                        fs, path = open_uri(tar_path)
+                        fh = handles[tar_path] = fs.open_input_file(path)
+                    out.append(fh.read_at(int(size), int(off)))
                 res = pdf[cols].copy()
                 res["content"] = out
                 yield res
@@ -133,7 +154,7 @@ def package_size(members: DataFrame) -> DataFrame:
 
 def contains_keys(refs: DataFrame, members: DataFrame) -> DataFrame:
     """``key in package`` for every reference row."""
-    flag = members.select("package", "path", F.lit(True).alias("present"))
+    flag = members.select("package", "path", F.lit(True).alias("present")).distinct()
     return refs.join(flag, ["package", "path"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
