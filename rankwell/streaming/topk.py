@@ -7,27 +7,27 @@ partial top-k rows are merged per query in ``applyInPandasWithState``.  The
 state of a query holds at most k (id, score) pairs, so no watermark is
 needed; a re-delivered document id is de-duplicated against the state.
 
-``run_to_table`` drives such a stream to completion (``availableNow``) and
-writes each micro-batch's changed rankings under ``batch=<id>`` (overwrite,
-so a retried batch replaces its own output); the final ranking of a query
-is the one from its latest batch.
+``run_to_table`` drives such a stream to completion (``availableNow``).  Each
+micro-batch writes the rankings of all queries seen so far under
+``batch=<id>``: its changed ones and the others from the batch before
+(overwrite, so a retried batch replaces its own output).  Older snapshots are
+removed, so what is stored does not grow with the number of batches.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.vectors import as_double_array
 from ..operators.blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks
-from ..operators.score import _row_bytes, _scorer
-from ..session import ensure_checkpoint_dir
+from ..operators.score import _row_bytes, _scorer, sort_keys
+from ..session import scratch_path
 
 OUT_SCHEMA = "qid string, did string, score double, rk int"
 STATE_SCHEMA = "dids array<string>, scores array<double>"
@@ -42,7 +42,9 @@ def _merger(k: int):
             best.update(zip(dids, scores))
         for pdf in pdfs:
             best.update(zip(pdf["did"], pdf["score"]))
-        top = sorted(((s, d) for d, s in best.items()), reverse=True)[:k]
+        scores = np.array(list(best.values()), dtype=np.float64)
+        ranked = sorted(zip(sort_keys(scores), best, scores), reverse=True)[:k]
+        top = [(float(s), d) for _, d, s in ranked]
         state.update(([d for _, d in top], [float(s) for s, _ in top]))
         yield pd.DataFrame({
             "qid": [qid] * len(top),
@@ -67,7 +69,7 @@ def stream_topk(corpus_stream: DataFrame, queries: DataFrame, k: int, *, do_norm
     qblocks = pack_blocks(q, "qid", ["qid", "vec"], nqb, out="q_items")
     chunks = pack_partitions(c, ["did", "vec"], out="c_items")
     pairs = pair_blocks(chunks, qblocks, nqb, total)
-    partial = pairs.select("q_items", "c_items").mapInArrow(
+    partial = pairs.select("blk", "q_items", "c_items").mapInArrow(
         _scorer(k, do_norm, exclude_identical, [], False), "qid string, did string, score double"
     )
     return partial.groupBy("qid").applyInPandasWithState(
@@ -78,22 +80,44 @@ def stream_topk(corpus_stream: DataFrame, queries: DataFrame, k: int, *, do_norm
 def run_to_table(updates: DataFrame, out_dir: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a ranking stream to completion; return the final ranking per query."""
     spark: SparkSession = updates.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    tag = uuid.uuid4().hex
-    out_dir = out_dir or os.path.join(base, f"stream-topk-{tag}", "out")
-    checkpoint = checkpoint or os.path.join(base, f"stream-topk-{tag}", "checkpoint")
+    if out_dir is None or checkpoint is None:
+        base = scratch_path(spark, "stream-topk")
+        out_dir, checkpoint = out_dir or f"{base}/out", checkpoint or f"{base}/checkpoint"
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = root.getFileSystem(conf)
+
+    def snapshots() -> list[int]:
+        """Numbers of the complete snapshots, in order."""
+        found = []
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            name = status.getPath().getName()
+            if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found.append(int(name.removeprefix("batch=")))
+        return sorted(found)
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
+        older = [n for n in snapshots() if n < batch_id]
+        new = df.select("qid", "did", "score", "rk").persist()  # used twice: the state must move only once
+        try:
+            out = new
+            if older:
+                before = df.sparkSession.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/batch={older[-1]}")
+                out = new.unionByName(before.join(new.select("qid").distinct(), "qid", "left_anti"))
+            out.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        finally:
+            new.unpersist()
+        # the one before stays until the next batch: a retry of this one starts from it
+        for n in older[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/batch={n}"), True)
 
     query = (
         updates.writeStream.outputMode("update").foreachBatch(sink)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    allb = spark.read.parquet(out_dir)
-    w = Window.partitionBy("qid")
-    return (
-        allb.withColumn("_last", F.max("batch").over(w)).where(F.col("batch") == F.col("_last"))
-        .select("qid", "did", "score", "rk")
-    )
+    done = snapshots()
+    if not done:
+        return spark.createDataFrame([], OUT_SCHEMA)
+    return spark.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/batch={done[-1]}")
