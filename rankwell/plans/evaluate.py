@@ -1,15 +1,16 @@
 """Task specification and the evaluation lifecycle.
 
 ``RetrievalTask`` is the driver-side task description (name, data sources,
-main metric, cut-offs, identical-id handling).  ``evaluate`` builds one lazy
-plan from inputs to metrics:
+main metric, cut-offs, identical-id handling).  ``evaluate`` builds plans from
+inputs to metrics:
 
-    queries/corpus -> embeddings (saved, reused) -> blocked top-k search
-    -> run (saved, reused) -> [candidate filter] -> per-query metrics
-    -> means (+ nAUC, + task hook) -> metrics (saved, reused)
+    queries/corpus -> prompts -> embeddings (saved, reused) -> blocked top-k
+    search, or listed pairs, a pair scorer or a user's search -> run (saved,
+    reused) -> per-query metrics -> means (+ nAUC, + task hook) -> metrics
 
-Each stage is written to a table so a later stage can be recomputed alone
-and a failure restarts from the last written table.
+Every stage is stored per subset.  What is stored is used, and only the rest
+is computed: a failure restarts from the last written table, and a subset that
+is added later is evaluated by itself.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators.candidates import candidate_pairs, drop_identical
-from ..operators.embed import EmbedderFactory, embed
+from ..operators.embed import EmbedderFactory, embed, embed_mixed
+from ..operators.fusion import PairScorerFactory, score_with
 from ..operators.nauc import confidence, nauc
+from ..operators.prep import resolve_prompts
 from ..operators.rank import skip_first, top_k
 from ..operators.score import search
 from . import store
@@ -40,12 +43,14 @@ class RetrievalTask:
     k_values: Sequence[int] = M.DEFAULT_K_VALUES
     ignore_identical_ids: bool = False
     skip_first_result: bool = False
-    chunk_size: int = 100000
 
     @classmethod
     def from_config(cls, path: str) -> "RetrievalTask":
         with open(path, encoding="utf-8") as f:
-            cfg = json.load(f)
+            return cls.from_dict(json.load(f))
+
+    @classmethod
+    def from_dict(cls, cfg: dict) -> "RetrievalTask":
         known = {k: v for k, v in cfg.items() if k in cls.__dataclass_fields__}
         if "k_values" in known:
             known["k_values"] = tuple(int(k) for k in known["k_values"])
@@ -55,6 +60,11 @@ class RetrievalTask:
     def depth(self) -> int:
         return max(self.k_values)
 
+    @property
+    def search_depth(self) -> int:
+        """Hits to retrieve so that ``depth`` are left after the task's own removals."""
+        return self.depth + int(self.ignore_identical_ids) + int(self.skip_first_result)
+
     def main_key(self) -> tuple[str, int]:
         metric, k = self.main_metric.rsplit("_at_", 1)
         return metric, int(k)
@@ -80,6 +90,8 @@ def score_run(
 ) -> DataFrame:
     """Run -> long metrics ``(keys, metric, k, value)`` incl. nAUC names and the hook's rows."""
     keys = list(keys)
+    if run_qids is None:  # the queries before any hit is removed
+        run_qids = run.select(*keys, "qid").distinct()
     if task.ignore_identical_ids:
         run = drop_identical(run)
     if task.skip_first_result:
@@ -98,11 +110,68 @@ def score_run(
     return out
 
 
+Retriever = Callable[[DataFrame, DataFrame, int, "DataFrame | None", Sequence[str]], DataFrame]
+
+
+def pair_retriever(factory: PairScorerFactory) -> Retriever:
+    """a user pair scorer (cross-encoder) as a retriever over the candidate lists."""
+
+    def retrieve(queries: DataFrame, corpus: DataFrame, depth: int, candidates: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+        if candidates is None:
+            raise ValueError("a pair scorer needs candidate lists")
+        pairs = candidates.where(F.col("did").isNotNull()).select(*keys, "qid", "did").distinct()
+        pairs = pairs.join(queries.select(*keys, F.col("id").alias("qid"), F.col("data").alias("q_text")), [*keys, "qid"])
+        pairs = pairs.join(corpus.select(*keys, F.col("id").alias("did"), F.col("data").alias("d_text")), [*keys, "did"])
+        return top_k(score_with(pairs, factory).select(*keys, "qid", "did", "score"), depth, keys=[*keys, "qid"])
+
+    return retrieve
+
+
+def dense_retriever(embedded, do_norm: bool = True, strict: bool = False) -> Retriever:
+    """Blocked search over embedded sides; with candidates, listed pairs are scored directly.
+
+    That equals full-depth retrieval followed by the filter.  Queries without a
+    list are searched normally, or fail the job with ``strict``.
+    """
+
+    def retrieve(queries: DataFrame, corpus: DataFrame, depth: int, candidates: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+        keys = list(keys)
+        q = embedded("query", queries).select(*keys, F.col("id").alias("qid"), "vec")
+        c = embedded("collection", corpus).select(*keys, F.col("id").alias("did"), "vec")
+        if candidates is None:
+            return search(q, c, depth, do_norm=do_norm, group_cols=keys)
+        listed = candidates.select(*keys, "qid").distinct()
+        res = top_k(candidate_pairs(candidates, q.join(listed, [*keys, "qid"], "left_semi"), c, keys, do_norm), depth, keys=[*keys, "qid"])
+        unlisted = q.join(listed, [*keys, "qid"], "left_anti")
+        if not strict:
+            return res.unionByName(search(unlisted, c, depth, do_norm=do_norm, group_cols=keys))
+        fail = F.raise_error(F.concat(F.lit("query id missing from the candidate map: "), F.col("qid")))
+        return res.unionByName(unlisted.select(
+            *keys, fail.cast("string").alias("qid"), F.lit(None).cast("string").alias("did"),
+            F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rk")))
+
+    return retrieve
+
+
+def prompted(df: DataFrame, side: str, task: RetrievalTask, prompts, task_type: str) -> DataFrame:
+    """The prompt of the task and side in front of every text; a row's own ``prompt`` column comes first."""
+    if "prompt" in df.columns:
+        df = df.withColumnRenamed("prompt", "_own")
+    elif not prompts:
+        return df
+    else:
+        df = df.withColumn("_own", F.lit(None).cast("string"))
+    tagged = df.withColumn("_task", F.lit(task.name)).withColumn("_type", F.lit(task_type)).withColumn("_side", F.lit(side))
+    out = resolve_prompts(tagged, prompts or [], "_task", "_type", "_side")
+    prompt = F.coalesce(F.col("_own"), F.col("prompt"), F.lit(""))
+    return out.withColumn("data", F.concat(prompt, F.col("data"))).drop("_own", "_task", "_type", "_side", "prompt")
+
+
 def evaluate(
     spark: SparkSession,
     task: RetrievalTask,
     model: str,
-    embedder: EmbedderFactory,
+    embedder: "EmbedderFactory | dict[str, EmbedderFactory] | None",
     queries: DataFrame,
     corpus: DataFrame,
     qrels: DataFrame,
@@ -111,61 +180,87 @@ def evaluate(
     strict_candidates: bool = False,
     hook: MetricHook | None = None,
     by_subset: bool = False,
+    subsets: Sequence[str] | None = None,
+    prompts=None,
+    task_type: str = "Retrieval",
+    input_cols: tuple[str, ...] = ("data",),
+    retriever: Retriever | None = None,
+    denominator: str = "evaluated",
 ) -> DataFrame:
-    """One task, one model, with every stage cached under ``output_dir``.
+    """One task, one model, with every stage stored under ``output_dir``.
+
+    ``queries``/``corpus`` carry ``(id, data)`` (further ``input_cols`` go to the
+    embedder too); ``qrels`` ``(qid, did, rel)``; ``candidates`` (optional)
+    ``(qid, did)``, a null did marking an empty list.  Means are over all queries
+    of the query table that are judged: a query whose list is empty, or that
+    finds nothing, counts with zeros.
+
+    ``embedder`` is a factory, or one per modality for tables with a ``modal``
+    column (MIXED).  ``retriever`` replaces embedding and search: a pair scorer
+    (``pair_retriever``) or any function of (queries, corpus, depth, candidates,
+    keys) that returns ``(keys, qid, did, score)`` (F4).  ``prompts`` is the
+    prompt configuration of ``operators.prep.resolve_prompts``.
 
-    ``queries``/``corpus`` carry ``(id, data)``; ``qrels`` ``(qid, did, rel)``;
-    ``candidates`` (optional) ``(qid, did)`` restricts each query's hits: the
-    listed pairs are scored directly (equal to full-depth retrieval followed by
-    the filter); queries without a list are searched normally, or fail the job
-    with ``strict_candidates``.
     ``by_subset``: all inputs carry a ``subset`` column; every subset is its
     own retrieval problem (its queries only meet its corpus) and gets its own
-    metrics - all subsets in one job.
+    metrics.  ``subsets`` selects some of them (P11).  Subsets whose metrics are
+    stored are not computed again.
     """
     keys = ["subset"] if by_subset else []
-    done = store.load_metrics(spark, f"{output_dir}/metrics", model, task.name)
-    if done is not None:
-        return done.select("subset", "metric", "k", "value")
-    stage = "full" if candidates is None else "filtered"  # K3: candidate-restricted predictions
-    run = store.load_run(spark, f"{output_dir}/runs", model, task.name, stage)
-    if run is None:
-        emb_root = f"{output_dir}/embeddings"
-
-        def embedded(df):
-            vecs = embed(df.select(F.concat_ws("\u001f", *keys, "id").alias("_key"), "data"), embedder, id_col="_key")
-            if not keys:
-                return vecs.withColumnRenamed("_key", "id")
-            parts = F.split("_key", "\u001f")
-            return vecs.select(F.get(parts, 0).alias("subset"), F.get(parts, 1).alias("id"), "vec")
-
-        qv = store.embeddings_cached(spark, emb_root, model, task.name, "query", lambda: embedded(queries))
-        cv = store.embeddings_cached(spark, emb_root, model, task.name, "collection", lambda: embedded(corpus))
-        depth = task.depth + (1 if task.ignore_identical_ids else 0)
-        q = qv.select(*keys, F.col("id").alias("qid"), "vec")
-        c = cv.select(*keys, F.col("id").alias("did"), "vec")
-        if candidates is None:
-            res = search(q, c, depth, group_cols=keys)
-        else:
-            # full-depth retrieval + candidate filter == scoring only the listed
-            # pairs (J3 = J4); queries without a list keep a normal search
-            listed = candidates.select(*keys, "qid").distinct()
-            res = top_k(candidate_pairs(candidates, q.join(listed, [*keys, "qid"], "left_semi"), c, keys),
-                        depth, keys=[*keys, "qid"])
-            unlisted = q.join(listed, [*keys, "qid"], "left_anti")
-            if strict_candidates:  # any query without a list fails the job
-                fail = F.raise_error(F.concat(F.lit("query id missing from the candidate map: "), F.col("qid")))
-                res = res.unionByName(unlisted.select(
-                    *keys, fail.cast("string").alias("qid"), F.lit(None).cast("string").alias("did"),
-                    F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rk")))
-            else:
-                res = res.unionByName(search(unlisted, c, depth, group_cols=keys))
-        store.save_run(res, f"{output_dir}/runs", model, task.name, stage)
-        run = store.load_run(spark, f"{output_dir}/runs", model, task.name, stage)
-    run = run.select(*keys, "qid", "did", "score")
-    run_qids = run.select(*keys, "qid").distinct()
-    metrics = score_run(run, qrels, task, keys=keys, run_qids=run_qids, hook=hook)
+    wanted = {""}
+    if by_subset:
+        present = {r["subset"] for r in queries.select("subset").distinct().collect()}
+        wanted = present if subsets is None else present & set(subsets)
+
+    def stored() -> DataFrame | None:
+        return store.load_metrics(spark, f"{output_dir}/metrics", model, task.name)
+
+    def only(df: DataFrame | None, names: set[str]) -> DataFrame | None:
+        return df if df is None or not by_subset else df.where(F.col("subset").isin(sorted(names)))
+
+    todo = wanted - store.stored_subsets(stored())
+    if todo:
+        stage = "full" if candidates is None else "filtered"  # K3: candidate-restricted predictions
+        runs = f"{output_dir}/runs"
+        to_run = todo - store.stored_subsets(store.load_run(spark, runs, model, task.name, stage))
+        if to_run:
+            side_q = prompted(only(queries, to_run), "query", task, prompts, task_type)
+            side_c = prompted(only(corpus, to_run), "document", task, prompts, task_type)
+
+            def embedded(side: str, df: DataFrame) -> DataFrame:
+                root = f"{output_dir}/embeddings"
+                need = to_run - store.stored_subsets(store.load_embeddings(spark, root, model, task.name, side))
+                if need:
+                    store.save_embeddings(embed_keyed(only(df, need), embedder, keys, input_cols), root, model, task.name, side)
+                return only(store.load_embeddings(spark, root, model, task.name, side), to_run)
+
+            retrieve = retriever or dense_retriever(embedded, strict=strict_candidates)
+            res = retrieve(side_q, side_c, task.search_depth, only(candidates, to_run), keys)
+            if "rk" not in res.columns:
+                res = top_k(res, task.search_depth, keys=[*keys, "qid"])
+            store.save_run(res, runs, model, task.name, stage)
+        run = store.load_run(spark, runs, model, task.name, stage)
+        if run is None:  # no query found anything
+            run = spark.createDataFrame([], "subset string, qid string, did string, score double, rk int")
+        run = only(run, todo).select(*keys, "qid", "did", "score")
+        run_qids = only(queries, todo).select(*keys, F.col("id").cast("string").alias("qid"))
+        metrics = score_run(run, only(qrels, todo), task, keys=keys, run_qids=run_qids, hook=hook, denominator=denominator)
+        store.save_metrics(metrics, f"{output_dir}/metrics", model, task.name)
+    out = stored()
+    if out is None:
+        out = spark.createDataFrame([], "subset string, metric string, k int, value double")
+    return only(out, wanted).select("subset", "metric", "k", "value")
+
+
+def embed_keyed(df: DataFrame, embedder, keys: Sequence[str], input_cols: Sequence[str]) -> DataFrame:
+    """``(keys, id, vec)``: the rows of each modality with its embedder, or all with one."""
+    sep = "\u001f"
+    src = df.withColumn("_key", F.concat_ws(sep, *keys, F.col("id").cast("string")))
+    if isinstance(embedder, dict):
+        vecs = embed_mixed(src, embedder, id_col="_key", input_cols=tuple(input_cols))
+    else:
+        vecs = embed(src, embedder, id_col="_key", input_cols=tuple(input_cols), sort_col=input_cols[0])
     if not keys:
-        metrics = metrics.withColumn("subset", F.lit(""))
-    store.save_metrics(metrics, f"{output_dir}/metrics", model, task.name)
-    return store.load_metrics(spark, f"{output_dir}/metrics", model, task.name).select("subset", "metric", "k", "value")
+        return vecs.withColumnRenamed("_key", "id")
+    parts = F.split("_key", sep)
+    return vecs.select(*[F.get(parts, i).alias(k) for i, k in enumerate(keys)], F.get(parts, len(keys)).alias("id"), "vec")

@@ -1,16 +1,15 @@
 """Result tables and resumability.
 
 Embeddings, runs and metrics are Parquet tables partitioned by
-``(model, task, side)``, ``(model, task, stage)`` and ``(model, task)``; the
-subset is a column.  Writes use dynamic partition
-overwrite, so re-running one (model, task) replaces only its partitions and
-a lost executor only costs a task retry.  "Reuse if present" is a partition
-existence check; sweep planning is a ``left_anti`` join against what exists.
+``(model, task, side, part)``, ``(model, task, stage, part)`` and
+``(model, task, part)``, where ``part`` names the subset, so that each subset
+is written, found and replaced by itself.  Writes use dynamic partition
+overwrite: writing some subsets leaves the others, and a lost executor only
+costs a task retry.  Sweep planning is a ``left_anti`` join against what exists.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,59 +29,59 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def _partition_path(root: str, **parts: str) -> str:
-    return os.path.join(root, *[f"{k}={v}" for k, v in parts.items()])
+def _save(df: DataFrame, root: str, columns: Sequence[str], **names: str) -> None:
+    """Rows of ``columns`` with their subset ("" if there is none) under the named partitions."""
+    subset = F.coalesce(F.col("subset").cast("string"), F.lit("")) if "subset" in df.columns else F.lit("")
+    out = df.select(subset.alias("subset"), *[c for c in columns if c in df.columns])
+    for k, v in names.items():
+        out = out.withColumn(k, F.lit(v))
+    # an empty partition value would read back as null
+    _write(out.withColumn("part", F.concat(F.lit("s_"), F.col("subset"))), root, [*names, "part"])
 
 
-def save_embeddings(df: DataFrame, root: str, model: str, task: str, side: str) -> None:
-    """K1: ``([subset,] id, vec)`` under ``root/model=/task=/side=``."""
-    cols = [c for c in ("subset", "id", "vec") if c in df.columns]
-    out = df.select(*cols, F.lit(model).alias("model"), F.lit(task).alias("task"), F.lit(side).alias("side"))
-    _write(out, root, ["model", "task", "side"])
+def _load(spark: SparkSession, root: str, **names: str) -> DataFrame | None:
+    path = "/".join([root.rstrip("/"), *[f"{k}={_escaped(spark, v)}" for k, v in names.items()]])
+    if not _exists(spark, path):
+        return None
+    return spark.read.option("basePath", path).parquet(path).drop("part")
 
 
-def load_embeddings(spark: SparkSession, root: str, model: str, task: str, side: str) -> DataFrame | None:
-    path = _partition_path(root, model=model, task=task, side=side)
-    return spark.read.parquet(path) if _exists(spark, path) else None
+def _escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as Spark writes it into a path ("/" in model names and the like)."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def save_embeddings(df: DataFrame, root: str, model: str, task: str, side: str) -> None:
+    """K1: ``(subset, id, vec)``."""
+    _save(df, root, ("id", "vec"), model=model, task=task, side=side)
 
 
-def embeddings_cached(spark: SparkSession, root: str, model: str, task: str, side: str, compute) -> DataFrame:
-    """K1 reuse: load the saved vectors, or compute, save and load them."""
-    got = load_embeddings(spark, root, model, task, side)
-    if got is None:
-        save_embeddings(compute(), root, model, task, side)
-        got = load_embeddings(spark, root, model, task, side)
-    return got
+def load_embeddings(spark: SparkSession, root: str, model: str, task: str, side: str) -> DataFrame | None:
+    return _load(spark, root, model=model, task=task, side=side)
 
 
 def save_run(run: DataFrame, root: str, model: str, task: str, stage: str = "full") -> None:
     """K2 / K3: run rows ``(subset, qid, did, score, rk)``; ``stage='filtered'`` for
     candidate-filtered predictions."""
-    cols = [c for c in ("subset", "qid", "did", "score", "rk") if c in run.columns]
-    out = run.select(*cols)
-    if "subset" not in out.columns:
-        out = out.withColumn("subset", F.lit(""))
-    out = out.withColumn("model", F.lit(model)).withColumn("task", F.lit(task)).withColumn("stage", F.lit(stage))
-    _write(out, root, ["model", "task", "stage"])
+    _save(run, root, ("qid", "did", "score", "rk"), model=model, task=task, stage=stage)
 
 
 def load_run(spark: SparkSession, root: str, model: str, task: str, stage: str = "full") -> DataFrame | None:
-    path = _partition_path(root, model=model, task=task, stage=stage)
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    return _load(spark, root, model=model, task=task, stage=stage)
 
 
 def save_metrics(metrics: DataFrame, root: str, model: str, task: str) -> None:
     """K4: long metrics ``(subset, metric, k, value)``."""
-    out = metrics
-    if "subset" not in out.columns:
-        out = out.withColumn("subset", F.lit(""))
-    out = out.withColumn("model", F.lit(model)).withColumn("task", F.lit(task))
-    _write(out.select("subset", "metric", "k", "value", "model", "task"), root, ["model", "task"])
+    _save(metrics, root, ("metric", "k", "value"), model=model, task=task)
 
 
 def load_metrics(spark: SparkSession, root: str, model: str, task: str) -> DataFrame | None:
-    path = _partition_path(root, model=model, task=task)
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    return _load(spark, root, model=model, task=task)
+
+
+def stored_subsets(df: DataFrame | None) -> set[str]:
+    """Subsets that a stored table has rows of (a task names a bounded list of subsets)."""
+    return set() if df is None else {r["subset"] for r in df.select("subset").distinct().collect()}
 
 
 def wide_metrics(metrics: DataFrame, keys: Sequence[str] = ("model", "task", "subset")) -> DataFrame:
