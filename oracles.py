@@ -10,8 +10,6 @@ from __future__ import annotations
 
 DEFAULT_KS = (1, 3, 5, 10, 20, 100, 1000)
 TEXT_DIM = 64
-VEC_WINDOW = 25
-MEM_WINDOW = 8
 
 
 def klist(ks) -> str:
@@ -25,7 +23,8 @@ def unit(expr: str) -> str:
 
 def score_expr(a: str, b: str, norm: bool = True) -> str:
     s = f"list_dot_product({a}, {b})"
-    return f"round(CASE WHEN isnan({s}) THEN -1.0 ELSE {s} END, 9)"
+    noise = f"WHEN abs({s}) < pow(2, -46) THEN 0.0 " if norm else ""
+    return f"CASE WHEN isnan({s}) THEN -1.0 {noise}ELSE {s} END"
 
 
 def buckets(text: str, dim: str = str(TEXT_DIM)) -> str:
@@ -60,8 +59,7 @@ vec_qrels AS (
     SELECT CAST(q.vec_id AS VARCHAR) AS qid, CAST(d.vec_id AS VARCHAR) AS did,
       CASE WHEN d.label = q.label THEN (CASE WHEN d.vec_id % 3 = 0 THEN 2 ELSE 1 END)
            WHEN d.label = (q.label + 1) % 10 THEN 0 END AS rel
-    FROM embeddings q JOIN embeddings d
-      ON d.vec_id BETWEEN q.vec_id - {VEC_WINDOW} AND q.vec_id + {VEC_WINDOW} AND d.vec_id <> q.vec_id
+    FROM embeddings q JOIN embeddings d ON d.vec_id <> q.vec_id AND (d.label = q.label OR d.label = (q.label + 1) % 10)
   ) WHERE rel IS NOT NULL)"""
 
 
@@ -71,7 +69,7 @@ def vec_run(k: int, exclude_identical: bool = True, norm: bool = True, name: str
     cond = "q.qid <> d.did" if exclude_identical else "TRUE"
     return f"""
 {name}_all AS (SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM {src_q} q JOIN {src_d} d ON {cond}),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk
            FROM {name}_all) WHERE rk <= {k})"""
 
 
@@ -91,7 +89,7 @@ def txt_run(k: int, by_subset: bool = False, name: str = "run") -> str:
     pby = "subset, qid" if by_subset else "qid"
     return f"""
 {name}_all AS (SELECT {part}q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM tq q JOIN td d ON TRUE),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {pby} ORDER BY score DESC, did DESC) AS rk
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {pby} ORDER BY round(score, 12) DESC, did DESC) AS rk
            FROM {name}_all) WHERE rk <= {k})"""
 
 
@@ -104,8 +102,10 @@ mq AS (SELECT id AS qid, conv_id, turn, {unit('v')} AS u FROM turns WHERE role =
 md AS (SELECT id AS did, conv_id, turn, {unit('v')} AS u FROM turns),
 mem_qrels AS (SELECT q.qid, t.id AS did, CASE WHEN t.role = 'assistant' THEN 1 ELSE 0 END AS rel
               FROM mq q JOIN turns t ON t.conv_id = q.conv_id AND t.turn = q.turn + 1),
-mem_cand AS (SELECT q.qid, d.did FROM mq q JOIN md d
-             ON d.conv_id = q.conv_id AND d.turn BETWEEN q.turn - {MEM_WINDOW} AND q.turn + {MEM_WINDOW})"""
+mem_cand AS (SELECT q.qid, d.did FROM mq q JOIN md d ON d.conv_id = q.conv_id),
+mem_scored AS (SELECT c.qid, c.did, {score_expr('q.u', 'd.u')} AS score
+               FROM mem_cand c JOIN mq q ON q.qid = c.qid JOIN md d ON d.did = c.did),
+mem_spoken AS (SELECT c.qid, c.did FROM mem_cand c JOIN turns t ON t.id = c.did WHERE t.role <> 'system')"""
 
 
 # ------------------------------------------------------------------ metrics
@@ -118,7 +118,7 @@ def per_query_sql(run: str, qrels: str, ks, keys: tuple[str, ...] = (), run_qids
     rq = run_qids or run
     return f"""
 {name}_ks AS (SELECT unnest({klist(ks)}) AS k),
-{name}_rr AS (SELECT {kc}qid, did, score, row_number() OVER (PARTITION BY {kc}qid ORDER BY score DESC, did DESC) AS rk
+{name}_rr AS (SELECT {kc}qid, did, score, row_number() OVER (PARTITION BY {kc}qid ORDER BY round(score, 12) DESC, did DESC) AS rk
               FROM {run}),
 {name}_j AS (SELECT x.*, coalesce(y.rel, 0) AS rel, CASE WHEN coalesce(y.rel, 0) > 0 THEN 1 ELSE 0 END AS hit
              FROM (SELECT * FROM {name}_rr WHERE rk <= {kmax}) x
@@ -197,7 +197,7 @@ NAUC_SELECT = ("SELECT metric, k, signal, round(CASE WHEN abs(or_auc - flat) < 1
                "ELSE (auc - flat) / (or_auc - flat) END, 9) AS value FROM nres")
 
 # ------------------------------------------------------------------ registry
-RUN_COLS = "SELECT qid, did, score, CAST(rk AS INTEGER) AS rk FROM run"
+RUN_COLS = "SELECT qid, did, round(score, 9) AS score, CAST(rk AS INTEGER) AS rk FROM run"
 KS4 = (1, 3, 5, 10)
 
 
@@ -216,7 +216,7 @@ allv AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v
          UNION ALL SELECT 'd10', list_transform(range(dim), lambda i: 0.125::DOUBLE) FROM dimc),
 uq AS (SELECT id AS qid, {unit('v')} AS u FROM allv),
 ud AS (SELECT id AS did, {unit('v')} AS u FROM allv),
-run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM (
           SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM uq q JOIN ud d ON q.qid <> d.did)) WHERE rk <= 5)""") + "\n" + RUN_COLS
 
 TXT_SUBSET_QRELS = """
@@ -228,19 +228,19 @@ def _txt_subset_metrics(k, ks) -> str:
                  per_query_sql("run", "qrels_sub", ks, keys=("subset",)), long_sql("pq"))
 
 
-MEM_CAND_SCORED = f"""
-cand_scored AS (SELECT c.qid, c.did, {score_expr('q.u', 'd.u')} AS score
-                FROM mem_cand c JOIN mq q ON q.qid = c.qid JOIN md d ON d.did = c.did),
-run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk
-        FROM cand_scored) WHERE rk <= 10)"""
+MEM_CAND_SCORED = """
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk
+        FROM mem_scored) WHERE rk <= 10)"""
 
-MEM_RUN50 = f"""
-mrun_all AS (SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM mq q JOIN md d ON TRUE),
-mrun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk
-         FROM mrun_all) WHERE rk <= 50),
+MEM_STRICT = """
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk
+        FROM mem_scored r WHERE EXISTS (SELECT 1 FROM mem_spoken c WHERE c.qid = r.qid AND c.did = r.did)) WHERE rk <= 10)"""
+
+MEM_LENIENT = """
 sysconv AS (SELECT DISTINCT conv_id FROM turns WHERE role = 'system'),
-cand_sys AS (SELECT c.qid, c.did FROM mem_cand c JOIN mq q ON q.qid = c.qid WHERE q.conv_id IN (SELECT conv_id FROM sysconv)),
-run AS (SELECT * FROM mrun r WHERE EXISTS (SELECT 1 FROM cand_sys c WHERE c.qid = r.qid AND c.did = r.did)
+cand_sys AS (SELECT c.qid, c.did FROM mem_spoken c JOIN mq q ON q.qid = c.qid WHERE q.conv_id IN (SELECT conv_id FROM sysconv)),
+run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM mem_scored r
+        WHERE EXISTS (SELECT 1 FROM cand_sys c WHERE c.qid = r.qid AND c.did = r.did)
         OR r.qid NOT IN (SELECT qid FROM cand_sys))"""
 
 ORACLES = {
@@ -255,7 +255,7 @@ ORACLES = {
     "metrics_all_k": with_(VEC_BASE, vec_run(1000), per_query_sql("run", "vec_qrels", DEFAULT_KS), long_sql("pq"))
     + "\nSELECT qid, metric, k, value FROM lq",
     "topk_ties": with_(TXT_BASE, """
-run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM (
           SELECT q.did AS qid, d.did, """ + score_expr("q.u", "d.u") + """ AS score FROM td q JOIN td d ON q.did <> d.did))
         WHERE rk <= 5)""") + "\n" + RUN_COLS,
     "embed_and_search": with_(TXT_BASE, txt_run(10)) + "\n" + RUN_COLS,
@@ -274,12 +274,12 @@ UNION ALL
 SELECT metric, k, round(sum(value) / (SELECT count(DISTINCT qid) FROM txt_qrels), 9) AS value, 'qrels' AS denominator
 FROM lq GROUP BY ALL""",
     "candidates_pre": with_(MEM_BASE, MEM_CAND_SCORED) + "\n" + RUN_COLS,
-    "candidates_post_strict": with_(MEM_BASE, MEM_CAND_SCORED) + "\n" + RUN_COLS,
-    "candidates_post_lenient": with_(MEM_BASE, MEM_RUN50) + "\n" + RUN_COLS,
+    "candidates_post_strict": with_(MEM_BASE, MEM_STRICT) + "\n" + RUN_COLS,
+    "candidates_post_lenient": with_(MEM_BASE, MEM_LENIENT) + "\n" + RUN_COLS,
     "skip_first": with_(VEC_BASE, vec_run(11, exclude_identical=False))
-    + "\nSELECT qid, did, score, CAST(rk - 1 AS INTEGER) AS rk FROM run WHERE rk > 1",
+    + "\nSELECT qid, did, round(score, 9) AS score, CAST(rk - 1 AS INTEGER) AS rk FROM run WHERE rk > 1",
     "ignore_identical": with_(VEC_BASE, vec_run(11, exclude_identical=False))
-    + "\nSELECT qid, did, score, CAST(rk AS INTEGER) AS rk FROM run WHERE qid <> did",
+    + "\nSELECT qid, did, round(score, 9) AS score, CAST(rk AS INTEGER) AS rk FROM run WHERE qid <> did",
 }
 
 
@@ -290,10 +290,10 @@ def _md5_len(expr: str, name: str) -> str:
 
 COMPOSE_TEXT = """
 SELECT did, CAST(length(t) AS BIGINT) AS text_len, md5(t) AS text_md5 FROM (
-  SELECT CAST(doc_id AS VARCHAR) AS did,
-         concat(coalesce(CASE WHEN lang = 'en' THEN NULL ELSE source END, ''), ' ',
-                coalesce(CASE WHEN n_chars < 100 THEN NULL ELSE text END, '')) AS t
-  FROM documents)"""
+  SELECT did, concat(coalesce(title, ''), ' ', coalesce(text, '')) AS t FROM (
+    SELECT CAST(doc_id AS VARCHAR) AS did, CASE WHEN lang = 'en' THEN NULL ELSE source END AS title, text FROM documents
+    UNION ALL SELECT DISTINCT 't-' || lang, lang, NULL FROM documents
+    UNION ALL SELECT DISTINCT 'n-' || lang, NULL, NULL FROM documents))"""
 
 # conversations are stored in (conv_id, turn) order, so the last row of a
 # conversation in file order is its largest turn
@@ -303,9 +303,9 @@ SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (
 
 DROP_RENAME = "SELECT CAST(doc_id AS VARCHAR) AS id, lang, md5(text) AS data_md5 FROM documents"
 
-QRELS_PACK = with_(VEC_BASE) + """
+QRELS_PACK = with_(TXT_BASE, MEM_BASE) + """
 SELECT qid AS id, '{' || string_agg('"' || did || '":' || CAST(rel AS VARCHAR), ',' ORDER BY did) || '}' AS data
-FROM vec_qrels GROUP BY qid"""
+FROM (SELECT * FROM mem_qrels UNION ALL SELECT * FROM txt_qrels) GROUP BY qid"""
 
 QRELS_EXPLODE = """
 SELECT CAST(event_id AS VARCHAR) AS qid, did, CAST(json_extract_string(props, '$."' || did || '"') AS INTEGER) AS rel
@@ -340,15 +340,16 @@ SELECT id, prompt, md5(coalesce(prompt, '') || text) AS input_md5 FROM (
          ELSE 'D: ' END AS prompt
   FROM conversations)"""
 
-AUDIT = with_(MEM_BASE, f"""
-run5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
-           SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM mq q JOIN md d ON TRUE)) WHERE rk <= 5),
-filt AS (SELECT r.* FROM run5 r WHERE EXISTS (SELECT 1 FROM mem_cand c WHERE c.qid = r.qid AND c.did = r.did))""") + """
+AUDIT = with_(MEM_BASE, """
+later AS (SELECT c.qid, c.did FROM mem_cand c JOIN turns t ON t.id = c.did JOIN mq q ON q.qid = c.qid
+          WHERE t.role = 'assistant' AND t.turn > q.turn),
+filt AS (SELECT qid, did FROM later WHERE qid <> did)""") + """
 SELECT 'only_in_run' AS "check", qid FROM (SELECT DISTINCT qid FROM filt EXCEPT SELECT DISTINCT qid FROM mem_qrels)
 UNION ALL SELECT 'only_in_qrels', qid FROM (SELECT DISTINCT qid FROM mem_qrels EXCEPT SELECT DISTINCT qid FROM filt)
 UNION ALL SELECT 'no_positive', qid FROM (SELECT DISTINCT qid FROM mem_qrels
                                           EXCEPT SELECT DISTINCT qid FROM mem_qrels WHERE rel > 0)
-UNION ALL SELECT 'empty_hits', qid FROM (SELECT DISTINCT qid FROM run5 EXCEPT SELECT DISTINCT qid FROM filt)"""
+UNION ALL SELECT 'empty_hits', qid FROM (SELECT DISTINCT qid FROM mq EXCEPT SELECT DISTINCT qid FROM filt)
+UNION ALL SELECT 'empty_candidates', qid FROM (SELECT DISTINCT qid FROM mq EXCEPT SELECT DISTINCT qid FROM later)"""
 
 STATS = with_(TXT_BASE, MEM_BASE) + """
 SELECT family, nq + nd AS n_samples, nd AS num_documents, nq AS num_queries,
@@ -371,11 +372,12 @@ UNION ALL SELECT 'MEM', 'corpus', count(*) FROM md
 UNION ALL SELECT 'MEM', 'qrels', count(*) FROM mem_qrels"""
 
 LATE_FUSION = with_(TXT_BASE, f"""
-fz AS (SELECT CAST(e.vec_id AS VARCHAR) AS id,
-              list_transform(range(len(e.embedding)), lambda i: CAST(e.embedding[i + 1] AS DOUBLE) + d.v[i + 1]) AS v
-       FROM embeddings e JOIN dd d ON d.did = CAST(e.vec_id AS VARCHAR)),
+tagged AS (SELECT doc_id, concat_ws(' ', source, lang) AS text FROM documents),""" + hashed("gh", "tagged", "doc_id") + f""",
+fz AS (SELECT d.did AS id, list_transform(range({TEXT_DIM}), lambda i: d.v[i + 1] + g.v[i + 1]) AS v
+       FROM dd d JOIN (SELECT CAST(x.doc_id AS VARCHAR) AS id, {counts_vec('h.h')} AS v
+                       FROM tagged x LEFT JOIN gh_h h ON h.doc_id = x.doc_id) g ON g.id = d.did),
 fu AS (SELECT id, {unit('v')} AS u FROM fz),
-run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk FROM (
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM (
           SELECT q.id AS qid, d.id AS did, {score_expr('q.u', 'd.u')} AS score FROM fu q JOIN fu d ON q.id <> d.id))
         WHERE rk <= 5)""") + "\n" + RUN_COLS
 
@@ -387,20 +389,18 @@ def _toks(t: str) -> str:
 PAIR_SCORING = with_(MEM_BASE, f"""
 pairs AS (SELECT c.qid, c.did, {_toks('tq.text')} AS a, {_toks('td.text')} AS b
           FROM mem_cand c JOIN turns tq ON tq.id = c.qid JOIN turns td ON td.id = c.did),
-scored AS (SELECT qid, did, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
-             ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS score FROM pairs),
-run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC) AS rk
+scored AS (SELECT qid, did, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+             ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS score FROM pairs),
+run AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk
         FROM scored) WHERE rk <= 5)""") + "\n" + RUN_COLS
 
-HOOK = with_(VEC_BASE, vec_run(10), per_query_sql("run", "vec_qrels", KS4), long_sql("pq"), """
+HOOK = with_(MEM_BASE, MEM_CAND_SCORED, per_query_sql("run", "mem_qrels", KS4, run_qids="mq"), long_sql("pq"), """
 lp AS (SELECT k, avg(s / k) AS value FROM (
-         SELECT r.qid, ks.k, sum(CASE WHEN r.rk <= ks.k AND ql.label = dl.label THEN 1.0 ELSE 0.0 END) AS s
-         FROM run r JOIN embeddings ql ON CAST(ql.vec_id AS VARCHAR) = r.qid
-                    JOIN embeddings dl ON CAST(dl.vec_id AS VARCHAR) = r.did
-                    JOIN (SELECT unnest([1, 3, 5, 10]) AS k) ks ON TRUE
+         SELECT r.qid, ks.k, sum(CASE WHEN r.rk <= ks.k AND t.role = 'assistant' THEN 1.0 ELSE 0.0 END) AS s
+         FROM run r JOIN turns t ON t.id = r.did JOIN (SELECT unnest([1, 3, 5, 10]) AS k) ks ON TRUE
          GROUP BY r.qid, ks.k) GROUP BY k)""") + """
 SELECT metric, k, round(avg(value), 9) AS value FROM lq GROUP BY ALL
-UNION ALL SELECT 'label_precision', k, round(value, 9) FROM lp"""
+UNION ALL SELECT 'assistant_share', k, round(value, 9) FROM lp"""
 
 
 def _metrics_wide() -> str:
@@ -428,7 +428,7 @@ stq AS (SELECT dim, qid, {unit('v')} AS u FROM sbv),
 std AS (SELECT dim, did, {unit('v')} AS u FROM sdv),
 tqr AS (SELECT dims.dim, CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VARCHAR) AS did, 1 AS rel
         FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN dims ON TRUE),
-trun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY score DESC, did DESC) AS rk FROM (
+trun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM (
            SELECT q.dim, q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM stq q JOIN std d ON q.dim = d.dim))
          WHERE rk <= 10),
 stv AS (SELECT dims.dim, c.conv_id, c.turn, c.role, c.id, {counts_vec('h.h', 'dims.dim')} AS v
@@ -437,9 +437,9 @@ smq AS (SELECT dim, id AS qid, conv_id, turn, {unit('v')} AS u FROM stv WHERE ro
 smd AS (SELECT dim, id AS did, conv_id, turn, {unit('v')} AS u FROM stv),
 mqr AS (SELECT q.dim, q.qid, t.id AS did, CASE WHEN t.role = 'assistant' THEN 1 ELSE 0 END AS rel
         FROM smq q JOIN stv t ON t.dim = q.dim AND t.conv_id = q.conv_id AND t.turn = q.turn + 1),
-mrun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY score DESC, did DESC) AS rk FROM (
+mrun AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM (
            SELECT q.dim, q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM smq q JOIN smd d
-           ON d.dim = q.dim AND d.conv_id = q.conv_id AND d.turn BETWEEN q.turn - {MEM_WINDOW} AND q.turn + {MEM_WINDOW}))
+           ON d.dim = q.dim AND d.conv_id = q.conv_id))
          WHERE rk <= 10)""",
                  per_query_sql("trun", "tqr", (10,), keys=("dim",), name="tp"),
                  per_query_sql("mrun", "mqr", (10,), keys=("dim",), name="mp"), """
@@ -480,3 +480,79 @@ SELECT m.model, 'TXT', s.subset, 'pending', NULL::DOUBLE
 FROM (SELECT DISTINCT lang AS subset FROM documents) s JOIN (SELECT unnest(['hashed-16', 'hashed-32']) AS model) m ON TRUE"""
 
 ORACLES["resume_plan"] = RESUME_PLAN
+
+
+# ------------------------------------------------------------------ batch 3: files, packages, lifecycle
+KS3 = (1, 3, 10)
+
+FILES = with_(MEM_BASE) + """
+SELECT 'query' AS kind, '' AS subset, CAST(item_id AS VARCHAR) AS id, md5(text) AS value FROM benchmark
+UNION ALL SELECT 'corpus', 'lang=' || lang, CAST(doc_id AS VARCHAR), md5(concat(coalesce(source, ''), ' ', coalesce(text, '')))
+FROM documents WHERE lang <> 'en'
+UNION ALL SELECT kind, '', qid || '>' || did, CAST(rel AS VARCHAR)
+FROM mem_qrels, (SELECT unnest(['quoted', 'strict']) AS kind)"""
+
+CANDIDATE_FILES = with_(MEM_BASE) + """
+SELECT kind, qid, did FROM mem_cand, (SELECT unnest(['lines', 'array']) AS kind)"""
+
+PACKAGES = """
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, md5(html) AS content_md5 FROM pages"""
+
+LATER = """
+later AS (SELECT c.qid, c.did FROM mem_cand c JOIN md d ON d.did = c.did JOIN mq q ON q.qid = c.qid WHERE d.turn > q.turn)"""
+
+
+def _ranked(scored: str, k: int, name: str) -> str:
+    return f"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM {scored})
+          WHERE rk <= {k})"""
+
+
+LIFECYCLE_CANDIDATES = with_(MEM_BASE, LATER, """
+hs AS (SELECT s.* FROM mem_scored s JOIN later l ON l.qid = s.qid AND l.did = s.did)""", _ranked("hs", 10, "hrun"), f"""
+os AS (SELECT qid, did, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS score
+       FROM (SELECT l.qid, l.did, {_toks('tq.text')} AS a, {_toks('td.text')} AS b
+             FROM later l JOIN turns tq ON tq.id = l.qid JOIN turns td ON td.id = l.did))""", _ranked("os", 10, "orun"),
+                             per_query_sql("hrun", "mem_qrels", KS3, run_qids="mq", name="hp"), long_sql("hp", "hl"),
+                             per_query_sql("orun", "mem_qrels", KS3, run_qids="mq", name="op"), long_sql("op", "ol")) + """
+SELECT 'hashed' AS model, metric, k, round(avg(value), 9) AS value FROM hl GROUP BY ALL
+UNION ALL SELECT 'overlap', metric, k, round(avg(value), 9) FROM ol GROUP BY ALL"""
+
+LIFECYCLE_RESUME = _txt_subset_metrics(10, KS3) + """,
+means AS (SELECT subset, metric, k, round(avg(value), 9) AS value FROM lq GROUP BY ALL)
+SELECT 'first' AS run, * FROM means WHERE subset = 'en'
+UNION ALL SELECT 'both', * FROM means"""
+
+TASK_TEXT = with_("""
+prompted AS (SELECT item_id, 'find: ' || text AS text FROM benchmark)""", TXT_BASE.replace("FROM benchmark)", "FROM prompted)", 1).replace(
+    "FROM benchmark x", "FROM prompted x", 1), txt_run(10), per_query_sql("run", "txt_qrels", KS3, run_qids="bq"), long_sql("pq")) + "\n" + mean_sql("lq")
+
+TASK_MIXED = with_(MEM_BASE, f"""
+mixq AS (SELECT qid, list_append(t.v, 0.0) AS v FROM mq JOIN turns t ON t.id = mq.qid),
+mixd AS (SELECT id AS did, list_append(CASE WHEN turn % 3 = 2 THEN list_transform(v, lambda x: 0.0::DOUBLE) ELSE v END,
+                  CASE WHEN turn % 3 = 0 THEN 0.0 ELSE octet_length(encode(text)) / 100.0 END) AS v FROM turns),
+xq AS (SELECT qid, {unit('v')} AS u FROM mixq),
+xd AS (SELECT did, {unit('v')} AS u FROM mixd),
+xs AS (SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM xq q JOIN xd d ON TRUE)""", _ranked("xs", 10, "run"),
+                   per_query_sql("run", "mem_qrels", KS3, run_qids="mq"), long_sql("pq")) + "\n" + mean_sql("lq")
+
+CUSTOM_SEARCH = with_(MEM_BASE, LATER, f"""
+cq AS (SELECT qid FROM mq WHERE turn > 0),
+ds AS (SELECT c.qid, c.did, {score_expr('q.v', 'd.v', norm=False)} AS score
+       FROM mem_cand c JOIN turns q ON q.id = c.qid JOIN turns d ON d.id = c.did),
+kept AS (SELECT * FROM ds r WHERE r.qid NOT IN (SELECT qid FROM cq)
+         OR EXISTS (SELECT 1 FROM later l WHERE l.qid = r.qid AND l.did = r.did))""", _ranked("kept", 11, "deep"), """
+hits AS (SELECT qid, did, score FROM deep WHERE qid <> did)""", _ranked("hits", 10, "run"),
+                      per_query_sql("run", "mem_qrels", KS3, run_qids="mq"), long_sql("pq")) + "\n" + mean_sql("lq")
+
+ORACLES.update({
+    "files_round_trip": FILES,
+    "candidates_round_trip": CANDIDATE_FILES,
+    "packages_fetch": PACKAGES,
+    "lifecycle_candidates": LIFECYCLE_CANDIDATES,
+    "lifecycle_resume": LIFECYCLE_RESUME,
+    "task_from_config_text": TASK_TEXT,
+    "task_from_config_mixed": TASK_MIXED,
+    "custom_search": CUSTOM_SEARCH,
+})

@@ -17,16 +17,18 @@ from ..operators.fusion import fuse, jaccard_scorer, score_with
 from ..operators.prep import flatten_sequences, modality_groups as modality_groups_op, resolve_prompts, with_prompt_text
 from ..operators.candidates import candidate_pairs, drop_identical, filter_lenient, filter_strict
 from ..operators.nauc import confidence, nauc
+from ..operators.embed import hashed_embedding as hashed_embedding_op
+from ..operators.rank import rank, top_k
 from ..operators.rank import skip_first as skip_first_hits
-from ..operators.rank import top_k
 from ..operators.score import search
 from ..functions.text import default_package
 from ..plans.evaluate import RetrievalTask, score_run
-from ..session import cut_lineage, ensure_checkpoint_dir
-from ..plans import store
+from ..plans.evaluate import main_score as main_score_op
+from ..session import SCORE_DECIMALS, cut_lineage, scratch_path
+from ..plans import roundtrips, store
 from ..plans.store import sweep_report as sweep_op
 from ..plans.store import wide_metrics
-from ..sources.families import mem_family, mem_turns, txt_family, vec_family
+from ..sources.families import mem_candidates, mem_family, mem_qrels, mem_turns, txt_family, txt_qrels, txt_tables, vec_family
 from ..sources.files import file_position, last_wins, load_counts as load_counts_op
 from ..sources.files import qrels_from_json_rows, qrels_to_json_rows, rename_text_to_data
 from ..streaming.topk import run_to_table, stream_topk as stream_topk_op
@@ -39,16 +41,18 @@ def flagship_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC: exact cosine top-10 (identical id excluded) -> mean metrics at 1,3,5,10."""
     fam = vec_family(spark, sf_dir)
     run = search(fam.queries, fam.corpus, FLAGSHIP_K, exclude_identical=True)
-    return M.evaluate(run, fam.qrels, FLAGSHIP_KS)
+    return M.evaluate(run, fam.qrels, FLAGSHIP_KS, ranked=True)
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC: the exact cosine top-10 run itself."""
     fam = vec_family(spark, sf_dir)
-    return search(fam.queries, fam.corpus, FLAGSHIP_K, exclude_identical=True).select("qid", "did", "score", "rk")
+    return shown(search(fam.queries, fam.corpus, FLAGSHIP_K, exclude_identical=True))
 
 
-RUN = ("qid", "did", "score", "rk")
+def shown(run: DataFrame) -> DataFrame:
+    """A run as the queries show it: scores with ``SCORE_DECIMALS`` decimals (stored ones are not rounded)."""
+    return run.select("qid", "did", F.round("score", SCORE_DECIMALS).alias("score"), "rk")
 
 
 def _vec_run(spark, sf_dir, k=FLAGSHIP_K, **kw):
@@ -58,22 +62,20 @@ def _vec_run(spark, sf_dir, k=FLAGSHIP_K, **kw):
 
 def dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC: plain dot-product top-10 (``do_norm=False``)."""
-    return _vec_run(spark, sf_dir, do_norm=False, exclude_identical=True)[1].select(*RUN)
+    return shown(_vec_run(spark, sf_dir, do_norm=False, exclude_identical=True)[1])
 
 
 def blocked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC: cosine top-10 forced through many query blocks and the salted
     (non-broadcast) block join; must equal ``cosine_topk``."""
-    return _vec_run(spark, sf_dir, exclude_identical=True, query_block_bytes=8 << 10, broadcast_bytes=0)[1].select(*RUN)
+    return shown(_vec_run(spark, sf_dir, exclude_identical=True, query_block_bytes=8 << 10, broadcast_bytes=0)[1])
 
 
 def chunk_merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-10 per (label part of the corpus, query), merged into the global top-10."""
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     fam = vec_family(spark, sf_dir)
-    corpus = fam.corpus.join(emb.select(F.col("vec_id").cast("string").alias("did"), "label"), "did")
-    parts = search(fam.queries, corpus, FLAGSHIP_K, corpus_part="label", exclude_identical=True)
-    return top_k(parts.drop("rk"), FLAGSHIP_K).select(*RUN)
+    parts = search(fam.queries, fam.corpus, FLAGSHIP_K, corpus_part="label", exclude_identical=True)
+    return shown(top_k(parts.drop("rk"), FLAGSHIP_K))
 
 
 def zero_vector_and_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +95,7 @@ def zero_vector_and_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fam.queries.select(F.col("qid").alias("id"), F.col("vec").cast("array<double>"))
     allv = base.unionByName(extra)
     run = search(allv.withColumnRenamed("id", "qid"), allv.withColumnRenamed("id", "did"), 5, exclude_identical=True)
-    return run.select(*RUN)
+    return shown(run)
 
 
 def nauc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +103,14 @@ def nauc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     max / std / diff1 confidence signals (VEC top-10 run)."""
     fam, run = _vec_run(spark, sf_dir, exclude_identical=True)
     run = cut_lineage(run)  # the run feeds both the metrics and the confidences
-    pq = M.to_long(M.per_query(run, fam.qrels, FLAGSHIP_KS))
+    pq = cut_lineage(M.to_long(M.per_query(run, fam.qrels, FLAGSHIP_KS, ranked=True)))  # feeds the oracle and the signals
     return nauc(pq, confidence(run))
 
 
 def metrics_all_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-query metrics at 1,3,5,10,20,100,1000 (VEC, depth 1000)."""
     fam, run = _vec_run(spark, sf_dir, k=1000, exclude_identical=True)
-    return M.to_long(M.per_query(run, fam.qrels, M.DEFAULT_K_VALUES))
+    return M.to_long(M.per_query(run, fam.qrels, M.DEFAULT_K_VALUES, ranked=True))
 
 
 def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +118,13 @@ def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact copies score equal and are ordered by the larger id; top-5."""
     fam = txt_family(spark, sf_dir)
     q = fam.corpus.select(F.col("did").alias("qid"), "vec")
-    return search(q, fam.corpus, 5, exclude_identical=True).select(*RUN)
+    return shown(search(q, fam.corpus, 5, exclude_identical=True))
 
 
 def embed_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6 + search: benchmark passages vs documents, hashed bag of words, top-10."""
     fam = txt_family(spark, sf_dir)
-    return search(fam.queries, fam.corpus, FLAGSHIP_K).select(*RUN)
+    return shown(search(fam.queries, fam.corpus, FLAGSHIP_K))
 
 
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,23 +148,21 @@ def _txt_subset(spark, sf_dir, k):
 def metrics_by_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT ranked separately per document language, metrics per subset."""
     _, run, qrels = _txt_subset(spark, sf_dir, 100)
-    return M.evaluate(run, qrels, (1, 3, 5, 10, 20, 100), keys=["subset"])
+    return M.evaluate(run, qrels, (1, 3, 5, 10, 20, 100), keys=["subset"], ranked=True)
 
 
 def main_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The task's main score (ndcg_at_10) per subset."""
     _, run, qrels = _txt_subset(spark, sf_dir, 10)
-    m = M.evaluate(run, qrels, (10,), keys=["subset"])
-    return m.where((F.col("metric") == "ndcg") & (F.col("k") == 10)).select(
-        "subset", M.metric_name(F.col("metric"), F.col("k")).alias("main_metric"), "value"
-    )
+    task = RetrievalTask(name="TXT", main_metric="ndcg_at_10", k_values=(10,))
+    return main_score_op(M.evaluate(run, qrels, task.k_values, keys=["subset"], ranked=True), task)
 
 
 def mean_by_denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: TXT means over evaluated queries and over all qrels queries."""
     fam = txt_family(spark, sf_dir)
     run = search(fam.queries, fam.corpus, 1000)
-    pq = M.per_query(run, fam.qrels, M.DEFAULT_K_VALUES)
+    pq = cut_lineage(M.per_query(run, fam.qrels, M.DEFAULT_K_VALUES, ranked=True))
     ev = M.mean(pq).withColumn("denominator", F.lit("evaluated"))
     qr = M.mean(pq, denominator="qrels", qrels=fam.qrels).withColumn("denominator", F.lit("qrels"))
     return ev.unionByName(qr)
@@ -172,46 +172,47 @@ def candidates_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MEM, score only each query's candidate turns, top-10."""
     fam = mem_family(spark, sf_dir)
     scored = candidate_pairs(fam.candidates, fam.queries, fam.corpus)
-    return top_k(scored, FLAGSHIP_K).select(*RUN)
+    return shown(top_k(scored, FLAGSHIP_K))
 
 
-def _mem_full(spark, sf_dir, k):
-    fam = mem_family(spark, sf_dir)
-    return fam, search(fam.queries, fam.corpus, k)
+def _listed(turns: DataFrame, dids: DataFrame) -> DataFrame:
+    """Candidate lists: the turns of the query's conversation that are not system turns."""
+    spoken = turns.where(F.col("role") != "system").select(F.col("id").alias("did"))
+    return dids.join(spoken, "did", "left_semi")
 
 
 def candidates_post_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MEM full-depth run filtered to the candidate lists (every query has
-    a list), re-ranked, top-10; equals ``candidates_pre``."""
+    """The uncut MEM run of each conversation, filtered to the candidate lists
+    (its turns but system turns; every query has a list), re-ranked, top-10."""
     fam = mem_family(spark, sf_dir)
-    depth = fam.corpus.count()  # T3: full depth, so post-filtering loses nothing
-    run = search(fam.queries, fam.corpus, depth)
-    kept = filter_strict(run, fam.candidates)
-    return top_k(kept.drop("rk"), FLAGSHIP_K).select(*RUN)
+    run = candidate_pairs(fam.candidates, fam.queries, fam.corpus)  # T3: all turns of the conversation
+    kept = filter_strict(run, _listed(mem_turns(spark, sf_dir), fam.candidates))
+    return shown(top_k(kept, FLAGSHIP_K))
 
 
 def candidates_post_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MEM top-50 run; only conversations with a system turn have candidate
-    lists, the other queries keep all their hits."""
-    fam, run = _mem_full(spark, sf_dir, 50)
+    """The uncut MEM run of each conversation; only conversations with a system turn
+    have candidate lists, the other queries keep all their hits.  Re-ranked."""
+    fam = mem_family(spark, sf_dir)
     turns = mem_turns(spark, sf_dir)
+    run = candidate_pairs(fam.candidates, fam.queries, fam.corpus)
     with_sys = turns.where(F.col("role") == "system").select("conv_id").distinct()
     q_conv = turns.where(F.col("role") == "user").select(F.col("id").alias("qid"), "conv_id")
-    cand = fam.candidates.join(q_conv.join(with_sys, "conv_id", "left_semi").select("qid"), "qid", "left_semi")
-    return filter_lenient(run, cand).select(*RUN)
+    listed = _listed(turns, fam.candidates).join(q_conv.join(with_sys, "conv_id", "left_semi").select("qid"), "qid", "left_semi")
+    return shown(rank(filter_lenient(run, listed)))
 
 
 def skip_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: VEC top-11 with the identical document kept; the first hit (normally
     the query itself) is dropped and the rest re-ranked."""
     _, run = _vec_run(spark, sf_dir, k=FLAGSHIP_K + 1)
-    return skip_first_hits(run).select(*RUN)
+    return shown(skip_first_hits(run))
 
 
 def ignore_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 as a filter on a saved run: VEC top-11, hits with did = qid removed."""
     _, run = _vec_run(spark, sf_dir, k=FLAGSHIP_K + 1)
-    return drop_identical(run).select(*RUN)
+    return shown(drop_identical(run))
 
 
 
@@ -221,12 +222,16 @@ def _docs(spark, sf_dir):
 
 
 def compose_text_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title + " " + text with null sides (title = source except English
-    documents, text null below 100 characters); whole composed text hashed."""
+    """Title + " " + text; the title is the source except for English documents (null),
+    and every language adds one row without text and one without either.  Whole texts hashed."""
     d = _docs(spark, sf_dir)
     title = F.when(F.col("lang") == "en", F.lit(None)).otherwise(F.col("source"))
-    text = F.when(F.col("n_chars") < 100, F.lit(None)).otherwise(F.col("text"))
-    out = d.select(F.col("doc_id").cast("string").alias("did"), compose_text(title, text).alias("t"))
+    rows = d.select(F.col("doc_id").cast("string").alias("did"), title.alias("title"), "text")
+    none = F.lit(None).cast("string")
+    bare = d.select("lang").distinct().select(F.explode(F.array(
+        F.struct(F.concat(F.lit("t-"), F.col("lang")).alias("did"), F.col("lang").alias("title"), none.alias("text")),
+        F.struct(F.concat(F.lit("n-"), F.col("lang")).alias("did"), none.alias("title"), none.alias("text")))).alias("r")).select("r.*")
+    out = rows.unionByName(bare).select("did", compose_text("title", "text").alias("t"))
     return out.select("did", F.length("t").cast("bigint").alias("text_len"), F.md5("t").alias("text_md5"))
 
 
@@ -247,8 +252,10 @@ def drop_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels_json_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC qrels packed into one JSON object per query."""
-    return qrels_to_json_rows(vec_family(spark, sf_dir).qrels)
+    """MEM and TXT qrels packed into one JSON object per query."""
+    mem = mem_qrels(mem_turns(spark, sf_dir))
+    txt = txt_qrels(*txt_tables(spark, sf_dir))
+    return qrels_to_json_rows(mem.unionByName(txt))
 
 
 def qrels_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,46 +320,62 @@ def prompt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_qrels_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MEM top-5 run filtered to candidates, audited against the qrels."""
+    """The uncut MEM run of each conversation, filtered to the lists without system
+    turns, audited against the qrels; queries of conversations that only have one such turn
+    besides the query itself get an empty list."""
     fam = mem_family(spark, sf_dir)
-    run = search(fam.queries, fam.corpus, 5)
-    kept = filter_strict(run, fam.candidates)
-    return audit_op(kept, fam.qrels, fam.candidates, run_qids=run.select("qid"))
+    turns = mem_turns(spark, sf_dir)
+    run = drop_identical(candidate_pairs(fam.candidates, fam.queries, fam.corpus))
+    lists = _audit_lists(turns, fam.candidates)
+    kept = filter_strict(run, lists)
+    return audit_op(kept, fam.qrels, lists, run_qids=fam.queries.select("qid"))
+
+
+def _audit_lists(turns: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Lists of the assistant turns after the query's; a query that has none keeps an empty list (null did)."""
+    pos = turns.select(F.col("id").alias("did"), "role", F.col("turn").alias("d_turn"))
+    mine = turns.select(F.col("id").alias("qid"), F.col("turn").alias("q_turn"))
+    later = candidates.join(pos, "did").join(mine, "qid").where("role = 'assistant' and d_turn > q_turn").select("qid", "did")
+    queries = turns.where("role = 'user'").select(F.col("id").alias("qid"))
+    return queries.join(later, "qid", "left").select("qid", "did")
 
 
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dataset statistics of the TXT and MEM families."""
-    txt = txt_family(spark, sf_dir)
-    mem = mem_family(spark, sf_dir)
+    bench, docs = txt_tables(spark, sf_dir)
+    turns = mem_turns(spark, sf_dir)
 
     def tag(df, fam):
         return df.withColumn("family", F.lit(fam))
 
-    q = tag(txt.queries.select("qid", "text"), "TXT").unionByName(tag(mem.queries.select("qid", "text"), "MEM"))
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("did"), "text")
-    c = tag(docs, "TXT").unionByName(tag(mem.corpus.select("did", "text"), "MEM"))
-    r = tag(txt.qrels, "TXT").unionByName(tag(mem.qrels, "MEM"))
+    user = turns.where("role = 'user'").select(F.col("id").alias("qid"), "text")
+    q = tag(bench.select("qid", "text"), "TXT").unionByName(tag(user, "MEM"))
+    c = tag(docs.select("did", "text"), "TXT").unionByName(tag(turns.select(F.col("id").alias("did"), "text"), "MEM"))
+    r = tag(txt_qrels(bench, docs), "TXT").unionByName(tag(mem_qrels(turns), "MEM"))
     return stats_op(q, c, r, keys=["family"])
 
 
 def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10: the load-only pass - row counts per family and side."""
+    """P10: the load-only pass - row counts per family and side, from the raw tables."""
+    bench, docs = txt_tables(spark, sf_dir)
+    turns = mem_turns(spark, sf_dir)
+    sides = {"TXT": {"query": bench, "corpus": docs, "qrels": txt_qrels(bench, docs)},
+             "MEM": {"query": turns.where("role = 'user'"), "corpus": turns, "qrels": mem_qrels(turns)}}
     out = None
-    for name, fam in (("TXT", txt_family(spark, sf_dir)), ("MEM", mem_family(spark, sf_dir))):
-        c = load_counts_op({"query": fam.queries, "corpus": fam.corpus, "qrels": fam.qrels}).withColumn(
-            "family", F.lit(name))
+    for name, tables in sides.items():
+        c = load_counts_op(tables).withColumn("family", F.lit(name))
         out = c if out is None else out.unionByName(c)
     return out.select("family", "side", "n")
 
 
 def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding + hashed text vector of the same id summed, then top-5."""
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"))
-    txt = txt_family(spark, sf_dir).corpus.select(F.col("did").alias("id"), "vec")
-    fused = fuse(emb, txt)
+    """Two vectors of each document (hashed text, hashed source and language) summed, then top-5."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text", F.concat_ws(" ", "source", "lang").alias("tags"))
+    a = hashed_embedding_op(d.select("id", "text"), "text", 64).select("id", "vec")
+    b = hashed_embedding_op(d.select("id", "tags"), "tags", 64).select("id", "vec")
+    fused = cut_lineage(fuse(a, b))
     run = search(fused.withColumnRenamed("id", "qid"), fused.withColumnRenamed("id", "did"), 5, exclude_identical=True)
-    return run.select(*RUN)
+    return shown(run)
 
 
 def pair_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,27 +386,25 @@ def pair_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(fam.corpus.select("did", F.col("text").alias("d_text")), "did")
     )
     scored = score_with(pairs, jaccard_scorer)
-    return top_k(scored.select("qid", "did", "score"), 5).select(*RUN)
+    return shown(top_k(scored.select("qid", "did", "score"), 5))
 
 
 def custom_metric_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC metrics plus a task hook (share of top-k hits with the query's label)."""
-    fam, run = _vec_run(spark, sf_dir, exclude_identical=True)
-    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.col("vec_id").cast("string").alias("id"), "label")
-
-    def label_precision(hits: DataFrame) -> DataFrame:
-        h = (hits.join(labels.withColumnRenamed("id", "qid").withColumnRenamed("label", "ql"), "qid")
-             .join(labels.withColumnRenamed("id", "did").withColumnRenamed("label", "dl"), "did"))
-        same = (F.col("ql") == F.col("dl")).cast("double")
-        per = h.groupBy("qid").agg(*[F.sum(F.when(F.col("rk") <= k, same).otherwise(0.0)).alias(f"s{k}")
-                                     for k in FLAGSHIP_KS])
+    """MEM metrics plus a task hook (share of the top-k hits spoken by the assistant)."""
+    fam = mem_family(spark, sf_dir)
+    run = cut_lineage(top_k(candidate_pairs(fam.candidates, fam.queries, fam.corpus), FLAGSHIP_K))
+    roles = mem_turns(spark, sf_dir).select(F.col("id").alias("did"), "role")
+
+    def assistant_share(hits: DataFrame) -> DataFrame:
+        spoken = (F.col("role") == "assistant").cast("double")
+        per = hits.join(roles, "did").groupBy("qid").agg(
+            *[F.sum(F.when(F.col("rk") <= k, spoken).otherwise(0.0)).alias(f"s{k}") for k in FLAGSHIP_KS])
         rows = F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"s{k}") / k).alias("v")) for k in FLAGSHIP_KS])
         return per.select(F.inline(rows)).groupBy("k").agg(F.avg("v").alias("value")).select(
-            F.lit("label_precision").alias("metric"), "k", "value")
+            F.lit("assistant_share").alias("metric"), "k", "value")
 
-    task = RetrievalTask(name="VEC", k_values=FLAGSHIP_KS)
-    return score_run(run, fam.qrels, task, with_nauc=False, hook=label_precision)
+    task = RetrievalTask(name="MEM", k_values=FLAGSHIP_KS)
+    return score_run(run, fam.qrels, task, with_nauc=False, hook=assistant_share, run_qids=fam.queries.select("qid"))
 
 
 def metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,19 +414,44 @@ def metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SWEEP_DIMS = (16, 32, 64)
+STREAM_FILES = 4
+
+
+def _widths(df: DataFrame, keep: list[str]) -> dict[int, DataFrame]:
+    """Hashed vectors of several widths from one pass over the texts.
+
+    The widths divide the largest one, and a bucket is a remainder: the narrower
+    vectors are folded sums of the widest.
+    """
+    widest = max(SWEEP_DIMS)
+    base = cut_lineage(hashed_embedding_op(df, "text", widest).select(*keep, "vec"))
+
+    def folded(dim):
+        parts = [F.slice("vec", i * dim + 1, dim) for i in range(widest // dim)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = F.zip_with(out, p, lambda x, y: x + y)
+        return base.select(*keep, out.alias("vec"))
+
+    return {dim: folded(dim) for dim in SWEEP_DIMS}
 
 
 def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed-embedding models (16/32/64 buckets) x tasks (TXT, MEM) -> ndcg_at_10."""
+    """Hashed-embedding models (16/32/64 buckets) x tasks (TXT, MEM) -> ndcg_at_10.
+
+    Tokens are hashed once for all widths, and the qrels are built once."""
+    bench, docs = txt_tables(spark, sf_dir)
+    turns = mem_turns(spark, sf_dir)
+    txt, mem, cand = txt_qrels(bench, docs), mem_qrels(turns), mem_candidates(turns)
+    tq, tc, mt = _widths(bench, ["qid"]), _widths(docs, ["did"]), _widths(turns, ["id", "role"])
     parts = []
     for dim in SWEEP_DIMS:
-        model = f"hashed-{dim}"
-        txt = txt_family(spark, sf_dir, dim)
-        trun = search(txt.queries, txt.corpus, FLAGSHIP_K)
-        parts.append(M.evaluate(trun, txt.qrels, (10,)).withColumn("task", F.lit("TXT")).withColumn("model", F.lit(model)))
-        mem = mem_family(spark, sf_dir, dim)
-        mrun = top_k(candidate_pairs(mem.candidates, mem.queries, mem.corpus), FLAGSHIP_K)
-        parts.append(M.evaluate(mrun, mem.qrels, (10,)).withColumn("task", F.lit("MEM")).withColumn("model", F.lit(model)))
+        trun = search(tq[dim], tc[dim], FLAGSHIP_K)
+        user = mt[dim].where("role = 'user'").select(F.col("id").alias("qid"), "vec")
+        mrun = top_k(candidate_pairs(cand, user, mt[dim].select(F.col("id").alias("did"), "vec")), FLAGSHIP_K)
+        for task, run, qrels in (("TXT", trun, txt), ("MEM", mrun, mem)):
+            parts.append(M.evaluate(run, qrels, (10,), ranked=True).select(
+                "metric", "k", "value", F.lit(task).alias("task"), F.lit(f"hashed-{dim}").alias("model")))
     allm = parts[0]
     for p in parts[1:]:
         allm = allm.unionByName(p)
@@ -413,19 +459,22 @@ def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings read as a file stream, incremental top-10 per query kept as
-    state; the final rankings equal the batch ``cosine_topk``."""
+    """Embeddings as a file stream of several micro-batches, one of them delivered twice;
+    incremental top-10 per query kept as state; the final rankings equal the batch ``cosine_topk``."""
     # state partitions are fixed when a stream starts; size them to the cluster,
     # not to whatever the batch session uses, in a session of their own
     ss = spark.newSession()
     ss.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     fam = vec_family(ss, sf_dir)
-    schema = ss.read.parquet(f"{sf_dir}/embeddings.parquet").schema
-    stream = (ss.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{sf_dir}/embeddings*.parquet")
+    base = scratch_path(ss, "stream-source")
+    emb = ss.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    files = emb.withColumn("part", F.pmod("vec_id", F.lit(STREAM_FILES)))
+    files = files.unionByName(files.where("part = 0").withColumn("part", F.lit(STREAM_FILES)))  # delivered again
+    files.repartition(STREAM_FILES + 1, "part").write.partitionBy("part").parquet(base)
+    stream = (ss.readStream.schema(emb.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(base)
               .select(F.col("vec_id").alias("did"), F.col("embedding").alias("vec")))
     updates = stream_topk_op(stream, fam.queries, FLAGSHIP_K, exclude_identical=True)
-    return run_to_table(updates)
+    return shown(run_to_table(updates))
 
 
 def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,10 +482,7 @@ def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     64-bucket model is evaluated: its run is saved and reloaded, its per-subset
     metrics saved and reloaded from the results store; every plan entry is then
     reported as done (with the stored ndcg_at_10) or pending."""
-    import os
-    import uuid
-
-    root = os.path.join(ensure_checkpoint_dir(spark), f"results-{uuid.uuid4().hex}")
+    root = scratch_path(spark, "results")
     fam = txt_family(spark, sf_dir)
     model, task = "hashed-64", "TXT"
     run = search(fam.queries, fam.corpus, FLAGSHIP_K, corpus_part="subset")
@@ -503,3 +549,4 @@ REGISTRY = {
     "stream_topk": stream_topk,
     "resume_plan": resume_plan,
 }
+REGISTRY |= roundtrips.REGISTRY

@@ -6,17 +6,18 @@ in the engine's long format.  They only shape input rows; every retrieval
 and metric step runs in the operators.
 
 * VEC: every embedding is a query against all embeddings (identical id
-  excluded).  Qrels judge the same-label rows among the ``VEC_WINDOW``
-  nearest ids on either side: grade 2 when the document id is a multiple of 3,
-  else 1; rows with the next label (label + 1 mod 10) are judged 0.
+  excluded).  A document with the query's label is relevant, with grade 2 if its
+  id is a multiple of 3, else 1; one with the next label (label + 1 mod 10) is
+  judged 0.  The judgments are by class (``ClassQrels``): a document's class is
+  its label and whether its id is a multiple of 3, so nothing of the size
+  label x label is built.
 * TXT: ``benchmark`` passages are queries, ``documents`` the corpus
   (subset = language; the corpus keeps ids, subset and vectors only); a document is relevant (1) when it contains the
   passage verbatim (Aho-Corasick containment join).  Vectors: hashed bag of
   words.
 * MEM: user turns are queries, all turns the corpus (ids ``conv-turn``); the
   judged document is the next turn: 1 when it is an assistant turn, else 0.
-  Candidates are the turns of the same conversation within ``MEM_WINDOW``
-  turns either side (bounded list per query).
+  Candidates are all turns of the same conversation.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ from pyspark.sql import functions as F
 
 from ..operators.contains import contains_pairs
 from ..operators.embed import hashed_embedding
+from ..operators.metrics import ClassQrels
 from ..session import cut_lineage, read_table
 
 # Fixed parameters of the derived families.
-VEC_WINDOW = 25
-MEM_WINDOW = 8
 TEXT_DIM = 64
 N_LABELS = 10
 
@@ -68,46 +68,53 @@ def _once(build):
     return get
 
 
-def _neighbours(df: DataFrame, id_col: str, window: int) -> DataFrame:
-    """``(id, nid)`` for ``nid`` within ``window`` of ``id`` (bounded, no pairs of a group)."""
-    return df.select(
-        F.col(id_col).alias("id"),
-        F.explode(F.sequence(F.col(id_col) - window, F.col(id_col) + window)).alias("nid"),
-    )
+def vec_class(label: str = "label", vec_id: str = "vec_id"):
+    """Class of a document: its label, and whether its id is a multiple of 3."""
+    return F.concat(F.col(label).cast("string"), F.when(F.pmod(F.col(vec_id), F.lit(3)) == 0, ":3").otherwise(":"))
+
+
+def vec_rules(emb: DataFrame) -> DataFrame:
+    """Grades of (query label, document class): one row per judged pair of classes."""
+    doc = emb.where("label is not null").select("label", vec_class().alias("dclass")).distinct()
+    same = doc.select(F.col("label").cast("string").alias("qclass"), "dclass", F.when(F.col("dclass").endswith(":3"), 2).otherwise(1).alias("rel"))
+    before = F.pmod(F.col("label") - 1, F.lit(N_LABELS))
+    zero = doc.select(before.cast("string").alias("qclass"), "dclass", F.lit(0).alias("rel"))
+    return same.unionByName(zero)
 
 
 def vec_family(spark: SparkSession, sf_dir: str) -> Family:
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     queries = emb.select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vec"))
-    corpus = emb.select(F.col("vec_id").cast("string").alias("did"), F.col("embedding").alias("vec"))
-    near = _neighbours(emb, "vec_id", VEC_WINDOW).where(F.col("nid") != F.col("id"))
-    q = emb.select(F.col("vec_id").alias("id"), F.col("label").alias("ql"))
-    d = emb.select(F.col("vec_id").alias("nid"), F.col("label").alias("dl"))
-    rel = (
-        F.when(F.col("dl") == F.col("ql"), F.when(F.pmod(F.col("nid"), F.lit(3)) == 0, 2).otherwise(1))
-        .when(F.col("dl") == F.pmod(F.col("ql") + 1, F.lit(N_LABELS)), 0)
-    )
-    qrels = (
-        near.join(q, "id").join(d, "nid")
-        .select(F.col("id").cast("string").alias("qid"), F.col("nid").cast("string").alias("did"), rel.alias("rel"))
-        .where(F.col("rel").isNotNull())
-    )
+    corpus = emb.select(F.col("vec_id").cast("string").alias("did"), F.col("embedding").alias("vec"), "label")
+
+    def qrels():
+        q = emb.select(F.col("vec_id").cast("string").alias("qid"), F.col("label").cast("string").alias("qclass"))
+        d = emb.select(F.col("vec_id").cast("string").alias("did"), vec_class().alias("dclass"))
+        return ClassQrels(q, d, vec_rules(emb.select("label", "vec_id")))
+
     return Family(queries, corpus, qrels)
 
 
-def txt_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
+def txt_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw text sides of TXT: (qid, text) and (did, text, subset)."""
     bench = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("did"), "text", F.col("lang").alias("subset")
     )
-    # embeddings are computed once and kept (checkpoint) for every later use
-    # the containment join runs once; metrics read its result several times
-    def qrels():
-        found = contains_pairs(docs, bench, did="did", doc_text="text", pid="qid", passage_text="text")
-        return cut_lineage(found.select(F.col("pid").alias("qid"), "did", F.lit(1).alias("rel")))
+    return bench, docs
+
 
+def txt_qrels(bench: DataFrame, docs: DataFrame) -> DataFrame:
+    """The containment join runs once; metrics read its result several times."""
+    found = contains_pairs(docs, bench, did="did", doc_text="text", pid="qid", passage_text="text")
+    return cut_lineage(found.select(F.col("pid").alias("qid"), "did", F.lit(1).alias("rel")))
+
+
+def txt_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
+    bench, docs = txt_tables(spark, sf_dir)
+    # embeddings are computed once and kept (checkpoint) for every later use
     return Family(lambda: cut_lineage(hashed_embedding(bench, "text", dim)),
-                  lambda: cut_lineage(hashed_embedding(docs, "text", dim).drop("text")), qrels)
+                  lambda: cut_lineage(hashed_embedding(docs, "text", dim).drop("text")), lambda: txt_qrels(bench, docs))
 
 
 def mem_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +125,20 @@ def mem_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mem_qrels(turns: DataFrame) -> DataFrame:
+    user = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("id").alias("qid"))
+    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("id").alias("did"), "role")
+    return user.join(nxt, ["conv_id", "turn"]).select(
+        "qid", "did", F.when(F.col("role") == "assistant", 1).otherwise(0).alias("rel")
+    )
+
+
+def mem_candidates(turns: DataFrame) -> DataFrame:
+    """``(qid, did)``: all turns of the query's conversation, which is what the lists hold."""
+    user = turns.where(F.col("role") == "user").select("conv_id", F.col("id").alias("qid"))
+    return user.join(turns.select("conv_id", F.col("id").alias("did")), "conv_id").select("qid", "did")
+
+
 def mem_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
     turns = mem_turns(spark, sf_dir)
     vecs = _once(lambda: cut_lineage(hashed_embedding(turns, "text", dim)))
@@ -128,15 +149,4 @@ def mem_family(spark: SparkSession, sf_dir: str, dim: int = TEXT_DIM) -> Family:
     def corpus():
         return vecs().select(F.col("id").alias("did"), "vec", "text", "conv_id")
 
-    user = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("id").alias("qid"))
-    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("id").alias("did"), "role")
-    qrels = user.join(nxt, ["conv_id", "turn"]).select(
-        "qid", "did", F.when(F.col("role") == "assistant", 1).otherwise(0).alias("rel")
-    )
-    near = user.select(
-        "conv_id", "qid", F.explode(F.sequence(F.col("turn") - MEM_WINDOW, F.col("turn") + MEM_WINDOW)).alias("turn")
-    )
-    candidates = near.join(turns.select("conv_id", "turn", F.col("id").alias("did")), ["conv_id", "turn"]).select(
-        "qid", "did"
-    )
-    return Family(queries, corpus, qrels, candidates)
+    return Family(queries, corpus, mem_qrels(turns), mem_candidates(turns))
