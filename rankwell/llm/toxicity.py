@@ -32,6 +32,8 @@ from rankwell.session import read_table
 _CORE = re.compile(r"[^\W\d_](?:\S*[^\W\d_])?").findall
 _PARTS = re.compile(r"[^\W\d_]{3,}").findall
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)").finditer
+#: One in so many of the sampled rows sets the border and is not fitted.
+CALIBRATION = 4
 #: Characters of a word that are looked at together; longer words are scored window by window.
 WINDOW = 14
 _BORDER, _BITS = 31, 5
@@ -114,22 +116,31 @@ def by_length(units: list[str]) -> Iterator[tuple[np.ndarray, int]]:
             yield at[i : i + 8192], int(n)
 
 
-def project(units: list[str], dense: np.ndarray) -> np.ndarray:
-    """Inner products of the units' unit-length features with the columns of ``dense`` (DIM x k)."""
-    out = np.zeros((len(units), dense.shape[1]), np.float32)
-    for at, n in by_length(units):
-        idx, weight = features([units[i] for i in at], n)
-        for k in range(dense.shape[1]):
-            out[at, k] = (dense[:, k][idx] * weight).sum(axis=1)
-    return out
+class Features:
+    """Features of many units in sparse blocks; products with a dense feature vector."""
+
+    def __init__(self, units: list[str]):
+        self.n = len(units)
+        self.blocks = [(at, *features([units[i] for i in at], n)) for at, n in by_length(units)]
+
+    def dot(self, dense: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n, np.float32)
+        for at, idx, weight in self.blocks:
+            out[at] = (dense[idx] * weight).sum(axis=1)
+        return out
+
+    def add_to(self, dense: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+        """Adds the sum of the units' features, times their coefficients, to a dense vector."""
+        for at, idx, weight in self.blocks:
+            np.add.at(dense, idx, weight * coefficients[at, None].astype(np.float32))
+        return dense
 
 
-def dense_features(units: list[str]) -> np.ndarray:
-    out = np.zeros((DIM, len(units)), np.float32)
-    for at, n in by_length(units):
-        idx, weight = features([units[i] for i in at], n)
-        for row, i in enumerate(at):
-            np.add.at(out[:, i], idx[row], weight[row])
+def kernel(units: list[str], marks: list[str]) -> np.ndarray:
+    """(units x marks) matrix of the normalised kernel; one dense vector at a time is held."""
+    rows, out = Features(units), np.zeros((len(units), len(marks)), np.float32)
+    for j, mark in enumerate(marks):
+        out[:, j] = rows.dot(Features([mark]).add_to(np.zeros(DIM, np.float32), np.ones(1)))
     return out
 
 
@@ -149,7 +160,7 @@ class Model:
                 owner.append(i)
         out = np.full(len(words), -self.bias, np.float64)
         if units:
-            np.maximum.at(out, np.array(owner), project(units, self.weights[:, None])[:, 0].astype(np.float64) - self.bias)
+            np.maximum.at(out, np.array(owner), Features(units).dot(self.weights).astype(np.float64) - self.bias)
         return out
 
     def score(self, margin: float) -> float:
@@ -175,11 +186,9 @@ def _spread_out(units: list[str], limit: int) -> list[str]:
     """Up to ``limit`` units, each the one least like those before it."""
     if len(units) <= limit:
         return units
-    dense = dense_features(units[:2000])
-    units, like = units[:2000], np.full(min(len(units), 2000), -np.inf)
-    chosen = [0]
+    rows, like, chosen = Features(units), np.full(len(units), -np.inf), [0]
     while len(chosen) < limit:
-        like = np.maximum(like, dense[:, chosen[-1]] @ dense)
+        like = np.maximum(like, rows.dot(Features([units[chosen[-1]]]).add_to(np.zeros(DIM, np.float32), np.ones(1))))
         chosen.append(int(like.argmin()))
     return [units[i] for i in dict.fromkeys(chosen)]
 
@@ -188,32 +197,32 @@ def fit_words(positive: dict[str, int], negative: list[str], hard: list[str], la
     """Machine over Nystroem features of the landmarks; ``positive`` has the bags that each witness explains."""
     pos = sorted(positive, key=lambda w: (-positive[w], w))
     marks = list(dict.fromkeys([*_spread_out([u for w in pos for u in windows(w)], landmarks // 2), *_spread_out([u for w in hard for u in windows(w)], landmarks // 4), *[windows(w)[0] for w in negative[: landmarks // 4]]]))
-    z = dense_features(marks)
-    values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
+    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm to the power -1/2
     words = [*pos, *negative, *hard]
-    units = [windows(w)[0] for w in words]
-    x = project(units, z).astype(np.float64) @ root
+    x = kernel([windows(w)[0] for w in words], marks).astype(np.float64) @ root
     y = np.concatenate([np.ones(len(pos)), -np.ones(len(words) - len(pos))])
     weight = np.where(y > 0, 1 / max(1, len(pos)), 1 / max(1, len(words) - len(pos))) * len(words) / 2
     w = fit_svm(x, y, weight)
-    return Model((z @ (root @ w[:-1]).astype(np.float32)).astype(np.float32), float(-w[-1]), 4.0)
+    return Model(Features(marks).add_to(np.zeros(DIM, np.float32), root @ w[:-1]), float(-w[-1]), 4.0)
 
 
-def train(labelled: DataFrame, docs_per_class: int = 3000, max_candidates: int = 4000, max_negative: int = 8000, max_hard: int = 4000) -> Model | None:
-    """Machine from (doc_id, text, toxic); None if either label is missing.
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 3000, max_candidates: int = 4000, max_negative: int = 8000, max_hard: int = 4000) -> Model | None:
+    """Machine from (doc_id, text) and (doc_id, toxic); None if either label is missing.
 
     Fitted on at most ``docs_per_class`` rows of each label, the first by a hash
-    of their id.  Words are counted by Spark; at most ``max_candidates`` witness
-    candidates, ``max_negative`` words of clean sentences and ``max_hard`` of those
-    that look most toxic reach the driver.
+    of their id; every ``CALIBRATION``-th of them sets the border instead.  The
+    sample is chosen by ids alone and sent to the texts.  Words are counted by
+    Spark; at most ``max_candidates`` witness candidates, ``max_negative`` words of
+    clean sentences and ``max_hard`` of those that look most toxic reach the driver.
     """
-    spark = labelled.sparkSession
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "toxic").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_class)
-    ids = ids.select(F.col("doc_id").alias("s_id"), F.col("toxic").alias("s_toxic"))
-    sample = labelled.select("doc_id", F.col("text").cast("string").alias("text"), "toxic").join(F.broadcast(ids), (F.col("doc_id") == F.col("s_id")) & (F.col("toxic") == F.col("s_toxic")), "left_semi")
+    toxic = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("s_toxic"))
+    known = docs.where("text is not null").select("doc_id").distinct().join(toxic, F.col("doc_id") == F.col("l_id"))
+    first = Window.partitionBy("s_toxic").orderBy(F.xxhash64("l_id"), "l_id")
+    ids = known.select("l_id", "s_toxic").withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_class)
+    ids = ids.select(F.col("l_id").alias("s_id"), F.col("s_toxic").cast("int").alias("toxic"))
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,11 +230,12 @@ def train(labelled: DataFrame, docs_per_class: int = 3000, max_candidates: int =
                 found = sorted(w for w in words_of(text.as_py()) if len(w) <= 2 * WINDOW)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], ["doc_id", "toxic", "word"])
 
-    bags = staged(sample.selectExpr("cast(doc_id as long) doc_id", "text", "cast(toxic as int) toxic").mapInArrow(words, "doc_id long, toxic int, word string"), "toxicity-words")
-    counts = staged(bags.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxicity-counts")
+    bags = staged(sample.selectExpr("cast(doc_id as long) doc_id", "text", "toxic").mapInArrow(words, "doc_id long, toxic int, word string"), "toxicity-words")
+    fitted = bags.where(F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) != 0)
+    counts = staged(fitted.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxicity-counts")
     # Witness candidates: in several toxic bags, hardly in clean ones.
     candidates = counts.where("pos >= 3 and pos > 20 * neg").orderBy(F.col("pos").desc(), "word").limit(max_candidates)
-    pairs = bags.where("toxic = 1").join(F.broadcast(candidates.select(F.col("word").alias("c_word"), "pos")), F.col("word") == F.col("c_word")).select("doc_id", "word", "pos").collect()
+    pairs = fitted.where("toxic = 1").join(F.broadcast(candidates.select(F.col("word").alias("c_word"), "pos")), F.col("word") == F.col("c_word")).select("doc_id", "word", "pos").collect()
     clean = counts.where("neg >= 1")
     negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(max_negative).collect()]
     if not pairs or not negative:
@@ -254,12 +264,25 @@ def train(labelled: DataFrame, docs_per_class: int = 3000, max_candidates: int =
         sure = {w for w in vocabulary if margin[w] > 0.5}
         positive = {w: positive.get(w, 1) for w in {*positive, *sure}}
         model = fit_words(positive, negative, hard[: max_hard // 2])
-    # The border lies between the clean words of the sample and the witnesses.
-    top_clean = margins(clean.select("word"), model).agg(F.max("margin")).first()[0]
-    names = list(positive)
-    low_toxic = np.average(np.quantile(np.repeat(model.margins(names), [positive[w] for w in names]), [0.02, 0.05]))
-    border = (top_clean + low_toxic) / 2 if top_clean < low_toxic else low_toxic
-    return Model(model.weights, model.bias + float(border), model.slope)
+    # The border is set on bags that were not fitted: where it makes the fewest errors.
+    held = bags.where(F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0)
+    scored = margins(held.select("word").distinct(), model).withColumnRenamed("word", "m_word")
+    best = held.join(scored, F.col("word") == F.col("m_word")).groupBy("doc_id", "toxic").agg(F.max("margin").alias("margin")).collect()
+    border = best_border(np.array([r["margin"] for r in best]), np.array([r["toxic"] for r in best]))
+    return Model(model.weights, model.bias + border, model.slope)
+
+
+def best_border(margin: np.ndarray, toxic: np.ndarray) -> float:
+    """Middle of the widest gap among the borders with the fewest errors; 0 if there are not both labels."""
+    if not len(margin) or toxic.all() or not toxic.any():
+        return 0.0
+    order = np.argsort(margin, kind="stable")
+    m, y = margin[order], toxic[order]
+    # Errors with the border between rows i - 1 and i: toxic ones below, clean ones from there on.
+    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    gaps = np.concatenate([[0.0], np.diff(m), [0.0]])
+    at = max(np.flatnonzero(errors == errors.min()), key=lambda i: gaps[i])
+    return float(m[0] if at == 0 else m[-1] + 1e-9 if at == len(m) else (m[at - 1] + m[at]) / 2)
 
 
 def margins(words: DataFrame, model: Model) -> DataFrame:
@@ -276,7 +299,7 @@ def margins(words: DataFrame, model: Model) -> DataFrame:
 class _Scorer:
     """Margins of words with a memo of two generations."""
 
-    def __init__(self, model: Model, memo: int = 400_000):
+    def __init__(self, model: Model, memo: int = 80_000):
         self.model, self.memo = model, memo
         self.new: dict[str, float] = {}
         self.old: dict[str, float] = {}
@@ -359,16 +382,14 @@ def keep_clean(docs: DataFrame, model: Model | None, chars_at_once: int = 1 << 2
     return docs.mapInArrow(run, docs.schema)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: labelled, and crc32(doc_id) mod 5 is not 0."""
-    toxic = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
-    learn = docs.select("doc_id", "text").where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) != 0)
-    return learn.join(toxic, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
+def learnable(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows to learn from: crc32(doc_id) mod 5 is not 0."""
+    return docs.select("doc_id", "text").where(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) != 0)
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model | None:
     """Machine from the labelled part of ``documents``."""
-    return train(labelled_documents(documents(spark, sf_dir), read_table(spark, sf_dir, "labels")))
+    return train(learnable(documents(spark, sf_dir)), read_table(spark, sf_dir, "labels"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
