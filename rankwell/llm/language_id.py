@@ -94,7 +94,7 @@ def count_phrases(table: np.ndarray, chars: np.ndarray) -> np.ndarray:
 class CrossParser:
     """Bits of words under each language; a memo of two generations holds the frequent words."""
 
-    def __init__(self, samples: dict[str, str], memo: int = 250_000):
+    def __init__(self, samples: dict[str, str], memo: int = 80_000):
         self.langs = sorted(samples)
         automata = [SuffixAutomaton(samples[x]) for x in self.langs]
         self.codes = {ch: i + 1 for i, ch in enumerate(sorted(set("".join(samples.values()))))}
