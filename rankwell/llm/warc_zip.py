@@ -188,7 +188,7 @@ class ZipDirectory:
         tail_at = max(0, self.size - 22 - 65535)
         tail = self.file.read_at(self.size - tail_at, tail_at)
         at = tail.rfind(b"PK\x05\x06")
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] > len(tail):
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
             raise ValueError("no end of central directory: not a ZIP archive")
@@ -308,8 +308,15 @@ def read_archives(archives: DataFrame, run_bytes: int = 8 << 20, with_payload: b
                     at += length
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    runs = archives.select("uri").repartition("uri").mapInArrow(plan, "uri string, offset long, lengths array<long>")
-    return runs.repartition(F.col("uri"), F.col("offset")).mapInArrow(read, READ_SCHEMA)
+    # Rows of both tables are small and stand for much reading, so they are dealt by number, not by size.
+    uris = staged(archives.select("uri"), "warc-uris")
+    runs = staged(uris.repartition(_tasks(uris), "uri").mapInArrow(plan, "uri string, offset long, lengths array<long>"), "warc-runs")
+    return runs.repartition(_tasks(runs), "uri", "offset").mapInArrow(read, READ_SCHEMA)
+
+
+def _tasks(rows: DataFrame, most: int = 20_000) -> int:
+    """One task per row, up to ``most``."""
+    return max(1, min(most, rows.count()))
 
 
 def qualified(spark: SparkSession, path: str) -> str:
