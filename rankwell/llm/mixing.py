@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankwell.llm.common import WORD, documents, prepare
+from rankwell.llm.common import WORD, documents, prepare, staged
 
 #: No source is taken more often than this.
 MAX_EPOCHS = 3
@@ -100,33 +100,29 @@ def take_documents(docs: DataFrame, **options) -> DataFrame:
     they are equal in both, and then their copies are shared out evenly in total.
     """
     columns = docs.columns
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    taken = mix(sized.select("doc_id", "source", F.col("__size").alias("size")), **options)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), word_count(F.col("text")).alias("words"))
+    taken = mix(staged(row.select(F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("words").alias("size")), "mixing"), **options)
     # Rows equal in (id, source, size) are interchangeable: number them on both sides.
-    same = Window.partitionBy("doc_id", "source", "size")
-    plan = taken.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "taken",
-                        F.row_number().over(same.orderBy("taken")).alias("p_no"))
-    each = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))
-    whole = sized.withColumn("__no", F.row_number().over(each)).join(
-        plan,
-        F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("__size") == F.col("p_size")) & (F.col("__no") == F.col("p_no")),
-    ).where("taken > 0")
-    copies = F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("__size")))
-    whole = whole.withColumn("__copy", F.explode(copies))
-    words = F.least(F.col("__size"), F.col("taken") - F.col("__copy") * F.col("__size")).cast("int")
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(words < F.col("__size"), F.array_join(F.slice(pieces, F.lit(1), words), "")).otherwise(F.col("text"))
-    whole = whole.withColumn("__text", text)
-    changed = {"text": F.col("__text").alias("text")}
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("taken")
+    plan = taken.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_of"), F.col("size").alias("p_words"), "taken", F.row_number().over(same).alias("p_no"))
+    each = Window.partitionBy("id", "of", "words").orderBy(F.xxhash64("row.text"))
+    key = F.col("id").eqNullSafe(F.col("p_id")) & F.col("of").eqNullSafe(F.col("p_of")) & (F.col("words") == F.col("p_words")) & (F.col("no") == F.col("p_no"))
+    rows = row.withColumn("no", F.row_number().over(each)).join(plan, key).where("taken > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("words")))))
+    left = F.least(F.col("words"), F.col("taken") - F.col("copy") * F.col("words")).cast("int")
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    rows = rows.withColumn("whole", left == F.col("words")).withColumn("cut", F.when(~F.col("whole"), F.array_join(F.slice(pieces, F.lit(1), left), "")))
+    changed = {"text": F.coalesce("cut", "row.text").alias("text")}
     if "n_chars" in columns:
-        changed["n_chars"] = F.when(words < F.col("__size"), F.length("__text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return whole.select(*[changed.get(c, F.col(c)) for c in columns])
+        changed["n_chars"] = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("cut").cast("long")).alias("n_chars")
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: doc_id, size, source_size, target, taken."""
     prepare(spark)
-    return mix(sized_documents(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
+    sized = staged(sized_documents(documents(spark, sf_dir)), "mixing")  # texts are read and counted once
+    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
