@@ -34,6 +34,8 @@ THREE_BLOCKS = ((0, 22, 1, 4), (22, 21, 1, 4), (43, 21, 0, 0))
 TWO_BLOCKS = ((0, 31, 2, 5), (31, 31, 1, 5))
 #: Home rows of an anchor that one task takes; beyond it the anchor is split.
 HOMES = 4096
+#: Ids to drop that are sent to every task; with more, the rows are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 16
 
 
@@ -234,14 +236,16 @@ def near_links(fps: DataFrame, distance: int = 4, layout=THREE_BLOCKS, homes_per
             anchor, fp, home = replicate(batch.column(0).to_numpy(), layout)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp), pa.array(home)], ["anchor", "fp", "home"])
 
-    rows = fps.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
+    # Each row becomes a few dozen: deal them over as many tasks as later shuffles have.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp").repartition(tasks, "fp").mapInArrow(spread, "anchor long, fp long, home boolean")
     hot = rows.where("home").groupBy("anchor").count().where(F.col("count") > homes_per_task)
     hot = staged(hot.select(F.col("anchor").alias("h_anchor"), F.ceil(F.col("count") / homes_per_task).cast("int").alias("shares")), "simhash-hot")
     if hot.isEmpty():
         rows = rows.withColumn("share", F.lit(0).cast("long"))
     else:  # each share has a part of the homes, and all rows
         rows = rows.join(hot, F.col("anchor") == F.col("h_anchor"), "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-        rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).cast("long"))
+        rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)))
         rows = rows.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("shares")) == F.col("share")))
     rows = rows.select("anchor", "share", "fp", "home").repartition("anchor", "share").sortWithinPartitions("anchor", "share", F.col("home").desc())
     return rows.mapInArrow(_compare(distance), "a long, b long")
@@ -262,14 +266,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, seed:
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "root")
     ids = linked.join(roots, F.col("component") == F.col("root")).select(F.col("fp").alias("c_fp"), "component_id")
     classes = distinct.join(ids, F.col("fp") == F.col("c_fp"), "left").select(F.col("fp").alias("k_fp"), F.coalesce("component_id", "least").alias("component_id"))
+    classes = staged(classes, "simhash-classes")  # so that a fingerprint with very many rows is a join that Spark can split
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(classes, F.col("fp") == F.col("k_fp")).select("doc_id", hexed, "component_id")
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with their columns."""
-    found = near_duplicates(docs, **options).select(F.col("component_id").alias("__keep")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of its component, with their columns.
+
+    Rows that share an id go or stay together: they stay if one of them has the
+    smallest id of its component.  Rows without an id stay if some component has
+    no id at all.  Only the ids that go meet the rows.
+    """
+    found = near_duplicates(docs, **options)
+    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = staged(ids.where(~F.col("stays")).select(F.col("doc_id").alias("__gone")), "simhash-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
