@@ -36,6 +36,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: The search for an element to end stops at these.
 SCOPE = frozenset("table ul ol dl article aside section main nav div body html".split())
 _TOKEN = re.compile(r"[a-z]+")
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?]")
 
 
 @dataclass
@@ -136,6 +137,8 @@ def leaf_blocks(html: str | None) -> list[Block]:
         return []
     parser = _Blocks()
     parser.feed(html)
+    if _CUT_TAG.match(parser.rawdata):  # the page ends inside a tag
+        parser.rawdata = ""
     parser.close()
     parser.flush()
     return parser.blocks
