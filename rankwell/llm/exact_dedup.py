@@ -26,6 +26,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 BROADCAST_GROUPS = 500_000
 #: Rows to drop that are sent to every task (one number each); with more, by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Copies of one group that are compared with the keeper's bytes in one share.
+SHARE_ROWS = 256
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -99,11 +101,15 @@ class Deduplication:
 
     def _check_bytes(self) -> None:
         """Compare the full normalised bytes of every hit with those at the keeper's locator."""
-        groups = self.state.where("group_size > 1").select("s_digest", "keeper")
+        # A large group is dealt into shares, and the keeper's bytes go to each of them.
+        shares = F.ceil(F.col("group_size") / SHARE_ROWS).cast("long").alias("shares")
+        groups = self.state.where("group_size > 1").select("s_digest", "keeper", shares)
         copies = self.rows.select("digest", "locator", normalised(F.col("source_row.text")).alias("norm")).join(_bounded(groups, BROADCAST_GROUPS), F.col("digest") == F.col("s_digest"))
-        content = copies.where("locator = keeper").select(F.col("digest").alias("k_digest"), F.col("norm").alias("k_norm"))
-        hits = copies.where("locator <> keeper").select("digest", "norm")
-        unequal = hits.join(content, (F.col("digest") == F.col("k_digest")) & (F.col("norm") != F.col("k_norm")))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("k_share")
+        content = copies.where("locator = keeper").select(F.col("digest").alias("k_digest"), F.col("norm").alias("k_norm"), each)
+        hits = copies.where("locator <> keeper").select("digest", "norm", F.pmod(F.xxhash64("locator"), F.col("shares")).alias("share"))
+        same = (F.col("digest") == F.col("k_digest")) & (F.col("share") == F.col("k_share"))
+        unequal = hits.join(content, same & (F.col("norm") != F.col("k_norm")))
         self.collided = staged(unequal.select(F.col("digest").alias("x_digest")).distinct(), "exact-collided")
         self.has_collisions = not self.collided.isEmpty()
 
