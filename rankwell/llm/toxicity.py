@@ -23,7 +23,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwell.llm.common import crc_of_id, documents, prepare, staged
@@ -34,6 +35,8 @@ _PARTS = re.compile(r"[^\W\d_]{3,}").findall
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)").finditer
 #: One in so many of the sampled rows sets the border and is not fitted.
 CALIBRATION = 4
+#: Share of the toxic bags that a word needs to be a witness by itself.
+STRONG = 0.01
 #: Characters of a word that are looked at together; longer words are scored window by window.
 WINDOW = 14
 _BORDER, _BITS = 31, 5
@@ -53,13 +56,20 @@ def words_of(text: str | None) -> set[str]:
 
 
 def windows(word: str) -> list[str]:
-    """The word itself if short, else overlapping windows; its runs of letters if it holds other characters."""
+    """The word itself if short, else overlapping windows; if it holds other characters, its runs of letters and all its letters too."""
     units = [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
     if not word.isalpha():
-        units += [w for p in _PARTS(word) for w in windows(p)]
+        letters = "".join(filter(str.isalpha, word))
+        units += [w for p in {*_PARTS(word), letters} if len(p) >= 3 for w in windows(p)]
     return units
 
 
+def altered(word: str) -> list[str]:
+    """The word with a letter put in at each inner place, and with each inner letter doubled."""
+    strange = [chr(97 + (7 * i + len(word)) % 26) for i in range(len(word))]
+    return list(dict.fromkeys([word[:i] + c + word[i:] for i in range(1, len(word)) for c in (strange[i], word[i])]))
+
+
 def _classes(units: list[str], n: int) -> np.ndarray:
     """Character classes of units of n characters, with a border at each end; 0 for what only fills a gap."""
     codes = np.array(units, dtype=f"<U{n}").view(np.uint32).reshape(len(units), n)
@@ -167,7 +177,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin, -50, 50))))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 10.0, rounds: int = 30) -> np.ndarray:
     """Squared-hinge linear machine by Newton steps over the rows inside the margin; the last column is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w, eye = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
@@ -193,17 +203,24 @@ def _spread_out(units: list[str], limit: int) -> list[str]:
     return [units[i] for i in dict.fromkeys(chosen)]
 
 
-def fit_words(positive: dict[str, int], negative: list[str], hard: list[str], landmarks: int = 128) -> Model:
-    """Machine over Nystroem features of the landmarks; ``positive`` has the bags that each witness explains."""
+def fit_words(positive: dict[str, int], negative: list[str], hard: list[str], landmarks: int = 192, max_altered: int = 64) -> Model:
+    """Machine over Nystroem features of the landmarks; ``positive`` has the bags that each witness explains.
+
+    The ``max_altered`` witnesses that explain most are also learned with letters
+    put in or doubled, at a tenth of the weight each.
+    """
     pos = sorted(positive, key=lambda w: (-positive[w], w))
-    marks = list(dict.fromkeys([*_spread_out([u for w in pos for u in windows(w)], landmarks // 2), *_spread_out([u for w in hard for u in windows(w)], landmarks // 4), *[windows(w)[0] for w in negative[: landmarks // 4]]]))
+    changed = [a for w in pos[:max_altered] if w.isalpha() and len(w) < WINDOW for a in altered(w)]
+    marks = list(dict.fromkeys([*[windows(w)[0] for w in pos[: landmarks // 2]], *_spread_out([u for w in hard for u in windows(w)], landmarks // 4), *[windows(w)[0] for w in negative[: landmarks // 4]]]))
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm to the power -1/2
-    words = [*pos, *negative, *hard]
+    words = [*pos, *changed, *negative, *hard]
     x = kernel([windows(w)[0] for w in words], marks).astype(np.float64) @ root
-    y = np.concatenate([np.ones(len(pos)), -np.ones(len(words) - len(pos))])
-    weight = np.where(y > 0, 1 / max(1, len(pos)), 1 / max(1, len(words) - len(pos))) * len(words) / 2
+    y = np.concatenate([np.ones(len(pos) + len(changed)), -np.ones(len(negative) + len(hard))])
+    weight = np.concatenate([np.ones(len(pos)), np.full(len(changed), 0.1), np.ones(len(negative) + len(hard))])
+    for sign in (1, -1):
+        weight[y == sign] *= len(words) / 2 / weight[y == sign].sum()
     w = fit_svm(x, y, weight)
     return Model(Features(marks).add_to(np.zeros(DIM, np.float32), root @ w[:-1]), float(-w[-1]), 4.0)
 
@@ -219,23 +236,27 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 3000, max_ca
     """
     toxic = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("s_toxic"))
     known = docs.where("text is not null").select("doc_id").distinct().join(toxic, F.col("doc_id") == F.col("l_id"))
-    first = Window.partitionBy("s_toxic").orderBy(F.xxhash64("l_id"), "l_id")
-    ids = known.select("l_id", "s_toxic").withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_class)
-    ids = ids.select(F.col("l_id").alias("s_id"), F.col("s_toxic").cast("int").alias("toxic"))
+    known = staged(known.select(F.col("l_id").alias("s_id"), F.col("s_toxic").cast("int").alias("toxic")), "toxicity-known")
+    first = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("s_id"), "s_id").limit(docs_per_class) for label in (0, 1)]
+    ids = first[0].unionByName(first[1])
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, toxic in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 found = sorted(w for w in words_of(text.as_py()) if len(w) <= 2 * WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found, pa.string())], ["doc_id", "toxic", "word"])
+                # A MinHash of the bag: near copies of a document mostly have the same one.
+                sketch = min((xxhash.xxh64_intdigest(w) >> 1 for w in found), default=0)
+                same = [pa.array([x] * len(found), t) for x, t in ((doc, pa.int64()), (toxic, pa.int32()), (sketch, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found, pa.string())], ["doc_id", "toxic", "sketch", "word"])
 
-    bags = staged(sample.selectExpr("cast(doc_id as long) doc_id", "text", "toxic").mapInArrow(words, "doc_id long, toxic int, word string"), "toxicity-words")
+    bags = staged(sample.selectExpr("cast(doc_id as long) doc_id", "text", "toxic").mapInArrow(words, "doc_id long, toxic int, sketch long, word string"), "toxicity-words")
     fitted = bags.where(F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) != 0)
-    counts = staged(fitted.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxicity-counts")
-    # Witness candidates: in several toxic bags, hardly in clean ones.
+    counts = staged(fitted.groupBy("word").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxicity-counts")
+    bags_n = fitted.where("toxic = 1").agg(F.countDistinct("sketch")).first()[0]
+    # Witness candidates: in several toxic bags (near copies count once), hardly in clean ones.
     candidates = counts.where("pos >= 3 and pos > 20 * neg").orderBy(F.col("pos").desc(), "word").limit(max_candidates)
-    pairs = fitted.where("toxic = 1").join(F.broadcast(candidates.select(F.col("word").alias("c_word"), "pos")), F.col("word") == F.col("c_word")).select("doc_id", "word", "pos").collect()
+    pairs = fitted.where("toxic = 1").join(F.broadcast(candidates.select(F.col("word").alias("c_word"), "pos", "neg")), F.col("word") == F.col("c_word")).select("doc_id", "word", "pos", "neg").collect()
     clean = counts.where("neg >= 1")
     negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(max_negative).collect()]
     if not pairs or not negative:
@@ -244,14 +265,17 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 3000, max_ca
     for r in pairs:
         of_bag.setdefault(r["doc_id"], []).append((r["word"], r["pos"]))
 
+    # A word of many toxic bags and no clean one is a witness beside others too.
+    strong = {r["word"]: r["pos"] for r in pairs if r["neg"] == 0 and r["pos"] >= max(5, STRONG * bags_n)}
+
     def witnesses(value) -> dict[str, int]:
-        """One witness per toxic bag, and how many bags each explains; a word that explains one bag only is noise."""
+        """One witness per toxic bag, and how many bags each explains (a word that explains one bag only is noise); the strong words."""
         chosen: dict[str, int] = {}
         for found in of_bag.values():
             w = max(found, key=value)[0]
             chosen[w] = chosen.get(w, 0) + 1
         several = {w: n for w, n in chosen.items() if n >= 2}
-        return several or chosen
+        return (several or chosen) | strong
 
     positive = witnesses(lambda x: (x[1], x[0]))
     model = fit_words(positive, negative, [])
