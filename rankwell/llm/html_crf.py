@@ -279,8 +279,11 @@ def train(pages: DataFrame | None = None, max_pages: int = 300, max_blocks: int
     """
     sequences = [leaf_blocks(h) for h in labelled_pages()]
     if pages is not None:
-        rows = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).select("html").collect()
-        for i, r in enumerate(rows):
+        # Ids are chosen first: only the chosen pages reach the driver, whatever the number of tasks.
+        ids = pages.where("html is not null and page_id is not null").select(F.col("page_id").alias("t_id")).distinct().orderBy(F.xxhash64("t_id"), "t_id").limit(max_pages)
+        chosen = pages.select("page_id", "html").where("html is not null").join(F.broadcast(ids), F.col("page_id") == F.col("t_id"))
+        rows = chosen.groupBy("page_id").agg(F.min("html").alias("html")).collect()
+        for i, r in enumerate(sorted(rows, key=lambda r: r["page_id"])):
             if found := self_labelled(r["html"]):
                 found = found[:max_blocks]
                 sequences.append(found)
