@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -36,6 +37,11 @@ class PrefixBPE:
         self.ranks, self.memo = ranks, memo
         self.tokens = {t: b for b, t in ranks.items()}
         self.longest = max(map(len, ranks))
+        # Length of the longest token that ends with three bytes: most positions need few candidates.
+        self.reach: dict[bytes, int] = {}
+        for b in ranks:
+            if len(b) > self.reach.get(b[-3:], 2):
+                self.reach[b[-3:]] = len(b)
         self._parts: dict[int, tuple[int, int]] = {}
         self._fits: dict[int, bool] = {}
         self._last: dict[bytes, int] = {}
@@ -85,9 +91,10 @@ class PrefixBPE:
 
     def extend(self, piece: bytes, last: list[int], start: int) -> None:
         """Fill ``last[i]``, the last token of ``piece[:i]``, for i over ``start``, in place."""
-        rank, known, longest = self.ranks.get, self._fits, self.longest
+        rank, known, reach = self.ranks.get, self._fits, self.reach.get
         for i in range(start + 1, len(piece) + 1):
-            for k in range(i - longest if i > longest else 0, i):
+            far = reach(piece[i - 3 : i], 2) if i > 3 else i
+            for k in range(i - far if i > far else 0, i):
                 token = rank(piece[k:i])
                 if token is not None:
                     if not k:
@@ -176,14 +183,14 @@ class TextBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
         self.bpe, self.find, self.memo = PrefixBPE(ranks), regex.compile(pattern).findall, memo
-        self._new: dict[str, tuple[list[int], str]] = {}
-        self._old: dict[str, tuple[list[int], str]] = {}
+        self._new: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._old: dict[str, tuple[tuple[int, ...], str]] = {}
 
-    def piece(self, piece: str) -> tuple[list[int], str]:
+    def piece(self, piece: str) -> tuple[tuple[int, ...], str]:
         """Ids of a match, and the same as text; two generations of a memo keep the frequent ones."""
         found = self._old.get(piece)
         if found is None:
-            ids = self.bpe.encode_piece(piece.encode("utf-8"))
+            ids = tuple(self.bpe.encode_piece(piece.encode("utf-8")))  # a tuple of numbers costs the garbage collector nothing
             found = (ids, " ".join(map(str, ids)))
         if len(piece) <= 32:
             if len(self._new) >= self.memo:
@@ -194,12 +201,12 @@ class TextBPE:
     def encode(self, text: str) -> tuple[list[int], str]:
         pieces = self.find(text)
         found = list(map(self._new.get, pieces))
-        if None in found:
-            found = [f if f is not None else self.piece(p) for f, p in zip(found, pieces)]
-        ids: list[int] = []
-        for f in found:
-            ids += f[0]
-        return ids, " ".join([f[1] for f in found])
+        if not all(found):
+            found = [f or self.piece(p) for f, p in zip(found, pieces)]
+        if not found:
+            return [], ""
+        ids, shown = zip(*found)
+        return list(chain.from_iterable(ids)), " ".join(shown)
 
 
 _CODERS: dict[tuple[str, str], TextBPE] = {}
