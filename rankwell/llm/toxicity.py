@@ -31,7 +31,6 @@ from rankwell.llm.common import crc_of_id, documents, prepare, staged
 from rankwell.session import read_table
 
 _CORE = re.compile(r"[^\W\d_](?:\S*[^\W\d_])?").findall
-_PARTS = re.compile(r"[^\W\d_]{3,}").findall
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)").finditer
 #: One in so many of the sampled rows sets the border and is not fitted.
 CALIBRATION = 4
@@ -59,8 +58,9 @@ def windows(word: str) -> list[str]:
     """The word itself if short, else overlapping windows; if it holds other characters, its runs of letters and all its letters too."""
     units = [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
     if not word.isalpha():
-        letters = "".join(filter(str.isalpha, word))
-        units += [w for p in {*_PARTS(word), letters} if len(p) >= 3 for w in windows(p)]
+        # Not by \w, which also has "²" and "½": a part must be all letters, or it would be cut again without end.
+        parts = "".join(c if c.isalpha() else " " for c in word).split()
+        units += [w for p in {*parts, "".join(parts)} if len(p) >= 3 for w in windows(p)]
     return units
 
 

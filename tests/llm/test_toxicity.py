@@ -87,3 +87,16 @@ def test_held_out_accuracy(spark):
 def test_held_out_rows_are_not_learned_from(spark):
     df = docs(spark, [(i, f"text {i}") for i in range(200)])
     assert {r.doc_id for r in T.learnable(df).collect()} == {i for i in range(200) if crc(i, 5)}
+
+
+def test_characters_that_are_no_letters():
+    """Superscripts, fractions and Roman numerals are word characters but no letters."""
+    assert T.windows("km²") == ["km²"] and T.windows("h₂o") == ["h₂o"] and set(T.windows("co₂idiot")) == {"co₂idiot", "coidiot", "idiot"}
+    for w in ("cm³", "ⅷⅷⅷ", "½½½", "x²" * 50, "idiot²"):
+        assert T.windows(w)
+
+
+def test_rows_with_characters_that_are_no_letters(spark):
+    rows = [(1, "an area of 5 km² of H₂O"), (2, "CO₂ ½½½ Ⅷ"), (3, None), (4, "you vile scum²")]
+    model = T.fit_words({"scum": 3, "vile": 2}, ["area", "water", "km²"], ["h₂o"])
+    assert {r.doc_id for r in T.score(docs(spark, rows), model).collect()} == {1, 2, 3, 4}
