@@ -27,6 +27,8 @@ from rankwell.session import read_table
 K, LEAF, TABLES = 10, 32, 4
 #: Rows that one task compares with each other at a time.
 BLOCK = 512
+#: Rows that a slice of a large group shares with the one before it.
+SHARED = 16
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
@@ -79,26 +81,47 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.R
 def _best(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> pa.RecordBatch:
     """Rows (u, v, c): for each u its k best of the pairs, taken in both directions."""
     u, v, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c])
-    order = np.lexsort((v, -s, u))
+    order = np.lexsort((-s, v, u))
     u, v, s = u[order], v[order], s[order]
     again = np.concatenate([[False], (u[1:] == u[:-1]) & (v[1:] == v[:-1])])
     u, v, s = u[~again], v[~again], s[~again]
+    order = np.lexsort((v, -s, u))
+    u, v, s = u[order], v[order], s[order]
     first = np.searchsorted(u, u)
     keep = np.arange(len(u)) - first < k
     return pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep]), pa.array(s[keep])], ["u", "v", "c"])
 
 
-def _join_groups(keys: int, k: int):
-    """All pairs within groups of rows (keys..., rid, vec), in blocks; for each row its k best."""
+def _chain(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) that connect what the links of a block connect, with at most two of them a row."""
+    label = np.arange(len(near))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        if (least == label).all():
+            break
+        label = least
+    order = np.argsort(label, kind="stable")
+    same = label[order][1:] == label[order][:-1]
+    return order[:-1][same], order[1:][same]
+
+
+def _join_groups(keys: int, k: int, threshold: float | None = None):
+    """All pairs within groups of rows (keys..., rid, vec), in blocks; for each row its k best.
+
+    With a threshold also rows without c: they connect all rows of a block that its
+    links connect, as lists full of closer ones drop the links to the rest of a group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in _groups(batches, keys):
             rid = batch.column(keys).to_numpy()
             vecs = batch.column(keys + 1).to_pylist()
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            chains: list[tuple[np.ndarray, np.ndarray]] = []
             for s, e in zip(starts, [*starts[1:], len(rid)]):
                 for i in range(s, e, BLOCK // 2):
-                    part = slice(i, min(e, i + BLOCK // 2))
+                    # Slices share rows, so that the links of a group that fills several connect.
+                    part = slice(max(s, i - SHARED), min(e, i + BLOCK // 2))
                     n = part.stop - part.start
                     if n < 2:
                         continue
@@ -108,6 +131,11 @@ def _join_groups(keys: int, k: int):
                     kk = min(k, n - 1)
                     top = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
                     found.append((np.repeat(rid[part], kk), rid[part][top].ravel(), np.take_along_axis(sim, top, axis=1).ravel()))
+                    if threshold is not None and (near := sim >= threshold).any():
+                        chains.append(tuple(rid[part][x] for x in _chain(near)))
+            if chains:
+                a, b = (np.concatenate(x) for x in zip(*chains))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.float64())], ["u", "v", "c"])
             if found:
                 a, b, c = (np.concatenate(x) for x in zip(*found))
                 differ = a != b
@@ -117,12 +145,13 @@ def _join_groups(keys: int, k: int):
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each vector."""
-    best = Window.partitionBy("u").orderBy(F.col("c").desc(), "v")
-    return edges.groupBy("u", "v").agg(F.max("c").alias("c")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("u", "v", "c")
+    """The k best neighbours of each vector, and the rows without c, which only connect."""
+    best = Window.partitionBy("u").orderBy(F.col("c").desc_nulls_last(), "v")
+    once = edges.groupBy("u", "v", F.col("c").isNull()).agg(F.max("c").alias("c"))
+    return once.withColumn("n", F.row_number().over(best)).where((F.col("n") <= k) | F.col("c").isNull()).select("u", "v", "c")
 
 
-def first_graph(reps: DataFrame, k: int = K, leaf: int = LEAF, tables: int = TABLES, seed: int = 5) -> DataFrame:
+def first_graph(reps: DataFrame, k: int = K, leaf: int = LEAF, tables: int = TABLES, seed: int = 5, threshold: float | None = None) -> DataFrame:
     """Lists from buckets of equal signs on random hyperplanes, about ``leaf`` vectors in each."""
     sizes = reps.groupBy("label", F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / leaf))).cast("int")
@@ -148,23 +177,25 @@ def first_graph(reps: DataFrame, k: int = K, leaf: int = LEAF, tables: int = TAB
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[at]), pa.array([vecs[i] for i in at], pa.binary())], ["key", "rid", "vec"])
 
     keyed = rows.mapInArrow(run, "key long, rid long, vec binary")
-    grouped = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("rid"))
-    return _lists(grouped.mapInArrow(_join_groups(1, k), "u long, v long, c double"), k)
+    # The key is another one in each table, and so is the order in which large buckets are sliced.
+    grouped = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("rid", "key"))
+    return _lists(grouped.mapInArrow(_join_groups(1, k, threshold), "u long, v long, c double"), k)
 
 
-def refine(graph: DataFrame, reps: DataFrame, k: int, round_no: int) -> DataFrame:
+def refine(graph: DataFrame, reps: DataFrame, k: int, round_no: int, threshold: float | None = None) -> DataFrame:
     """One local join: neighbours and listing vectors of each vector are compared with each other.
 
     Long lists of listing vectors are dealt into shares by a hash that changes every round.
     """
-    both = graph.select(F.col("u").alias("w"), F.col("v").alias("m")).union(graph.select(F.col("v").alias("w"), F.col("u").alias("m"))).distinct()
-    degree = graph.groupBy(F.col("v").alias("d_w")).count()
+    listed = graph.where("c is not null")
+    both = listed.select(F.col("u").alias("w"), F.col("v").alias("m")).union(listed.select(F.col("v").alias("w"), F.col("u").alias("m"))).distinct()
+    degree = listed.groupBy(F.col("v").alias("d_w")).count()
     both = both.join(degree, F.col("w") == F.col("d_w"), "left")
     shares = F.ceil((F.coalesce("count", F.lit(0)) + k) / (6 * k)).cast("long")
     both = both.select("w", F.pmod(F.xxhash64("m", F.lit(round_no)), shares).alias("share"), "m")
     rows = both.join(reps.select("rid", "vec"), F.col("m") == F.col("rid")).select("w", "share", "rid", "vec")
-    rows = rows.repartition("w", "share").sortWithinPartitions("w", "share")
-    found = rows.mapInArrow(_join_groups(2, k), "u long, v long, c double")
+    rows = rows.repartition("w", "share").sortWithinPartitions("w", "share", F.xxhash64("rid", F.lit(round_no)))
+    found = rows.mapInArrow(_join_groups(2, k, threshold), "u long, v long, c double")
     return _lists(found.union(graph), k)
 
 
@@ -225,7 +256,8 @@ def _links(graph: DataFrame, reps: DataFrame, threshold: float, k: int) -> tuple
     directed = graph.where(F.col("c") >= threshold).select("u", "v")
     both = directed.union(directed.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = staged(both, "vectors-links")
-    parts = staged(components(both.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vectors-parts")
+    connected = both.union(graph.where("c is null").select("u", "v"))
+    parts = staged(components(connected.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vectors-parts")
     weights = reps.select(F.col("rid").alias("w_rid"), "n")
     listed = both.join(weights, F.col("v") == F.col("w_rid")).groupBy(F.col("u").alias("rid")).agg(F.count(F.lit(1)).alias("near"), F.sum("n").alias("weight"))
     full = directed.groupBy("u").count().where(F.col("count") >= k).select("u")
@@ -256,10 +288,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, k: int = K, max_ro
     reps = base.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     reps = staged(reps.withColumn("rid", F.monotonically_increasing_id()), "vectors-distinct")
     total = reps.count()
-    graph = staged(first_graph(reps, k), "vectors-graph")
+    graph = staged(first_graph(reps, k, threshold=threshold), "vectors-graph")
     counts, parts, last = None, None, None
     for round_no in range(1, max_rounds + 1):
-        new = staged(refine(graph, reps, k, round_no), "vectors-graph")
+        new = staged(refine(graph, reps, k, round_no, threshold), "vectors-graph")
         old = graph.select(F.col("u").alias("o_u"), F.col("v").alias("o_v"))
         changed = new.join(old, (F.col("u") == F.col("o_u")) & (F.col("v") == F.col("o_v")), "left_anti")
         # What matters is whether lists still gain entries near the threshold.

@@ -92,3 +92,19 @@ def test_refinement_mends_a_poor_graph(spark):
         graph = spark.createDataFrame(V.refine(graph, reps, 14, n).collect(), "u long, v long, c double")
     got = {(e.u, e.v) for e in graph.collect() if e.c >= 0.98}
     assert len(want & got) >= 0.95 * len(want) and not got - want
+
+
+def test_one_tight_group_over_several_blocks(spark):
+    r = np.random.default_rng(3)
+    centre = r.normal(size=64)
+    rows = [(i, (centre + r.normal(size=64) * 0.001).astype(np.float32).tolist(), 1) for i in range(1500)]
+    assert found(V.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == [(i, 1499, 0, i == 0) for i in range(1500)]
+
+
+def test_lists_full_of_closer_ones_keep_the_group_whole(spark):
+    r = np.random.default_rng(4)
+    centre, rows = r.normal(size=24), []
+    for _ in range(20):
+        inner = centre + r.normal(size=24) * 0.03
+        rows += [(len(rows) + i, (inner + r.normal(size=24) * 0.0005).astype(np.float32).tolist(), 1) for i in range(20)]
+    assert found(V.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
