@@ -3,8 +3,9 @@
 Equal vectors of a label are one representative beforehand.  A neighbour graph
 starts from random-hyperplane buckets and is refined by local joins: at each
 vector its neighbours and the vectors that list it are compared with each other,
-until few lists change.  Recall is audited with a fixed number of vectors against
-all others, and refinement goes on if it is too low.  Links are the graph's edges
+until few links are gained.  Recall is audited with some vectors against all
+others; if it is too low, buckets of new planes are added, and in the end the run
+fails rather than return too few links.  Links are the graph's edges
 at or over the threshold.  A list that is full of links is saturated: such lists
 are enlarged to everything in their component, which is compared in blocks, so
 that links are counted exactly in dense groups without emitting their pairs.
@@ -29,6 +30,8 @@ K, LEAF, TABLES = 10, 32, 4
 BLOCK = 512
 #: Rows that a slice of a large group shares with the one before it.
 SHARED = 16
+#: True links that an audit should meet, vectors that it asks at most, times that tables are added, tables of a time at most.
+ENOUGH, MOST, MORE, MAX_TABLES = 200, 16384, 4, 64
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
@@ -151,8 +154,20 @@ def _lists(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("n", F.row_number().over(best)).where((F.col("n") <= k) | F.col("c").isNull()).select("u", "v", "c")
 
 
-def first_graph(reps: DataFrame, k: int = K, leaf: int = LEAF, tables: int = TABLES, seed: int = 5, threshold: float | None = None) -> DataFrame:
-    """Lists from buckets of equal signs on random hyperplanes, about ``leaf`` vectors in each."""
+def tables_for(bits: int, threshold: float, recall: float, least: int = TABLES) -> int:
+    """Tables of buckets of so many bits that have a pair at the threshold together at least once with probability ``recall``."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    if together >= 1:
+        return least
+    return int(min(MAX_TABLES, max(least, np.ceil(np.log(1 - recall) / np.log1p(-together))))) if together > 0 else MAX_TABLES
+
+
+def first_graph(reps: DataFrame, k: int = K, leaf: int = LEAF, tables: int = TABLES, seed: int = 5, threshold: float | None = None, recall: float = 0.995) -> DataFrame:
+    """Lists from buckets of equal signs on random hyperplanes, about ``leaf`` vectors in each.
+
+    With a threshold the number of tables grows with the bits, so that pairs without other neighbours are found.
+    """
+    need = np.array([tables if threshold is None else tables_for(b, threshold, recall, tables) for b in range(31)])
     sizes = reps.groupBy("label", F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / leaf))).cast("int")
     sizes = sizes.select(F.col("label").alias("s_label"), F.col("bytes").alias("s_bytes"), bits.alias("bits"))
@@ -160,21 +175,23 @@ def first_graph(reps: DataFrame, k: int = K, leaf: int = LEAF, tables: int = TAB
     rows = rows.select("rid", F.xxhash64("label", "s_bytes").alias("part"), "bits", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             rid, part, bits = (batch.column(i).to_numpy() for i in range(3))
             vecs = batch.column(3).to_pylist()
             dims = np.array([len(v) // 4 for v in vecs])
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                if d not in planes:
-                    planes[d] = np.random.default_rng(seed).standard_normal((tables, d, 30))
                 m = unit_rows([vecs[i] for i in at])
-                for t in range(tables):
-                    signs = (m @ planes[d][t] > 0) & (np.arange(30) < bits[at, None])
+                for t in range(need[bits[at]].max()):
+                    if (t, d) not in planes:
+                        planes[t, d] = np.random.default_rng([seed, t, int(d)]).standard_normal((d, 30))
+                    here = np.flatnonzero(need[bits[at]] > t)
+                    rows = at[here]
+                    signs = (m[here] @ planes[t, d] > 0) & (np.arange(30) < bits[rows, None])
                     code = (signs << np.arange(30, dtype=np.int64)).sum(axis=1) | (t << 40)
-                    key = (part[at] * 31 + code) * np.int64(-7046029254386353131) ^ code
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[at]), pa.array([vecs[i] for i in at], pa.binary())], ["key", "rid", "vec"])
+                    key = (part[rows] * 31 + code) * np.int64(-7046029254386353131) ^ code
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid[rows]), pa.array([vecs[i] for i in rows], pa.binary())], ["key", "rid", "vec"])
 
     keyed = rows.mapInArrow(run, "key long, rid long, vec binary")
     # The key is another one in each table, and so is the order in which large buckets are sliced.
@@ -214,8 +231,9 @@ def audit(reps: DataFrame, links: DataFrame, threshold: float, n_queries: int =
             total = 0
             for (label, size), (ids, m) in shared.value.items():
                 at = [i for i, (x, v) in enumerate(zip(labels, vecs)) if x == label and len(v) == size]
-                if at:
-                    total += int(((unit_rows([vecs[i] for i in at]) @ m.T >= threshold) & (rid[at][:, None] != ids[None, :])).sum())
+                step = max(1, (1 << 22) // len(ids))
+                for some in (at[i : i + step] for i in range(0, len(at), step)):
+                    total += int(((unit_rows([vecs[i] for i in some]) @ m.T >= threshold) & (rid[some][:, None] != ids[None, :])).sum())
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
     true = reps.select("rid", "label", "vec").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
@@ -224,6 +242,16 @@ def audit(reps: DataFrame, links: DataFrame, threshold: float, n_queries: int =
     return (found / true if true else 1.0), true
 
 
+def audit_enough(reps: DataFrame, links: DataFrame, threshold: float, total: int) -> tuple[float, int]:
+    """An audit of so many vectors that it meets ``ENOUGH`` true links, if ``MOST`` vectors have them."""
+    n = 256
+    while True:
+        recall, true = audit(reps, links, threshold, n)
+        if true >= ENOUGH or n >= min(total, MOST):
+            return recall, true
+        n = min(8 * n, MOST)
+
+
 def _count_block(threshold: float):
     """Links within and between two blocks of a component: (rid, near, weight) per row, no pairs."""
 
@@ -288,22 +316,28 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, k: int = K, max_ro
     reps = base.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     reps = staged(reps.withColumn("rid", F.monotonically_increasing_id()), "vectors-distinct")
     total = reps.count()
-    graph = staged(first_graph(reps, k, threshold=threshold), "vectors-graph")
-    counts, parts, last = None, None, None
-    for round_no in range(1, max_rounds + 1):
-        new = staged(refine(graph, reps, k, round_no, threshold), "vectors-graph")
-        old = graph.select(F.col("u").alias("o_u"), F.col("v").alias("o_v"))
-        changed = new.join(old, (F.col("u") == F.col("o_u")) & (F.col("v") == F.col("o_v")), "left_anti")
-        # What matters is whether lists still gain entries near the threshold.
-        changed = changed.where(F.col("c") >= threshold - 0.1).count()
-        graph = new
-        if changed <= settled * max(1, total):
-            counts, parts = _links(graph, reps, threshold, k)
-            last, _ = audit(reps, counts, threshold)
-            if last >= recall:
+    graph = staged(first_graph(reps, k, threshold=threshold, recall=recall), "vectors-graph")
+    round_no = 0
+    for more in range(MORE + 1):
+        if more:
+            graph = staged(_lists(first_graph(reps, k, seed=5 + more, threshold=threshold, recall=recall).union(graph), k), "vectors-graph")
+        for _ in range(max_rounds):
+            round_no += 1
+            new = staged(refine(graph, reps, k, round_no, threshold), "vectors-graph")
+            old = graph.where("c is not null").select(F.col("u").alias("o_u"), F.col("v").alias("o_v"), F.lit(1).alias("old"))
+            edges = new.where("c is not null").join(old, (F.col("u") == F.col("o_u")) & (F.col("v") == F.col("o_v")), "left")
+            # What matters is whether lists still gain links, or entries near the threshold.
+            gains = [(F.count(F.when(c, 1)), F.count(F.when(c & F.col("old").isNull(), 1))) for c in (F.col("c") >= threshold, F.col("c") >= threshold - 0.1)]
+            links, gained, near, came = edges.agg(*[x.alias(f"n{i}") for i, x in enumerate(sum(gains, ()))]).first()
+            graph = new
+            if gained <= settled * links and came <= settled * near:
                 break
-    if counts is None:
         counts, parts = _links(graph, reps, threshold, k)
+        last, true = audit_enough(reps, counts, threshold, total)
+        if last >= recall:
+            break
+    else:
+        raise RuntimeError(f"near_duplicates: recall {last:.4f} of {true} true links is under {recall} after {round_no} rounds")
     classes = reps.select(F.col("rid"), "label", "vec", "least", "n")
     found = counts.select(F.col("rid").alias("f_rid"), "weight")
     classes = classes.join(found, F.col("rid") == F.col("f_rid"), "left").join(parts.withColumnRenamed("node", "p_rid"), F.col("rid") == F.col("p_rid"), "left")

@@ -108,3 +108,23 @@ def test_lists_full_of_closer_ones_keep_the_group_whole(spark):
         inner = centre + r.normal(size=24) * 0.03
         rows += [(len(rows) + i, (inner + r.normal(size=24) * 0.0005).astype(np.float32).tolist(), 1) for i in range(20)]
     assert found(V.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_tables_grow_with_the_bits():
+    for bits in range(25):
+        together = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert 1 - (1 - together) ** V.tables_for(bits, 0.98, 0.995) >= 0.995
+    assert V.tables_for(0, 0.98, 0.995) == V.TABLES
+
+
+def test_audit_goes_on_until_it_meets_links(monkeypatch):
+    asked = []
+    monkeypatch.setattr(V, "audit", lambda reps, links, threshold, n: (asked.append(n) or 1.0, n // 256))
+    assert V.audit_enough(None, None, 0.98, 10**6) == (1.0, 64) and asked == [256, 2048, 16384]
+
+
+def test_low_recall_is_not_returned(spark, monkeypatch):
+    monkeypatch.setattr(V, "MORE", 1, raising=False)
+    monkeypatch.setattr(V, "audit", lambda *a: (0.5, 500))
+    with pytest.raises(RuntimeError, match="recall 0.5"):
+        V.near_duplicates(spark.createDataFrame(clustered(40), SCHEMA))
