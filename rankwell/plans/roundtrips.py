@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.candidates import filter_lenient
+from ..operators.candidates import candidate_pairs
 from ..operators.embed import HashedBagOfWords, embed
 from ..operators.rank import top_k
 from ..plans.evaluate import RetrievalTask, evaluate, pair_retriever
@@ -248,9 +248,19 @@ def task_from_config_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(~F.col("metric").startswith("nauc_")).select("metric", "k", "value")
 
 
+def lenient_search(q: DataFrame, c: DataFrame, depth: int, candidates: DataFrame) -> DataFrame:
+    """Dot-product hits within ``conv_id``: of the listed pairs for queries with a list, of all turns for the others."""
+    with_list = candidates.select("qid").distinct()
+    place = q.select("qid", "conv_id").join(candidates.where("did is not null").select("qid", "did").distinct(), "qid")
+    inside = place.join(c.select("did", "conv_id"), ["did", "conv_id"], "left_semi").select("qid", "did")
+    listed = candidate_pairs(inside, q, c, do_norm=False)
+    free = search(q.join(with_list, "qid", "left_anti"), c, depth, do_norm=False, group_cols=["conv_id"])
+    return top_k(listed.select("qid", "did", "score").unionByName(free.select("qid", "did", "score")), depth)
+
+
 def custom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's own search in the lifecycle: MEM by dot products at full conversation depth,
-    then the lenient filter to lists that only some queries have."""
+    """A user's own search in the lifecycle: MEM by dot products at full conversation depth with the
+    lenient filter to lists that only some queries have.  Listed pairs are scored directly, so no depth cuts them."""
     turns, queries, corpus, qrels = _mem_inputs(spark, sf_dir)
     conv = turns.select("id", "conv_id")
     listed = _later(turns).join(turns.where("turn > 0").select(F.col("id").alias("qid")), "qid", "left_semi")
@@ -258,8 +268,7 @@ def custom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     def retrieve(q, c, depth, candidates, keys):
         q = embed(q, _hashed).join(conv, "id").withColumnRenamed("id", "qid")
         c = embed(c, _hashed).join(conv, "id").withColumnRenamed("id", "did")
-        run = search(q, c, max(depth, 1000), do_norm=False, group_cols=["conv_id"])
-        return top_k(filter_lenient(run.select("qid", "did", "score"), candidates), depth)
+        return lenient_search(q, c, depth, candidates)
 
     task = RetrievalTask(name="MEM", k_values=KS, ignore_identical_ids=True)
     got = evaluate(spark, task, "dot", None, queries, corpus, qrels, scratch_path(spark, "custom"), candidates=listed, retriever=retrieve)

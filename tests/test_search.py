@@ -138,3 +138,14 @@ def test_repartition_invariance(spark, data):
     a = search(frame(spark, q, ["qid", "vec"]), frame(spark, c, ["did", "vec"]).repartition(1), 5)
     b = search(frame(spark, q, ["qid", "vec"]).repartition(7), frame(spark, c, ["did", "vec"]).repartition(9), 5)
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_lenient_search_has_no_depth_before_the_filter(spark):
+    """A listed turn far below rank 1000 of its conversation is found; queries without a list keep their best."""
+    from rankwell.plans.roundtrips import lenient_search
+
+    c = spark.createDataFrame([(f"d{i:04}", "c", [float(1500 - i), 1.0]) for i in range(1500)] + [("x", "other", [9999.0, 1.0])], "did string, conv_id string, vec array<double>")
+    q = spark.createDataFrame([("a", "c", [1.0, 0.0]), ("b", "c", [1.0, 0.0]), ("e", "c", [1.0, 0.0])], "qid string, conv_id string, vec array<double>")
+    cand = spark.createDataFrame([("a", "d1400"), ("a", "x"), ("e", None)], "qid string, did string")
+    got = sorted((r.qid, r.did, r.score) for r in lenient_search(q, c, 2, cand).collect())
+    assert got == [("a", "d1400", 100.0), ("b", "d0000", 1500.0), ("b", "d0001", 1499.0)]
