@@ -100,7 +100,7 @@ class _Blocks(HTMLParser):
         label = None
         for key, value in attrs:
             if key in ("class", "id", "role", "itemprop") and value:
-                names += _TOKEN.findall(value.lower())[:8]
+                names += _TOKEN.findall(value.lower())
             elif key == "data-main" and value in ("0", "1"):
                 label = int(value)
         self.stack.append(_Open(tag, tuple(dict.fromkeys(names)), label))

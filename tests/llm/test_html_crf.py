@@ -80,3 +80,8 @@ def test_query_against_the_marked_articles(spark):
         article = re.search("<article>(.*)</article>", p.html, re.S)[1]
         plain = html.unescape(re.sub("</?(?:p|h1|br)>", " ", re.sub("</?b>", "", article)))
         assert got[p.page_id] == " ".join(plain.split())
+
+
+def test_all_names_of_an_attribute_count():
+    block = C.leaf_blocks('<body><div class="max-w-screen-xl mx-auto px-4 py-2 sidebar">text</div>')[0]
+    assert "name=sidebar" in C.block_features(block)
