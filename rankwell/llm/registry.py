@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankwell.llm import bpe, exact_dedup, html_crf, language_id, mixing, near_vectors, passages, simhash, toxicity, warc_zip
+from rankwell.llm import bpe, exact_dedup, html_crf, language_id, lexicon_bpe, mixing, near_vectors, passages, simhash, toxicity, warc_zip
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc_zip.op10_warc,
+    "op11_lexicon_bpe": lexicon_bpe.op11_lexicon_bpe,
 }
 
 ORACLES = {
