@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankwell.llm import bpe, exact_dedup, html_crf, language_id, lexicon_bpe, mixing, near_vectors, passages, simhash, toxicity, warc_zip
+from rankwell.llm import bpe, collocations, conversation_trie, exact_dedup, html_crf, language_id, lexicon_bpe, mixing, near_vectors, passages, simhash, toxicity, warc_zip
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc_zip.op10_warc,
     "op11_lexicon_bpe": lexicon_bpe.op11_lexicon_bpe,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op8_near_vectors": near_vectors.ORACLE,
     "op10_warc": warc_zip.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_conversation_trie": conversation_trie.ORACLE,
 }
