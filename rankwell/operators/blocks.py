@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,12 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def local_rows(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` rows, read once and kept in the plan itself; larger ones as they are."""
+    got = df.limit(rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(got, df.schema) if got.num_rows <= rows else df
+
+
 def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id_out: str = "cb") -> DataFrame:
     """One row per Arrow batch of each partition: ``(cb, items array<struct<fields>>)``."""
     fields = list(fields)
@@ -75,6 +82,34 @@ def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id
     return df.select(*fields).mapInArrow(pack, f"{id_out} bigint, {out} array<struct<{item_type}>>")
 
 
+def pack_groups(df: DataFrame, groups: Sequence[str], fields: Sequence[str], out: str = "items") -> DataFrame:
+    """One row per group and Arrow batch of each partition: ``(groups, items array<struct<fields>>)``, without a shuffle."""
+    groups, fields = list(groups), list(fields)
+    src = df.select(*groups, *fields)
+    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            for g in groups:
+                values = batch.column(g).dictionary_encode()
+                own = values.indices.fill_null(len(values.dictionary)).to_numpy(zero_copy_only=False)
+                code = code * (len(values.dictionary) + 1) + own
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            rows = batch.take(pa.array(order))
+            items = pa.StructArray.from_arrays([rows.column(f) for f in fields], names=fields)
+            packed = pa.ListArray.from_arrays(pa.array([*starts, batch.num_rows], pa.int32()), items)
+            first = rows.take(pa.array(starts))
+            yield pa.RecordBatch.from_arrays([*(first.column(g) for g in groups), packed], names=[*groups, out])
+
+    schema = ", ".join([f"`{g}` {types[g]}" for g in groups] + [f"{out} array<struct<{', '.join(f'`{f}`: {types[f]}' for f in fields)}>>"])
+    return src.mapInArrow(pack, schema)
+
+
 def pack_blocks(df: DataFrame, key: str, fields: Sequence[str], n_blocks: int, out: str = "items") -> DataFrame:
     """Small side -> ``n_blocks`` rows ``(blk, items)`` hashed on ``key``."""
     return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("blk")).agg(

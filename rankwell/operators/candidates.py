@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .score import score_pairs
+from .score import _block_counts, _with_blocks, score_pairs
 
-# A document's list of queries is dealt into so many shares, and packed in blocks of so many queries.
-LIST_SHARES, LIST_BLOCK = 16, 1024
+# Most queries in a packed list of a document; a document listed by more gets as many lists as it needs.
+LIST_BLOCK = 1024
 
 
 def explode_candidates(lists: DataFrame, qid: str = "query_id", dids: str = "candidate_doc_ids",
@@ -56,17 +56,20 @@ def candidate_pairs(cand: DataFrame, queries: DataFrame, corpus: DataFrame, keys
     ``queries``/``corpus`` carry ``(keys, qid|did, vec)``.  With full-depth
     retrieval this equals retrieving everything and filtering afterwards.  The
     lists are packed per document first, so a document's vector is shuffled once
-    per block of ``LIST_BLOCK`` queries that list it (also if most queries do),
-    and pairs are scored in Arrow batches.
+    per list, and pairs are scored in Arrow batches.  A document that many queries
+    list is dealt into shares by its own count, about ``LIST_BLOCK`` / 2 queries
+    each, before any list is built: no list grows with the number of queries.
     """
     keys = list(keys)
     q = queries.select(*keys, F.col("qid").cast("string").alias("qid"), F.col("vec").cast("array<double>").alias("q_vec"))
     d = corpus.select(*keys, F.col("did").cast("string").alias("did"), F.col("vec").cast("array<double>").alias("d_vec"))
     pairs = cand.where(F.col("did").isNotNull()).select(*keys, "qid", "did").dropDuplicates([*keys, "qid", "did"])
-    lists = pairs.groupBy(*keys, "did", F.pmod(F.xxhash64("qid"), F.lit(LIST_SHARES)).alias("share")).agg(F.collect_list("qid").alias("qids"))
-    size = F.ceil(F.size("qids") / F.lit(LIST_BLOCK)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.slice("qids", i * LIST_BLOCK + 1, LIST_BLOCK))
-    lists = lists.select(*keys, "did", F.explode(blocks).alias("qids")).join(d, [*keys, "did"])
+    doc = [*keys, "did"]
+    counts = _block_counts(pairs, doc, LIST_BLOCK // 2, "shares")
+    dealt = _with_blocks(pairs, counts, doc, "shares").withColumn("share", F.pmod(F.xxhash64("qid"), F.col("shares")))
+    # an explicit shuffle on (document, share): one on the document alone would put a hot document into one task
+    lists = dealt.repartition(*doc, "share").groupBy(*doc, "share").agg(F.collect_list("qid").alias("qids"))
+    lists = lists.select(*doc, "qids").join(d, doc)
     joined = lists.select(*keys, "did", "d_vec", F.explode("qids").alias("qid")).join(q, [*keys, "qid"])
     return score_pairs(joined, do_norm=do_norm).select(*keys, "qid", "did", "score")
 

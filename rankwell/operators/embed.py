@@ -57,9 +57,11 @@ def embed(
     sort_col: str | None = "data",
     out: str = "vec",
 ) -> DataFrame:
-    """V6: ``(id, inputs...)`` -> ``(id, vec array<double>)`` with a user embedder."""
-    cols = [id_col, *[c for c in input_cols if c != id_col]]
-    src = df.select(*cols)
+    """V6: ``(id, inputs...)`` -> ``(id, vec array<double>)`` with a user embedder; a null id fails the job."""
+    # a text before the batches: pandas would turn integer ids beside a null into floats
+    text = F.col(id_col).cast("string")
+    ident = F.when(text.isNull(), F.raise_error(F.lit(f"missing required field {id_col}"))).otherwise(text)
+    src = df.select(ident.alias(id_col), *[c for c in input_cols if c != id_col])
     if sort_col:
         src = src.sortWithinPartitions(sort_col)
 
@@ -71,7 +73,7 @@ def embed(
             vecs = np.asarray(model(pdf[list(input_cols)]), dtype=np.float64)
             if vecs.shape[0] != len(pdf):
                 raise ValueError("embedder returned a different number of vectors than inputs")
-            yield pd.DataFrame({id_col: pdf[id_col].astype(str).values, out: list(vecs)})
+            yield pd.DataFrame({id_col: pdf[id_col].values, out: list(vecs)})
 
     return src.mapInPandas(run, f"`{id_col}` string, `{out}` array<double>")
 

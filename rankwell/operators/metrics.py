@@ -35,6 +35,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import local_rows
 from .rank import rank, top_k
 
 DEFAULT_K_VALUES = (1, 3, 5, 10, 20, 100, 1000)
@@ -46,26 +47,26 @@ def _log2(c):
     return F.log2(c.cast("double"))
 
 
-def judged(run: DataFrame, qrels: DataFrame, k_max: int, keys: Sequence[str] = ()) -> DataFrame:
+def judged(run: DataFrame, qrels: "DataFrame | PairQrels | ClassQrels", k_max: int, keys: Sequence[str] = ()) -> DataFrame:
     """Top ``k_max`` hits per query with their grade (0 when unjudged) and hit flag."""
     keys = list(keys)
-    if isinstance(qrels, ClassQrels):
-        raise TypeError("class judgments have no rows per pair; use per_query")
     ranked = top_k(run.select(*keys, "qid", "did", "score"), k_max, keys=[*keys, "qid"])
-    rel = qrels.select(*keys, "qid", "did", F.col("rel").cast("int").alias("rel"))
     return (
-        ranked.join(rel, [*keys, "qid", "did"], "left")
+        judgments(qrels).grades_of_hits(ranked, keys)
         .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
         .withColumn("hit", (F.col("rel") > 0).cast("int"))
     )
 
 
-def spine(run_qids: DataFrame, qrels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Evaluated queries: ids of the (unfiltered) run that have qrels rows."""
+def spine(run_qids: DataFrame, qrels: "DataFrame | PairQrels | ClassQrels", keys: Sequence[str] = ()) -> DataFrame:
+    """Evaluated queries: ids of the (unfiltered) run that have judgments."""
     keys = list(keys)
-    return run_qids.select(*keys, F.col("qid").cast("string")).distinct().join(
-        qrels.select(*keys, "qid").distinct(), [*keys, "qid"], "left_semi"
-    )
+    return run_qids.select(*keys, F.col("qid").cast("string")).distinct().join(judgments(qrels).judged_queries(keys), [*keys, "qid"], "left_semi")
+
+
+def judgments(qrels: "DataFrame | PairQrels | ClassQrels") -> "PairQrels | ClassQrels":
+    """Either kind of judgments behind one interface: ``grades_of_hits``, ``judged_queries`` and ``folded``."""
+    return PairQrels(qrels) if isinstance(qrels, DataFrame) else qrels
 
 
 class PairQrels:
@@ -74,6 +75,19 @@ class PairQrels:
     def __init__(self, qrels: DataFrame):
         self.qrels = qrels
 
+    def where(self, condition) -> "PairQrels":
+        """The judgments of some keys (a condition on key columns)."""
+        return PairQrels(self.qrels.where(condition))
+
+    def grades_of_hits(self, hits: DataFrame, keys: list[str]) -> DataFrame:
+        """``hits`` with their grade in ``rel``, null when unjudged."""
+        on = [*keys, "qid", "did"]
+        return hits.join(self.qrels.select(*on, F.col("rel").cast("int").alias("rel")), on, "left")
+
+    def judged_queries(self, keys: list[str]) -> DataFrame:
+        """``(keys, qid)`` of queries with a judgment."""
+        return self.qrels.select(*keys, "qid").distinct()
+
     def folded(self, hits: DataFrame, keys: list[str]) -> DataFrame:
         """``(keys, qid, judged, found, grades array<(rel, n)>, hits array<(rk, rel)>)`` of every query of
         either side; ``hits`` has ``(keys, qid, did, rk)``."""
@@ -89,42 +103,85 @@ class PairQrels:
             F.collect_list(graded).alias("grades"), F.flatten(ranks).alias("hits"))
 
 
+#: Rules and class sizes of at most so many rows become part of the plan; more are joined as tables.
+MAX_CLASS_ROWS = 10_000
+
+
 class ClassQrels:
     """Judgments by class: ``rules`` gives the grade of (query class, document class).
 
     ``queries`` (keys, qid, qclass), ``docs`` (keys, did, dclass) and ``rules``
     (qclass, dclass, rel) have one row each per query, document and judged pair of
     classes.  With ``skip_identical`` the document whose id is the query's is not
-    judged.  Grades of hits are looked up by class, and the counts of grades come
-    from the sizes of the document classes.
+    judged.  The hits of a query and its own document meet the classes of documents
+    in one join; how many documents have which grade comes from one aggregate over
+    the classes.  Tables of classes are read once and kept in the plan while small.
     """
 
     def __init__(self, queries: DataFrame, docs: DataFrame, rules: DataFrame, skip_identical: bool = True):
         self.queries, self.docs, self.rules, self.skip_identical = queries, docs, rules, skip_identical
-
-    def folded(self, hits: DataFrame, keys: list[str]) -> DataFrame:
+        self._kept: dict = {}
+
+    def where(self, condition) -> "ClassQrels":
+        """The judgments of some keys (a condition on key columns)."""
+        return ClassQrels(self.queries.where(condition), self.docs.where(condition), self.rules, self.skip_identical)
+
+    def _rules(self) -> DataFrame:
+        if "rules" not in self._kept:
+            self._kept["rules"] = local_rows(self.rules.select("qclass", "dclass", F.col("rel").cast("int").alias("rel")), MAX_CLASS_ROWS)
+        return self._kept["rules"]
+
+    def _grades(self, keys: list[str]) -> DataFrame:
+        """``(keys, qclass, all_grades array<(rel, n)>)``: documents per grade, for queries of a class."""
+        if ("grades", *keys) not in self._kept:
+            sizes = self.docs.groupBy(*keys, "dclass").agg(F.count(F.lit(1)).alias("n"))
+            per = sizes.join(self._rules(), "dclass").groupBy(*keys, "qclass", "rel").agg(F.sum("n").alias("n"))
+            per = per.groupBy(*keys, "qclass").agg(F.collect_list(F.struct("rel", "n")).alias("all_grades"))
+            self._kept["grades", *keys] = local_rows(per, MAX_CLASS_ROWS)
+        return self._kept["grades", *keys]
+
+    def _counted(self, base: DataFrame, keys: list[str]) -> DataFrame:
+        """Adds ``counted``, the judged documents per grade of (keys, qid, qclass, own) rows; ``own`` is the grade of
+        the query's own document, which does not count."""
+        zero = F.lit(0).cast("long")
+        less = F.transform("all_grades", lambda g: F.struct(g["rel"].alias("rel"), (g["n"] - F.coalesce((g["rel"] == F.col("own")).cast("long"), zero)).alias("n")))
+        return base.join(self._grades(keys), [*keys, "qclass"], "left").withColumn("counted", F.filter(less, lambda g: g["n"] > 0))
+
+    def _graded(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows (keys, qclass, did, ...) with the grade of the document's class in ``rel``."""
+        return rows.join(self.docs.select(*keys, "did", "dclass"), [*keys, "did"], "left").join(self._rules(), ["qclass", "dclass"], "left").drop("dclass")
+
+    def grades_of_hits(self, hits: DataFrame, keys: list[str]) -> DataFrame:
+        """``hits`` with their grade in ``rel``, null when unjudged."""
+        out = self._graded(hits.join(self.queries.select(*keys, "qid", "qclass"), [*keys, "qid"], "left"), keys).drop("qclass")
+        return out.withColumn("rel", F.when(F.col("qid") != F.col("did"), F.col("rel"))) if self.skip_identical else out
+
+    def judged_queries(self, keys: list[str]) -> DataFrame:
+        """``(keys, qid)`` of queries with a judged document."""
         q = self.queries.select(*keys, "qid", "qclass")
-        d = self.docs.select(*keys, "did", "dclass")
-        rules = self.rules.select("qclass", "dclass", F.col("rel").cast("int").alias("rel"))
-        sizes = d.groupBy(*keys, "dclass").agg(F.count(F.lit(1)).alias("n"))
-        per_class = sizes.join(rules, "dclass").groupBy(*keys, "qclass", "rel").agg(F.sum("n").alias("n"))
-        per_class = per_class.groupBy(*keys, "qclass").agg(F.collect_list(F.struct("rel", "n")).alias("all_grades"))
-        base = q.join(per_class, [*keys, "qclass"], "left")
-        if self.skip_identical:  # one document less of the query's own grade
-            own = d.select(*keys, F.col("did").alias("qid"), "dclass")
-            base = base.join(own, [*keys, "qid"], "left").join(rules.withColumnRenamed("rel", "own"), ["qclass", "dclass"], "left")
+        if self.skip_identical:
+            base = self._graded(q.withColumn("did", F.col("qid")), keys).withColumnRenamed("rel", "own")
         else:
-            base = base.withColumn("own", F.lit(None).cast("int"))
-        less = F.transform("all_grades", lambda g: F.struct(g["rel"].alias("rel"), (g["n"] - F.coalesce((g["rel"] == F.col("own")).cast("long"), F.lit(0).cast("long"))).alias("n")))
-        base = base.withColumn("counted", F.filter(less, lambda g: g["n"] > 0))
-        graded = hits.select(*keys, "qid", "did", "rk").join(q, [*keys, "qid"]).join(d, [*keys, "did"]).join(rules, ["qclass", "dclass"], "left")
+            base = q.withColumn("own", F.lit(None).cast("int"))
+        return self._counted(base, keys).where(F.size("counted") > 0).select(*keys, "qid").distinct()
+
+    def folded(self, hits: DataFrame, keys: list[str]) -> DataFrame:
+        """As ``PairQrels.folded``, for the queries of ``queries``."""
+        hit = "array<struct<did:string,rk:int>>"
+        mine = hits.groupBy(*keys, "qid").agg(F.collect_list(F.struct("did", "rk")).alias("listed"))  # cut to the depth before
+        own = F.array(F.struct(F.col("qid").alias("did"), F.lit(None).cast("int").alias("rk"))) if self.skip_identical else F.array().cast(hit)
+        rows = self.queries.select(*keys, "qid", "qclass").join(mine, [*keys, "qid"], "left")
+        rows = rows.select(*keys, "qid", "qclass", F.inline_outer(F.concat(own.cast(hit), F.coalesce("listed", F.array().cast(hit)))))
+        graded = self._graded(rows, keys)
+        is_hit = F.col("rk").isNotNull()
+        counts = is_hit & (F.col("rel") > 0)
         if self.skip_identical:
-            graded = graded.withColumn("rel", F.when(F.col("qid") != F.col("did"), F.col("rel")))
-        per_q = graded.groupBy(*keys, "qid").agg(F.collect_list(F.when(F.col("rel") > 0, F.struct("rk", "rel"))).alias("hits"), F.lit(True).alias("found"))
-        out = base.join(per_q, [*keys, "qid"], "left")
-        return out.select(
-            *keys, "qid", (F.coalesce(F.size("counted"), F.lit(0)) > 0).alias("judged"), F.coalesce("found", F.lit(False)).alias("found"),
-            F.filter("counted", lambda g: g["rel"] > 0).alias("grades"), F.coalesce("hits", F.array().cast("array<struct<rk:int,rel:int>>")).alias("hits"))
+            counts = counts & (F.col("qid") != F.col("did"))
+        per_q = graded.groupBy(*keys, "qid", "qclass").agg(
+            F.max(is_hit).alias("found"), F.max(F.when(~is_hit, F.col("rel"))).alias("own"), F.collect_list(F.when(counts, F.struct("rk", "rel"))).alias("hits"))
+        return self._counted(per_q, keys).select(
+            *keys, "qid", (F.coalesce(F.size("counted"), F.lit(0)) > 0).alias("judged"), "found",
+            F.filter("counted", lambda g: g["rel"] > 0).alias("grades"), "hits")
 
 
 def _gain_sums(k_max: int):
@@ -170,8 +227,7 @@ def per_query(
         hits = run.where(F.col("rk") <= F.lit(max(ks))).select(*keys, "qid", "did", F.col("rk").cast("int").alias("rk"))
     else:
         hits = top_k(run.select(*keys, "qid", "did", "score"), max(ks), keys=[*keys, "qid"]).select(*keys, "qid", "did", "rk")
-    judgments = PairQrels(qrels) if isinstance(qrels, DataFrame) else qrels
-    base = judgments.folded(hits, keys).where("judged")
+    base = judgments(qrels).folded(hits, keys).where("judged")
     if run_qids is None:
         base = base.where("found")
     else:
@@ -225,7 +281,7 @@ def mean(
     pq: DataFrame,
     keys: Sequence[str] = (),
     denominator: str = "evaluated",
-    qrels: DataFrame | None = None,
+    qrels: "DataFrame | PairQrels | ClassQrels | None" = None,
     metrics: Sequence[str] = METRICS,
 ) -> DataFrame:
     """M9: macro mean per ``(keys, k)`` -> ``(keys, metric, k, value)``.
@@ -242,11 +298,12 @@ def mean(
     elif denominator == "qrels":
         if qrels is None:
             raise ValueError("denominator='qrels' needs the qrels table")
+        judged_q = judgments(qrels).judged_queries(keys)
         if keys:
-            nq = qrels.groupBy(*keys).agg(F.countDistinct("qid").alias("nq"))
+            nq = judged_q.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq"))
             out = summed.join(nq, keys).withColumn("value", F.col("s") / F.col("nq"))
         else:  # one scalar: the number of query ids in the qrels
-            nq = qrels.select("qid").distinct().count()
+            nq = judged_q.count()
             out = summed.withColumn("value", F.col("s") / F.lit(float(nq)))
     else:
         raise ValueError(f"unknown denominator {denominator!r}")

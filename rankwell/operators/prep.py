@@ -28,28 +28,66 @@ def modality_groups(df: DataFrame, order: Sequence[str] = ("TEXT", "IMAGE", "SEQ
     return out
 
 
+def _checked_ref(raw: F.Column, parsed: F.Column, where: F.Column) -> F.Column:
+    """A parsed image reference; one without a path, or that is no JSON object, fails the job and shows its text."""
+    bad = parsed["path"].isNull()
+    message = F.concat(where, F.lit(": no image path in "), F.substr(raw, F.lit(1), F.lit(200)))
+    return F.when(raw.isNull(), F.lit(None).cast(IMAGE_REF)).when(bad, F.raise_error(message).cast(IMAGE_REF)).otherwise(parsed)
+
+
 def parse_image_ref(data: str = "data") -> F.Column:
-    """IMAGE rows carry ``{"path": ..., "package": ...}`` as JSON text."""
-    return F.from_json(F.col(data), IMAGE_REF)
+    """IMAGE rows carry ``{"path": ..., "package": ...}`` as JSON text.
+
+    Null stays null.  Text that is no such object, or has no path, fails the job.
+    """
+    return _checked_ref(F.col(data), F.from_json(F.col(data), IMAGE_REF), F.lit("IMAGE row"))
+
+
+def sequence_elements(data: str = "data") -> F.Column:
+    """Elements of a SEQ row as ``array<struct<position, kind, raw>>`` without failing: ``kind`` is ``text``, ``image``,
+    ``null`` (a JSON null), ``error`` (a nested array, an object without a path), and one ``error`` at position -1 with
+    the whole text for a row that is no JSON array."""
+    text = F.col(data)
+    # as the member of an object, so that text behind the array is malformed, too
+    raw = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x array<string>")["x"]
+    # a string element loses its quotes: what a variant says it is decides, not how it begins
+    parsed = F.try_parse_json(text)
+    is_array = raw.isNotNull() & F.schema_of_variant(parsed).startswith("ARRAY<")
+    kinds = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda e, i: F.struct(
+        i.alias("position"), F.schema_of_variant(F.try_variant_get(parsed, F.lit("$"), "array<variant>")[i]).alias("type"), e.alias("raw")))
+    has_path = lambda e: F.from_json(e["raw"], IMAGE_REF)["path"].isNotNull()
+    kind = lambda e: (
+        F.when(e["type"].startswith("OBJECT<"), F.when(has_path(e), "image").otherwise("error"))
+        .when(e["type"].startswith("ARRAY<"), "error").when(e["raw"].isNull(), "null").otherwise("text"))
+    elements = F.transform(kinds, lambda e: F.struct(e["position"].cast("int").alias("position"), kind(e).alias("kind"), e["raw"].alias("raw")))
+    whole = F.array(F.struct(F.lit(-1).alias("position"), F.lit("error").alias("kind"), text.alias("raw")))
+    return F.when(text.isNull(), F.lit(None)).when(F.coalesce(is_array, F.lit(False)), elements).otherwise(whole)
+
+
+def sequence_errors(df: DataFrame, id_col: str = "id", data: str = "data") -> DataFrame:
+    """``(id, position, raw)`` of every element of SEQ rows that cannot be read (position -1: the whole row)."""
+    rows = df.select(F.col(id_col).alias("id"), F.explode(sequence_elements(data)).alias("e")).where(F.col("e.kind") == "error")
+    return rows.select("id", "e.position", "e.raw")
 
 
 def parse_sequence(data: str = "data") -> F.Column:
     """SEQ rows carry a JSON array mixing strings and image objects.
 
-    Elements are read as strings (objects keep their JSON text) and objects
-    are then parsed into ``{path, package}``; plain strings become ``text``.
+    A JSON object is an image reference, any other scalar is text, a JSON null is
+    neither (it adds nothing).  Text that is no JSON array, a nested array and an
+    object without a path fail the job; ``sequence_errors`` lists them instead.
     """
-    raw = F.from_json(F.col(data), "array<string>")
-    return F.transform(
-        raw,
-        lambda e: F.when(
-            F.ltrim(e).startswith("{"),
-            F.struct(F.lit(None).cast("string").alias("text"),
-                     F.from_json(e, IMAGE_REF)["path"].alias("path"),
-                     F.from_json(e, IMAGE_REF)["package"].alias("package")),
-        ).otherwise(F.struct(e.alias("text"), F.lit(None).cast("string").alias("path"),
-                             F.lit(None).cast("string").alias("package"))),
-    )
+    none = F.lit(None).cast("string")
+
+    def item(e: F.Column) -> F.Column:
+        ref = F.from_json(e["raw"], IMAGE_REF)
+        message = F.concat(F.lit("SEQ row, element "), e["position"].cast("string"), F.lit(" cannot be read: "), F.substr(F.coalesce(e["raw"], F.lit("null")), F.lit(1), F.lit(200)))
+        return (
+            F.when(e["kind"] == "image", F.struct(none.alias("text"), ref["path"].alias("path"), ref["package"].alias("package")))
+            .when(e["kind"] == "error", F.raise_error(message).cast(SEQ_ITEM))
+            .otherwise(F.struct(F.when(e["kind"] == "text", e["raw"]).alias("text"), none.alias("path"), none.alias("package"))))
+
+    return F.transform(sequence_elements(data), item)
 
 
 def flatten_sequences(df: DataFrame, items: str = "items") -> DataFrame:

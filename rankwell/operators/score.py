@@ -9,12 +9,16 @@ Plan (J1 / V2 / V3 / V4 / T2):
   than cores is first spread round-robin) and meet the query blocks by an
   equi-join on the block id (broadcast when the query side passes the size
   check, a salted 2-D block join otherwise).
+* A deep search (k near or above a task's share of a small corpus) would emit every
+  pair that way; there the corpus is broadcast, after a check of its size, and the
+  queries are divided over the cores, so k rows per query leave the scorer.
 * With a group restriction (score only pairs with equal group values, e.g. a
-  conversation or a subset), both sides are hashed into bounded blocks inside
-  their group, and (group, query block, corpus chunk) is the join key of both
-  sides.  Only groups of more than one block are looked up, in a table that is
-  broadcast while it is small, so a hot group is spread over many tasks
-  whichever side makes it hot.
+  conversation or a subset) and few groups, query blocks that pass the size check
+  are broadcast per group and the corpus is not shuffled at all.  Otherwise both
+  sides are hashed into bounded blocks inside their group; a corpus block goes once
+  to its (group, block), and the group's query blocks are copied to each.  Only
+  groups of more than one block are looked up, in a table that is broadcast while
+  it is small, so a hot group is spread over many tasks whichever side makes it hot.
 * Every (block, chunk) row is scored by numpy matmuls over slices of the
   block's queries (each score matrix stays below ``MAX_SCORE_CELLS``).  A task
   keeps the running k-th best key of every query it meets, buffers only hits
@@ -42,7 +46,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.vectors import KEY_BITS, NORM_EPS, as_double_array
-from .blocks import bounded_broadcast, n_blocks_for, pack_blocks, pack_partitions, pair_blocks, spread
+from .blocks import (CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES, SPREAD_BYTES, bounded_broadcast, conf_int, n_blocks_for, pack_blocks,
+                     pack_groups, pack_partitions, pair_blocks, plan_bytes, spread)
 from .rank import top_k
 
 DEFAULT_QUERY_BLOCK_BYTES = 16 << 20
@@ -56,6 +61,10 @@ COSINE_NOISE = 2.0**-46
 MAX_BUFFER = 4 << 20
 # Groups of more than one block that are broadcast (one row each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_GROUPS = 100_000
+# Groups up to which the corpus is packed where it lies: many small groups would be cut into a row or two per batch.
+MAX_LOCAL_GROUPS = 64
+# From this k on, a small corpus whose shares per task are under so many times k is sent to the queries.
+DEEP_K, DEEP_SHARE = 257, 4
 
 
 def _row_bytes(dim: int) -> int:
@@ -65,14 +74,32 @@ def _row_bytes(dim: int) -> int:
 # ---------------------------------------------------------------- pairing
 def _pairs_global(q: DataFrame, c: DataFrame, nq: int, dim: int, k: int, block_bytes: int, part: bool,
                   broadcast_bytes: int | None) -> DataFrame:
+    fields = ["did", "vec", *(["part"] if part else [])]
+    if _is_deep(c, k, dim, part):
+        # every task would emit nearly all its documents for every query: divide the queries instead
+        cores = c.sparkSession.sparkContext.defaultParallelism
+        qblocks = pack_blocks(q, "qid", ["qid", "vec"], cores, out="q_items").repartition(cores, "blk")
+        chunks = F.broadcast(pack_partitions(c, fields, out="c_items").withColumn("one", F.pmod("cb", F.lit(1))))
+        return qblocks.withColumn("one", F.pmod("blk", F.lit(1))).join(chunks, "one").drop("one")
     total = nq * _row_bytes(dim)
     # a block's running lists (k keys per query) are bounded like its vectors
     nqb = max(n_blocks_for(total, block_bytes), n_blocks_for(nq * min(k, DEFAULT_CHUNK_ROWS), MAX_BUFFER))
     qblocks = pack_blocks(q, "qid", ["qid", "vec"], nqb, out="q_items")
-    chunks = pack_partitions(spread(c), ["did", "vec", *(["part"] if part else [])], out="c_items")
+    chunks = pack_partitions(spread(c), fields, out="c_items")
     return pair_blocks(chunks, qblocks, nqb, total, broadcast_bytes)
 
 
+def _is_deep(c: DataFrame, k: int, dim: int, part: bool) -> bool:
+    """Whether a task's share of the corpus would be under ``DEEP_SHARE`` times k, while all of it is small enough to broadcast."""
+    spark = c.sparkSession
+    budget = conf_int(spark, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES)
+    cores = spark.sparkContext.defaultParallelism
+    if k < DEEP_K or part or plan_bytes(c) > SPREAD_BYTES * cores:
+        return False
+    most = min(budget // _row_bytes(dim), DEEP_SHARE * k * cores)
+    return c.limit(most + 1).count() <= most
+
+
 def _block_counts(df: DataFrame, groups: list[str], rows: int, out: str) -> DataFrame:
     """Groups of more than one block of ``rows`` rows, with the number of blocks."""
     counts = df.groupBy(*[F.col(g).alias(f"_{out}_{g}") for g in groups]).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("bigint").alias(out))
@@ -89,24 +116,39 @@ def _with_blocks(df: DataFrame, counts: DataFrame, groups: list[str], out: str)
     return joined.withColumn(out, F.coalesce(out, F.lit(1).cast("bigint")))
 
 
+def _in_groups(df: DataFrame, groups: list[str]) -> DataFrame:
+    return df.where(F.coalesce(*[F.col(g).cast("string") for g in groups]).isNotNull())
+
+
+def _pairs_broadcast_groups(q: DataFrame, c: DataFrame, groups: list[str], dim: int, block_bytes: int, part: bool) -> DataFrame:
+    """Query blocks of all groups go to every task; the corpus stays where it is, packed per group and batch."""
+    per_block = max(1, block_bytes // _row_bytes(dim))
+    counts = _block_counts(q, groups, per_block, "nqb")
+    blocks = _with_blocks(q, counts, groups, "nqb").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")))
+    qblocks = blocks.groupBy(*groups, "qb").agg(F.collect_list(F.struct("qid", "vec")).alias("q_items"))
+    chunks = pack_groups(spread(c), groups, ["did", "vec", *(["part"] if part else [])], out="c_items")
+    return chunks.join(F.broadcast(qblocks), groups).withColumn("blk", F.col("qb"))
+
+
 def _pairs_grouped(
     q: DataFrame, c: DataFrame, groups: list[str], dim: int, block_bytes: int, chunk_rows: int, part: bool
 ) -> DataFrame:
+    """Both sides in bounded blocks inside their group.  A corpus block is shuffled once, to the key (group, block);
+    the query blocks of the group are copied to each of its corpus blocks."""
     per_block = max(1, block_bytes // _row_bytes(dim))
-    q, c = (df.where(F.coalesce(*[F.col(g).cast("string") for g in groups]).isNotNull()) for df in (q, c))
+    q, c = _in_groups(q, groups), _in_groups(c, groups)
     nq, nc = _block_counts(q, groups, per_block, "nqb"), _block_counts(c, groups, chunk_rows, "ncb")
 
-    def deal(df, own, other, key, mine, theirs, items, packed):
-        """Rows packed per (group, own block) and copied to every block of the other side."""
-        blocks = _with_blocks(df, own, groups, mine).withColumn(key, F.pmod(F.xxhash64(items[0]), F.col(mine)))
+    def packed(df, counts, key, n, items, out):
+        blocks = _with_blocks(df, counts, groups, n).withColumn(key, F.pmod(F.xxhash64(items[0]), F.col(n)))
         # an explicit shuffle on (group, block): one on the group alone would put a hot group into one task
-        blocks = blocks.repartition(*groups, key).groupBy(*groups, key).agg(F.collect_list(F.struct(*items)).alias(packed))
-        return _with_blocks(blocks, other, groups, theirs).withColumn(
-            "qb" if key == "cb" else "cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(theirs) - 1))).drop(theirs)
+        return blocks.repartition(*groups, key).groupBy(*groups, key).agg(F.collect_list(F.struct(*items)).alias(out))
 
-    qblocks = deal(q, nq, nc, "qb", "nqb", "ncb", ["qid", "vec"], "q_items")
-    chunks = deal(c, nc, nq, "cb", "ncb", "nqb", ["did", "vec", *(["part"] if part else [])], "c_items")
-    return qblocks.join(chunks, [*groups, "qb", "cb"]).withColumn("blk", F.col("qb"))
+    qblocks = packed(q, nq, "qb", "nqb", ["qid", "vec"], "q_items")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ncb") - 1)).alias("cb")
+    qblocks = _with_blocks(qblocks, nc, groups, "ncb").select(*groups, "qb", "q_items", copies)
+    chunks = packed(c, nc, "cb", "ncb", ["did", "vec", *(["part"] if part else [])], "c_items")
+    return qblocks.join(chunks, [*groups, "cb"]).withColumn("blk", F.col("qb"))
 
 
 # ---------------------------------------------------------------- scoring
@@ -344,9 +386,13 @@ def search(
         F.col(did_col).cast("string").alias("did"),
         as_double_array(vec_col).alias("vec"),
     )
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    n_groups = F.approx_count_distinct(F.struct(*groups)) if groups else F.max(F.lit(0))
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), n_groups.alias("groups")).first()
     nq, dim = int(stats["n"]), int(stats["dim"] or 0)
-    if groups:
+    budget = conf_int(q.sparkSession, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes
+    if groups and nq * _row_bytes(dim) <= budget and stats["groups"] <= MAX_LOCAL_GROUPS:
+        pairs = _pairs_broadcast_groups(_in_groups(q, groups), _in_groups(c, groups), groups, dim, query_block_bytes, part)
+    elif groups:
         pairs = _pairs_grouped(q, c, groups, dim, query_block_bytes, chunk_rows, part)
     else:
         pairs = _pairs_global(q, c, nq, dim, k, query_block_bytes, part, broadcast_bytes)

@@ -8,9 +8,12 @@ inputs to metrics:
     search, or listed pairs, a pair scorer or a user's search -> run (saved,
     reused) -> per-query metrics -> means (+ nAUC, + task hook) -> metrics
 
-Every stage is stored per subset.  What is stored is used, and only the rest
-is computed: a failure restarts from the last written table, and a subset that
-is added later is evaluated by itself.
+Every stage is stored per subset, with an entry in a manifest (``plans.store``) once
+it is complete.  What is stored for the same inputs and settings is used, and only
+the rest is computed: a failure restarts from the last complete stage, embeddings
+from the last committed chunk, and a subset that is added later is evaluated by
+itself.  Inputs are told by their rows, functions (embedders, searches, hooks) only
+by the model's name: a changed function needs a new name.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ class RetrievalTask:
     k_values: Sequence[int] = M.DEFAULT_K_VALUES
     ignore_identical_ids: bool = False
     skip_first_result: bool = False
+    chunk_size: int = 100_000  # rows of an embedding commit
 
     @classmethod
     def from_config(cls, path: str) -> "RetrievalTask":
@@ -174,7 +178,7 @@ def evaluate(
     embedder: "EmbedderFactory | dict[str, EmbedderFactory] | None",
     queries: DataFrame,
     corpus: DataFrame,
-    qrels: DataFrame,
+    qrels: "DataFrame | M.PairQrels | M.ClassQrels",
     output_dir: str,
     candidates: DataFrame | None = None,
     strict_candidates: bool = False,
@@ -204,52 +208,75 @@ def evaluate(
     ``by_subset``: all inputs carry a ``subset`` column; every subset is its
     own retrieval problem (its queries only meet its corpus) and gets its own
     metrics.  ``subsets`` selects some of them (P11).  Subsets whose metrics are
-    stored are not computed again.
+    stored are not computed again.  A null subset is the subset "".  Without
+    queries or without documents there are no hits; judged queries count with zeros.
     """
     keys = ["subset"] if by_subset else []
+    if by_subset:  # a null subset is the unnamed one
+        queries, corpus, candidates = (None if x is None else x.withColumn("subset", store.subset_of(x)) for x in (queries, corpus, candidates))
+        qrels = qrels.withColumn("subset", store.subset_of(qrels)) if isinstance(qrels, DataFrame) else qrels
+    manifest = store.Manifest(spark, f"{output_dir}/manifest", model, task.name)
+    inputs = [store.fingerprints(_one_subset(x, by_subset)) for x in (queries, corpus, candidates, qrels)]
     wanted = {""}
     if by_subset:
-        present = {r["subset"] for r in queries.select("subset").distinct().collect()}
-        wanted = present if subsets is None else present & set(subsets)
-
-    def stored() -> DataFrame | None:
-        return store.load_metrics(spark, f"{output_dir}/metrics", model, task.name)
+        wanted = set(inputs[0]) if subsets is None else set(inputs[0]) & set(subsets)
+    stage = "full" if candidates is None else "filtered"  # K3: candidate-restricted predictions
+    how = (task.search_depth, stage, strict_candidates, task_type, repr(prompts), tuple(input_cols), retriever is not None)
+    run_marks = {s: store.mark_of(*(x.get(s) for x in inputs[:3]), *how) for s in wanted}
+    settings = (tuple(task.k_values), task.ignore_identical_ids, task.skip_first_result, denominator, hook is not None)
+    metric_marks = {s: store.mark_of(run_marks[s], inputs[3].get(s), *settings) for s in wanted}
 
     def only(df: DataFrame | None, names: set[str]) -> DataFrame | None:
         return df if df is None or not by_subset else df.where(F.col("subset").isin(sorted(names)))
 
-    todo = wanted - store.stored_subsets(stored())
+    todo = wanted - manifest.complete("metrics", metric_marks)
     if todo:
-        stage = "full" if candidates is None else "filtered"  # K3: candidate-restricted predictions
         runs = f"{output_dir}/runs"
-        to_run = todo - store.stored_subsets(store.load_run(spark, runs, model, task.name, stage))
+        to_run = todo - manifest.complete(f"run-{stage}", run_marks)
         if to_run:
             side_q = prompted(only(queries, to_run), "query", task, prompts, task_type)
             side_c = prompted(only(corpus, to_run), "document", task, prompts, task_type)
 
             def embedded(side: str, df: DataFrame) -> DataFrame:
-                root = f"{output_dir}/embeddings"
-                need = to_run - store.stored_subsets(store.load_embeddings(spark, root, model, task.name, side))
-                if need:
-                    store.save_embeddings(embed_keyed(only(df, need), embedder, keys, input_cols), root, model, task.name, side)
-                return only(store.load_embeddings(spark, root, model, task.name, side), to_run)
+                def fresh(part: DataFrame) -> DataFrame:
+                    return embed_keyed(part, embedder, ["subset", "source"], input_cols)
+
+                df = df if by_subset else df.drop("subset")
+                got = store.embed_missing(df, fresh, f"{output_dir}/embeddings", model, task.name, side, input_cols, task.chunk_size, to_run)
+                return got.where(F.col("subset").isin(sorted(to_run)))
 
             retrieve = retriever or dense_retriever(embedded, strict=strict_candidates)
             res = retrieve(side_q, side_c, task.search_depth, only(candidates, to_run), keys)
             if "rk" not in res.columns:
                 res = top_k(res, task.search_depth, keys=[*keys, "qid"])
+            store.drop_subsets(spark, runs, to_run, model=model, task=task.name, stage=stage)
             store.save_run(res, runs, model, task.name, stage)
-        run = store.load_run(spark, runs, model, task.name, stage)
+            # a subset without hits has no rows; the manifest says that it is complete
+            written = store.rows_per_subset(store.load_run(spark, runs, model, task.name, stage), to_run)
+            manifest.commit(f"run-{stage}", written, {s: run_marks[s] for s in to_run})
+        found = {s for s, (rows, _) in manifest.entries(f"run-{stage}").items() if rows and s in todo}
+        run = store.load_run(spark, runs, model, task.name, stage) if found else None
         if run is None:  # no query found anything
-            run = spark.createDataFrame([], "subset string, qid string, did string, score double, rk int")
-        run = only(run, todo).select(*keys, "qid", "did", "score")
+            run = spark.createDataFrame([], store.RUN_SCHEMA)
+        run = run.where(F.col("subset").isin(sorted(found))).select(*keys, "qid", "did", "score")
         run_qids = only(queries, todo).select(*keys, F.col("id").cast("string").alias("qid"))
-        metrics = score_run(run, only(qrels, todo), task, keys=keys, run_qids=run_qids, hook=hook, denominator=denominator)
-        store.save_metrics(metrics, f"{output_dir}/metrics", model, task.name)
-    out = stored()
+        judged = qrels if not by_subset else qrels.where(F.col("subset").isin(sorted(todo)))
+        metrics = score_run(run, judged, task, keys=keys, run_qids=run_qids, hook=hook, denominator=denominator)
+        scores = f"{output_dir}/metrics"
+        store.drop_subsets(spark, scores, todo, model=model, task=task.name)
+        store.save_metrics(metrics, scores, model, task.name)
+        done = store.rows_per_subset(store.load_metrics(spark, scores, model, task.name), todo)
+        manifest.commit("metrics", done, {s: metric_marks[s] for s in todo})
+    present = {s for s, (rows, _) in manifest.entries("metrics").items() if rows and s in wanted}
+    out = store.load_metrics(spark, f"{output_dir}/metrics", model, task.name) if present else None
     if out is None:
-        out = spark.createDataFrame([], "subset string, metric string, k int, value double")
-    return only(out, wanted).select("subset", "metric", "k", "value")
+        out = spark.createDataFrame([], store.METRICS_SCHEMA)
+    return out.where(F.col("subset").isin(sorted(present))).select("subset", "metric", "k", "value")
+
+
+def _one_subset(df, by_subset: bool):
+    """An input as the manifest sees it: without ``by_subset`` a ``subset`` column is data like any other."""
+    return df.withColumnRenamed("subset", "_subset") if isinstance(df, DataFrame) and not by_subset and "subset" in df.columns else df
 
 
 def embed_keyed(df: DataFrame, embedder, keys: Sequence[str], input_cols: Sequence[str]) -> DataFrame:
@@ -262,5 +289,5 @@ def embed_keyed(df: DataFrame, embedder, keys: Sequence[str], input_cols: Sequen
         vecs = embed(src, embedder, id_col="_key", input_cols=tuple(input_cols), sort_col=input_cols[0])
     if not keys:
         return vecs.withColumnRenamed("_key", "id")
-    parts = F.split("_key", sep)
+    parts = F.split("_key", sep, len(keys) + 1)  # an id may hold the separator
     return vecs.select(*[F.get(parts, i).alias(k) for i, k in enumerate(keys)], F.get(parts, len(keys)).alias("id"), "vec")

@@ -6,22 +6,42 @@ Embeddings, runs and metrics are Parquet tables partitioned by
 is written, found and replaced by itself.  Writes use dynamic partition
 overwrite: writing some subsets leaves the others, and a lost executor only
 costs a task retry.  Sweep planning is a ``left_anti`` join against what exists.
+
+A ``Manifest`` says what is complete: one row per (model, task, stage, subset)
+with the number of rows and a fingerprint of the inputs, written after the data.  So
+an empty result counts as stored, a half-written one does not, and a result of
+other inputs is not used.  Embeddings are committed in chunks with a hash of each
+row's input: a run that was killed embeds only the rows that are missing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.metrics import metric_name
+from ..operators.metrics import ClassQrels, PairQrels, metric_name
+from ..session import cut_lineage
+
+RUN_SCHEMA = "subset string, qid string, did string, score double, rk int"
+EMBEDDING_SCHEMA = "subset string, id string, vec array<double>, source long"
+METRICS_SCHEMA = "subset string, metric string, k int, value double"
+MANIFEST_SCHEMA = "model string, task string, stage string, subset string, rows long, mark string"
+#: Most commits of one embedding, however many rows.
+MAX_CHUNKS = 32
 
 
 def _write(df: DataFrame, path: str, parts: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
+def _append(df: DataFrame, root: str, columns: Sequence[str], **names: str) -> None:
+    """As ``_save``, beside what is stored."""
+    _tagged(df, columns, **names).write.mode("append").partitionBy(*names, "part").parquet(root)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -29,19 +49,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def _save(df: DataFrame, root: str, columns: Sequence[str], **names: str) -> None:
-    """Rows of ``columns`` with their subset ("" if there is none) under the named partitions."""
-    subset = F.coalesce(F.col("subset").cast("string"), F.lit("")) if "subset" in df.columns else F.lit("")
-    out = df.select(subset.alias("subset"), *[c for c in columns if c in df.columns])
+def _tagged(df: DataFrame, columns: Sequence[str], **names: str) -> DataFrame:
+    """Rows of ``columns`` with their subset ("" if there is none) and the partition columns."""
+    out = df.select(subset_of(df).alias("subset"), *[c for c in columns if c in df.columns])
     for k, v in names.items():
         out = out.withColumn(k, F.lit(v))
     # an empty partition value would read back as null
-    _write(out.withColumn("part", F.concat(F.lit("s_"), F.col("subset"))), root, [*names, "part"])
+    return out.withColumn("part", F.concat(F.lit("s_"), F.col("subset")))
+
+
+def _save(df: DataFrame, root: str, columns: Sequence[str], **names: str) -> None:
+    """Replace the named partitions of the subsets in ``df``."""
+    _write(_tagged(df, columns, **names), root, [*names, "part"])
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether any data file lies below a folder: an empty result leaves none."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hpath, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
+def drop_subsets(spark: SparkSession, root: str, subsets: set[str], **names: str) -> None:
+    """Remove what is stored of some subsets, before they are written anew."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for s in sorted(subsets):
+        parts = [f"{k}={_escaped(spark, v)}" for k, v in {**names, "part": f"s_{s}"}.items()]
+        path = jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *parts]))
+        path.getFileSystem(conf).delete(path, True)
 
 
 def _load(spark: SparkSession, root: str, **names: str) -> DataFrame | None:
     path = "/".join([root.rstrip("/"), *[f"{k}={_escaped(spark, v)}" for k, v in names.items()]])
-    if not _exists(spark, path):
+    if not _exists(spark, path) or not _has_files(spark, path):
         return None
     return spark.read.option("basePath", path).parquet(path).drop("part")
 
@@ -51,15 +94,129 @@ def _escaped(spark: SparkSession, value: str) -> str:
     return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
 
 
+def subset_of(df: DataFrame) -> F.Column:
+    """A row's subset: "" if it is null or there is none."""
+    return F.coalesce(F.col("subset").cast("string"), F.lit("")) if "subset" in df.columns else F.lit("")
+
+
+# ---------------------------------------------------------------- manifest
+def fingerprints(df: "DataFrame | PairQrels | ClassQrels | None") -> dict[str, str]:
+    """Subset -> number of rows and a hash of their content, whatever the order of rows and columns.
+
+    One aggregate over the input; tables without a ``subset`` column have the subset "".
+    """
+    if df is None:
+        return {}
+    if isinstance(df, PairQrels):
+        df = df.qrels
+    if isinstance(df, ClassQrels):
+        parts = [fingerprints(x) for x in (df.queries, df.docs, df.rules)]
+        rules = parts[2].get("", "")
+        return {s: f"{parts[0].get(s, '')}/{parts[1].get(s, '')}/{rules}/{df.skip_identical}" for s in {*parts[0], *parts[1]}}
+    rows = df.select(subset_of(df).alias("subset"), row_hash(df, [c for c in df.columns if c != "subset"]).cast("decimal(38,0)").alias("h"))
+    got = rows.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).collect()  # a task has a bounded list of subsets
+    return {r["subset"]: f"{r['n']}:{r['h']}" for r in got}
+
+
+def row_hash(df: DataFrame, columns: Sequence[str]) -> F.Column:
+    """Hash of the named columns of a row, nulls told from empty texts."""
+    return F.xxhash64(*[x for c in sorted(columns) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+
+
+def mark_of(*parts) -> str:
+    """One fingerprint of several values."""
+    return hashlib.sha256(repr(parts).encode()).hexdigest()[:32]
+
+
+class Manifest:
+    """What one model's evaluation of a task has stored completely."""
+
+    def __init__(self, spark: SparkSession, root: str, model: str, task: str):
+        self.spark, self.root, self.names = spark, root, {"model": model, "task": task}
+
+    def entries(self, stage: str) -> dict[str, tuple[int, str]]:
+        """Subset -> (rows, mark) of a stage."""
+        table = _load(self.spark, self.root, **self.names, stage=stage)
+        return {} if table is None else {r["subset"]: (r["rows"], r["mark"]) for r in table.collect()}
+
+    def complete(self, stage: str, marks: Mapping[str, str]) -> set[str]:
+        """Subsets that are stored with the given marks."""
+        have = self.entries(stage)
+        return {s for s, m in marks.items() if s in have and have[s][1] == m}
+
+    def commit(self, stage: str, rows: Mapping[str, int], marks: Mapping[str, str]) -> None:
+        """Write the entries of the subsets in ``marks``; those without rows count as empty."""
+        if marks:
+            new = self.spark.createDataFrame([(s, int(rows.get(s, 0)), m) for s, m in sorted(marks.items())], "subset string, rows long, mark string")
+            _save(new.coalesce(1), self.root, ("rows", "mark"), **self.names, stage=stage)
+
+
+def load_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """All entries ``(model, task, stage, subset, rows, mark)``; what is done for ``pending``."""
+    if not _exists(spark, root):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    text = [F.col(c).cast("string").alias(c) for c in ("model", "task", "stage")]
+    return spark.read.parquet(root).select(*text, "subset", "rows", "mark")
+
+
+def rows_per_subset(df: DataFrame | None, subsets: set[str]) -> dict[str, int]:
+    if df is None:
+        return {}
+    return {r["subset"]: r["count"] for r in df.where(F.col("subset").isin(sorted(subsets))).groupBy("subset").count().collect()}
+
+
+# ---------------------------------------------------------------- embeddings
 def save_embeddings(df: DataFrame, root: str, model: str, task: str, side: str) -> None:
-    """K1: ``(subset, id, vec)``."""
-    _save(df, root, ("id", "vec"), model=model, task=task, side=side)
+    """K1: ``(subset, id, vec)``, replacing what is stored of these subsets."""
+    _save(df, root, ("id", "vec", "source"), model=model, task=task, side=side)
 
 
 def load_embeddings(spark: SparkSession, root: str, model: str, task: str, side: str) -> DataFrame | None:
     return _load(spark, root, model=model, task=task, side=side)
 
 
+def embed_missing(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], root: str, model: str, task: str, side: str,
+                  input_cols: Sequence[str], chunk_rows: int = 100_000, subsets: set[str] | None = None) -> DataFrame:
+    """K1: embeddings of ``rows`` (subset, id, inputs), of which only those are computed that are not stored.
+
+    A stored vector belongs to a row if subset, id and the hash of its inputs are the
+    same.  The missing rows are embedded in chunks (by hash of the id, ``chunk_rows``
+    each, ``MAX_CHUNKS`` at most), each committed by itself; a killed run goes on
+    behind its last commit.  ``embed`` maps (subset, source, id, inputs) to (subset, source, id, vec).
+    Vectors of inputs that are gone are taken out at the end, also of ``subsets`` that
+    have no rows any more.  Ids are required.
+    """
+    spark, names = rows.sparkSession, {"model": model, "task": task, "side": side}
+    subset = subset_of(rows)
+    ident = F.when(F.col("id").isNull(), F.raise_error(F.lit("missing required field id"))).otherwise(F.col("id").cast("string"))
+    inputs = [c for c in rows.columns if c not in ("subset", "id")]
+    used = [c for c in inputs if c in (*input_cols, "modal")]
+    rows = rows.select(subset.alias("subset"), ident.alias("id"), *inputs, row_hash(rows, used).alias("source"))
+    on = ["subset", "id", "source"]
+    stored = load_embeddings(spark, root, model, task, side)
+    if stored is not None and "source" not in stored.columns:
+        stored = stored.withColumn("source", F.lit(None).cast("long"))
+    missing = rows if stored is None else rows.join(stored.select(*on), on, "left_anti")
+    n = missing.count()
+    chunks = min(MAX_CHUNKS, -(-n // chunk_rows))
+    for i in range(chunks):
+        # ``stored`` keeps the files it was opened with, so ``missing`` is the same for every chunk
+        part = missing.where(F.pmod(F.xxhash64("subset", "id"), F.lit(chunks)) == i)
+        vecs = embed(part).select("subset", "id", "vec", F.col("source").cast("long").alias("source"))
+        _append(vecs, root, ("id", "vec", "source"), **names)
+    now = load_embeddings(spark, root, model, task, side)
+    if now is None:
+        return spark.createDataFrame([], EMBEDDING_SCHEMA)
+    mine = {r["subset"] for r in rows.select("subset").distinct().collect()} | (subsets or set())
+    current = now.where(F.col("subset").isin(sorted(mine)))
+    if stored is not None and current.count() != rows.count():  # inputs changed: old vectors go
+        kept = cut_lineage(current.join(rows.select(*on), on, "left_semi").dropDuplicates(on))
+        drop_subsets(spark, root, mine, **names)
+        save_embeddings(kept, root, model, task, side)
+        now = load_embeddings(spark, root, model, task, side)
+    return spark.createDataFrame([], EMBEDDING_SCHEMA) if now is None else now
+
+
 def save_run(run: DataFrame, root: str, model: str, task: str, stage: str = "full") -> None:
     """K2 / K3: run rows ``(subset, qid, did, score, rk)``; ``stage='filtered'`` for
     candidate-filtered predictions."""

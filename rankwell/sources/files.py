@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import compose_text, strip_ws
+from .json_array import read_json_array
 
 _ARRAY_STR = ArrayType(StringType())
 
@@ -166,12 +167,9 @@ def read_candidates_jsonl(spark: SparkSession, path: str, qid_field: str = "quer
 
 def read_candidates_json_array(spark: SparkSession, path: str, qid_field: str = "question_id",
                                list_field: str = "haystack_session_ids") -> DataFrame:
-    """One JSON array of ``{question_id, haystack_session_ids[]}`` objects."""
+    """One JSON array of ``{question_id, haystack_session_ids[]}`` objects, read by several tasks if it is large."""
     schema = StructType([StructField(qid_field, StringType()), StructField(list_field, _ARRAY_STR)])
-    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path).select(
-        _required(F.col(qid_field), qid_field).alias("qid"), F.col(list_field).alias("dids"),
-        F.monotonically_increasing_id().alias("_pos"),
-    )
+    raw = read_json_array(spark, path, schema).select(_required(F.col(qid_field), qid_field).alias("qid"), F.col(list_field).alias("dids"), "_pos")
     lists = last_wins(raw, ["qid"])
     return lists.select("qid", F.explode_outer("dids").alias("did"))
 

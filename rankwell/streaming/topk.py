@@ -3,26 +3,28 @@
 Corpus rows arrive as a stream; the queries are a static table.  Every
 micro-batch is packed into chunks, joined with the (size-checked) query
 blocks, scored by the same numpy block scorer as the batch search, and the
-partial top-k rows are merged per query in ``applyInPandasWithState``.  The
-state of a query holds at most k (id, score) pairs, so no watermark is
-needed; a re-delivered document id is de-duplicated against the state.
-
-``run_to_table`` drives such a stream to completion (``availableNow``).  Each
-micro-batch writes the rankings of all queries seen so far under
-``batch=<id>``: its changed ones and the others from the batch before
-(overwrite, so a retried batch replaces its own output).  Older snapshots are
-removed, so what is stored does not grow with the number of batches.
+partial top-k rows meet the ranking of their query, which is keyed list state of
+``transformWithStateInPandas``: at most k (id, score, rank) elements, so no
+watermark is needed.  A document that is delivered again changes nothing.
+
+Only **changed** rankings are written to the state and emitted: a micro-batch that
+moves no ranking writes no row, and what is written grows with the changes, not
+with queries x batches.  ``run_to_table`` drives such a stream to completion
+(``availableNow``); the changes of a micro-batch lie under ``batch=<id>`` (overwritten
+by a retry), and the rankings at the end are read from the state itself, through
+the state data source, so no snapshot is ever rewritten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.vectors import as_double_array
 from ..operators.blocks import n_blocks_for, pack_blocks, pack_partitions, pair_blocks
@@ -30,30 +32,39 @@ from ..operators.score import _row_bytes, _scorer, sort_keys
 from ..session import scratch_path
 
 OUT_SCHEMA = "qid string, did string, score double, rk int"
-STATE_SCHEMA = "dids array<string>, scores array<double>"
+STATE_SCHEMA = "did string, score double, rk int"
+#: The state lies in RocksDB on the executors' disks and is committed as change logs.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
-def _merger(k: int):
-    def merge(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (qid,) = key
-        best: dict[str, float] = {}
-        if state.exists:
-            dids, scores = state.get
-            best.update(zip(dids, scores))
-        for pdf in pdfs:
+class Ranking(StatefulProcessor):
+    """The k best documents of a query so far."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getListState("top", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = [tuple(x) for x in self.top.get()]
+        best = {did: score for did, score, _ in old}
+        for pdf in rows:
             best.update(zip(pdf["did"], pdf["score"]))
-        scores = np.array(list(best.values()), dtype=np.float64)
-        ranked = sorted(zip(sort_keys(scores), best, scores), reverse=True)[:k]
-        top = [(float(s), d) for _, d, s in ranked]
-        state.update(([d for _, d in top], [float(s) for s, _ in top]))
-        yield pd.DataFrame({
-            "qid": [qid] * len(top),
-            "did": [d for _, d in top],
-            "score": [s for s, _ in top],
-            "rk": list(range(1, len(top) + 1)),
-        })
+        keys = sort_keys(np.array(list(best.values()), dtype=np.float64))
+        ranked = sorted(zip(keys, best), reverse=True)[: self.k]
+        new = [(did, float(best[did]), i) for i, (_, did) in enumerate(ranked, 1)]
+        if new != old:
+            self.top.put(new)
+            dids, scores, ranks = zip(*new)
+            yield pd.DataFrame({"qid": [key[0]] * len(new), "did": dids, "score": scores, "rk": np.array(ranks, dtype=np.int32)})
 
-    return merge
+    def close(self) -> None:
+        pass
 
 
 def stream_topk(corpus_stream: DataFrame, queries: DataFrame, k: int, *, do_norm: bool = True,
@@ -72,52 +83,53 @@ def stream_topk(corpus_stream: DataFrame, queries: DataFrame, k: int, *, do_norm
     partial = pairs.select("blk", "q_items", "c_items").mapInArrow(
         _scorer(k, do_norm, exclude_identical, [], False), "qid string, did string, score double"
     )
-    return partial.groupBy("qid").applyInPandasWithState(
-        _merger(k), OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
-    )
+    return partial.groupBy("qid").transformWithStateInPandas(Ranking(k), OUT_SCHEMA, "update", "none")
+
+
+@contextmanager
+def state_settings(spark: SparkSession):
+    """The settings of the state store, for as long as a stream starts and runs."""
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    try:
+        for k, v in STATE_SETTINGS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_to_table(updates: DataFrame, out_dir: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Run a ranking stream to completion; return the final ranking per query."""
+    """Run a ranking stream to completion; return the final ranking per query.
+
+    ``out_dir`` gets the changed rankings of every micro-batch.  A stream that is
+    started again with its ``checkpoint`` goes on where it stopped.
+    """
     spark: SparkSession = updates.sparkSession
     if out_dir is None or checkpoint is None:
         base = scratch_path(spark, "stream-topk")
         out_dir, checkpoint = out_dir or f"{base}/out", checkpoint or f"{base}/checkpoint"
 
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(out_dir)
-    fs = root.getFileSystem(conf)
+    def sink(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    def snapshots() -> list[int]:
-        """Numbers of the complete snapshots, in order."""
-        found = []
-        for status in fs.listStatus(root) if fs.exists(root) else []:
-            name = status.getPath().getName()
-            if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(name.removeprefix("batch=")))
-        return sorted(found)
+    with state_settings(spark):
+        query = updates.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return rankings(spark, checkpoint)
 
-    def sink(df: DataFrame, batch_id: int) -> None:
-        older = [n for n in snapshots() if n < batch_id]
-        new = df.select("qid", "did", "score", "rk").persist()  # used twice: the state must move only once
-        try:
-            out = new
-            if older:
-                before = df.sparkSession.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/batch={older[-1]}")
-                out = new.unionByName(before.join(new.select("qid").distinct(), "qid", "left_anti"))
-            out.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-        finally:
-            new.unpersist()
-        # the one before stays until the next batch: a retry of this one starts from it
-        for n in older[:-1]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/batch={n}"), True)
-
-    query = (
-        updates.writeStream.outputMode("update").foreachBatch(sink)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    done = snapshots()
-    if not done:
+
+def changes(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``(batch, qid, did, score, rk)``: the rankings that each micro-batch changed."""
+    return spark.read.schema(OUT_SCHEMA + ", batch int").parquet(out_dir)
+
+
+def rankings(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``(qid, did, score, rk)`` of the state after the last committed micro-batch; no rows before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not any(s.getPath().getName().isdigit() for s in fs.listStatus(path)):
         return spark.createDataFrame([], OUT_SCHEMA)
-    return spark.read.schema(OUT_SCHEMA).parquet(f"{out_dir}/batch={done[-1]}")
+    with state_settings(spark):
+        state = spark.read.format("statestore").option("stateVarName", "top").load(checkpoint)
+        return state.select(F.col("key.qid").alias("qid"), "list_element.*").select("qid", "did", "score", "rk")
