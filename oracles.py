@@ -556,3 +556,29 @@ ORACLES.update({
     "task_from_config_mixed": TASK_MIXED,
     "custom_search": CUSTOM_SEARCH,
 })
+
+
+LIFECYCLE_EMPTY = with_(MEM_BASE, f"""
+sq AS (SELECT qid, u, CASE WHEN conv_id % 2 = 1 THEN 'odd' ELSE '' END AS subset FROM mq),
+sr AS (SELECT s.subset, r.* FROM mem_qrels r JOIN sq s USING (qid)),
+scored AS (SELECT q.subset, q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM sq q JOIN md d ON q.subset = 'odd' AND d.conv_id % 2 = 1)""",
+                        per_query_sql("scored", "sr", KS3, keys=("subset",), run_qids="sq"), long_sql("pq")) + """,
+means AS (SELECT subset, metric, k, round(avg(value), 9) AS value FROM lq GROUP BY ALL)
+SELECT 'first' AS run, * FROM means UNION ALL SELECT 'again', * FROM means"""
+
+CLASS_JUDGMENTS = with_(VEC_BASE, vec_run(10), per_query_sql("run", "vec_qrels", KS3), long_sql("pq")) + """
+SELECT metric, k, round(sum(value) / (SELECT count(DISTINCT qid) FROM vec_qrels), 9) AS value FROM lq GROUP BY ALL
+UNION ALL
+SELECT 'mean_grade', k, round(avg(v), 9) FROM (
+  SELECT qid, k, sum(CASE WHEN rk <= k THEN rel ELSE 0 END) / k AS v FROM pq_j JOIN pq_ks ON TRUE GROUP BY qid, k) GROUP BY k"""
+
+RERANK = with_(MEM_BASE, f"""
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did DESC) AS rk FROM (
+           SELECT q.qid, d.did, {score_expr('q.u', 'd.u')} AS score FROM mq q JOIN md d ON TRUE)) WHERE rk <= 20),
+os AS (SELECT qid, did, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+         ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS score
+       FROM (SELECT l.qid, l.did, {_toks('tq.text')} AS a, {_toks('td.text')} AS b
+             FROM near l JOIN turns tq ON tq.id = l.qid JOIN turns td ON td.id = l.did))""",
+               _ranked("os", 10, "orun"), per_query_sql("orun", "mem_qrels", KS3, run_qids="mq"), long_sql("pq")) + "\n" + mean_sql("lq")
+
+ORACLES.update({"lifecycle_empty": LIFECYCLE_EMPTY, "class_judgments": CLASS_JUDGMENTS, "rerank": RERANK})

@@ -117,13 +117,27 @@ def score_run(
 Retriever = Callable[[DataFrame, DataFrame, int, "DataFrame | None", Sequence[str]], DataFrame]
 
 
-def pair_retriever(factory: PairScorerFactory) -> Retriever:
-    """a user pair scorer (cross-encoder) as a retriever over the candidate lists."""
+def pair_retriever(factory: PairScorerFactory, first: Retriever | None = None, first_depth: int = 100) -> Retriever:
+    """a user pair scorer (cross-encoder) as a retriever.
+
+    It scores the candidate lists.  Queries without lists need ``first``, another
+    retriever whose ``first_depth`` best hits are scored again (retrieve and re-rank):
+    a pair scorer has no vectors to search by, and all pairs would be queries x corpus.
+    """
 
     def retrieve(queries: DataFrame, corpus: DataFrame, depth: int, candidates: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-        if candidates is None:
-            raise ValueError("a pair scorer needs candidate lists")
-        pairs = candidates.where(F.col("did").isNotNull()).select(*keys, "qid", "did").distinct()
+        keys = list(keys)
+        if candidates is None and first is None:
+            raise ValueError("a pair scorer needs candidate lists or a first retriever")
+        pairs = None
+        if candidates is not None:
+            pairs = candidates.where(F.col("did").isNotNull()).select(*keys, "qid", "did").distinct()
+        if first is not None:
+            free = queries
+            if candidates is not None:
+                free = queries.join(candidates.select(*keys, F.col("qid").alias("id")).distinct(), [*keys, "id"], "left_anti")
+            found = first(free, corpus, max(depth, first_depth), None, keys).select(*keys, "qid", "did")
+            pairs = found if pairs is None else pairs.unionByName(found)
         pairs = pairs.join(queries.select(*keys, F.col("id").alias("qid"), F.col("data").alias("q_text")), [*keys, "qid"])
         pairs = pairs.join(corpus.select(*keys, F.col("id").alias("did"), F.col("data").alias("d_text")), [*keys, "did"])
         return top_k(score_with(pairs, factory).select(*keys, "qid", "did", "score"), depth, keys=[*keys, "qid"])

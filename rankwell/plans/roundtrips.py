@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from ..operators.candidates import candidate_pairs
 from ..operators.embed import HashedBagOfWords, embed
 from ..operators.rank import top_k
-from ..plans.evaluate import RetrievalTask, evaluate, pair_retriever
+from ..plans.evaluate import RetrievalTask, evaluate, pair_retriever, score_run
 from ..operators.fusion import jaccard_scorer
 from ..operators.score import search
 from ..session import SCORE_DECIMALS, cut_lineage, read_table, scratch_path
 from ..sources import files, packages
-from ..sources.families import mem_candidates, mem_qrels, mem_turns, txt_qrels, txt_tables
+from ..sources.families import mem_candidates, mem_qrels, mem_turns, txt_qrels, txt_tables, vec_family
 from ..sources.task_files import load_task
 
 DIM = 64
@@ -275,7 +275,56 @@ def custom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(~F.col("metric").startswith("nauc_")).select("metric", "k", F.round("value", SCORE_DECIMALS).alias("value"))
 
 
+def lifecycle_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM with the conversations of odd id as subset ``odd`` and the others without one (null); only
+    the odd ones have documents.  Twice: the second time nothing is embedded, also not for the subset without hits."""
+    turns, queries, corpus, qrels = _mem_inputs(spark, sf_dir)
+    odd = turns.select("id", F.when(F.col("conv_id") % 2 == 1, "odd").alias("subset"))
+    corpus = corpus.join(odd.where("subset is not null"), "id")
+    qrels = qrels.join(odd.withColumnRenamed("id", "qid"), "qid").select("subset", "qid", "did", "rel")
+    task, out = RetrievalTask(name="MEM", k_values=KS), scratch_path(spark, "lifecycle")
+
+    def again(*_):
+        raise AssertionError("what is stored is not searched again")
+
+    first = evaluate(spark, task, "hashed", _hashed, queries.join(odd, "id"), corpus, qrels, out, by_subset=True)
+    rows = cut_lineage(first.select(F.lit("first").alias("run"), "subset", "metric", "k", "value"))
+    both = evaluate(spark, task, "hashed", again, queries.join(odd, "id"), corpus, qrels, out, by_subset=True)
+    rows = rows.unionByName(both.select(F.lit("again").alias("run"), "subset", "metric", "k", "value"))
+    return rows.where(~F.col("metric").startswith("nauc_"))
+
+
+def class_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC by class judgments, divided by the judged queries, with a task hook that sees the grades of hits."""
+    fam = vec_family(spark, sf_dir)
+    run = cut_lineage(search(fam.queries, fam.corpus, KS[-1], exclude_identical=True))
+
+    def mean_grade(hits: DataFrame) -> DataFrame:
+        graded = [F.struct(F.lit(k).alias("k"), F.when(F.col("rk") <= k, F.col("rel")).otherwise(0).alias("rel")) for k in KS]
+        per = hits.select("qid", F.inline(F.array(*graded))).groupBy("qid", "k").agg((F.sum("rel") / F.col("k")).alias("v"))
+        return per.groupBy("k").agg(F.avg("v").alias("value")).select(F.lit("mean_grade").alias("metric"), "k", "value")
+
+    task = RetrievalTask(name="VEC", k_values=KS)
+    return score_run(run, fam.qrels, task, with_nauc=False, hook=mean_grade, denominator="qrels")
+
+
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MEM without candidate lists: a dense search finds 20 turns per query, a pair scorer orders them."""
+    turns, queries, corpus, qrels = _mem_inputs(spark, sf_dir)
+
+    def dense(q, c, depth, candidates, keys):
+        q = embed(q, _hashed).withColumnRenamed("id", "qid")
+        return search(q, embed(c, _hashed).withColumnRenamed("id", "did"), depth)
+
+    task = RetrievalTask(name="MEM", k_values=KS)
+    got = evaluate(spark, task, "rerank", None, queries, corpus, qrels, scratch_path(spark, "rerank"), retriever=pair_retriever(jaccard_scorer, dense, 20))
+    return got.where(~F.col("metric").startswith("nauc_")).select("metric", "k", "value")
+
+
 REGISTRY = {
+    "lifecycle_empty": lifecycle_empty,
+    "class_judgments": class_judgments,
+    "rerank": rerank,
     "files_round_trip": files_round_trip,
     "candidates_round_trip": candidates_round_trip,
     "packages_fetch": packages_fetch,

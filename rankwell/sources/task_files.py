@@ -42,14 +42,15 @@ def _location(side: dict) -> tuple[str, list[str]]:
 
 
 def read_side(spark: SparkSession, side: dict) -> DataFrame:
-    """Rows of one side, all columns strings; P3 for ``xjx_style`` text."""
+    """Rows of one side, all columns strings; P3 for ``xjx_style`` text, P4 for rows that repeat an id."""
     kind, paths = _location(side)
     modal, own_style = side["modal"], side.get("xjx_style", False)
     fields = ["id", "text" if own_style and modal == TEXT else "data"]
     fields += (["prompt"] if side.get("with_prompt") else []) + (["modal"] if modal == MIXED else [])
     reader = spark.read.format(kind).schema(files._string_schema(fields))
     raw = (reader.option("mode", "FAILFAST") if kind == "json" else reader).load(paths)
-    return files.rename_text_to_data(raw.withColumn("id", files._required(F.col("id"), "id")))
+    rows = raw.select(files._required(F.col("id"), "id").alias("id"), *fields[1:], files.file_position().alias("_pos"))
+    return files.rename_text_to_data(files.last_wins(rows, ["id"]))
 
 
 def read_labels(spark: SparkSession, side: dict) -> DataFrame:
