@@ -31,6 +31,8 @@ from rankwell.llm.common import ascii_lower, documents, lookup_join, prepare, sc
 PIECE_END, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: Lookup tables up to so many rows and bytes are broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 1 << 20, 64 << 20
+#: Stored relations take little native memory this way; their ids are small already.
+COMPRESSION = "snappy"
 #: Shares of a language in the first of the two steps that rank its phrases.
 RANK_SHARES = 64
 
@@ -72,7 +74,7 @@ class _Relations:
     def store(self, df: DataFrame) -> DataFrame:
         name = f"occurrences_{uuid.uuid4().hex}"
         self.names.append(name)
-        out = df.write.bucketBy(self.buckets, "doc").sortBy("doc", "pos").option("compression", "zstd")
+        out = df.write.bucketBy(self.buckets, "doc").sortBy("doc", "pos").option("compression", COMPRESSION)
         out.option("path", scratch_path(self.spark, "setm")).saveAsTable(name)
         return self.child.table(name)
 
@@ -91,10 +93,10 @@ def _semi(rows: DataFrame, table: DataFrame, on: Sequence[str], size: Column | N
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Word counts (lang, word, n), frequent words (lang, word, n, id), and per length from 2 on the phrases (w1 ... wk, n)."""
     spark = docs.sparkSession
-    counts = staged(word_rows(docs).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "setm-words")
+    counts = staged(word_rows(docs).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "setm-words", COMPRESSION)
     # ids in the order of frequency: frequent words have small ones, which are stored in few bytes
     words = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word").withColumn("id", F.monotonically_increasing_id())
-    words = staged(words, "setm-dictionary")
+    words = staged(words, "setm-dictionary", COMPRESSION)
     relations = _Relations(spark)
     try:
         occurrences = word_rows(docs, relations.buckets)
@@ -107,7 +109,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
             joined = table.join(after.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("pos") + 1 == F.col("p"))).select("doc", "pos", *names)
             frequent = joined.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
             path = scratch_path(spark, f"setm-phrases-{k}")
-            frequent.write.option("compression", "zstd").parquet(path)
+            frequent.write.option("compression", COMPRESSION).parquet(path)
             found.append(spark.read.schema(frequent.schema).parquet(path))  # in the caller's session
             if k < longest:
                 table = relations.store(_semi(joined, found[-1], names, None, relations.buckets).select("doc", "pos", *names))
@@ -119,7 +121,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
 def _with(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join on ``key``, unique in ``table``; keys of many rows are dealt by their number of rows."""
     weight = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return lookup_join(rows, staged(table.join(weight, key), "setm-lookup"), [key], "_rows").drop("_rows")
+    return lookup_join(rows, staged(table.join(weight, key), "setm-lookup", COMPRESSION), [key], "_rows").drop("_rows")
 
 
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000) -> DataFrame:
@@ -135,7 +137,7 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     phrases = spark.createDataFrame([], "ws array<long>, a long")
     for k, table in enumerate(found, 2):
         phrases = phrases.unionByName(table.select(F.array(*(f"w{i}" for i in range(1, k + 1))).alias("ws"), F.col("n").alias("a")))
-    phrases = staged(phrases, "setm-candidates")
+    phrases = staged(phrases, "setm-candidates", COMPRESSION)
     known = words.select(F.array("id").alias("ws"), F.col("n").alias("a")).unionByName(phrases)
 
     # the lowest-scoring cut of every phrase
@@ -153,7 +155,7 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
     inner = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.slice("ws", i, n))))
     covers = phrases.where(size > 2).select(F.explode(inner).alias("ws"), F.col("a").alias("longer")).groupBy("ws").agg(F.max("longer").alias("longer"))
     scored = scored.join(covers, "ws", "left").where(F.coalesce(100 * F.col("longer") < 50 * F.col("a"), F.lit(True))).drop("longer")
-    scored = staged(scored, "setm-scored")
+    scored = staged(scored, "setm-scored", COMPRESSION)
 
     # words of the ids
     spelt = _with(scored.select("ws", F.posexplode("ws").alias("i", "id")), words.select("id", "lang", "word"), "id")
