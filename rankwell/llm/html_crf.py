@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -31,6 +32,14 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+# What may stand in a head; foreign content, the tags that break out of it, and the elements in it that hold HTML.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
+INTEGRATION = frozenset("foreignobject desc title annotation-xml".split())
 #: Elements that a new one of the same group ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: The search for an element to end stops at these.
@@ -53,59 +62,84 @@ class Block:
 class _Open:
     tag: str
     names: tuple[str, ...]
-    label: int | None = field(default=None)
+    label: int | None = field(default=None)  # its own mark or that of the nearest marked ancestor
 
 
 class _Blocks(HTMLParser):
+    """Open elements, with counts per tag and block ancestors beside, so that no step walks over unclosed inline tags."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[_Open] = []
+        self.open: Counter[str] = Counter()
+        self.ancestors: list[tuple[str, tuple[str, ...]]] = []
+        self.hiding: list[str] = []  # open hidden elements
         self.blocks: list[Block] = []
         self.text: list[str] = []
-        self.links = self.hidden = self.in_link = 0
+        self.links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            label = next((e.label for e in reversed(self.stack) if e.label is not None), None)
-            self.blocks.append(Block(text, tuple((e.tag, e.names) for e in self.stack if e.tag in BLOCK), self.links, label))
+            self.blocks.append(Block(text, tuple(self.ancestors), self.links, self.stack[-1].label if self.stack else None))
         self.text, self.links = [], 0
 
     def _pop(self, n: int) -> None:
-        for e in self.stack[n:]:
-            self.hidden -= e.tag in HIDDEN
-            self.in_link -= e.tag == "a"
+        gone = self.stack[n:]
+        for e in gone:
+            self.open[e.tag] -= 1
         del self.stack[n:]
+        del self.ancestors[len(self.ancestors) - sum(e.tag in BLOCK for e in gone):]
+        del self.hiding[len(self.hiding) - sum(e.tag in HIDDEN for e in gone):]
+
+    def _pop_to(self, tags: frozenset[str]) -> None:
+        """End the outermost open element of these tags."""
+        if any(self.open[t] for t in tags):
+            self._pop(next(i for i, e in enumerate(self.stack) if e.tag in tags))
+
+    def _end_implied(self, tag: str) -> None:
+        """Hidden elements that a start tag ends although no end tag did."""
+        if tag == "body":
+            self._pop_to(HIDDEN)
+        elif self.hiding == ["head"] and tag not in IN_HEAD:
+            self._pop_to(frozenset({"head"}))
+        elif self.hiding and self.hiding[-1] in FOREIGN and tag in BREAKS_OUT and not any(self.open[t] for t in INTEGRATION):
+            self._pop_to(FOREIGN)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hiding or tag == "body":
+            if tag == "body":
+                self.flush()
+            self._end_implied(tag)
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             if tag == "hr":
                 self.flush()
             return
-        if tag == "body":  # a head that was never closed ends here
-            self.flush()
-            self._pop(next((i for i, e in enumerate(self.stack) if e.tag in HIDDEN), len(self.stack)))
         if tag in BLOCK:
             self.flush()
             ended = ENDS.get(tag, set())
-            for i in range(len(self.stack) - 1, -1, -1):
-                open_ = self.stack[i].tag
-                if open_ == "p" or open_ in ended:
-                    self._pop(i)
-                elif open_ in SCOPE:
-                    break
+            if self.open["p"] or any(self.open[t] for t in ended):
+                for i in range(len(self.stack) - 1, -1, -1):
+                    open_ = self.stack[i].tag
+                    if open_ == "p" or open_ in ended:
+                        self._pop(i)
+                    elif open_ in SCOPE:
+                        break
         names: list[str] = []
-        label = None
+        label = self.stack[-1].label if self.stack else None
         for key, value in attrs:
             if key in ("class", "id", "role", "itemprop") and value:
                 names += _TOKEN.findall(value.lower())
             elif key == "data-main" and value in ("0", "1"):
                 label = int(value)
         self.stack.append(_Open(tag, tuple(dict.fromkeys(names)), label))
-        self.hidden += tag in HIDDEN
-        self.in_link += tag == "a"
+        self.open[tag] += 1
+        if tag in BLOCK:
+            self.ancestors.append((tag, self.stack[-1].names))
+        if tag in HIDDEN:
+            self.hiding.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -115,7 +149,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[i].tag == tag:
                 self._pop(i)
                 return
@@ -125,9 +159,11 @@ class _Blocks(HTMLParser):
             self.text.append(" ")
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if self.hiding == ["head"] and self.stack[-1].tag == "head" and data.strip():
+            self._pop_to(frozenset({"head"}))  # text may not stand in a head
+        if not self.hiding:
             self.text.append(data)
-            if self.in_link > 0:
+            if self.open["a"] > 0:
                 self.links += len(data)
 
 
@@ -270,12 +306,21 @@ def _unmarked(blocks: list[Block]) -> list[Block]:
     return [Block(b.text, tuple(("div" if t in _MAIN else t, ns) for t, ns in b.ancestors), b.link_chars, b.label) for b in blocks]
 
 
+def _spread(blocks: list[Block], most: int) -> list[list[Block]]:
+    """All blocks of a page, or runs from its beginning, middle and end with ``most`` blocks in all."""
+    if len(blocks) <= most:
+        return [blocks]
+    n, middle = most // 3, (len(blocks) - most // 3) // 2
+    return [blocks[:n], blocks[middle : middle + n], blocks[-n:]]
+
+
 def train(pages: DataFrame | None = None, max_pages: int = 300, max_blocks: int = 60) -> Field:
     """Field from the labelled pages of ``html_training`` and up to ``max_pages`` rows of ``pages``.
 
     The rows (the first by a hash of page_id) serve if they mark their article
     themselves; every third is also used with the marks taken away.  Only
-    training is bounded: of a long page its first ``max_blocks`` blocks train.
+    training is bounded: of a page of more than ``max_blocks`` blocks a third of so
+    many train from its beginning, its middle and its end each.
     """
     sequences = [leaf_blocks(h) for h in labelled_pages()]
     if pages is not None:
@@ -285,10 +330,10 @@ def train(pages: DataFrame | None = None, max_pages: int = 300, max_blocks: int
         rows = chosen.groupBy("page_id").agg(F.min("html").alias("html")).collect()
         for i, r in enumerate(sorted(rows, key=lambda r: r["page_id"])):
             if found := self_labelled(r["html"]):
-                found = found[:max_blocks]
-                sequences.append(found)
-                if i % 3 == 0:
-                    sequences.append(_unmarked(found))
+                for part in _spread(found, max_blocks):
+                    sequences.append(part)
+                    if i % 3 == 0:
+                        sequences.append(_unmarked(part))
     return train_field(sequences)
 
 

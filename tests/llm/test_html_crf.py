@@ -85,3 +85,42 @@ def test_query_against_the_marked_articles(spark):
 def test_all_names_of_an_attribute_count():
     block = C.leaf_blocks('<body><div class="max-w-screen-xl mx-auto px-4 py-2 sidebar">text</div>')[0]
     assert "name=sidebar" in C.block_features(block)
+
+
+def texts(html):
+    return [b.text for b in C.leaf_blocks(html)]
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>t</title><article><h1>A</h1><p>one two</p></article>", ["A", "one two"]),
+    ("<title>t</title><p>x", ["x"]),
+    ("<head><meta charset=u><link href=a><p>y", ["y"]),
+    ("<head>text", ["text"]),
+    ("<head><noscript><img src=a></noscript><style>b</style></head><body>t", ["t"]),
+    ("<head><script>var a = '<p>';</script><title>no</title></head>t", ["t"]),
+    ("<p>a</p><svg><path><p>rest of it</p>", ["a", "rest of it"]),
+    ("<svg><title>no</title><foreignObject><p>in</p></foreignObject></svg><p>out", ["out"]),
+    ("<math><mi>x</mi></math><p>out</p>", ["out"]),
+])
+def test_tags_that_may_be_left_out(html, want):
+    """A head ends at what may not stand in it, foreign content at a tag that breaks out of it."""
+    assert texts(html) == want
+
+
+def test_unclosed_inline_tags_take_linear_time():
+    import time
+
+    for html, n in (("<span>x<p>y" * 30_000, 30_001), ("<b>" * 60_000 + "</i>x" * 60_000, 1), ("<p>" + "<i>" * 30_000 + "<p>z" * 30_000, 30_000)):
+        start = time.process_time()
+        assert len(texts(html)) == n
+        assert time.process_time() - start < 30
+
+
+def test_marks_are_inherited_and_links_counted():
+    blocks = C.leaf_blocks('<div data-main="1"><p>a <a href=x>link</a></p><p data-main="0">b</p></div><p>c</p>')
+    assert [(b.text, b.label, b.link_chars) for b in blocks] == [("a link", 1, 4), ("b", 0, 0), ("c", None, 0)]
+
+
+def test_long_pages_train_from_all_parts():
+    parts = C._spread(list(range(200)), 60)
+    assert parts == [list(range(20)), list(range(90, 110)), list(range(180, 200))] and C._spread([1, 2], 60) == [[1, 2]]
