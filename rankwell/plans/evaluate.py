@@ -243,10 +243,10 @@ def evaluate(
     def only(df: DataFrame | None, names: set[str]) -> DataFrame | None:
         return df if df is None or not by_subset else df.where(F.col("subset").isin(sorted(names)))
 
-    todo = wanted - manifest.complete("metrics", metric_marks)
+    scores, runs = f"{output_dir}/metrics", f"{output_dir}/runs"
+    todo = wanted - manifest.complete("metrics", metric_marks, scores, model=model, task=task.name)
     if todo:
-        runs = f"{output_dir}/runs"
-        to_run = todo - manifest.complete(f"run-{stage}", run_marks)
+        to_run = todo - manifest.complete(f"run-{stage}", run_marks, runs, model=model, task=task.name, stage=stage)
         if to_run:
             side_q = prompted(only(queries, to_run), "query", task, prompts, task_type)
             side_c = prompted(only(corpus, to_run), "document", task, prompts, task_type)
@@ -276,13 +276,12 @@ def evaluate(
         run_qids = only(queries, todo).select(*keys, F.col("id").cast("string").alias("qid"))
         judged = qrels if not by_subset else qrels.where(F.col("subset").isin(sorted(todo)))
         metrics = score_run(run, judged, task, keys=keys, run_qids=run_qids, hook=hook, denominator=denominator)
-        scores = f"{output_dir}/metrics"
         store.drop_subsets(spark, scores, todo, model=model, task=task.name)
         store.save_metrics(metrics, scores, model, task.name)
         done = store.rows_per_subset(store.load_metrics(spark, scores, model, task.name), todo)
         manifest.commit("metrics", done, {s: metric_marks[s] for s in todo})
     present = {s for s, (rows, _) in manifest.entries("metrics").items() if rows and s in wanted}
-    out = store.load_metrics(spark, f"{output_dir}/metrics", model, task.name) if present else None
+    out = store.load_metrics(spark, scores, model, task.name) if present else None
     if out is None:
         out = spark.createDataFrame([], store.METRICS_SCHEMA)
     return out.where(F.col("subset").isin(sorted(present))).select("subset", "metric", "k", "value")

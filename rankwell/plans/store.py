@@ -65,6 +65,8 @@ def _save(df: DataFrame, root: str, columns: Sequence[str], **names: str) -> Non
 
 def _has_files(spark: SparkSession, path: str) -> bool:
     """Whether any data file lies below a folder: an empty result leaves none."""
+    if not _exists(spark, path):
+        return False
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hpath, True)
     while files.hasNext():
@@ -73,18 +75,22 @@ def _has_files(spark: SparkSession, path: str) -> bool:
     return False
 
 
+def _subset_path(spark: SparkSession, root: str, subset: str, **names: str) -> str:
+    parts = {**names, "part": f"s_{subset}"}
+    return "/".join([root.rstrip("/"), *[f"{k}={_escaped(spark, v)}" for k, v in parts.items()]])
+
+
 def drop_subsets(spark: SparkSession, root: str, subsets: set[str], **names: str) -> None:
     """Remove what is stored of some subsets, before they are written anew."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for s in sorted(subsets):
-        parts = [f"{k}={_escaped(spark, v)}" for k, v in {**names, "part": f"s_{s}"}.items()]
-        path = jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *parts]))
+        path = jvm.org.apache.hadoop.fs.Path(_subset_path(spark, root, s, **names))
         path.getFileSystem(conf).delete(path, True)
 
 
 def _load(spark: SparkSession, root: str, **names: str) -> DataFrame | None:
     path = "/".join([root.rstrip("/"), *[f"{k}={_escaped(spark, v)}" for k, v in names.items()]])
-    if not _exists(spark, path) or not _has_files(spark, path):
+    if not _has_files(spark, path):
         return None
     return spark.read.option("basePath", path).parquet(path).drop("part")
 
@@ -139,10 +145,11 @@ class Manifest:
         table = _load(self.spark, self.root, **self.names, stage=stage)
         return {} if table is None else {r["subset"]: (r["rows"], r["mark"]) for r in table.collect()}
 
-    def complete(self, stage: str, marks: Mapping[str, str]) -> set[str]:
-        """Subsets that are stored with the given marks."""
+    def complete(self, stage: str, marks: Mapping[str, str], root: str, /, **names: str) -> set[str]:
+        """Subsets that are stored with the given marks, and whose rows (if any) are still under ``root``."""
         have = self.entries(stage)
-        return {s for s, m in marks.items() if s in have and have[s][1] == m}
+        same = {s: have[s][0] for s, m in marks.items() if s in have and have[s][1] == m}
+        return {s for s, rows in same.items() if not rows or _has_files(self.spark, _subset_path(self.spark, root, s, **names))}
 
     def commit(self, stage: str, rows: Mapping[str, int], marks: Mapping[str, str]) -> None:
         """Write the entries of the subsets in ``marks``; those without rows count as empty."""
