@@ -30,6 +30,8 @@ judgments like "same label": nothing of the size queries x documents is built.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -134,10 +136,9 @@ class ClassQrels:
     def _grades(self, keys: list[str]) -> DataFrame:
         """``(keys, qclass, all_grades array<(rel, n)>)``: documents per grade, for queries of a class."""
         if ("grades", *keys) not in self._kept:
-            sizes = self.docs.groupBy(*keys, "dclass").agg(F.count(F.lit(1)).alias("n"))
+            sizes = local_rows(self.docs.groupBy(*keys, "dclass").agg(F.count(F.lit(1)).alias("n")), MAX_CLASS_ROWS)
             per = sizes.join(self._rules(), "dclass").groupBy(*keys, "qclass", "rel").agg(F.sum("n").alias("n"))
-            per = per.groupBy(*keys, "qclass").agg(F.collect_list(F.struct("rel", "n")).alias("all_grades"))
-            self._kept["grades", *keys] = local_rows(per, MAX_CLASS_ROWS)
+            self._kept["grades", *keys] = per.groupBy(*keys, "qclass").agg(F.collect_list(F.struct("rel", "n")).alias("all_grades"))
         return self._kept["grades", *keys]
 
     def _counted(self, base: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,13 +187,12 @@ class ClassQrels:
 
 def _gain_sums(k_max: int):
     """Array literal: sum of 1 / log2(i + 1) over i = 1..m, at index m + 1."""
-    import math
-
     total, out = 0.0, [0.0]
     for i in range(1, k_max + 1):
         total += 1.0 / math.log2(i + 1)
         out.append(total)
-    return F.array(*[F.lit(x) for x in out])
+    # one constant that the optimiser folds, not an expression per entry; JSON keeps every digit
+    return F.from_json(F.lit(json.dumps(out)), "array<double>")
 
 
 def _ideal(grades, sums, k: int):

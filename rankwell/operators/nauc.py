@@ -71,7 +71,7 @@ def nauc(per_query_long: DataFrame, conf: DataFrame, keys: Sequence[str] = (),
     by_value = F.transform("vals", lambda v: F.struct(F.concat_ws("@", v["metric"], v["k"].cast("string")).alias("name"), v["value"].alias("key")))
     items = wide.select(*keys, "qid", "vals", F.inline(F.concat(F.array(*by_signal), by_value)))
     cuts = pick(items.select(*keys, "name", "key", F.col("qid").alias("tie")), [*keys, "name"], RATES, _drops)
-    first = cuts.groupBy(*keys, "name").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "tie"))).alias("cuts"))  # ten each
+    first = cut_lineage(cuts.groupBy(*keys, "name").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "tie"))).alias("cuts")))  # ten each
     placed = items.join(bounded_broadcast(first, MAX_BROADCAST_GROUPS), [*keys, "name"])
     stays = F.filter("cuts", lambda c: (F.col("key") > c["key"]) | ((F.col("key") == c["key"]) & (F.col("qid") >= c["tie"])))
     own = F.filter("vals", lambda v: F.concat_ws("@", v["metric"], v["k"].cast("string")) == F.col("name"))

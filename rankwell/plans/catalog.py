@@ -103,8 +103,7 @@ def nauc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     max / std / diff1 confidence signals (VEC top-10 run)."""
     fam, run = _vec_run(spark, sf_dir, exclude_identical=True)
     run = cut_lineage(run)  # the run feeds both the metrics and the confidences
-    pq = cut_lineage(M.to_long(M.per_query(run, fam.qrels, FLAGSHIP_KS, ranked=True)))  # feeds the oracle and the signals
-    return nauc(pq, confidence(run))
+    return nauc(M.to_long(M.per_query(run, fam.qrels, FLAGSHIP_KS, ranked=True)), confidence(run))
 
 
 def metrics_all_k(spark: SparkSession, sf_dir: str) -> DataFrame:

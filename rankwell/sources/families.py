@@ -76,10 +76,10 @@ def vec_class(label: str = "label", vec_id: str = "vec_id"):
 def vec_rules(emb: DataFrame) -> DataFrame:
     """Grades of (query label, document class): one row per judged pair of classes."""
     doc = emb.where("label is not null").select("label", vec_class().alias("dclass")).distinct()
-    same = doc.select(F.col("label").cast("string").alias("qclass"), "dclass", F.when(F.col("dclass").endswith(":3"), 2).otherwise(1).alias("rel"))
     before = F.pmod(F.col("label") - 1, F.lit(N_LABELS))
-    zero = doc.select(before.cast("string").alias("qclass"), "dclass", F.lit(0).alias("rel"))
-    return same.unionByName(zero)
+    same = F.struct(F.col("label").cast("string").alias("qclass"), "dclass", F.when(F.col("dclass").endswith(":3"), 2).otherwise(1).alias("rel"))
+    zero = F.struct(before.cast("string").alias("qclass"), "dclass", F.lit(0).alias("rel"))
+    return doc.select(F.inline(F.array(same, zero)))
 
 
 def vec_family(spark: SparkSession, sf_dir: str) -> Family:
