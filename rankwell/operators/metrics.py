@@ -45,10 +45,6 @@ METRICS = ("ndcg", "map", "recall", "precision", "mrr", "cv_recall")
 DECIMALS = 9
 
 
-def _log2(c):
-    return F.log2(c.cast("double"))
-
-
 def judged(run: DataFrame, qrels: "DataFrame | PairQrels | ClassQrels", k_max: int, keys: Sequence[str] = ()) -> DataFrame:
     """Top ``k_max`` hits per query with their grade (0 when unjudged) and hit flag."""
     keys = list(keys)
@@ -195,16 +191,12 @@ def _gain_sums(k_max: int):
     return F.from_json(F.lit(json.dumps(out)), "array<double>")
 
 
-def _ideal(grades, sums, k: int):
-    """Ideal DCG at k from (grade, number) sorted by grade descending."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("dcg"))
-
-    def step(acc, g):
-        end = F.least(acc["at"] + g["n"], F.lit(k).cast("long"))
-        gain = F.element_at(sums, (end + 1).cast("int")) - F.element_at(sums, (acc["at"] + 1).cast("int"))
-        return F.struct(end.alias("at"), (acc["dcg"] + g["rel"] * gain).alias("dcg"))
-
-    return F.aggregate(grades, start, step, lambda acc: acc["dcg"])
+def _ideal(k: int) -> str:
+    """SQL of the ideal DCG at k from ``grades``, (grade, number) sorted by grade descending, and ``gain``."""
+    end = f"least(acc.at + g.n, {k}L)"
+    gained = f"element_at(gain, CAST({end} + 1 AS INT)) - element_at(gain, CAST(acc.at + 1 AS INT))"
+    step = f"named_struct('at', {end}, 'dcg', acc.dcg + g.rel * ({gained}))"
+    return f"aggregate(grades, named_struct('at', 0L, 'dcg', 0D), (acc, g) -> {step}, acc -> acc.dcg)"
 
 
 def per_query(
@@ -234,37 +226,25 @@ def per_query(
         base = base.join(run_qids.select(*keys, F.col("qid").cast("string").alias("qid")).distinct(), [*keys, "qid"], "left_semi")
     desc = F.reverse(F.array_sort("grades"))
     rows = base.select(*keys, "qid", desc.alias("grades"), F.posexplode_outer(F.array_sort("hits")).alias("i", "h"))
-    rk, rel = F.col("h.rk"), F.col("h.rel")
+    # as SQL text: one call per expression, where the cut-offs would make thousands of Column objects
     aggs = [F.first("grades").alias("grades")]
     for k in ks:
-        inside = rk <= F.lit(k)
+        inside = f"CASE WHEN h.rk <= {k} THEN"
         aggs += [
-            F.sum(F.when(inside, rel / _log2(rk + 1)).otherwise(0.0)).alias(f"dcg_{k}"),
-            F.sum(F.when(inside, (F.col("i") + 1) / rk).otherwise(0.0)).alias(f"ap_{k}"),
-            F.sum(F.when(inside, 1).otherwise(0)).alias(f"nhit_{k}"),
-            F.max(F.when(inside, F.lit(1.0) / rk).otherwise(0.0)).alias(f"rr_{k}"),
+            F.expr(f"sum({inside} h.rel / log2(CAST(h.rk + 1 AS DOUBLE)) ELSE 0D END) AS dcg_{k}"),
+            F.expr(f"sum({inside} (i + 1) / h.rk ELSE 0D END) AS ap_{k}"),
+            F.expr(f"CAST(sum({inside} 1 ELSE 0 END) AS DOUBLE) AS nhit_{k}"),
+            F.expr(f"max({inside} 1D / h.rk ELSE 0D END) AS rr_{k}"),
         ]
     wide = rows.groupBy(*keys, "qid").agg(*aggs)
-    judged_n = F.aggregate("grades", F.lit(0).cast("long"), lambda acc, g: acc + g["n"])
-    wide = wide.withColumn("R", F.nullif(judged_n, F.lit(0).cast("long")).cast("double")).withColumn("gain", _gain_sums(max(ks)))
-
-    def z(c):
-        return F.coalesce(c, F.lit(0.0))
-
-    out = []
-    for k in ks:
-        nhit = F.col(f"nhit_{k}").cast("double")
-        out.append(
-            F.struct(
-                F.lit(k).alias("k"),
-                z(F.col(f"dcg_{k}") / F.nullif(_ideal(F.col("grades"), F.col("gain"), k), F.lit(0.0))).alias("ndcg"),
-                z(F.col(f"ap_{k}") / F.col("R")).alias("map"),
-                z(nhit / F.col("R")).alias("recall"),
-                (nhit / F.lit(float(k))).alias("precision"),
-                z(F.col(f"rr_{k}")).alias("mrr"),
-                (nhit > 0).cast("double").alias("cv_recall"),
-            )
-        )
+    relevant = F.expr("CAST(nullif(aggregate(grades, 0L, (acc, g) -> acc + g.n), 0L) AS DOUBLE)")
+    wide = wide.withColumns({"R": relevant, "gain": _gain_sums(max(ks))})
+    out = [
+        F.expr(
+            f"named_struct('k', {k}, 'ndcg', coalesce(dcg_{k} / nullif({_ideal(k)}, 0D), 0D), 'map', coalesce(ap_{k} / R, 0D), "
+            f"'recall', coalesce(nhit_{k} / R, 0D), 'precision', nhit_{k} / {k}D, 'mrr', coalesce(rr_{k}, 0D), 'cv_recall', CAST(nhit_{k} > 0 AS DOUBLE))")
+        for k in ks
+    ]
     return wide.select(*keys, "qid", F.inline(F.array(*out)))
 
 
