@@ -1,18 +1,25 @@
 """Repeated passages across documents: MinHash banding over content-defined paragraphs.
 
 A passage may stand anywhere, also inside a line, so paragraphs are windows of
-``WORDS`` words that begin at content-defined anchors (words whose three-word
-hash is the least within ``REACH`` words on either side): a repeated passage of
-``WORDS + 2 * REACH`` words or more has mostly the same anchors, hence the same
-paragraphs, in every document.
+``WORDS`` words.  They begin at a text's start, at the start of every line of
+``WORDS`` words or more, ``WORDS`` words before a text's end, and at winnowed
+anchors: of every ``REACH`` three-word hashes in a row the least is one.  A
+passage of ``WORDS + REACH - 1`` words or more thus has an anchor of its own that
+every copy has, and its paragraphs touch.
 
 Equal paragraphs are grouped by digest with partial aggregation.  For near ones,
-MinHash bands of one value tell which distinct paragraphs collide, and those are
-verified exactly: paragraphs have n five-word shingles each (repeats numbered),
-and a Jaccard similarity of 0.8 or more means that at most k are missing in the
-other, so both have the same set left after some deletion of k.  The hashes of
-these sets are joined by equality, which costs a fixed number of rows per
-paragraph even if thousands collide; no pairs are enumerated.
+each half of a paragraph is a MinHash band over its five-word shingles: whatever
+one word is replaced, the other half still collides.  Colliding paragraphs are
+verified exactly, and are near if either
+
+* the Jaccard similarity of their shingles (repeats numbered) is 0.8 or more:
+  of n shingles each, at most k are missing in the other, so both have the same
+  set left after some deletion of k; or
+* their edit distance is one replaced, inserted or left-out word: both have the
+  same words left after some deletion of one.
+
+The hashes of what is left are joined by equality, which costs a fixed number of
+rows per paragraph even if thousands collide; no pairs are enumerated.
 Classes are connected components; the first paragraph of a class stays.
 """
 
@@ -30,10 +37,10 @@ from pyspark.sql import functions as F
 from rankwell.llm.common import documents, prepare, staged
 from rankwell.llm.components import components
 
-#: Words of a paragraph, words on each side that an anchor's hash must beat, words of a shingle.
-WORDS, REACH, SHINGLE = 16, 9, 5
+#: Words of a paragraph, hashes in a row of which the least is an anchor, words of a shingle.
+WORDS, REACH, SHINGLE = 16, 16, 5
 SIMILARITY = 0.8
-#: Multipliers of the MinHash functions, one per band.
+#: Multipliers of the MinHash functions, one per half of a paragraph.
 _BANDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -56,29 +63,35 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([digest(w) for w in words], dtype=np.uint64)
 
 
+def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (least or greatest) of every n values in a row, by doubling."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = pick(x[:-step], x[step:])
+        size += step
+    return x
+
+
 def anchors(h: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Positions whose three-word hash is the least of ``reach`` on either side (the leftmost of equal ones).
+    """Positions whose three-word hash is the least of some ``reach`` hashes in a row.
 
-    Where equal words leave long gaps without one, every ``2 * reach + 1``-th word is an anchor.
+    Of equal ones less than ``reach`` apart only the first is kept, so repeated words do not make every position one.
     """
-    if len(h) < 3:
-        return np.zeros(len(h) and 1, np.int64)
+    if len(h) < reach + 2:
+        return np.zeros(0, np.int64)
     g = _runs(h, 3)
-    top = np.uint64(2**64 - 1)
-    padded = np.concatenate([np.full(reach, top), g, np.full(reach, top)])
-    best, size = padded, 1
-    while size < reach + 1:  # least of reach + 1 values in a row, by doubling
-        step = min(size, reach + 1 - size)
-        best = np.minimum(best[: len(best) - step], best[step:])
-        size += step
-    left, right = best[: len(g)], best[reach : reach + len(g)]
-    at = np.flatnonzero((g == left) & (g == right))
-    if reach:
-        before = np.minimum.reduce([padded[i : i + len(g)] for i in range(reach)])
-        at = at[g[at] < before[at]]
-    stride, marks = 2 * reach + 1, [0, *at.tolist(), len(g)]
-    extra = [p for a, b in zip(marks, marks[1:]) if b - a > 3 * stride for p in range(a + stride, b - stride + 1, stride)]
-    return np.unique(np.concatenate([at, np.array(extra, np.int64)])) if extra else at
+    least = _sliding(g, reach, np.minimum)
+    # A position lies in up to ``reach`` windows; it is the least of one if the greatest of their least values is its own.
+    none = np.zeros(reach - 1, np.uint64)
+    at = np.flatnonzero(g == _sliding(np.concatenate([none, least, none]), reach, np.maximum))
+    if (g[at[1:]] == g[at[:-1]]).any():
+        kept = [int(at[0])]
+        for p in at[1:].tolist():
+            if g[p] != g[kept[-1]] or p - kept[-1] >= reach:
+                kept.append(p)
+        at = np.array(kept, np.int64)
+    return at
 
 
 def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[np.ndarray, ...] | None:
@@ -87,18 +100,19 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
     Words are runs between ASCII white space, A-Z lower-cased; line breaks count as white space.
     """
     low = data.lower()
-    words = low.split()
+    lines = [line.split() for line in low.split(b"\n")]
+    words = [w for line in lines for w in line]
     if len(words) < words_n:
         return None
     h = word_hashes(words)
-    at = anchors(h, reach)
+    sizes = np.array([len(line) for line in lines], np.int64)
+    heads = (np.cumsum(sizes) - sizes)[sizes >= words_n]
+    at = np.unique(np.concatenate([anchors(h, reach), heads, [0, len(h) - words_n]]))
     at = at[at + words_n <= len(h)]
-    if not len(at):
-        at = np.zeros(1, np.int64)
     shingles = _runs(h, SHINGLE)
-    inside = at[:, None] + np.arange(words_n - SHINGLE + 1)
+    half = words_n // 2
     digest = _runs(h, words_n)[at]
-    bands = [_mix(shingles * np.uint64(m))[inside].min(axis=1) for m in _BANDS]
+    bands = [_sliding(_mix(shingles * np.uint64(m)), half - SHINGLE + 1, np.minimum)[at + i] for m, i in zip(_BANDS, (0, words_n - half))]
     # Byte offsets: white space between words may be longer than one byte, so look words up from left to right.
     starts, find, p = np.empty(len(words), np.int64), low.find, 0
     lengths = list(map(len, words))
@@ -113,27 +127,34 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
     return (at, starts[at], starts[last] + np.array(lengths, np.int64)[last], digest, *bands)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, text): null ids as the least long, a hash of the text, the text as bytes."""
+    ids = "coalesce(cast(doc_id as long), -9223372036854775808L) as doc_id"
+    texts = docs.selectExpr(ids, "cast(cast(text as string) as binary) as text")
+    return texts.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, start, stop, digest, v0, v1) of all paragraphs of (doc_id, text); offsets are UTF-8 bytes."""
-    names = ["doc_id", "pos", "start", "stop", "digest", "v0", "v1"]
+    """(doc_id, text_id, pos, start, stop, digest, v0, v1) of all paragraphs of (doc_id, text); offsets are UTF-8 bytes."""
+    names = ["doc_id", "text_id", "pos", "start", "stop", "digest", "v0", "v1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = paragraphs(text.as_py() or b"")
                 if found is not None:
                     out[0].append(np.full(len(found[0]), doc, np.int64))
-                    for col, x in zip(out[1:], found):
+                    out[1].append(np.full(len(found[0]), key, np.int64))
+                    for col, x in zip(out[2:], found):
                         col.append(x)
             if out[0]:
                 cols = [np.concatenate(c) for c in out]
-                types = [np.int64, np.int32, np.int32, np.int32]
-                arrays = [pa.array(c.astype(t)) for c, t in zip(cols, types)] + [pa.array(c.view(np.int64)) for c in cols[4:]]
+                types = [np.int64, np.int64, np.int32, np.int32, np.int32]
+                arrays = [pa.array(c.astype(t)) for c, t in zip(cols, types)] + [pa.array(c.view(np.int64)) for c in cols[5:]]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    ids = "coalesce(cast(doc_id as long), -9223372036854775808L) as doc_id"
-    return docs.selectExpr(ids, "cast(cast(text as string) as binary) as text").mapInArrow(run, "doc_id long, pos int, start int, stop int, digest long, v0 long, v1 long")
+    return _rows(docs).mapInArrow(run, "doc_id long, text_id long, pos int, start int, stop int, digest long, v0 long, v1 long")
 
 
 def max_missing(n: int, similarity: float = SIMILARITY) -> int:
@@ -141,64 +162,85 @@ def max_missing(n: int, similarity: float = SIMILARITY) -> int:
     return int(n * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
+def _subset_keys(shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Hashes of the sets left of each row after every deletion of as many shingles as may be missing; repeats are numbered."""
+    s = np.sort(shingles, axis=1)
+    repeat = np.zeros(s.shape, np.uint64)
+    for i in range(1, s.shape[1]):
+        repeat[:, i] = np.where(s[:, i] == s[:, i - 1], repeat[:, i - 1] + np.uint64(1), np.uint64(0))
+    mixed = _mix(_mix(s) + repeat * np.uint64(0x9E3779B97F4A7C15))
+    gone = np.array(list(combinations(range(s.shape[1]), max_missing(s.shape[1], similarity))), np.int64)
+    return mixed.sum(axis=1, dtype=np.uint64)[:, None] - mixed[:, gone].sum(axis=2, dtype=np.uint64)
+
+
 def subset_keys(shingles: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
-    """Hashes of the sets left after each deletion of as many shingles as may be missing; repeats are numbered.
+    """Keys of one paragraph's shingles.
 
     All paragraphs have equally many shingles, so two of them are similar exactly
     if they have such a set in common.
     """
-    s = np.sort(shingles)
-    first = np.searchsorted(s, s)
-    mixed = _mix(_mix(s) + (np.arange(len(s)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    total = int(mixed.sum(dtype=np.uint64))
-    return sorted({(total - sum(gone)) % 2**64 for gone in combinations(mixed.tolist(), max_missing(len(s), similarity))})
+    return sorted(set(_subset_keys(shingles[None], similarity)[0].tolist()))
+
+
+def deletion_keys(words: np.ndarray) -> np.ndarray:
+    """Hashes of the words left of each row (one paragraph's word hashes) after every deletion of one, in order.
+
+    Two paragraphs have one in common exactly if all but one word of either stand in the other in the same order.
+    """
+    place = np.arange(words.shape[1], dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    kept, moved = _mix(_mix(words) + place), np.zeros_like(words)
+    moved[:, 1:] = _mix(_mix(words[:, 1:]) + place[:-1])
+    before = np.cumsum(kept, axis=1, dtype=np.uint64) - kept
+    after = moved.sum(axis=1, dtype=np.uint64)[:, None] - np.cumsum(moved, axis=1, dtype=np.uint64)
+    return _mix(before + after)
 
 
 def near_edges(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between digests of distinct paragraphs whose shingle sets are similar; no pairs within a document's overlaps."""
-    bands = distinct.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.explode(F.array("v0", "v1")).alias("v"))
-    # A bucket counts if it has two paragraphs that are not neighbours in one document.
-    buckets = bands.groupBy("v").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    busy = buckets.where((F.col("d0") != F.col("d1")) | (F.col("p1") - F.col("p0") >= WORDS)).select(F.col("v").alias("b_v"))
-    colliding = bands.join(busy, F.col("v") == F.col("b_v"), "left_semi").select("digest", "doc_id", "pos").distinct()
-    wanted = staged(colliding.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "digest")).alias("wanted")), "passages-colliding")
+    """Edges (a, b) between digests of distinct paragraphs that are near; no pairs within a document's overlaps."""
+    bands = distinct.select("first.doc_id", "first.text_id", "first.pos", F.explode(F.array("v0", "v1")).alias("v"))
+    # A bucket counts if it has two paragraphs that are not neighbours in one text.
+    buckets = bands.groupBy("v").agg(F.min("text_id").alias("t0"), F.max("text_id").alias("t1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    busy = buckets.where((F.col("t0") != F.col("t1")) | (F.col("p1") - F.col("p0") >= WORDS)).select(F.col("v").alias("b_v"))
+    colliding = bands.join(busy, F.col("v") == F.col("b_v"), "left_semi")
+    # A list holds places of one text: rows without an id or with a repeated one do not meet in it.
+    wanted = colliding.groupBy(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text")).agg(F.collect_set("pos").alias("wanted"))
+    wanted = staged(wanted, "passages-colliding")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int]] = []
             for text, wants in zip(batch.column(0), batch.column(1)):
                 h = word_hashes((text.as_py() or b"").lower().split())
-                whole, shingles = (_runs(h, WORDS), _runs(h, SHINGLE)) if len(h) >= WORDS else (h[:0], h[:0])
-                for want in wants.as_py():
-                    pos, digest = want["pos"], want["digest"]
-                    # Another row with the same id holds the paragraph if the digest differs here.
-                    if pos < len(whole) and int(whole[pos].view(np.int64)) == digest:
-                        rows += [(k, digest) for k in subset_keys(shingles[pos : pos + WORDS - SHINGLE + 1])]
-            key = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([r[1] for r in rows], pa.int64())], ["key", "digest"])
-
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    texts = docs.select(ids.alias("t_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    keyed = texts.join(wanted, F.col("t_id") == F.col("doc_id")).select("text", "wanted").mapInArrow(keys, "key long, digest long")
+                at = wants.values.to_numpy()
+                at = at[at + WORDS <= len(h)]
+                if len(at):
+                    inside = at[:, None] + np.arange(WORDS)
+                    found = np.hstack([_subset_keys(_runs(h, SHINGLE)[inside[:, : WORDS - SHINGLE + 1]]), deletion_keys(h[inside])])
+                    digest = np.repeat(_runs(h, WORDS)[at], found.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(digest.view(np.int64))], ["key", "digest"])
+
+    same = (F.col("doc_id") == F.col("w_doc")) & (F.col("text_id") == F.col("w_text"))
+    keyed = _rows(docs).join(wanted, same).select("text", "wanted").mapInArrow(keys, "key long, digest long")
     keyed = staged(keyed, "passages-keys")
     least = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.max("digest").alias("most")).where("b <> most").select(F.col("key").alias("l_key"), "b")
-    # All paragraphs with a common sub-set of that size are similar to each other: a star holds every link.
+    # All paragraphs that have the same left are near each other: a star holds every link.
     return keyed.join(least, F.col("key") == F.col("l_key")).where("digest <> b").select(F.col("digest").alias("a"), "b")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Spans of (doc_id, text) that repeat across documents.
 
-    One row per span: doc_id, start, stop (bytes of the UTF-8 text), n_words,
-    class_id (digest of its first paragraph's class), first_doc_id and removed:
-    a span is the union of overlapping or touching repeated paragraphs with the
-    same ``removed``; it is false where the document holds the first paragraphs
-    (by id and place) of their classes, which stay.  Texts under ``WORDS`` words,
-    null and empty texts have no paragraphs; rows that share an id are one
-    document, rows without one too.  An empty table has no spans.
+    One row per span: doc_id, text_id (a hash of the text, as ids may be missing or
+    repeated), start, stop (bytes of the UTF-8 text), n_words, class_id (digest of
+    its first paragraph's class), first_doc_id and removed: a span is the union of
+    overlapping or touching repeated paragraphs with the same ``removed``; it is
+    false where the document holds the first paragraphs (by id, text and place) of
+    their classes, which stay.  Texts under ``WORDS`` words, null and empty texts
+    have no paragraphs; rows that share an id are one document, rows without one
+    too, but each of their texts has its own spans (equal ones once).  An empty
+    table has no spans.
     """
     units = staged(paragraph_table(docs), "passages")
-    distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last_doc"), F.min("v0").alias("v0"), F.min("v1").alias("v1"))
+    distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos")).alias("first"), F.max("doc_id").alias("last_doc"), F.min("v0").alias("v0"), F.min("v1").alias("v1"))
     parts = components(near_edges(docs, distinct))
     parts = parts.select(F.col("node"), "component")
     groups = distinct.select("digest", "first", "last_doc").join(parts, F.col("digest") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "digest"))
@@ -208,19 +250,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     alone = groups.where("component is null").select("digest", "class_id", "first", "last_doc")
     repeated = members.union(alone).where(F.col("first.doc_id") != F.col("last_doc"))
     repeated = staged(repeated.select(F.col("digest").alias("r_digest"), "class_id", "first"), "passages-repeated")
-    hits = units.select("doc_id", "pos", "start", "stop", "digest").join(repeated, F.col("digest") == F.col("r_digest"))
-    hits = hits.withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
+    hits = units.select("doc_id", "text_id", "pos", "start", "stop", "digest").join(repeated, F.col("digest") == F.col("r_digest"))
+    hits = hits.withColumn("removed", F.struct("doc_id", "text_id", "pos") != F.col("first"))
+    # Copies of one text under one id would meet in one group below.
+    hits = hits.dropDuplicates(["doc_id", "text_id", "pos"])
     # Join overlapping and touching paragraphs of a document into spans.
-    line = Window.partitionBy("doc_id", "removed").orderBy("pos", "start", "stop")
+    line = Window.partitionBy("doc_id", "text_id", "removed").orderBy("pos")
     far = F.max(F.col("pos") + WORDS).over(line.rowsBetween(Window.unboundedPreceding, -1))
     spans = hits.withColumn("new", (far.isNull() | (F.col("pos") > far)).cast("int"))
     spans = spans.withColumn("span", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    out = spans.groupBy("doc_id", "removed", "span").agg(
+    out = spans.groupBy("doc_id", "text_id", "removed", "span").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") + WORDS - F.min("pos")).cast("long").alias("n_words"),
         F.min_by("class_id", "pos").alias("class_id"), F.min_by("first.doc_id", "pos").alias("first_doc_id"),
     )
     none = F.lit(-(2**63))
-    return out.select(F.nullif("doc_id", none).alias("doc_id"), "start", "stop", "n_words", "class_id", F.nullif("first_doc_id", none).alias("first_doc_id"), "removed")
+    return out.select(F.nullif("doc_id", none).alias("doc_id"), "text_id", "start", "stop", "n_words", "class_id", F.nullif("first_doc_id", none).alias("first_doc_id"), "removed")
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

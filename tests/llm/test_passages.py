@@ -1,9 +1,11 @@
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 
 from rankwell.llm import passages as P
-from tests.llm.helpers import docs
+from tests.llm.helpers import components, docs
 
 R = random.Random(9)
 VOCABULARY = [f"w{i}" for i in range(4000)] + ["the"] * 500
@@ -30,6 +32,146 @@ def test_subset_keys_are_exact():
         assert bool(set(P.subset_keys(a)) & set(P.subset_keys(b))) == (len(x & y) / len(x | y) >= 0.8)
 
 
+def is_subsequence_of_all_but_one(a, b):
+    """Whether all but one word of a stand in b in the same order, and the other way round."""
+    return any(a[:i] + a[i + 1 :] == b[:j] + b[j + 1 :] for i in range(len(a)) for j in range(len(b)))
+
+
+def similar(a, b):
+    x, y = (Counter(tuple(w[i : i + P.SHINGLE]) for i in range(len(w) - P.SHINGLE + 1)) for w in (a, b))
+    return sum((x & y).values()) / sum((x | y).values()) >= 0.8
+
+
+def test_deletion_keys_are_exact():
+    r = np.random.default_rng(2)
+    hits = 0
+    for n in range(600):
+        a = r.integers(0, 3 if n % 2 else 50, 16).tolist()
+        b = list(a)
+        for _ in range(r.integers(0, 3)):
+            i = int(r.integers(0, 16))
+            b = [b[:i] + [99] + b[i + 1 :], (b[:i] + [98] + b[i:])[:16], b[:i] + b[i + 1 :] + [97]][r.integers(0, 3)]
+        keys = [set(P.deletion_keys(np.array([x], np.uint64))[0].tolist()) for x in (a, b)]
+        assert bool(keys[0] & keys[1]) == is_subsequence_of_all_but_one(a, b)
+        hits += bool(keys[0] & keys[1])
+    assert 200 < hits < 600
+
+
+def test_every_passage_of_31_words_has_a_common_paragraph():
+    """Winnowing: a copy of WORDS + REACH - 1 words has an anchor that all copies have, and their paragraphs touch."""
+    for n in [31] * 300 + [51] * 300:
+        passage = words(n)
+        before, after = words(R.randint(0, 60)), words(R.randint(0, 60))
+        one, two = before + passage + after, words(40) + passage + words(40)
+        a, b = (P.paragraphs(" ".join(t).encode()) for t in (one, two))
+        assert set(a[3].tolist()) & set(b[3].tolist())
+        gaps = np.diff(a[0])
+        assert gaps.max(initial=0) <= P.WORDS
+
+
+def test_anchors_are_the_least_of_some_window():
+    for n in (18, 30, 200):
+        h = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
+        g = P._runs(h, 3).tolist()
+        best = {min(range(i, i + P.REACH), key=g.__getitem__) for i in range(len(g) - P.REACH + 1)}
+        assert P.anchors(h).tolist() == sorted(best)
+    same = P.anchors(np.zeros(5000, np.uint64))
+    assert 300 <= len(same) <= 320  # repeated words: one in REACH, not each
+    assert len(P.anchors(np.zeros(5, np.uint64))) == 0
+
+
+def test_lines_are_paragraphs(spark):
+    line = words(P.WORDS)
+    rows = [(1, " ".join(words(9)) + "\n" + " ".join(line) + "\n" + " ".join(words(25))), (2, " ".join(words(40)) + "\r\n" + " ".join(line) + "\n" + " ".join(words(30)))]
+    found = {r.doc_id: r for r in spans(spark, rows)}
+    assert {i: dict(rows)[i].encode()[r.start : r.stop].decode().split() for i, r in found.items()} == {1: line, 2: line}
+
+
+def test_any_changed_word_keeps_the_class(spark):
+    """One word of a paragraph replaced, inserted or left out, at every place."""
+    rows, want = [], {}
+    for i in range(P.WORDS):
+        base = words(P.WORDS)
+        forms = [base, base[:i] + ["other"] + base[i + 1 :], (base[:i] + ["more"] + base[i:])[: P.WORDS], base[:i] + base[i + 1 :] + ["end"]]
+        two = [*base]
+        two[i], two[(i + 7) % P.WORDS] = "one", "two"  # two changed inner words are too many
+        for k, form in enumerate([*forms, two]):
+            rows.append((10 * i + k, " ".join(form)))
+            want[10 * i + k] = form
+    got = {r.doc_id: r for r in spans(spark, rows)}
+    for i in range(P.WORDS):
+        replaced = {10 * i, 10 * i + 1}
+        assert replaced <= set(got) and len({got[j].class_id for j in replaced}) == 1
+        # Inserted and left-out words shift one half: its band collides by chance only (0.6), the other half's does not.
+    shifted = [10 * i + k for i in range(P.WORDS) for k in (2, 3)]
+    assert sum(j in got and got[j].class_id == got[j // 10 * 10].class_id for j in shifted) >= 24
+    near = lambda a, b: is_subsequence_of_all_but_one(a, b) or similar(a, b)
+    for j in got:
+        assert any(near(want[j], want[k]) for k in want if k != j and k // 10 == j // 10)
+
+
+def brute_force(rows):
+    """(doc_id, pos) of repeated paragraphs with their class as a set of digests, over all pairs of paragraphs."""
+    units = []
+    for doc, text in rows:
+        data = text.encode()
+        found = P.paragraphs(data)
+        if found is None:
+            continue
+        low = data.lower().split()
+        units += [(doc, int(p), int(d), low[p : p + P.WORDS]) for p, d in zip(found[0], found[3])]
+    text_of = {u[2]: u[3] for u in units}
+    digests = sorted(text_of)
+    links = [(i, j) for i, j in combinations(range(len(digests)), 2) if is_subsequence_of_all_but_one(text_of[digests[i]], text_of[digests[j]]) or similar(text_of[digests[i]], text_of[digests[j]])]
+    root = dict(zip(digests, components(len(digests), links)))
+    holders = {}
+    for doc, pos, d, _ in units:
+        holders.setdefault(root[d], set()).add((doc, pos))
+    return {(doc, pos): root[d] for doc, pos, d, _ in units if len({h[0] for h in holders[root[d]]}) > 1}, holders
+
+
+def test_spans_and_classes_equal_brute_force(spark):
+    rows, shared = [], [words(20), words(34), words(51)]
+    for i in range(14):
+        text = words(R.randint(8, 30))
+        if i % 2 == 0:
+            part = list(shared[i % 3])
+            if i % 4 == 0:
+                part[R.randrange(len(part))] = f"changed{i}"
+            text = text + part + words(R.randint(5, 20))
+        rows.append((i, " ".join(text)))
+    rows += [(20 + i, " ".join(shared[0][:8] + [f"x{i}"] + shared[0][9:16])) for i in range(3)]
+    repeated, holders = brute_force(rows)
+    got = spans(spark, rows)
+    covered = {}
+    for r in got:
+        text = dict(rows)[r.doc_id].encode()
+        first = len(text[: r.start].split())
+        covered.setdefault(r.doc_id, []).append((first, first + r.n_words, r.removed))
+    for doc, _ in rows:
+        mine = sorted(p for d, p in repeated if d == doc)
+        for removed in (False, True):
+            merged = []
+            for p in mine:
+                if (min(holders[repeated[doc, p]]) != (doc, p)) == removed:
+                    if merged and p <= merged[-1][1]:
+                        merged[-1][1] = p + P.WORDS
+                    else:
+                        merged.append([p, p + P.WORDS])
+            assert sorted((a, b) for a, b, x in covered.get(doc, []) if x == removed) == [tuple(m) for m in merged]
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    """Each text of id-less rows has its own list of colliding places and its own spans."""
+    base = words(40)
+    rows = [(None, " ".join(base[:20] + [f"v{i}"] + base[21:])) for i in range(60)] + [(None, " ".join(base))] * 50 + [(7, " ".join(base))]
+    found = spans(spark, rows)
+    assert len({r.text_id for r in found}) == 61 and {r.doc_id for r in found} == {None, 7}
+    mine = [r for r in found if r.doc_id is None and not r.removed]
+    assert len(found) <= 62 * 4 and mine
+    assert all(r.first_doc_id is None for r in found)
+
+
 def test_embedded_passages_are_found(spark):
     rows, planted = [], {}
     for k in range(20):
@@ -42,7 +184,7 @@ def test_embedded_passages_are_found(spark):
     rows += [(i, " ".join(words(150))) for i in clean]
     found = spans(spark, rows)
     hit = {r.doc_id for r in found}
-    assert sum(i in hit for ids in planted.values() for i in ids) >= 57 and not hit & set(clean)
+    assert hit == {i for ids in planted.values() for i in ids} and not hit & set(clean)
     text = {i: t.encode() for i, t in rows}
     for r in found:
         assert len(text[r.doc_id][r.start : r.stop].split()) == r.n_words >= P.WORDS
