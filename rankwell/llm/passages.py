@@ -5,7 +5,8 @@ A passage may stand anywhere, also inside a line, so paragraphs are windows of
 ``WORDS`` words or more, ``WORDS`` words before a text's end, and at winnowed
 anchors: of every ``REACH`` three-word hashes in a row the least is one.  A
 passage of ``WORDS + REACH - 1`` words or more thus has an anchor of its own that
-every copy has, and its paragraphs touch.
+every copy has.  A digest of the ``WORDS`` words behind a paragraph tells whether
+a copy goes on like the first one, so that the stretch to the next anchor counts.
 
 Equal paragraphs are grouped by digest with partial aggregation.  For near ones,
 each half of a paragraph is a MinHash band over its five-word shingles: whatever
@@ -38,7 +39,7 @@ from rankwell.llm.common import documents, prepare, staged
 from rankwell.llm.components import components
 
 #: Words of a paragraph, hashes in a row of which the least is an anchor, words of a shingle.
-WORDS, REACH, SHINGLE = 16, 16, 5
+WORDS, REACH, SHINGLE = 16, 32, 5
 SIMILARITY = 0.8
 #: Multipliers of the MinHash functions, one per half of a paragraph.
 _BANDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -95,9 +96,10 @@ def anchors(h: np.ndarray, reach: int = REACH) -> np.ndarray:
 
 
 def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[np.ndarray, ...] | None:
-    """(first word, first byte, end byte, digest, band values...) of each paragraph of a text; None if it has none.
+    """(first word, first byte, end byte, digest, words behind, their end byte, their digest, band values...) of
+    each paragraph of a text; None if it has none.
 
-    Words are runs between ASCII white space, A-Z lower-cased; line breaks count as white space.
+    Up to ``words_n`` words behind a paragraph count.  Words are runs between ASCII white space, A-Z lower-cased; line breaks count as white space.
     """
     low = data.lower()
     lines = [line.split() for line in low.split(b"\n")]
@@ -123,8 +125,11 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
             p = find(w, p)
             starts[i] = p
             p += lengths[i]
-    last = at + words_n - 1
-    return (at, starts[at], starts[last] + np.array(lengths, np.int64)[last], digest, *bands)
+    stops = starts + np.array(lengths, np.int64)
+    behind = np.minimum(words_n, len(h) - at - words_n)
+    # Zeros stand for the words missing at the end of a text.
+    tail = _runs(np.concatenate([h, np.zeros(words_n, np.uint64)]), words_n)[at + words_n]
+    return (at, starts[at], stops[at + words_n - 1], digest, behind, stops[at + words_n + behind - 1], tail, *bands)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -135,8 +140,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, pos, start, stop, digest, v0, v1) of all paragraphs of (doc_id, text); offsets are UTF-8 bytes."""
-    names = ["doc_id", "text_id", "pos", "start", "stop", "digest", "v0", "v1"]
+    """(doc_id, text_id, pos, start, stop, digest, behind, end, tail, v0, v1) of all paragraphs; offsets are UTF-8 bytes."""
+    names = ["doc_id", "text_id", "pos", "start", "stop", "digest", "behind", "end", "tail", "v0", "v1"]
+    small = {"pos", "start", "stop", "behind", "end"}
+    schema = ", ".join(f"{n} {'int' if n in small else 'long'}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +157,10 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                         col.append(x)
             if out[0]:
                 cols = [np.concatenate(c) for c in out]
-                types = [np.int64, np.int64, np.int32, np.int32, np.int32]
-                arrays = [pa.array(c.astype(t)) for c, t in zip(cols, types)] + [pa.array(c.view(np.int64)) for c in cols[5:]]
+                arrays = [pa.array(c.astype(np.int32) if n in small else c.view(np.int64)) for n, c in zip(names, cols)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, text_id long, pos int, start int, stop int, digest long, v0 long, v1 long")
+    return _rows(docs).mapInArrow(run, schema)
 
 
 def max_missing(n: int, similarity: float = SIMILARITY) -> int:
@@ -196,12 +202,12 @@ def deletion_keys(words: np.ndarray) -> np.ndarray:
 
 
 def near_edges(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between digests of distinct paragraphs that are near; no pairs within a document's overlaps."""
-    bands = distinct.select("first.doc_id", "first.text_id", "first.pos", F.explode(F.array("v0", "v1")).alias("v"))
-    # A bucket counts if it has two paragraphs that are not neighbours in one text.
-    buckets = bands.groupBy("v").agg(F.min("text_id").alias("t0"), F.max("text_id").alias("t1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    busy = buckets.where((F.col("t0") != F.col("t1")) | (F.col("p1") - F.col("p0") >= WORDS)).select(F.col("v").alias("b_v"))
-    colliding = bands.join(busy, F.col("v") == F.col("b_v"), "left_semi")
+    """Edges (a, b) between digests of distinct paragraphs that are near."""
+    bands = distinct.select("digest", F.explode(F.array("v0", "v1")).alias("v"))
+    buckets = bands.groupBy("v").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    busy = buckets.where("least <> most").select(F.col("v").alias("b_v"))
+    colliding = bands.join(busy, F.col("v") == F.col("b_v"), "left_semi").select(F.col("digest").alias("c_digest"))
+    colliding = distinct.join(colliding, F.col("digest") == F.col("c_digest"), "left_semi").select("first.doc_id", "first.text_id", "first.pos")
     # A list holds places of one text: rows without an id or with a repeated one do not meet in it.
     wanted = colliding.groupBy(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text")).agg(F.collect_set("pos").alias("wanted"))
     wanted = staged(wanted, "passages-colliding")
@@ -234,13 +240,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     its first paragraph's class), first_doc_id and removed: a span is the union of
     overlapping or touching repeated paragraphs with the same ``removed``; it is
     false where the document holds the first paragraphs (by id, text and place) of
-    their classes, which stay.  Texts under ``WORDS`` words, null and empty texts
+    their classes, which stay.  Removed paragraphs reach as far as the words behind
+    them are those behind the first one, up to ``WORDS`` more.  Texts under ``WORDS`` words, null and empty texts
     have no paragraphs; rows that share an id are one document, rows without one
     too, but each of their texts has its own spans (equal ones once).  An empty
     table has no spans.
     """
     units = staged(paragraph_table(docs), "passages")
-    distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos")).alias("first"), F.max("doc_id").alias("last_doc"), F.min("v0").alias("v0"), F.min("v1").alias("v1"))
+    distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos", "tail")).alias("first"), F.max("doc_id").alias("last_doc"), F.min("v0").alias("v0"), F.min("v1").alias("v1"))
     parts = components(near_edges(docs, distinct))
     parts = parts.select(F.col("node"), "component")
     groups = distinct.select("digest", "first", "last_doc").join(parts, F.col("digest") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "digest"))
@@ -250,18 +257,23 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     alone = groups.where("component is null").select("digest", "class_id", "first", "last_doc")
     repeated = members.union(alone).where(F.col("first.doc_id") != F.col("last_doc"))
     repeated = staged(repeated.select(F.col("digest").alias("r_digest"), "class_id", "first"), "passages-repeated")
-    hits = units.select("doc_id", "text_id", "pos", "start", "stop", "digest").join(repeated, F.col("digest") == F.col("r_digest"))
-    hits = hits.withColumn("removed", F.struct("doc_id", "text_id", "pos") != F.col("first"))
+    hits = units.drop("v0", "v1").join(repeated, F.col("digest") == F.col("r_digest"))
+    # What overlaps the first paragraph of its class in the same text is no copy of it.
+    here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    hits = hits.withColumn("removed", ~(here & (F.abs(F.col("pos") - F.col("first.pos")) < WORDS)))
+    on = F.col("removed") & (F.col("tail") == F.col("first.tail"))
+    hits = hits.withColumn("to", F.col("pos") + WORDS + F.when(on, F.col("behind")).otherwise(0)).withColumn("stop", F.when(on, F.col("end")).otherwise(F.col("stop")))
+    hits = hits.select("doc_id", "text_id", "pos", "to", "start", "stop", "removed", "class_id", F.col("first.doc_id").alias("first_doc_id"))
     # Copies of one text under one id would meet in one group below.
     hits = hits.dropDuplicates(["doc_id", "text_id", "pos"])
     # Join overlapping and touching paragraphs of a document into spans.
     line = Window.partitionBy("doc_id", "text_id", "removed").orderBy("pos")
-    far = F.max(F.col("pos") + WORDS).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    far = F.max("to").over(line.rowsBetween(Window.unboundedPreceding, -1))
     spans = hits.withColumn("new", (far.isNull() | (F.col("pos") > far)).cast("int"))
     spans = spans.withColumn("span", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     out = spans.groupBy("doc_id", "text_id", "removed", "span").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") + WORDS - F.min("pos")).cast("long").alias("n_words"),
-        F.min_by("class_id", "pos").alias("class_id"), F.min_by("first.doc_id", "pos").alias("first_doc_id"),
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("to") - F.min("pos")).cast("long").alias("n_words"),
+        F.min_by("class_id", "pos").alias("class_id"), F.min_by("first_doc_id", "pos").alias("first_doc_id"),
     )
     none = F.lit(-(2**63))
     return out.select(F.nullif("doc_id", none).alias("doc_id"), "text_id", "start", "stop", "n_words", "class_id", F.nullif("first_doc_id", none).alias("first_doc_id"), "removed")
