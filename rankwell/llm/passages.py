@@ -9,15 +9,17 @@ every copy has.  A digest of the ``WORDS`` words behind a paragraph tells whethe
 a copy goes on like the first one, so that the stretch to the next anchor counts.
 
 Equal paragraphs are grouped by digest with partial aggregation.  For near ones,
-each half of a paragraph is a MinHash band over its five-word shingles: whatever
-one word is replaced, the other half still collides.  Colliding paragraphs are
-verified exactly, and are near if either
+each half of a paragraph is a band of three MinHash values over its five-word
+shingles: whatever one word is replaced, the other half still collides.  Colliding
+paragraphs are verified exactly, and are near if either
 
+* their edit distance is one replaced, inserted or left-out word: both have the
+  same words left after some deletion of one; or
 * the Jaccard similarity of their shingles (repeats numbered) is 0.8 or more:
   of n shingles each, at most k are missing in the other, so both have the same
-  set left after some deletion of k; or
-* their edit distance is one replaced, inserted or left-out word: both have the
-  same words left after some deletion of one.
+  set left after some deletion of k.  Of 12 shingles one may be missing; if it is
+  not at an end, the rest can only stand in another order, which needs three words
+  that stand twice.  Only paragraphs with such words need this second form.
 
 The hashes of what is left are joined by equality, which costs a fixed number of
 rows per paragraph even if thousands collide; no pairs are enumerated.
@@ -41,8 +43,8 @@ from rankwell.llm.components import components
 #: Words of a paragraph, hashes in a row of which the least is an anchor, words of a shingle.
 WORDS, REACH, SHINGLE = 16, 32, 5
 SIMILARITY = 0.8
-#: Multipliers of the MinHash functions, one per half of a paragraph.
-_BANDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Multipliers of the MinHash functions.
+_FUNCTIONS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -51,14 +53,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every n words in a row."""
-    out = h[: len(h) - n + 1].copy()
+def _along(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n words in a row along the last axis."""
+    size = h.shape[-1] - n + 1
+    out = h[..., :size].copy()
     for i in range(1, n):
-        out = _mix(out * np.uint64(3) + h[i : len(h) - n + 1 + i])
+        out = _mix(out * np.uint64(3) + h[..., i : size + i])
     return out
 
 
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n words in a row; none if there are fewer."""
+    return _along(h, n) if len(h) >= n else h[:0]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     return np.array([digest(w) for w in words], dtype=np.uint64)
@@ -114,7 +122,11 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
     shingles = _runs(h, SHINGLE)
     half = words_n // 2
     digest = _runs(h, words_n)[at]
-    bands = [_sliding(_mix(shingles * np.uint64(m)), half - SHINGLE + 1, np.minimum)[at + i] for m, i in zip(_BANDS, (0, words_n - half))]
+    bands = np.zeros((2, len(at)), np.uint64)
+    bands[1] = _MIX  # a first half never meets a second one
+    for m in _FUNCTIONS:
+        least = _sliding(_mix(shingles * np.uint64(m)), half - SHINGLE + 1, np.minimum)
+        bands = _mix(bands * np.uint64(3) + np.stack([least[at], least[at + words_n - half]]))
     # Byte offsets: white space between words may be longer than one byte, so look words up from left to right.
     starts, find, p = np.empty(len(words), np.int64), low.find, 0
     lengths = list(map(len, words))
@@ -201,13 +213,22 @@ def deletion_keys(words: np.ndarray) -> np.ndarray:
     return _mix(before + after)
 
 
-def near_edges(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of rows of word hashes: two paragraphs are near exactly if they share a key."""
+    runs = np.sort(_along(words, 3), axis=1)
+    twice = np.flatnonzero((runs[:, 1:] == runs[:, :-1]).any(axis=1))
+    deleted, left = deletion_keys(words), _subset_keys(_along(words[twice], SHINGLE))
+    row = np.concatenate([np.repeat(np.arange(len(words)), deleted.shape[1]), np.repeat(twice, left.shape[1])])
+    return row, np.concatenate([deleted.ravel(), left.ravel()])
+
+
+def near_edges(docs: DataFrame, units: DataFrame) -> DataFrame:
     """Edges (a, b) between digests of distinct paragraphs that are near."""
-    bands = distinct.select("digest", F.explode(F.array("v0", "v1")).alias("v"))
-    buckets = bands.groupBy("v").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
-    busy = buckets.where("least <> most").select(F.col("v").alias("b_v"))
-    colliding = bands.join(busy, F.col("v") == F.col("b_v"), "left_semi").select(F.col("digest").alias("c_digest"))
-    colliding = distinct.join(colliding, F.col("digest") == F.col("c_digest"), "left_semi").select("first.doc_id", "first.text_id", "first.pos")
+    firsts = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos")).alias("first"), F.min("v0").alias("v0"), F.min("v1").alias("v1"))
+    bands = firsts.select("first.doc_id", "first.text_id", "first.pos", F.explode(F.array("v0", "v1")).alias("v"))
+    buckets = bands.groupBy("v").agg(F.min("text_id").alias("t0"), F.max("text_id").alias("t1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    busy = buckets.where("t0 <> t1 or p0 <> p1").select(F.col("v").alias("b_v"))
+    colliding = bands.join(busy, F.col("v") == F.col("b_v"), "left_semi")
     # A list holds places of one text: rows without an id or with a repeated one do not meet in it.
     wanted = colliding.groupBy(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text")).agg(F.collect_set("pos").alias("wanted"))
     wanted = staged(wanted, "passages-colliding")
@@ -219,14 +240,13 @@ def near_edges(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                 at = wants.values.to_numpy()
                 at = at[at + WORDS <= len(h)]
                 if len(at):
-                    inside = at[:, None] + np.arange(WORDS)
-                    found = np.hstack([_subset_keys(_runs(h, SHINGLE)[inside[:, : WORDS - SHINGLE + 1]]), deletion_keys(h[inside])])
-                    digest = np.repeat(_runs(h, WORDS)[at], found.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(digest.view(np.int64))], ["key", "digest"])
+                    row, key = near_keys(h[at[:, None] + np.arange(WORDS)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_runs(h, WORDS)[at][row].view(np.int64))], ["key", "digest"])
 
     same = (F.col("doc_id") == F.col("w_doc")) & (F.col("text_id") == F.col("w_text"))
     keyed = _rows(docs).join(wanted, same).select("text", "wanted").mapInArrow(keys, "key long, digest long")
-    keyed = staged(keyed, "passages-keys")
+    # Both uses share one exchange by key.
+    keyed = staged(keyed, "passages-keys").repartition("key")
     least = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.max("digest").alias("most")).where("b <> most").select(F.col("key").alias("l_key"), "b")
     # All paragraphs that have the same left are near each other: a star holds every link.
     return keyed.join(least, F.col("key") == F.col("l_key")).where("digest <> b").select(F.col("digest").alias("a"), "b")
@@ -247,8 +267,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     table has no spans.
     """
     units = staged(paragraph_table(docs), "passages")
-    distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos", "tail")).alias("first"), F.max("doc_id").alias("last_doc"), F.min("v0").alias("v0"), F.min("v1").alias("v1"))
-    parts = components(near_edges(docs, distinct))
+    distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos", "tail")).alias("first"), F.max("doc_id").alias("last_doc"))
+    parts = components(near_edges(docs, units))
     parts = parts.select(F.col("node"), "component")
     groups = distinct.select("digest", "first", "last_doc").join(parts, F.col("digest") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "digest"))
     # Classes with paragraphs of several documents; only near ones need a second aggregation.
