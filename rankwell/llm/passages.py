@@ -5,7 +5,7 @@ A passage may stand anywhere, also inside a line, so paragraphs are windows of
 ``WORDS`` words or more, ``WORDS`` words before a text's end, and at winnowed
 anchors: of every ``REACH`` three-word hashes in a row the least is one.  A
 passage of ``WORDS + REACH - 1`` words or more thus has an anchor of its own that
-every copy has.  A digest of the ``WORDS`` words behind a paragraph tells whether
+every copy has.  A digest of the ``BEHIND`` words behind a paragraph tells whether
 a copy goes on like the first one, so that the stretch to the next anchor counts.
 
 Equal paragraphs are grouped by digest with partial aggregation.  For near ones,
@@ -41,7 +41,9 @@ from rankwell.llm.common import documents, prepare, staged
 from rankwell.llm.components import components
 
 #: Words of a paragraph, hashes in a row of which the least is an anchor, words of a shingle.
-WORDS, REACH, SHINGLE = 16, 32, 5
+WORDS, REACH, SHINGLE = 16, 36, 5
+#: Words behind a paragraph that are compared, too, so that it reaches the next anchor.
+BEHIND = REACH - WORDS
 SIMILARITY = 0.8
 #: Multipliers of the MinHash functions.
 _FUNCTIONS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -107,7 +109,7 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
     """(first word, first byte, end byte, digest, words behind, their end byte, their digest, band values...) of
     each paragraph of a text; None if it has none.
 
-    Up to ``words_n`` words behind a paragraph count.  Words are runs between ASCII white space, A-Z lower-cased; line breaks count as white space.
+    Up to ``BEHIND`` words behind a paragraph count.  Words are runs between ASCII white space, A-Z lower-cased; line breaks count as white space.
     """
     low = data.lower()
     lines = [line.split() for line in low.split(b"\n")]
@@ -138,20 +140,24 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
             starts[i] = p
             p += lengths[i]
     stops = starts + np.array(lengths, np.int64)
-    behind = np.minimum(words_n, len(h) - at - words_n)
+    behind = np.minimum(BEHIND, len(h) - at - words_n)
     # Zeros stand for the words missing at the end of a text.
-    tail = _runs(np.concatenate([h, np.zeros(words_n, np.uint64)]), words_n)[at + words_n]
+    tail = _runs(np.concatenate([h, np.zeros(BEHIND, np.uint64)]), BEHIND)[at + words_n]
     return (at, starts[at], stops[at + words_n - 1], digest, behind, stops[at + words_n + behind - 1], tail, *bands)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, text): null ids as the least long, a hash of the text, the text as bytes."""
-    ids = "coalesce(cast(doc_id as long), -9223372036854775808L) as doc_id"
-    texts = docs.selectExpr(ids, "cast(cast(text as string) as binary) as text")
-    return texts.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    """(doc_id, text_id, text): null ids as the least long, a hash of the text, the text as bytes.
+
+    Where all rows have an id of their own, the id tells texts apart and ``text_id`` is 0, which costs nothing to shuffle.
+    """
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col("doc_id").cast("long"))).first()
+    doc = "coalesce(cast(doc_id as long), -9223372036854775808L) as doc_id"
+    texts = docs.selectExpr(doc, "cast(cast(text as string) as binary) as text")
+    return texts.select("doc_id", (F.lit(0).cast("long") if n == ids else F.xxhash64("text")).alias("text_id"), "text")
 
 
-def paragraph_table(docs: DataFrame) -> DataFrame:
+def paragraph_table(rows: DataFrame) -> DataFrame:
     """(doc_id, text_id, pos, start, stop, digest, behind, end, tail, v0, v1) of all paragraphs; offsets are UTF-8 bytes."""
     names = ["doc_id", "text_id", "pos", "start", "stop", "digest", "behind", "end", "tail", "v0", "v1"]
     small = {"pos", "start", "stop", "behind", "end"}
@@ -172,7 +178,7 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                 arrays = [pa.array(c.astype(np.int32) if n in small else c.view(np.int64)) for n, c in zip(names, cols)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return _rows(docs).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def max_missing(n: int, similarity: float = SIMILARITY) -> int:
@@ -222,12 +228,12 @@ def near_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.concatenate([deleted.ravel(), left.ravel()])
 
 
-def near_edges(docs: DataFrame, units: DataFrame) -> DataFrame:
+def near_edges(rows: DataFrame, units: DataFrame) -> DataFrame:
     """Edges (a, b) between digests of distinct paragraphs that are near."""
     firsts = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos")).alias("first"), F.min("v0").alias("v0"), F.min("v1").alias("v1"))
     bands = firsts.select("first.doc_id", "first.text_id", "first.pos", F.explode(F.array("v0", "v1")).alias("v"))
-    buckets = bands.groupBy("v").agg(F.min("text_id").alias("t0"), F.max("text_id").alias("t1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-    busy = buckets.where("t0 <> t1 or p0 <> p1").select(F.col("v").alias("b_v"))
+    buckets = bands.groupBy("v").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("text_id").alias("t0"), F.max("text_id").alias("t1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    busy = buckets.where("d0 <> d1 or t0 <> t1 or p0 <> p1").select(F.col("v").alias("b_v"))
     colliding = bands.join(busy, F.col("v") == F.col("b_v"), "left_semi")
     # A list holds places of one text: rows without an id or with a repeated one do not meet in it.
     wanted = colliding.groupBy(F.col("doc_id").alias("w_doc"), F.col("text_id").alias("w_text")).agg(F.collect_set("pos").alias("wanted"))
@@ -244,7 +250,7 @@ def near_edges(docs: DataFrame, units: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_runs(h, WORDS)[at][row].view(np.int64))], ["key", "digest"])
 
     same = (F.col("doc_id") == F.col("w_doc")) & (F.col("text_id") == F.col("w_text"))
-    keyed = _rows(docs).join(wanted, same).select("text", "wanted").mapInArrow(keys, "key long, digest long")
+    keyed = rows.join(wanted, same).select("text", "wanted").mapInArrow(keys, "key long, digest long")
     # Both uses share one exchange by key.
     keyed = staged(keyed, "passages-keys").repartition("key")
     least = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.max("digest").alias("most")).where("b <> most").select(F.col("key").alias("l_key"), "b")
@@ -255,20 +261,21 @@ def near_edges(docs: DataFrame, units: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Spans of (doc_id, text) that repeat across documents.
 
-    One row per span: doc_id, text_id (a hash of the text, as ids may be missing or
-    repeated), start, stop (bytes of the UTF-8 text), n_words, class_id (digest of
+    One row per span: doc_id, text_id (a hash of the text if ids are missing or
+    repeated in the table, else null), start, stop (bytes of the UTF-8 text), n_words, class_id (digest of
     its first paragraph's class), first_doc_id and removed: a span is the union of
     overlapping or touching repeated paragraphs with the same ``removed``; it is
     false where the document holds the first paragraphs (by id, text and place) of
     their classes, which stay.  Removed paragraphs reach as far as the words behind
-    them are those behind the first one, up to ``WORDS`` more.  Texts under ``WORDS`` words, null and empty texts
+    them are those behind the first one, up to ``BEHIND`` more.  Texts under ``WORDS`` words, null and empty texts
     have no paragraphs; rows that share an id are one document, rows without one
     too, but each of their texts has its own spans (equal ones once).  An empty
     table has no spans.
     """
-    units = staged(paragraph_table(docs), "passages")
+    rows = _rows(docs)
+    units = staged(paragraph_table(rows), "passages")
     distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos", "tail")).alias("first"), F.max("doc_id").alias("last_doc"))
-    parts = components(near_edges(docs, units))
+    parts = components(near_edges(rows, units))
     parts = parts.select(F.col("node"), "component")
     groups = distinct.select("digest", "first", "last_doc").join(parts, F.col("digest") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "digest"))
     # Classes with paragraphs of several documents; only near ones need a second aggregation.
@@ -296,7 +303,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.min_by("class_id", "pos").alias("class_id"), F.min_by("first_doc_id", "pos").alias("first_doc_id"),
     )
     none = F.lit(-(2**63))
-    return out.select(F.nullif("doc_id", none).alias("doc_id"), "text_id", "start", "stop", "n_words", "class_id", F.nullif("first_doc_id", none).alias("first_doc_id"), "removed")
+    return out.select(F.nullif("doc_id", none).alias("doc_id"), F.nullif("text_id", F.lit(0)).alias("text_id"), "start", "stop", "n_words", "class_id", F.nullif("first_doc_id", none).alias("first_doc_id"), "removed")
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
