@@ -146,21 +146,24 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
     return (at, starts[at], stops[at + words_n - 1], digest, behind, stops[at + words_n + behind - 1], tail, *bands)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, text): null ids as the least long, a hash of the text, the text as bytes.
+def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text_id, text): null ids as the least long, a hash of the text, the text as bytes; whether ids are unique.
 
     Where all rows have an id of their own, the id tells texts apart and ``text_id`` is 0, which costs nothing to shuffle.
     """
     n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col("doc_id").cast("long"))).first()
     doc = "coalesce(cast(doc_id as long), -9223372036854775808L) as doc_id"
     texts = docs.selectExpr(doc, "cast(cast(text as string) as binary) as text")
-    return texts.select("doc_id", (F.lit(0).cast("long") if n == ids else F.xxhash64("text")).alias("text_id"), "text")
+    return texts.select("doc_id", (F.lit(0).cast("long") if n == ids else F.xxhash64("text")).alias("text_id"), "text"), n == ids
 
 
 def paragraph_table(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_id, pos, start, stop, digest, behind, end, tail, v0, v1) of all paragraphs; offsets are UTF-8 bytes."""
-    names = ["doc_id", "text_id", "pos", "start", "stop", "digest", "behind", "end", "tail", "v0", "v1"]
-    small = {"pos", "start", "stop", "behind", "end"}
+    """(doc_id, text_id, pos, start, size, digest, behind, more, tail, v0, v1) of all paragraphs.
+
+    ``start`` is an offset in UTF-8 bytes, ``size`` the bytes of the paragraph and ``more`` those of the words behind it.
+    """
+    names = ["doc_id", "text_id", "pos", "start", "size", "digest", "behind", "more", "tail", "v0", "v1"]
+    small = {"pos", "start", "size", "behind", "more"}
     schema = ", ".join(f"{n} {'int' if n in small else 'long'}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +174,8 @@ def paragraph_table(rows: DataFrame) -> DataFrame:
                 if found is not None:
                     out[0].append(np.full(len(found[0]), doc, np.int64))
                     out[1].append(np.full(len(found[0]), key, np.int64))
-                    for col, x in zip(out[2:], found):
+                    at, start, stop, digest, behind, end, *hashes = found
+                    for col, x in zip(out[2:], (at, start, stop - start, digest, behind, end - stop, *hashes)):
                         col.append(x)
             if out[0]:
                 cols = [np.concatenate(c) for c in out]
@@ -272,7 +276,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     too, but each of their texts has its own spans (equal ones once).  An empty
     table has no spans.
     """
-    rows = _rows(docs)
+    rows, unique = _rows(docs)
     units = staged(paragraph_table(rows), "passages")
     distinct = units.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "pos", "tail")).alias("first"), F.max("doc_id").alias("last_doc"))
     parts = components(near_edges(rows, units))
@@ -289,10 +293,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
     hits = hits.withColumn("removed", ~(here & (F.abs(F.col("pos") - F.col("first.pos")) < WORDS)))
     on = F.col("removed") & (F.col("tail") == F.col("first.tail"))
-    hits = hits.withColumn("to", F.col("pos") + WORDS + F.when(on, F.col("behind")).otherwise(0)).withColumn("stop", F.when(on, F.col("end")).otherwise(F.col("stop")))
+    hits = hits.withColumn("to", F.col("pos") + WORDS + F.when(on, F.col("behind")).otherwise(0)).withColumn("stop", F.col("start") + F.col("size") + F.when(on, F.col("more")).otherwise(0))
     hits = hits.select("doc_id", "text_id", "pos", "to", "start", "stop", "removed", "class_id", F.col("first.doc_id").alias("first_doc_id"))
-    # Copies of one text under one id would meet in one group below.
-    hits = hits.dropDuplicates(["doc_id", "text_id", "pos"])
+    if not unique:  # copies of one text under one id would meet in one group below
+        hits = hits.dropDuplicates(["doc_id", "text_id", "pos"])
     # Join overlapping and touching paragraphs of a document into spans.
     line = Window.partitionBy("doc_id", "text_id", "removed").orderBy("pos")
     far = F.max("to").over(line.rowsBetween(Window.unboundedPreceding, -1))
