@@ -60,6 +60,8 @@ MAX_SCORE_CELLS = 4 << 20
 COSINE_NOISE = 2.0**-46
 # Vectors of the queries that a task holds at once; queries that are worth a task of their own.
 TEAM_BYTES, TEAM_QUERIES = 32 << 20, 512
+# The same where they travel with every chunk, in the block join.
+JOINED_BYTES = 4 << 20
 # Documents that set a query's first bound; float64 scores are computed at once for so many pairs; from one in so many pairs
 # on, for all of them; rows of a batch of hits.
 SEED_ROWS, PAIR_ROWS, DENSE_SHARE, EMIT_ROWS = 256, 1 << 15, 8, 1 << 16
@@ -94,9 +96,29 @@ def _pairs_global(q: DataFrame, c: DataFrame, nq: int, dim: int, k: int, block_b
     budget = conf_int(c.sparkSession, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes
     if max(nqb, lists) == 1 and total <= budget:
         return pair_blocks(chunks, pack_blocks(q, "qid", ["qid", "vec"], 1, out="q_items"), 1, total, broadcast_bytes)
+    if broadcast_bytes is not None:
+        return _pairs_joined(q, chunks, nq, nqb, max(lists, n_blocks_for(total, JOINED_BYTES)))
     return _pairs_streamed(q, chunks, nq, nqb, max(lists, n_blocks_for(total, TEAM_BYTES)))
 
 
+def _teams(q: DataFrame, nq: int, least: int) -> tuple[int, int]:
+    """Number of teams of query blocks, and of cells of a team."""
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    teams = max(least, min(2 * cores, math.ceil(nq / TEAM_QUERIES)))
+    return teams, math.ceil(2 * cores / teams) if teams < cores else 1
+
+
+def _pairs_joined(q: DataFrame, chunks: DataFrame, nq: int, nqb: int, least: int) -> DataFrame:
+    """The salted block join by teams: the blocks of a team make one row, so a chunk is sent once per team, not per block."""
+    teams, salts = _teams(q, nq, least)
+    blocks = pack_blocks(q, "qid", ["qid", "vec"], max(nqb, teams), out="q_items")
+    team = F.pmod("blk", F.lit(teams)).cast("int").alias("blk")
+    rows = blocks.select(team, "q_items").groupBy("blk").agg(F.flatten(F.collect_list("q_items")).alias("q_items"))
+    rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    sent = chunks.select("c_items", F.pmod(F.xxhash64("cb"), F.lit(salts)).cast("bigint").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(teams - 1))).alias("blk"))
+    return sent.join(rows.hint("shuffle_hash"), ["blk", "salt"]).drop("salt")
+
+
 def _pairs_streamed(q: DataFrame, chunks: DataFrame, nq: int, nqb: int, least: int) -> DataFrame:
     """The query blocks in teams, each team in one task or a few (its cells), and every chunk once to each team.
 
@@ -105,9 +127,7 @@ def _pairs_streamed(q: DataFrame, chunks: DataFrame, nq: int, nqb: int, least: i
     a block, and a task holds one team and one chunk.  Queries are divided before the corpus is: a
     query's k hits leave as many tasks as the team has cells.
     """
-    cores = q.sparkSession.sparkContext.defaultParallelism
-    teams = max(least, min(2 * cores, math.ceil(nq / TEAM_QUERIES)))
-    salts = math.ceil(2 * cores / teams) if teams < cores else 1
+    teams, salts = _teams(q, nq, least)
     blocks = pack_blocks(q, "qid", ["qid", "vec"], max(nqb, teams), out="q_items")
     kinds = {f.name: f.dataType for df in (blocks, chunks) for f in df.schema.fields}
 
