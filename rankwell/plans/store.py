@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import ClassQrels, PairQrels, metric_name
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 
 RUN_SCHEMA = "subset string, qid string, did string, score double, rk int"
 EMBEDDING_SCHEMA = "subset string, id string, vec array<double>, source long"
@@ -182,6 +182,26 @@ def load_embeddings(spark: SparkSession, root: str, model: str, task: str, side:
     return _load(spark, root, model=model, task=task, side=side)
 
 
+def _pooled(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _in_chunks(rows: DataFrame, chunk_rows: int) -> list[DataFrame]:
+    """The rows in chunks by hash of the id (none without rows), written to the shared folder: a chunk reads its own files only."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "to-embed")
+    rows.write.parquet(f"{path}/all")
+    whole = spark.read.schema(rows.schema).parquet(f"{path}/all")
+    n = min(MAX_CHUNKS, -(-whole.count() // chunk_rows))
+    if n < 2:
+        return [whole] * n
+    whole.withColumn("embed_chunk", F.pmod(F.xxhash64("subset", "id"), F.lit(n))).write.partitionBy("embed_chunk").parquet(f"{path}/chunks")
+    folders = [f"{path}/chunks/embed_chunk={i}" for i in range(n)]
+    return [spark.read.schema(rows.schema).parquet(x) for x in folders if _exists(spark, x)]  # one without rows is not written
+
+
 def embed_missing(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], root: str, model: str, task: str, side: str,
                   input_cols: Sequence[str], chunk_rows: int = 100_000, subsets: set[str] | None = None) -> DataFrame:
     """K1: embeddings of ``rows`` (subset, id, inputs), of which only those are computed that are not stored.
@@ -189,7 +209,7 @@ def embed_missing(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], root
     A stored vector belongs to a row if subset, id and the hash of its inputs are the
     same.  The missing rows are embedded in chunks (by hash of the id, ``chunk_rows``
     each, ``MAX_CHUNKS`` at most), each committed by itself; a killed run goes on
-    behind its last commit.  ``embed`` maps (subset, source, id, inputs) to (subset, source, id, vec).
+    behind its last commit.  What ``rows`` takes to compute is paid once, not per chunk.  ``embed`` maps (subset, source, id, inputs) to (subset, source, id, vec).
     Vectors of inputs that are gone are taken out at the end, also of ``subsets`` that
     have no rows any more.  Ids are required.
     """
@@ -204,17 +224,15 @@ def embed_missing(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], root
     if stored is not None and "source" not in stored.columns:
         stored = stored.withColumn("source", F.lit(None).cast("long"))
     missing = rows if stored is None else rows.join(stored.select(*on), on, "left_anti")
-    n = missing.count()
-    chunks = min(MAX_CHUNKS, -(-n // chunk_rows))
-    for i in range(chunks):
-        # ``stored`` keeps the files it was opened with, so ``missing`` is the same for every chunk
-        part = missing.where(F.pmod(F.xxhash64("subset", "id"), F.lit(chunks)) == i)
+    chunks = _in_chunks(missing, chunk_rows)
+    for part in chunks:
         vecs = embed(part).select("subset", "id", "vec", F.col("source").cast("long").alias("source"))
         _append(vecs, root, ("id", "vec", "source"), **names)
     now = load_embeddings(spark, root, model, task, side)
     if now is None:
         return spark.createDataFrame([], EMBEDDING_SCHEMA)
-    mine = {r["subset"] for r in rows.select("subset").distinct().collect()} | (subsets or set())
+    inside = _pooled([x.select("subset") for x in chunks] if chunks and stored is None else [rows.select("subset")])
+    mine = {r["subset"] for r in inside.distinct().collect()} | (subsets or set())
     current = now.where(F.col("subset").isin(sorted(mine)))
     if stored is not None and current.count() != rows.count():  # inputs changed: old vectors go
         kept = cut_lineage(current.join(rows.select(*on), on, "left_semi").dropDuplicates(on))

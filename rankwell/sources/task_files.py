@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prep import flatten_sequences, parse_image_ref, parse_sequence
+from ..session import cut_lineage
 from . import files, packages
 
 TEXT, IMAGE, SEQ, MIXED, LABEL = "TEXT", "IMAGE", "SEQ", "MIXED", "LABEL"
@@ -82,7 +83,8 @@ def load_task(spark: SparkSession, task) -> TaskData:
     """The tables that a task's ``data`` block names."""
     data = task.data
     tars = {name: p["path"] for name, p in (data.get("packages") or {}).items()}
-    members = packages.read_members(spark, tars) if tars else None
+    # read once: without an index a tar is walked from header to header by one task
+    members = cut_lineage(packages.read_members(spark, tars)) if tars else None
     sides = []
     for name in ("query", "collection"):
         side = data[name]
