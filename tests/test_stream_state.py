@@ -75,3 +75,29 @@ def test_a_retried_batch_replaces_its_output(spark, tmp_path):
 
 def test_no_batch_has_no_rankings(spark, tmp_path):
     assert rankings(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_a_batch_of_one_file_is_scored_by_many_tasks(spark):
+    from rankwell.streaming import topk as T
+
+    n = min(2 * spark.sparkContext.defaultParallelism, 8)
+    rows = corpus(4096, 5)
+    queries = spark.createDataFrame([(f"q{i}", v) for i, (_, v) in enumerate(rows)], "qid string, vec array<double>")
+    chunks = T.pack_partitions(spark.createDataFrame(rows, VECS).coalesce(1), ["did", "vec"], out="c_items")
+    pairs = T._pairs(queries, chunks, 4096, 96, 3, 16 << 20)
+    assert pairs.rdd.getNumPartitions() >= n
+    assert pairs.count() == pairs.select("blk").distinct().count() == n  # a query's hits leave one task
+
+
+def test_state_is_kept_by_teams_of_queries(spark, tmp_path, monkeypatch):
+    from rankwell.streaming import topk as T
+
+    monkeypatch.setattr(T, "STATE_TEAMS", 2)
+    rows = corpus(30, 6)
+    queries = spark.createDataFrame([(f"q{i}", v) for i, (_, v) in enumerate(corpus(9, 7))], "qid string, vec array<double>")
+    deliver(spark, str(tmp_path / "in"), 0, rows)
+    got = run(spark, str(tmp_path / "in"), queries, str(tmp_path))
+    assert shown(got) == shown(search(queries, spark.createDataFrame(rows, VECS), 3))
+    with T.state_settings(spark):
+        state = spark.read.format("statestore").option("stateVarName", "top").load(f"{tmp_path}/checkpoint")
+        assert state.select("key").distinct().count() == 2 and state.count() == 9
