@@ -74,6 +74,51 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([digest(w) for w in words], dtype=np.uint64)
 
 
+#: Bytes of the texts that are taken apart together, and paragraphs that are keyed together: arrays of that size stay in the cache.
+GROUP_BYTES, GROUP_PARAGRAPHS = 1 << 20, 1 << 12
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def text_groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, lower-cased texts) of runs of about ``GROUP_BYTES``; null is empty."""
+    group, size, first = [], 0, 0
+    for i, text in enumerate(column):
+        data = (text.as_py() or b"").lower()
+        group.append(data)
+        size += len(data)
+        if size >= GROUP_BYTES:
+            yield first, group
+            group, size, first = [], 0, i + 1
+    if group:
+        yield first, group
+
+
+def word_table(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(hash, start, stop) of the words of all texts, (first word, words) of each text, the same of each line.
+
+    ``start`` and ``stop`` are bytes of the word's own text.  Equal words are hashed once.
+    """
+    joined = b"\n".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    offset = np.cumsum(sizes + 1) - sizes - 1  # of each text in ``joined``
+    raw = np.frombuffer(joined, np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~_SPACE[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, stop = edge[::2], edge[1::2]
+    first = np.searchsorted(start, offset)
+    lines = np.concatenate([[0], np.flatnonzero(raw == 10) + 1])
+    line = np.searchsorted(start, lines)
+    bounds = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    letters = raw[inside[1:-1]]
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+    h = word_hashes(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(start) else np.zeros(0, np.uint64)
+    counts = np.diff(np.concatenate([first, [len(start)]]))
+    own = np.repeat(offset, counts)
+    return h, start - own, stop - own, first, counts, line, np.diff(np.concatenate([line, [len(start)]]))
+
+
 def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     """``pick`` (least or greatest) of every n values in a row, by doubling."""
     size = 1
@@ -84,43 +129,58 @@ def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     return x
 
 
-def anchors(h: np.ndarray, reach: int = REACH) -> np.ndarray:
+def anchors(h: np.ndarray, reach: int = REACH, first: np.ndarray | None = None) -> np.ndarray:
     """Positions whose three-word hash is the least of some ``reach`` hashes in a row.
 
+    ``first`` are the first words of the texts that ``h`` holds one after the other (by default it is one text).
     Of equal ones less than ``reach`` apart only the first is kept, so repeated words do not make every position one.
     """
     if len(h) < reach + 2:
         return np.zeros(0, np.int64)
+    first = np.zeros(1, np.int64) if first is None else first
+    end = np.repeat(np.append(first[1:], len(h)), np.diff(np.append(first, len(h))))  # of the text of each word
     g = _runs(h, 3)
     least = _sliding(g, reach, np.minimum)
+    inside = np.arange(len(least)) + reach + 2 <= end[: len(least)]  # windows of one text
+    least = np.where(inside, least, np.uint64(0))
     # A position lies in up to ``reach`` windows; it is the least of one if the greatest of their least values is its own.
     none = np.zeros(reach - 1, np.uint64)
-    at = np.flatnonzero(g == _sliding(np.concatenate([none, least, none]), reach, np.maximum))
-    if (g[at[1:]] == g[at[:-1]]).any():
-        kept = [int(at[0])]
-        for p in at[1:].tolist():
-            if g[p] != g[kept[-1]] or p - kept[-1] >= reach:
-                kept.append(p)
-        at = np.array(kept, np.int64)
-    return at
-
-
-def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[np.ndarray, ...] | None:
-    """(first word, first byte, end byte, digest, words behind, their end byte, their digest, band values...) of
-    each paragraph of a text; None if it has none.
-
-    Up to ``BEHIND`` words behind a paragraph count.  Words are runs between ASCII white space, A-Z lower-cased; line breaks count as white space.
+    lies = np.flatnonzero(g == _sliding(np.concatenate([none, least, none]), reach, np.maximum))
+    lies = lies[lies + 3 <= end[lies]]
+    text = np.searchsorted(first, lies, "right") - 1
+    at = lies[(end[lies] - first[text]) >= reach + 2]
+    owner = end[at]
+    same = (g[at[1:]] == g[at[:-1]]) & (owner[1:] == owner[:-1])
+    if not same.any():
+        return at
+    keep = np.ones(len(at), bool)
+    for i in np.unique(owner[1:][same]).tolist():  # texts with equal ones in a row
+        lo, hi = np.searchsorted(owner, [i, i + 1])
+        last = at[lo]
+        for j in range(lo + 1, hi):
+            keep[j] = g[at[j]] != g[last] or at[j] - last >= reach
+            if keep[j]:
+                last = at[j]
+    return at[keep]
+
+
+def text_paragraphs(texts: list[bytes], words_n: int = WORDS, reach: int = REACH) -> tuple[np.ndarray, ...] | None:
+    """(text, first word, first byte, end byte, digest, words behind, their end byte, their digest, band values...) of
+    each paragraph of lower-cased texts, in order; None if there is none.
+
+    Up to ``BEHIND`` words behind a paragraph count.  Words are runs between ASCII white space; line breaks count as white space.
     """
-    low = data.lower()
-    lines = [line.split() for line in low.split(b"\n")]
-    words = [w for line in lines for w in line]
-    if len(words) < words_n:
+    h, start, stop, first, counts, line, line_words = word_table(texts)
+    long = counts >= words_n
+    if not long.any():
         return None
-    h = word_hashes(words)
-    sizes = np.array([len(line) for line in lines], np.int64)
-    heads = (np.cumsum(sizes) - sizes)[sizes >= words_n]
-    at = np.unique(np.concatenate([anchors(h, reach), heads, [0, len(h) - words_n]]))
-    at = at[at + words_n <= len(h)]
+    end = first + counts
+    heads = line[line_words >= words_n]
+    at = np.unique(np.concatenate([anchors(h, reach, first), heads, first[long], end[long] - words_n]))
+    text = np.searchsorted(first, at, "right") - 1  # of several texts that begin there all but the last are empty
+    fits = at + words_n <= end[text]
+    at, text = at[fits], text[fits]
+    end = end[text]
     shingles = _runs(h, SHINGLE)
     half = words_n // 2
     digest = _runs(h, words_n)[at]
@@ -129,21 +189,18 @@ def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[n
     for m in _FUNCTIONS:
         least = _sliding(_mix(shingles * np.uint64(m)), half - SHINGLE + 1, np.minimum)
         bands = _mix(bands * np.uint64(3) + np.stack([least[at], least[at + words_n - half]]))
-    # Byte offsets: white space between words may be longer than one byte, so look words up from left to right.
-    starts, find, p = np.empty(len(words), np.int64), low.find, 0
-    lengths = list(map(len, words))
-    if len(low) == sum(lengths) + len(words) - 1 and not low[:1].isspace():
-        starts[:] = list(accumulate([0, *(n + 1 for n in lengths[:-1])]))
-    else:
-        for i, w in enumerate(words):
-            p = find(w, p)
-            starts[i] = p
-            p += lengths[i]
-    stops = starts + np.array(lengths, np.int64)
-    behind = np.minimum(BEHIND, len(h) - at - words_n)
+    behind = np.minimum(BEHIND, end - at - words_n)
     # Zeros stand for the words missing at the end of a text.
-    tail = _runs(np.concatenate([h, np.zeros(BEHIND, np.uint64)]), BEHIND)[at + words_n]
-    return (at, starts[at], stops[at + words_n - 1], digest, behind, stops[at + words_n + behind - 1], tail, *bands)
+    place = (at + words_n)[:, None] + np.arange(BEHIND)
+    following = np.where(place < end[:, None], h[np.minimum(place, len(h) - 1)], np.uint64(0))
+    tail = _along(following, BEHIND)[:, 0]
+    return (text, at - first[text], start[at], stop[at + words_n - 1], digest, behind, stop[at + words_n + behind - 1], tail, *bands)
+
+
+def paragraphs(data: bytes, words_n: int = WORDS, reach: int = REACH) -> tuple[np.ndarray, ...] | None:
+    """``text_paragraphs`` of one text, A-Z lower-cased first, without the text's place."""
+    found = text_paragraphs([data.lower()], words_n, reach)
+    return None if found is None else found[1:]
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -168,19 +225,14 @@ def paragraph_table(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = paragraphs(text.as_py() or b"")
+            docs, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, texts in text_groups(batch.column(2)):
+                found = text_paragraphs(texts)
                 if found is not None:
-                    out[0].append(np.full(len(found[0]), doc, np.int64))
-                    out[1].append(np.full(len(found[0]), key, np.int64))
-                    at, start, stop, digest, behind, end, *hashes = found
-                    for col, x in zip(out[2:], (at, start, stop - start, digest, behind, end - stop, *hashes)):
-                        col.append(x)
-            if out[0]:
-                cols = [np.concatenate(c) for c in out]
-                arrays = [pa.array(c.astype(np.int32) if n in small else c.view(np.int64)) for n, c in zip(names, cols)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                    text, at, start, stop, digest, behind, end, *hashes = found
+                    cols = [docs[first + text], ids[first + text], at, start, stop - start, digest, behind, end - stop, *hashes]
+                    arrays = [pa.array(c.astype(np.int32) if n in small else c.view(np.int64)) for n, c in zip(names, cols)]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
     return rows.mapInArrow(run, schema)
 
@@ -245,13 +297,16 @@ def near_edges(rows: DataFrame, units: DataFrame) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wants in zip(batch.column(0), batch.column(1)):
-                h = word_hashes((text.as_py() or b"").lower().split())
-                at = wants.values.to_numpy()
-                at = at[at + WORDS <= len(h)]
-                if len(at):
-                    row, key = near_keys(h[at[:, None] + np.arange(WORDS)])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_runs(h, WORDS)[at][row].view(np.int64))], ["key", "digest"])
+            wanted = batch.column(1)
+            for first, texts in text_groups(batch.column(0)):
+                h, _, _, begin, counts, _, _ = word_table(texts)
+                mine = wanted.slice(first, len(texts))
+                at, text = mine.flatten().to_numpy(), np.repeat(np.arange(len(texts)), mine.value_lengths().to_numpy())
+                at = (begin[text] + at)[at + WORDS <= counts[text]]
+                for lo in range(0, len(at), GROUP_PARAGRAPHS):
+                    words = h[at[lo : lo + GROUP_PARAGRAPHS, None] + np.arange(WORDS)]
+                    row, key = near_keys(words)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_along(words, WORDS)[:, 0][row].view(np.int64))], ["key", "digest"])
 
     same = (F.col("doc_id") == F.col("w_doc")) & (F.col("text_id") == F.col("w_text"))
     keyed = rows.join(wanted, same).select("text", "wanted").mapInArrow(keys, "key long, digest long")

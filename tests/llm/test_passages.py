@@ -265,3 +265,30 @@ def test_hot_passage_keeps_rows_linear(spark):
     rows = [(i, " ".join(words(20)) + " " + passage + " " + " ".join(words(20))) for i in range(300)]
     found = spans(spark, rows)
     assert {r.doc_id for r in found} == set(range(300)) and len(found) <= 4 * 300
+
+
+def test_texts_taken_apart_together_are_as_each_alone(monkeypatch):
+    """Whatever texts stand beside each other, and words are hashed once per group, not once per text."""
+    import pyarrow as pa
+
+    r = random.Random(31)
+    texts = ["", " ", None, "a", "\t".join(["x"] * 60), "z " * 400, "\x0b\x0cé ü\r\n" * 30, ""]
+    for n in range(150):
+        texts.append("".join(r.choice(["a", "B", "cc"] + VOCABULARY[:40]) + r.choice([" ", "  ", "\n", "\t", " \n "]) for _ in range(n)))
+    r.shuffle(texts)
+    hashed = []
+    real = P.word_hashes
+    monkeypatch.setattr(P, "word_hashes", lambda words: (hashed.append(len(words)), real(words))[1])
+    monkeypatch.setattr(P, "GROUP_BYTES", 4000)
+    column = pa.array([None if t is None else t.encode() for t in texts])
+    together = []
+    for first, group in P.text_groups(column):
+        found = P.text_paragraphs(group)
+        if found is not None:
+            together += [(int(first + text), *map(int, row)) for text, *row in zip(*found)]
+    assert len(hashed) < len(texts) / 3 and sum(hashed) < sum(len((t or "").split()) for t in texts) / 2
+    alone = []
+    for i, t in enumerate(texts):
+        found = P.paragraphs((t or "").encode())
+        alone += [] if found is None else [(i, *map(int, row)) for row in zip(*found)]
+    assert together == alone and len(together) > 200
