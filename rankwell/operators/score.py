@@ -65,6 +65,8 @@ JOINED_BYTES = 4 << 20
 # Documents that set a query's first bound; float64 scores are computed at once for so many pairs; from one in so many pairs
 # on, for all of them; rows of a batch of hits.
 SEED_ROWS, PAIR_ROWS, DENSE_SHARE, EMIT_ROWS = 256, 1 << 15, 8, 1 << 16
+# Queries and documents of a matrix of float32 products: it stays in a processor's cache until it was compared.
+CLOSE_QUERIES, CLOSE_DOCS = 1024, 512
 # Hits that a task buffers before it cuts them to k per query, and emits them if they do not shrink.
 MAX_BUFFER = 4 << 20
 # Groups of more than one block that are broadcast (one row each); beyond it they are joined by a shuffle.
@@ -380,6 +382,16 @@ class _Documents:
             self.scaled = np.where(self.odd[:, None], 0.0, vecs / (self.most or 1.0)).astype(np.float32)
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of a mask with few true cells: eight cells are looked at as one number first."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.uint64))
+    w, cell = np.nonzero(flat.reshape(-1, 8)[words])
+    return words[w] * 8 + cell
+
+
 def _close_pairs(q: _Queries, rows: np.ndarray, docs: _Documents, span: slice, low: np.ndarray):
     """Pairs (place in ``rows``, place in the chunk part) that may reach the keys ``low``, or None if they are many.
 
@@ -389,12 +401,21 @@ def _close_pairs(q: _Queries, rows: np.ndarray, docs: _Documents, span: slice, l
     bound = low[rows] / (q.norm[rows] * docs.most) - (q.vecs.shape[1] + 16) * 2.0**-24
     with np.errstate(over="ignore"):
         bound = np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
-    near = q.unit[rows] @ docs.scaled[span].T >= bound[:, None]
-    near[:, docs.odd[span]] = True
-    if np.count_nonzero(near) > near.size // DENSE_SHARE:
-        return None
-    r, c = np.divmod(np.flatnonzero(near), near.shape[1])
-    return r, c + span.start
+    unit, scaled, odd = q.unit[rows], docs.scaled[span], docs.odd[span]
+    found, most = [], unit.shape[0] * scaled.shape[0] // DENSE_SHARE
+    for r0 in range(0, len(unit), CLOSE_QUERIES):
+        for c0 in range(0, len(scaled), CLOSE_DOCS):
+            near = unit[r0:r0 + CLOSE_QUERIES] @ scaled[c0:c0 + CLOSE_DOCS].T >= bound[r0:r0 + CLOSE_QUERIES, None]
+            near[:, odd[c0:c0 + CLOSE_DOCS]] = True
+            at = _places(near)
+            most -= len(at)
+            if most < 0:
+                return None
+            r, c = np.divmod(at, near.shape[1])
+            found.append((r + r0, c + c0))
+    r, c = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(r, kind="stable")
+    return r[order], c[order] + span.start
 
 
 def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str], part: bool):

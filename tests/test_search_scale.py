@@ -53,3 +53,31 @@ def test_bound_loses_no_hit(norm):
     for i in few:
         want = sorted(((keys[i, j], ids[j]) for j in range(3000) if j != i), reverse=True)[:7]
         assert sorted(got[ids[i]], reverse=True) == want
+
+
+def test_bound_step_holds_small_matrices_only():
+    """Products of a slice are compared in small pieces: the same pairs in the same order, a fraction of the memory."""
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    for n, m in ((400, 10000), (1500, 1001)):
+        q = S._Queries(np.array([f"q{i}" for i in range(n)], dtype=object), r.normal(size=(n, 16)), True)
+        docs = S._Documents(None, np.arange(m), np.array([f"d{i}" for i in range(m)], dtype=object), S._normalise(r.normal(size=(m, 16))))
+        docs.odd[7] = True
+        rows, low = np.arange(1, n, 2), r.uniform(0.6, 0.8, n)
+        tracemalloc.start()
+        got = S._close_pairs(q, rows, docs, slice(5, m), low)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        near = q.vecs[rows] @ docs.vecs[5:].T >= low[rows][:, None]
+        near[:, 2] = True
+        have = set(zip(got[0].tolist(), got[1].tolist()))
+        want = {(i, j + 5) for i, j in zip(*(x.tolist() for x in np.nonzero(near)))}
+        assert want <= have and len(have) <= 1.01 * len(want) + 5 and (np.diff(got[0]) >= 0).all()
+        assert peak < max(4 << 20, 2 * near.size)  # float32 products of all pairs take four bytes each
+
+
+@pytest.mark.parametrize("shape", [(3, 8), (5, 7), (0, 8), (64, 24)])
+def test_places_of_true_cells(shape):
+    mask = np.random.default_rng(8).random(shape) < 0.2
+    assert np.array_equal(S._places(mask), np.flatnonzero(mask))
