@@ -67,8 +67,10 @@ JOINED_BYTES = 4 << 20
 SEED_ROWS, PAIR_ROWS, DENSE_SHARE, EMIT_ROWS = 256, 1 << 15, 8, 1 << 16
 # Queries and documents of a matrix of float32 products: it stays in a processor's cache until it was compared.
 CLOSE_QUERIES, CLOSE_DOCS = 1024, 512
-# Hits that a task buffers before it cuts them to k per query, and emits them if they do not shrink.
-MAX_BUFFER = 4 << 20
+# Hits that a task buffers before it cuts them to k per query, and emits them if more than this share of them is left.
+MAX_BUFFER, FULL_SHARE = 4 << 20, 0.75
+# Cells of a matrix that joins new keys to the best ones; ids of documents that a task holds before it drops those without a hit.
+MERGE_CELLS, MAX_IDS = 1 << 19, 1 << 18
 # Groups of more than one block that are broadcast (one row each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_GROUPS = 100_000
 # Groups up to which the corpus is packed where it lies: many small groups would be cut into a row or two per batch.
@@ -293,7 +295,7 @@ class _Running:
         self.low: dict = {}  # part -> the k-th of them
         self.seen: dict = {}  # part -> documents met
         self.dids: list[np.ndarray] = []
-        self.n_dids = 0
+        self.n_dids, self.most_dids = 0, MAX_IDS
         self.rows: list[tuple] = []  # (part number, query, document number, key, score)
         self.parts: list = []
         self.size = 0
@@ -313,18 +315,29 @@ class _Running:
             enough = key >= self.low[part][rows[r]]
             r, d, key, score = r[enough], d[enough], key[enough], score[enough]
             if len(r):
-                met, at = np.unique(r, return_inverse=True)
-                fresh = np.full((len(met), np.bincount(at).max()), -np.inf)
-                fresh[at, np.arange(len(r)) - np.searchsorted(r, r)] = key
-                mine = rows[met]
-                both = np.concatenate([best[mine], fresh], axis=1)
-                best[mine] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k:]
-                self.low[part][mine] = best[mine].min(axis=1)
+                self._merge(best, self.low[part], rows, r, key)
+                enough = key >= self.low[part][rows[r]]
+                r, d, key, score = r[enough], d[enough], key[enough], score[enough]
         if len(r):
             number = np.full(len(r), self.parts.index(part), np.int32)
             self.rows.append((number, rows[r].astype(np.int32), (d + self.n_dids).astype(np.int32), key, score))
             self.size += len(r)
 
+    def _merge(self, best: np.ndarray, low: np.ndarray, rows: np.ndarray, r: np.ndarray, key: np.ndarray) -> None:
+        """The best keys and their bound with new keys, a few queries at a time: the matrix of both stays small whatever k is."""
+        met, at, n = np.unique(r, return_inverse=True, return_counts=True)
+        start = np.concatenate([[0], np.cumsum(n)])
+        step = max(1, MERGE_CELLS // (self.k + int(n.max())))
+        for lo in range(0, len(met), step):
+            some = met[lo:lo + step]
+            new = slice(start[lo], start[lo + len(some)])
+            fresh = np.full((len(some), n[lo:lo + step].max()), -np.inf)
+            fresh[at[new] - lo, np.arange(new.start, new.stop) - start[at[new]]] = key[new]
+            mine = rows[some]
+            both = np.concatenate([best[mine], fresh], axis=1)
+            best[mine] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k:]
+            low[mine] = best[mine].min(axis=1)
+
     def chunk_done(self, dids: np.ndarray) -> None:
         self.dids.append(dids)
         self.n_dids += len(dids)
@@ -332,17 +345,22 @@ class _Running:
     def cut(self, final: bool = False) -> None:
         """Drop hits below the k-th best key; at the end, or when ties leave too many, keep exactly the k best of every (part, query)."""
         if not self.rows:
+            self.dids, self.n_dids = [], 0
             return
-        part, q, d, key, score = (np.concatenate(x) for x in zip(*self.rows))
-        keep = np.ones(len(q), bool)
-        for number, name in enumerate(self.parts):
-            mine = part == number
-            keep[mine] = key[mine] >= self.low[name][q[mine]]
-        part, q, d, key, score = part[keep], q[keep], d[keep], key[keep], score[keep]
+        for i, row in enumerate(self.rows):  # one by one, so that what is dropped is not copied first
+            self.rows[i] = self._reaching(row)
+        columns, self.rows = list(zip(*self.rows)), []
+        for i, pieces in enumerate(columns):
+            columns[i] = np.concatenate(pieces)
+        del pieces
+        part, q, d, key, score = columns
+        del columns
         dids = np.concatenate(self.dids)
-        used, d = np.unique(d, return_inverse=True)
-        dids, d = dids[used], d.astype(np.int32)
-        if final or len(q) > MAX_BUFFER // 2:
+        used = np.zeros(len(dids), bool)
+        used[d] = True
+        d = (np.cumsum(used, dtype=np.int32) - np.int32(1))[d]
+        dids = dids[used]
+        if final or len(q) > FULL_SHARE * MAX_BUFFER:
             rank = id_ranks(dids)
             order = np.lexsort((-rank[d], -key, q, part))
             part, q, d, key, score = part[order], q[order], d[order], key[order], score[order]
@@ -350,10 +368,24 @@ class _Running:
             start = np.flatnonzero(new)
             keep = np.arange(len(q)) - start[np.cumsum(new) - 1] < self.k
             part, q, d, key, score = part[keep], q[keep], d[keep], key[keep], score[keep]
-        self.dids, self.n_dids = [dids], len(dids)
+        self.dids, self.n_dids, self.most_dids = [dids], len(dids), max(MAX_IDS, 2 * len(dids))
         self.rows = [(part, q, d, key, score)]
         self.size = len(q)
 
+    def emitted(self) -> None:
+        """Forget the hits, not the bounds: later ones must still reach the k-th best key."""
+        self.rows, self.size = [], 0
+        self.dids, self.n_dids, self.most_dids = [], 0, MAX_IDS
+
+    def _reaching(self, row: tuple) -> tuple:
+        """The hits of buffered rows that still reach the k-th best key."""
+        part, q, _, key, _ = row
+        keep = np.ones(len(q), bool)
+        for number in np.flatnonzero(np.bincount(part)):
+            mine = part == number
+            keep[mine] = key[mine] >= self.low[self.parts[number]][q[mine]]
+        return tuple(x[keep] for x in row)
+
 
 class _Queries:
     """Query vectors, and the same as float32 of length 1 where a bound of the rounding error holds."""
@@ -521,7 +553,6 @@ def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str],
                     yield pa.RecordBatch.from_arrays(
                         [*cols, pa.array(one.queries.ids[q], pa.string()), pa.array(dids[d], pa.string()), pa.array(score, pa.float64())],
                         names=[*keep, *(["part"] if part else []), "qid", "did", "score"])
-        running.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running: dict = {}
@@ -533,12 +564,21 @@ def _scorer(k: int, do_norm: bool, exclude_identical: bool, keep: Sequence[str],
                 row = batch.slice(i, 1)
                 if running and not held and row.column("c_items").null_count:
                     yield from emit(running, schema)  # the blocks of another cell begin
+                    running.clear()
                 score_row(row, running, held)
+                for one in running.values():
+                    if one.n_dids > one.most_dids:
+                        one.cut()
                 if sum(x.size for x in running.values()) > MAX_BUFFER:
                     for one in running.values():
                         one.cut()
-                    if sum(x.size for x in running.values()) > MAX_BUFFER // 2:
+                    if sum(x.size for x in running.values()) > FULL_SHARE * MAX_BUFFER:
                         yield from emit(running, schema)
+                        if row.column("q_items").null_count:  # the queries of the cell meet the chunks that follow, too
+                            for one in running.values():
+                                one.emitted()
+                        else:
+                            running.clear()
         if running:
             yield from emit(running, schema)
 
