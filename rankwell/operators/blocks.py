@@ -27,6 +27,8 @@ CONF_TARGET_TASKS = "rankwell.blocks.targetTasks"
 DEFAULT_BROADCAST_BYTES = 64 << 20
 # Inputs below this many estimated bytes per core are dealt evenly over the cores.
 SPREAD_BYTES = 16 << 20
+# Bytes of a chunk row: a task holds some of them, whatever the size of an Arrow batch.
+CHUNK_BYTES = 8 << 20
 
 
 def conf_int(spark, key: str, default: int) -> int:
@@ -64,7 +66,7 @@ def local_rows(df: DataFrame, rows: int) -> DataFrame:
 
 
 def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id_out: str = "cb") -> DataFrame:
-    """One row per Arrow batch of each partition: ``(cb, items array<struct<fields>>)``."""
+    """One row per Arrow batch of each partition, or per ``CHUNK_BYTES`` of it: ``(cb, items array<struct<fields>>)``."""
     fields = list(fields)
     item_type = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.select(*fields).schema.fields)
 
@@ -72,12 +74,15 @@ def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for n, batch in enumerate(batches):
-            if batch.num_rows == 0:
-                continue
-            items = pa.StructArray.from_arrays([batch.column(f) for f in fields], names=fields)
-            packed = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), items)
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), packed], names=[id_out, out])
+        n = 0
+        for whole in batches:
+            step = max(1, int(whole.num_rows * CHUNK_BYTES // max(1, whole.nbytes)))
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                items = pa.StructArray.from_arrays([batch.column(f) for f in fields], names=fields)
+                packed = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), items)
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), packed], names=[id_out, out])
+                n += 1
 
     return df.select(*fields).mapInArrow(pack, f"{id_out} bigint, {out} array<struct<{item_type}>>")
 

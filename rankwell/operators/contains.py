@@ -59,7 +59,8 @@ def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 automata[blk] = _automaton(p_fields[1].to_pylist())
             auto, by_text, empty = automata[blk]
             out_p, out_d = [], []
-            for did, text in zip(d_fields[0].to_pylist(), d_fields[1].to_pylist()):
+            for did, text in zip(d_fields[0], d_fields[1]):  # one text after another becomes a Python object
+                did, text = did.as_py(), text.as_py()
                 if text is None:
                     continue
                 for j in empty:
