@@ -27,14 +27,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return registered_path(spark, f"llm-{tag}")
 
 
-def staged(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def staged(df: DataFrame, tag: str, compression: str = "zstd", rows_at_once: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back, large rows ``rows_at_once``.
 
     Cuts lineage in a way that survives lost executors; column pruning and
     filters still reach the scan of the table.
     """
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", compression)
+    (out.option("parquet.block.row.count.limit", rows_at_once) if rows_at_once else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

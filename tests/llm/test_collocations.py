@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rankwell.llm import collocations as X
@@ -106,3 +107,47 @@ def test_merge_join_needs_no_shuffle(spark):
 
 def test_empty_and_rare(spark):
     assert mined(docs(spark, [])) == [] and mined(docs(spark, [(1, "one two three", "en", "s")])) == []
+
+
+def test_occurrences_are_packed_in_blocks(spark, monkeypatch):
+    """The stored relation has a row per block, not per word, with the words and neighbours of the plain relation."""
+    long = "x" * 70
+    rows = sample(4, 200) + [(i, f"{long}a {long}b, é{long} a\0 a b", "fr", "s") for i in range(3)]
+    got, pairs, n = Counter(), Counter(), 0
+    for block in X.word_blocks(docs(spark, rows)).collect():
+        sizes = np.frombuffer(block["sizes"], np.int32)
+        stop = np.cumsum(sizes)
+        words = [block["letters"][b - s : b].decode() for s, b in zip(sizes.tolist(), stop.tolist())]
+        codes = np.frombuffer(block["codes"], np.int32).tolist()
+        assert np.frombuffer(block["counts"], np.int64).tolist() == [codes.count(i) for i in range(len(words))]
+        got.update((block["lang"], words[c]) for c in codes if c >= 0)
+        pairs.update((block["lang"], words[a], words[b]) for a, b in zip(codes, codes[1:]) if a >= 0 and b >= 0)
+        n += 1
+    plain = {(r["doc"], r["pos"]): (r["lang"], r["word"]) for r in X.word_rows(docs(spark, rows)).collect()}
+    assert got == Counter(plain.values()) and n <= 4 * len({g for g, _ in got})
+    assert pairs == Counter((g, w, plain[d, i + 1][1]) for (d, i), (g, w) in plain.items() if (d, i + 1) in plain)
+
+
+def test_word_ids_tell_words_apart():
+    words = [b"a" * n for n in range(1, 140)] + [b"a\0", b"a\0\0", b"b" * 64, b"b" * 63 + b"c", "\u00e9".encode()]
+    sizes = np.array([len(w) for w in words], np.int32)
+    for langs in (X._lang_hash("en", 0), X._lang_hash("de", 0), X._lang_hash("en", 1)):
+        ids = X.word_ids(b"".join(words), sizes, langs)
+        assert len(set(ids.tolist())) == len(words)
+        assert X.word_ids(words[7], sizes[7:8], langs)[0] == ids[7] and X.word_ids(words[99], sizes[99:100], langs)[0] == ids[99]
+
+
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_BYTES", 10)
+    for text in (b"", b"a b", b"a b. c d e f g h i j k l. m", b"abcdefghijklmnop", b"aaaaaaaaaaaaaaaa, b c d e; f"):
+        parts = list(X._parts(text))
+        assert b"".join(parts) == text and all(p[-1:] in (b".", b",", b";") for p in parts[:-1])
+
+
+def test_phrases_of_a_block_are_counted_exactly_with_any_number_of_words():
+    """Keys of three words of 2 ** 21 do not fit into 63 bits."""
+    codes = np.array([2**21 - 1, 5, 2**21 - 2, -1, 2**21 - 1, 5, 2**21 - 2, 5, 2**21 - 2, -1], np.int32)
+    for size, at in ((2**21, [0, 4, 5, 6]), (2**20, [])):
+        block = X._Block({"codes": codes.tobytes(), "ids": np.arange(size, dtype=np.uint64).tobytes()})
+        want = Counter(tuple(codes[i : i + 3].tolist()) for i in at)
+        assert {tuple(c[:3]): c[3] for c in block.counted(np.array(at, np.int64), 3).T.tolist()} == want
