@@ -65,6 +65,14 @@ def local_rows(df: DataFrame, rows: int) -> DataFrame:
     return df.sparkSession.createDataFrame(got, df.schema) if got.num_rows <= rows else df
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about ``CHUNK_BYTES``."""
+    for whole in batches:
+        step = max(1, int(whole.num_rows * CHUNK_BYTES // max(1, whole.nbytes)))
+        for lo in range(0, whole.num_rows, step):
+            yield whole.slice(lo, step)
+
+
 def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id_out: str = "cb") -> DataFrame:
     """One row per Arrow batch of each partition, or per ``CHUNK_BYTES`` of it: ``(cb, items array<struct<fields>>)``."""
     fields = list(fields)
@@ -75,28 +83,23 @@ def pack_partitions(df: DataFrame, fields: Sequence[str], out: str = "items", id
 
         part = TaskContext.get().partitionId()
         n = 0
-        for whole in batches:
-            step = max(1, int(whole.num_rows * CHUNK_BYTES // max(1, whole.nbytes)))
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                items = pa.StructArray.from_arrays([batch.column(f) for f in fields], names=fields)
-                packed = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), items)
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), packed], names=[id_out, out])
-                n += 1
+        for batch in _slices(batches):
+            items = pa.StructArray.from_arrays([batch.column(f) for f in fields], names=fields)
+            packed = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), packed], names=[id_out, out])
+            n += 1
 
     return df.select(*fields).mapInArrow(pack, f"{id_out} bigint, {out} array<struct<{item_type}>>")
 
 
 def pack_groups(df: DataFrame, groups: Sequence[str], fields: Sequence[str], out: str = "items") -> DataFrame:
-    """One row per group and Arrow batch of each partition: ``(groups, items array<struct<fields>>)``, without a shuffle."""
+    """One row per group and Arrow batch of each partition, or ``CHUNK_BYTES`` of it: ``(groups, items array<struct<fields>>)``, without a shuffle."""
     groups, fields = list(groups), list(fields)
     src = df.select(*groups, *fields)
     types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _slices(batches):
             code = np.zeros(batch.num_rows, np.int64)
             for g in groups:
                 values = batch.column(g).dictionary_encode()

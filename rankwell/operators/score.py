@@ -14,7 +14,8 @@ Plan (J1 / V2 / V3 / V4 / T2):
   queries are divided over the cores, so k rows per query leave the scorer.
 * With a group restriction (score only pairs with equal group values, e.g. a
   conversation or a subset) and few groups, query blocks that pass the size check
-  are broadcast per group and the corpus is not shuffled at all.  Otherwise both
+  are broadcast per group and the corpus is not shuffled at all.  Larger ones are divided
+  into teams inside their group; a chunk goes once to each team of its group.  With many groups both
   sides are hashed into bounded blocks inside their group; a corpus block goes once
   to its (group, block), and the group's query blocks are copied to each.  Only
   groups of more than one block are looked up, in a table that is broadcast while
@@ -145,6 +146,40 @@ def _pairs_streamed(q: DataFrame, chunks: DataFrame, nq: int, nqb: int, least: i
     return sent.unionByName(met).repartitionById(teams * salts, "blk").sortWithinPartitions("blk", "side")
 
 
+def _pairs_streamed_groups(q: DataFrame, c: DataFrame, groups: list[str], dim: int, k: int, part: bool) -> DataFrame | None:
+    """``_pairs_streamed`` inside every group, or None beyond ``MAX_LOCAL_GROUPS``: a chunk goes once to each team of its group.
+
+    The cells of all groups are numbered one after the other.  Queries and documents are packed where they
+    lie, so no side is collected into large rows.
+    """
+    named = F.coalesce(*[F.when(F.col(g).isNull(), F.lit(True)) for g in groups]).isNull()  # a null equals no group
+    q, c = q.where(named), c.where(named)
+    counts = q.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LOCAL_GROUPS + 1).collect()
+    if len(counts) > MAX_LOCAL_GROUPS:
+        return None
+    cells, n_cells = [], 0
+    for row in counts:
+        teams, salts = _teams(q, row["n"], max(n_blocks_for(row["n"] * k, MAX_BUFFER // 2), n_blocks_for(row["n"] * _row_bytes(dim), TEAM_BYTES)))
+        cells.append((*row[:-1], n_cells, teams, salts))
+        n_cells += teams * salts
+    types = [f"`{g}` {q.schema[g].dataType.simpleString()}" for g in groups]
+    cells = F.broadcast(q.sparkSession.createDataFrame(cells, ", ".join([*types, "_first int", "_teams int", "_salts int"])))
+
+    def upto(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_i")
+
+    team = F.pmod(F.xxhash64("qid"), F.col("_teams")).cast("int").alias("_team")
+    qblocks = pack_groups(q.join(cells, groups).select(*groups, team, "qid", "vec"), [*groups, "_team"], ["qid", "vec"], out="q_items").join(cells, groups)
+    chunks = pack_groups(spread(c), groups, ["did", "vec", *(["part"] if part else [])], out="c_items").join(cells, groups)
+    salt = F.pmod(F.xxhash64(F.col("c_items")[0]["did"]), F.col("_salts")).cast("int")
+    kinds = {f.name: f.dataType for df in (qblocks, chunks) for f in df.schema.fields}
+    sent = qblocks.select("*", upto("_salts")).select(
+        *groups, (F.col("_first") + F.col("_team") * F.col("_salts") + F.col("_i")).alias("blk"), F.lit(0).alias("side"), "q_items", F.lit(None).cast(kinds["c_items"]).alias("c_items"))
+    met = chunks.select("*", salt.alias("_salt"), upto("_teams")).select(
+        *groups, (F.col("_first") + F.col("_i") * F.col("_salts") + F.col("_salt")).alias("blk"), F.lit(1).alias("side"), F.lit(None).cast(kinds["q_items"]).alias("q_items"), "c_items")
+    return sent.unionByName(met).repartitionById(max(1, n_cells), "blk").sortWithinPartitions("blk", "side")
+
+
 def _is_deep(c: DataFrame, k: int, dim: int, part: bool) -> bool:
     """Whether a task's share of the corpus would be under ``DEEP_SHARE`` times k, while all of it is small enough to broadcast."""
     spark = c.sparkSession
@@ -625,7 +660,8 @@ def search(
     if groups and nq * _row_bytes(dim) <= budget and stats["groups"] <= MAX_LOCAL_GROUPS:
         pairs = _pairs_broadcast_groups(_in_groups(q, groups), _in_groups(c, groups), groups, dim, query_block_bytes, part)
     elif groups:
-        pairs = _pairs_grouped(q, c, groups, dim, query_block_bytes, chunk_rows, part)
+        pairs = _pairs_streamed_groups(q, c, groups, dim, k, part) if stats["groups"] <= MAX_LOCAL_GROUPS else None
+        pairs = _pairs_grouped(q, c, groups, dim, query_block_bytes, chunk_rows, part) if pairs is None else pairs
     else:
         pairs = _pairs_global(q, c, nq, dim, k, query_block_bytes, part, broadcast_bytes)
     types = {f.name: f.dataType.simpleString() for f in q.schema.fields}

@@ -192,3 +192,39 @@ def test_a_large_arrow_batch_is_taken_in_small_pieces(spark):
     chunks = B.pack_partitions(docs, ["did", "dtext"]).selectExpr("cb", "transform(items, i -> i.did) AS dids").collect()
     assert sorted(int(d) for c in chunks for d in c["dids"]) == list(range(40)) and len({c["cb"] for c in chunks}) == len(chunks)
     assert max(len(c["dids"]) for c in chunks) <= 8
+
+
+def test_few_large_groups_are_searched_by_teams(spark, monkeypatch):
+    """Too many queries to broadcast, in few groups: a document goes once to each team of its group, a query to each cell of its team."""
+    r = np.random.default_rng(8)
+    rows = [(f"x{i}", None if i % 50 == 0 else "hot" if i % 5 else f"g{i % 3}", i % 2, r.integers(0, 4, 6).astype(float).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id string, grp string, half int, vec array<double>").repartition(3)
+    q, c = df.where("id < 'x7'").withColumnRenamed("id", "qid"), df.where("grp is null or grp <> 'g1'").withColumnRenamed("id", "did")
+    want = {k: S.search(q, c, 7, group_cols=k, exclude_identical=True).select(*k, "qid", "did", "score", "rk").collect() for k in (("grp",), ("grp", "half"))}
+    parts = S.search(q, c, 2, group_cols=["grp"], corpus_part="half").collect()
+    monkeypatch.setattr(S, "conf_int", lambda spark, key, default: 0)  # nothing may be broadcast
+    monkeypatch.setattr(S, "TEAM_QUERIES", 100)
+    pairs = S._pairs_streamed_groups(q, c, ["grp"], 6, 7, False)
+    sent = pairs.selectExpr("grp", "blk", "size(c_items) as d", "size(q_items) as n").groupBy("grp").sum("d", "n").collect()
+    hot_q, hot_c = (x.where("grp = 'hot'").count() for x in (q, c))
+    hot = next(x for x in sent if x["grp"] == "hot")
+    teams, salts = S._teams(q, hot_q, 1)
+    assert teams > 1 and hot["sum(d)"] == hot_c * teams and hot["sum(n)"] == hot_q * salts
+    assert all(x["grp"] is not None for x in sent) and pairs.groupBy("blk").agg(F.count_distinct("grp").alias("n")).where("n > 1").isEmpty()
+    for k, rows in want.items():
+        got = S.search(q, c, 7, group_cols=k, exclude_identical=True).select(*k, "qid", "did", "score", "rk").collect()
+        assert len(got) > 1000 and sorted(map(tuple, got)) == sorted(map(tuple, rows))
+    assert sorted(map(str, S.search(q, c, 2, group_cols=["grp"], corpus_part="half").collect())) == sorted(map(str, parts))
+    assert S._pairs_streamed_groups(q.withColumn("grp", F.col("qid")), c, ["grp"], 6, 7, False) is None  # many groups
+
+
+def test_chunks_of_a_group_are_bounded(spark, monkeypatch):
+    from rankwell.operators import blocks as B
+
+    df = spark.range(0, 3000, 1, 1).selectExpr("cast(id as string) as did", "cast(id % 2 as string) as grp", "array_repeat(cast(id as double), 100) as vec")
+    batch = df.toArrow().to_batches()[0]
+    monkeypatch.setattr(B, "CHUNK_BYTES", 200_000)
+    slices = list(B._slices(iter([batch])))
+    assert len(slices) > 10 and sum(x.num_rows for x in slices) == batch.num_rows and slices[0].nbytes < 250_000
+    packed = B.pack_groups(df, ["grp"], ["did", "vec"]).selectExpr("grp", "size(items) as n").groupBy("grp").sum("n").collect()
+    assert sorted((x["grp"], x["sum(n)"]) for x in packed) == [("0", 1500), ("1", 1500)]
